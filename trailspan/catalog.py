@@ -119,12 +119,9 @@ def tag_predicates(spark, folder):
 
 @query
 def segment_distance(spark, folder):
-    seg = corridor.segment_cells(tracks.track_segments(testbed.points(spark, folder)).filter("track_idx > 0"), 300.0)
-    size = corridor.cell_size(300.0)
-    places = _pois(spark, folder).select("poi_id", "lat", "lon", geo.cell_of(F.col("lat"), F.col("lon"), size).alias("cell"))
-    ends = [F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")]
-    d = geo.segment_distance(F.col("lat"), F.col("lon"), *ends)
-    return places.join(seg, "cell").withColumn("d", d).filter("d <= 300").select("poi_id", "seg_idx", metres("d").alias("distance_m"))
+    seg = tracks.track_segments(testbed.points(spark, folder)).filter("track_idx > 0")
+    pairs = corridor.near_segments(_pois(spark, folder).select("poi_id", "lat", "lon"), seg, 300.0)
+    return pairs.filter("d <= 300").select("poi_id", "seg_idx", metres("d").alias("distance_m"))
 
 
 def _distances(spark, folder, limit: float = 1500.0) -> DataFrame:

@@ -135,16 +135,17 @@ def unique_texts(array: Column) -> Column:
     return F.array_distinct(F.filter(trimmed, lambda s: s.isNotNull() & (s != "")))
 
 
+def sql_text(value: str) -> str:
+    """Literal for an expression string."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(table: dict[str, str], key: Column) -> Column:
     """Value for ``key`` in a small fixed table; null when absent."""
-    literal = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    literal = F.expr("map(" + ", ".join(sql_text(x) for pair in table.items() for x in pair) + ")")
     return literal[key]
 
 
-def any_of(col: Column, values) -> Column:
-    return col.isin(*values)
-
-
 def escape_xml(col: Column) -> Column:
     out = col
     # The five XML entities, ampersand first.

@@ -55,12 +55,38 @@ def segment_cells(segments: DataFrame, max_distance_m: float) -> DataFrame:
         lambda i: box_cells(i / F.col("_pieces"), (i + 1) / F.col("_pieces")),
     )))
     return (
-        segments.withColumn("_pieces", pieces)
+        segments.withColumn("_pieces", pieces).withColumn("pad_lon", pad_lon)
         .withColumn("cell", F.explode(F.when(F.col("_pieces") == 1, whole).otherwise(by_piece)))
         .drop("_pieces")
     )
 
 
+def _in_box(max_distance_m: float) -> Column:
+    """The place lies in the segment's padded box: a test without trigonometry."""
+    pad_lat = geo.lat_margin(max_distance_m)
+    lat, lon = F.col("lat"), F.col("lon")
+    return (
+        (lat >= F.least("a_lat", "b_lat") - pad_lat) & (lat <= F.greatest("a_lat", "b_lat") + pad_lat)
+        & (lon >= F.least("a_lon", "b_lon") - F.col("pad_lon")) & (lon <= F.greatest("a_lon", "b_lon") + F.col("pad_lon"))
+    )
+
+
+def near_segments(places: DataFrame, segments: DataFrame, max_distance_m: float) -> DataFrame:
+    """Places with the segments whose padded box holds them.
+
+    Adds ``t``, the share along the segment, and ``d``, the distance. No pair
+    within the distance is missing; pairs beyond it are not all dropped.
+    """
+    located = places.withColumn("cell", geo.cell_of(F.col("lat"), F.col("lon"), cell_size(max_distance_m)))
+    ends = [F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")]
+    return (
+        located.join(segment_cells(segments, max_distance_m), "cell")
+        .filter(_in_box(max_distance_m)).drop("cell", "pad_lon")
+        .withColumn("t", geo.segment_fraction(F.col("lat"), F.col("lon"), *ends))
+        .withColumn("d", geo.distance_at_fraction(F.col("lat"), F.col("lon"), *ends, F.col("t")))
+    )
+
+
 def track_distances(
     pois: DataFrame, points: DataFrame, max_distance_m: float = 1500.0, block: int = BLOCK
 ) -> DataFrame:
@@ -70,26 +96,12 @@ def track_distances(
     The distance is the least over all segments and the last point; the position
     belongs to the nearest segment, the first one on a tie.
     """
-    seg = segment_cells(
-        measured_segments(points, block, tail=True).select(
-            "track_idx", "track_id", "seg_idx", "a_lat", "a_lon", "b_lat", "b_lon", "seg_len_m",
-            "cum_start_m", "is_tail",
-        ),
-        max_distance_m,
-    )
-    places = pois.select(
-        "poi_id", "lat", "lon", geo.cell_of(F.col("lat"), F.col("lon"), cell_size(max_distance_m)).alias("cell")
-    )
-    p_lat, p_lon = F.col("lat"), F.col("lon")
-    ends = [F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")]
-    pairs = (
-        places.join(seg, "cell")
-        .withColumn("t", geo.segment_fraction(p_lat, p_lon, *ends))
-        .withColumn("d", geo.distance_at_fraction(p_lat, p_lon, *ends, F.col("t")))
-        # When only the last point is in reach, its segment may measure a bit more:
-        # at most 1 / cos(latitude). Keep that much so the position is known.
-        .filter(F.col("d") * F.cos(F.radians(F.abs("lat") + 0.5)) <= float(max_distance_m))
+    segments = measured_segments(points, block, tail=True).select(
+        "track_idx", "track_id", "seg_idx", "a_lat", "a_lon", "b_lat", "b_lon", "seg_len_m", "cum_start_m", "is_tail"
     )
+    # Every place whose only close part is the last point still meets the segment
+    # that ends there, because boxes and not distances decide.
+    pairs = near_segments(pois.select("poi_id", "lat", "lon"), segments, max_distance_m)
     on_segment = F.when(
         ~F.col("is_tail"), F.struct("d", "seg_idx", (F.col("cum_start_m") + F.col("t") * F.col("seg_len_m")).alias("at"))
     )

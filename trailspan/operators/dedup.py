@@ -19,6 +19,7 @@ each small cell with those around it, until enough places are absorbed.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,37 +61,35 @@ def _reach(size: float) -> Column:
     )
 
 
-def _walk_tile(rows: pd.DataFrame) -> pd.DataFrame:
-    """Walk one tile in input order; states: 0 open, 1 leader, 2 absorbed.
+def _walk_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk tiles that arrive one after the other, each in input order.
 
-    A spot of another tile is never made a leader here; it stays open unless a
-    leader before it already absorbs it.
+    States: 0 open, 1 leader, 2 absorbed. A spot of another tile is never made a
+    leader here; it stays open unless a leader before it already absorbs it. Only
+    the leaders and open spots of the current tile are held, not its rows.
     """
-    rows = rows.sort_values("ord", kind="stable")
-    radius = float(rows["radius"].iloc[0])
-    lat_step = radius / geo.METRES_PER_DEGREE * 1.001
-    top = min(89.0, float(rows["lat"].abs().max()) + lat_step)
-    lon_step = lat_step / math.cos(math.radians(top))
-    kept: dict[tuple[int, int], list[tuple[float, float, bool]]] = {}
-    states = []
-    columns = (rows[c].tolist() for c in ("lat", "lon", "state", "home"))
-    for lat, lon, state, home in zip(*columns):
-        y, x = math.floor(lat / lat_step), math.floor(lon / lon_step)
-        if state == 0:
-            led = blocked = False
-            for cy in (y - 1, y, y + 1):
-                for cx in (x - 1, x, x + 1):
-                    for o_lat, o_lon, is_leader in kept.get((cy, cx), ()):
-                        if blocked and not is_leader:
-                            continue
-                        if _metres(lat, lon, o_lat, o_lon) <= radius:
+    current, kept, lat_step, lon_step = None, {}, 0.0, 0.0
+    for rows in batches:
+        states = []
+        columns = (rows[c].tolist() for c in (*_KEY, "tile", "lat", "lon", "radius", "state", "home"))
+        for run, category, tile, lat, lon, radius, state, home in zip(*columns):
+            if (run, category, tile) != current:
+                current, kept = (run, category, tile), {}
+                lat_step = radius / geo.METRES_PER_DEGREE * 1.001
+                lon_step = lat_step / math.cos(math.radians(min(89.0, abs(lat) + 0.1)))
+            y, x = math.floor(lat / lat_step), math.floor(lon / lon_step)
+            if state == 0:
+                led = blocked = False
+                for cell in ((cy, cx) for cy in (y - 1, y, y + 1) for cx in (x - 1, x, x + 1)):
+                    for o_lat, o_lon, is_leader in kept.get(cell, ()):
+                        if (is_leader or not blocked) and _metres(lat, lon, o_lat, o_lon) <= radius:
                             led, blocked = led or is_leader, blocked or not is_leader
-            state = 2 if led else (0 if blocked or not home else 1)
-        states.append(state)
-        if state != 2:
-            kept.setdefault((y, x), []).append((lat, lon, state == 1))
-    rows = rows.assign(state=states)
-    return rows.loc[rows["home"], ["run_id", "category", "ord", "lat", "lon", "radius", "state"]]
+                state = 2 if led else (0 if blocked or not home else 1)
+            states.append(state)
+            if state != 2:
+                kept.setdefault((y, x), []).append((lat, lon, state == 1))
+        rows = rows.assign(state=states)
+        yield rows.loc[rows["home"], ["run_id", "category", "ord", "lat", "lon", "radius", "state"]]
 
 
 def _metres(lat: float, lon: float, o_lat: float, o_lon: float) -> float:
@@ -112,7 +111,8 @@ def _tile_round(open_spots: DataFrame, new_leaders: DataFrame | None, size: floa
         # A leader has already acted on its own tile.
         .filter((F.col("state") == 0) | ~F.col("home"))
     )
-    return sent.groupBy(*_KEY, "tile").applyInPandas(_walk_tile, _SPOT + ", state int")
+    in_order = sent.repartition(*_KEY, "tile").sortWithinPartitions(*_KEY, "tile", "ord")
+    return in_order.mapInPandas(_walk_tiles, _SPOT + ", state int")
 
 
 def _absorb(open_spots: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -219,6 +219,9 @@ def dedup_pois(
     """
     if "run_id" not in pois.columns:
         return dedup_pois(pois.withColumn("run_id", F.lit("run")), radius_m, max_tile_rows).drop("run_id")
+    # Read by the counts, the rounds and the final join: computed once.
+    checkpoint_dir(pois.sparkSession)
+    pois = pois.checkpoint()
     mergeable = ~F.col("category").isin(*rules.NEVER_MERGED)
     sized = pois.select("run_id", "category", "ord", "poi_id", "lat", "lon", F.size("tags").alias("n_tags")).join(
         run_radius(pois, radius_m).select("run_id", "radius"), "run_id"

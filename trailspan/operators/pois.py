@@ -28,11 +28,14 @@ def _tag_text(entry: Column) -> Column:
     return F.concat_ws("=", entry["key"], entry["value"])
 
 
-def first_listed_tag(tags: Column, listed: Iterable[str]) -> Column:
+def _listed(entry: str, listed: Iterable[str]) -> str:
+    values = ", ".join(T.sql_text(v) for v in listed)
+    return f"concat_ws('=', {entry}.key, {entry}.value) IN ({values})"
+
+
+def first_listed_tag(tags: str, listed: Iterable[str]) -> Column:
     """First tag, in tag order, whose ``key=value`` is listed; null if none."""
-    listed = list(listed)
-    hits = F.filter(F.map_entries(tags), lambda e: _tag_text(e).isin(*listed))
-    return F.get(hits, F.lit(0))
+    return F.expr(f"get(filter(map_entries({tags}), e -> {_listed('e', listed)}), 0)")
 
 
 def categorize(elements: DataFrame, categories: Iterable[str] | None = None) -> DataFrame:
@@ -45,7 +48,7 @@ def categorize(elements: DataFrame, categories: Iterable[str] | None = None) ->
         elements.withColumn("_lat", F.when(node, F.col("lat")).otherwise(F.col("center.lat")))
         .withColumn("_lon", F.when(node, F.col("lon")).otherwise(F.col("center.lon")))
         .filter(F.col("_lat").isNotNull() & F.col("_lon").isNotNull())
-        .withColumn("_hit", first_listed_tag(F.col("tags"), rules.CATEGORY_BY_TAG))
+        .withColumn("_hit", first_listed_tag("tags", rules.CATEGORY_BY_TAG))
         .filter(F.col("_hit").isNotNull())
     )
     tag = _tag_text(F.col("_hit"))
@@ -73,7 +76,7 @@ def tag_predicates(rule_table: DataFrame, categories: Iterable[str] | None = Non
 def prefilter_elements(elements: DataFrame, categories: Iterable[str] | None = None) -> DataFrame:
     """Drop elements no rule of the chosen categories can match, before any join."""
     wanted = [f"{k}={v}" for c, _r, _d, k, v, _i in rules.rule_rows() if categories is None or c in set(categories)]
-    return elements.filter(F.exists(F.map_entries("tags"), lambda e: _tag_text(e).isin(*wanted)))
+    return elements.filter(F.expr(f"exists(map_entries(tags), e -> {_listed('e', wanted)})"))
 
 
 def category_filter(pois: DataFrame, categories: Iterable[str]) -> DataFrame:
@@ -127,7 +130,7 @@ def name_label(name: Column, language: str) -> Column:
     return F.coalesce(T.lookup(rules.GENERIC_NAME_FR, T.strip(F.lower(name))), name)
 
 
-def osmand_icon(tags: Column, category: Column) -> Column:
+def osmand_icon(tags: str, category: Column) -> Column:
     """Icon of the first tag that has one, else the category's, else a star."""
     hit = first_listed_tag(tags, rules.OSMAND_TAG_ICON)
     return F.coalesce(

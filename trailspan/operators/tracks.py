@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from ..functions.geo import haversine
 from ..functions.text import js_round
 
-BLOCK = 1 << 16
+BLOCK = 1 << 13
 _POINT = ["lat", "lon", "ele"]
 
 
@@ -83,20 +83,23 @@ def measured_segments(points: DataFrame, block: int = BLOCK, tail: bool = False)
     )
     # Lengths are never negative, so the largest running sum is the block's sum,
     # and taking it from there keeps both sides equal to the last bit.
+    # The track index takes part in the join so that both sides need the same
+    # columns and share one shuffle.
+    key = ["track_id", "track_idx", "block"]
     by_block = W.partitionBy("track_id").orderBy("block")
-    blocks = within.groupBy("track_id", "block").agg(F.max("_end").alias("_len"), F.count("*").alias("_n"))
+    blocks = within.groupBy(*key).agg(F.max("_end").alias("_len"), F.count("*").alias("_n"))
     blocks = blocks.select(
-        "track_id", "block", "_len", "_n",
+        *key, "_n",
         F.sum("_len").over(by_block.rowsBetween(W.unboundedPreceding, 0)).alias("_through"),
     )
     blocks = blocks.select(
-        "track_id", "block",
+        *key,
         F.coalesce(F.lag("_through").over(by_block), F.lit(0.0)).alias("_offset"),
         F.max("_through").over(W.partitionBy("track_id")).alias("total_m"),
         F.sum("_n").over(W.partitionBy("track_id")).alias("n_points"),
     )
     out = (
-        within.join(blocks, ["track_id", "block"])
+        within.join(blocks, key)
         .withColumn("cum_end_m", F.col("_offset") + F.col("_end"))
         .withColumn("_start", F.lag("_end").over(running))
         .withColumn("cum_start_m", F.col("_offset") + F.coalesce("_start", F.lit(0.0)))

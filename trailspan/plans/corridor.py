@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import corridor, dedup, pois
-from ..session import checkpoint_dir
 
 
 def corridor_pois(
@@ -22,9 +21,7 @@ def corridor_pois(
 
     ``elements`` needs ``ord``, the input order, unique per element.
     """
-    checkpoint_dir(elements.sparkSession)
     places = pois.categorize(elements, categories)
-    # Small next to the map; used several times by the merging rounds.
-    near = corridor.corridor_filter(places, points, max_distance_m).checkpoint()
+    near = corridor.corridor_filter(places, points, max_distance_m)
     kept = dedup.dedup_pois(near, dedup_radius_m)
     return kept.orderBy(F.col("along_trace_distance"), F.col("ord"))

@@ -1 +1 @@
-
+"""Readers: raw files and responses to tables."""

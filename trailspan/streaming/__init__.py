@@ -1 +1 @@
-
+"""Continuous versions of operators, on Structured Streaming."""

@@ -62,9 +62,8 @@ filter(array(
 
 def elements(spark: SparkSession, folder: str) -> DataFrame:
     """Map elements from ``customer``; groups of four lie close together."""
-    rule_array = F.array(*[
-        F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for _c, _r, _d, k, v, _i in rules.rule_rows()
-    ])
+    pairs = ", ".join(f"('{k}', '{v}')" for _c, _r, _d, k, v, _i in rules.rule_rows())
+    rule_array = F.expr(f"transform(array({pairs}), p -> named_struct('key', p.col1, 'value', p.col2))")
     based = table(spark, folder, "customer").selectExpr(
         "c_custkey AS k", "c_name",
         "CASE WHEN (c_custkey div 4) % 3 = 0 THEN c_custkey - c_custkey % 4 ELSE c_custkey END AS kb",
