@@ -174,3 +174,384 @@ def adaptive_radius(spark, folder):
 def distance_sweep(spark, folder):
     out = corridor.distance_sweep(_distances(spark, folder), [300, 600, 900, 1500])
     return out.withColumn("sum_distance_m", metres("sum_distance_m"))
+
+
+# --- sources -----------------------------------------------------------------------
+
+
+@query
+def gpx_ingest(spark, folder):
+    from .sources.gpx import parse_gpx
+
+    points, rejects = parse_gpx(testbed.gpx_files(spark, folder))
+    kept = points.select(
+        F.col("track_id").alias("path"), "name", "seq", micro("lat"), micro("lon"),
+        js_round(F.nanvl("ele", F.lit(-1.0)) * 100).alias("ele_cm"), "time", F.lit(None).cast("string").alias("error"),
+    )
+    lost = rejects.select("path", *[F.lit(None).cast(t).alias(c) for c, t in kept.dtypes[1:-1]], "error")
+    return kept.unionByName(lost)
+
+
+@query
+def osm_ingest(spark, folder):
+    from .sources.responses import osm_elements
+
+    e = osm_elements(testbed.osm_responses(spark, folder), "json", "n")
+    return e.select(
+        "n", "pos", "type", "id", js_round(F.coalesce("lat", "center.lat") * 1e6).alias("lat_e6"),
+        F.array_join(F.transform(F.map_entries("tags"), lambda t: F.concat_ws("=", t["key"], t["value"])), ";").alias("tags"),
+    )
+
+
+@query
+def search_ingest(spark, folder):
+    from .sources.responses import search_results, unresponsive_engines
+
+    responses = testbed.search_responses(spark, folder)
+    results = search_results(responses, "json", "n").select(
+        "n", "pos", "title", "url", "engine", F.char_length("content").alias("n_chars")
+    )
+    down = unresponsive_engines(responses, "json", "n").select(
+        "n", "pos", F.lit("").alias("title"), F.col("reason").alias("url"), "engine", F.lit(-1).alias("n_chars")
+    )
+    return results.unionByName(down)
+
+
+@query
+def geo_context(spark, folder):
+    from .sources.responses import geo_context as context
+
+    out = testbed.geocode_responses(spark, folder).select("k", context(F.col("json")).alias("g"))
+    return out.select("k", F.col("g").isNotNull().alias("found"), "g.*")
+
+
+@query
+def page_preview(spark, folder):
+    from .sources.pages import page_previews
+
+    out = page_previews(testbed.table(spark, folder, "pages"))
+    return out.select("page_id", "url", "title", "description", F.md5("excerpt").alias("excerpt_md5"))
+
+
+@query
+def failure_report(spark, folder):
+    from .operators import jobs
+    from .sources.responses import parse_failures
+
+    return jobs.failure_report(parse_failures(testbed.failure_lines(spark, folder)))
+
+
+# --- places: filters, counts, labels --------------------------------------------------
+
+
+@query
+def category_filter(spark, folder):
+    return pois.category_filter(_pois(spark, folder), ["Water", "Food shop", "Wifi"]).select("poi_id", "category")
+
+
+@query
+def category_counts(spark, folder):
+    return pois.category_counts(_pois(spark, folder))
+
+
+@query
+def poi_sort(spark, folder):
+    near = corridor.corridor_filter(_pois(spark, folder), testbed.points(spark, folder))
+    return pois.sort_pois(near, "category", None).select("poi_id", "category", metres("distance_to_trace").alias("distance_m"))
+
+
+@query
+def policy_assign(spark, folder):
+    return _pois(spark, folder).select("poi_id", pois.policy(F.col("category")).alias("policy"))
+
+
+@query
+def policy_counts(spark, folder):
+    return pois.policy_counts(_pois(spark, folder))
+
+
+@query
+def generic_name_filter(spark, folder):
+    return _pois(spark, folder).filter(~pois.is_generic_name(F.col("name"))).select("poi_id", "name")
+
+
+@query
+def translate_labels(spark, folder):
+    return _pois(spark, folder).select(
+        "poi_id", pois.category_label(F.col("category"), "fr").alias("category_fr"),
+        pois.category_label(F.col("category"), "en").alias("category_en"), pois.name_label(F.col("name"), "fr").alias("name_fr"),
+    )
+
+
+@query
+def icon_lookup(spark, folder):
+    return _pois(spark, folder).select("poi_id", pois.osmand_icon("tags", F.col("category")).alias("osmand_icon"))
+
+
+@query
+def availability_flags(spark, folder):
+    places = _pois(spark, folder).join(testbed.poi_enrichment(spark, folder).select("poi_id", F.col("hours").alias("known")), "poi_id", "left")
+    hours = pois.hours_source(F.col("known"), F.col("tags")["opening_hours"])
+    return places.select(
+        "poi_id", pois.open_sunday(hours).alias("open_sunday"), pois.open_evening(hours).alias("open_evening"),
+        F.array_join(pois.availability_tags(hours), "|").alias("availability"),
+    )
+
+
+@query
+def confidence_bands(spark, folder):
+    scored = testbed.poi_enrichment(spark, folder).withColumn("band", pois.confidence_band(F.col("confidence")))
+    return scored.groupBy("band").agg(F.count("*").alias("n_pois"))
+
+
+# --- cache and work-lists -----------------------------------------------------------------
+
+AS_OF = "2001-08-01 00:00:00"
+
+
+def _cache(spark, folder) -> DataFrame:
+    from .operators import cache
+
+    versions = testbed.cache(spark, folder).drop("status")
+    newest = F.max_by(F.struct(*[c for c in versions.columns if c not in cache.KEY]), F.struct("enriched_at", "version")).alias("r")
+    return versions.groupBy(*cache.KEY).agg(newest).select(*cache.KEY, "r.*")
+
+
+@query
+def cache_lookup(spark, folder):
+    from .operators import cache
+
+    return cache.lookup(_pois(spark, folder), _cache(spark, folder), AS_OF).select("osm_type", "osm_id", "name", "is_stale")
+
+
+@query
+def cache_lookup_stats(spark, folder):
+    from .operators import cache
+
+    requests = testbed.table(spark, folder, "events").selectExpr("CASE WHEN event_id % 4 = 0 THEN 'way' ELSE 'node' END AS osm_type", "user_id * 3 AS osm_id")
+    return cache.lookup_stats(requests, _cache(spark, folder), AS_OF)
+
+
+@query
+def cache_split(spark, folder):
+    from .operators import cache
+
+    reuse, work = cache.split_by_cache(_pois(spark, folder), _cache(spark, folder), AS_OF)
+    return reuse.select("poi_id", F.lit("reuse").alias("action")).unionByName(work.select("poi_id", F.lit("work").alias("action")))
+
+
+@query
+def cache_upsert(spark, folder):
+    from .operators import cache
+
+    versions = testbed.cache(spark, folder)
+    existing = cache.upsert(versions.limit(0).drop("status"), versions.filter("version % 2 = 0"), "version")
+    return cache.upsert(existing, versions.filter("version % 2 = 1"), "version").select(
+        "osm_type", "osm_id", "category", "name", "enrichment", "version", F.date_format("enriched_at", "yyyy-MM-dd").alias("enriched_on")
+    )
+
+
+@query
+def pending_worklist(spark, folder):
+    from .operators import cache
+
+    return cache.pending(_pois(spark, folder), testbed.poi_enrichment(spark, folder)).select("poi_id", "category")
+
+
+@query
+def enrichment_worklist(spark, folder):
+    from .operators import cache
+
+    return cache.worklist(testbed.places(spark, folder)).select(
+        "poi_id", "variant", "query", "google_maps_url", "google_directions_url", "yandex_maps_url", "official_site"
+    )
+
+
+@query
+def official_site(spark, folder):
+    return testbed.elements(spark, folder).select("id", pois.official_site(F.col("tags")).alias("site"))
+
+
+@query
+def geocode_batch(spark, folder):
+    from .operators import cache
+
+    places = _pois(spark, folder)
+    answered = cache.geocode_requests(places).filter("(lat_key + lon_key) % 3 <> 0").withColumn(
+        "locality", F.concat(F.lit("L"), (F.col("lat_key") % 7).cast("string"))
+    )
+    return cache.attach_geocodes(places, answered).select("poi_id", "lat_key", "lon_key", "locality")
+
+
+@query
+def url_normalize(spark, folder):
+    from .functions import urls
+
+    pages = testbed.table(spark, folder, "pages").select("url")
+    both = pages.unionByName(testbed.snippets(spark, folder).select("url"))
+    return both.select("url", urls.normalize(F.col("url")).alias("page"), urls.host(F.col("url")).alias("host"))
+
+
+# --- snippets ---------------------------------------------------------------------------
+
+
+@query
+def snippet_dedup(spark, folder):
+    from .operators import snippets
+
+    return snippets.dedup(testbed.snippets(spark, folder)).select("poi_id", "pos", "url", F.md5("content").alias("content_md5"))
+
+
+@query
+def snippet_noise(spark, folder):
+    from .operators import snippets
+
+    return testbed.snippets(spark, folder).select(
+        "poi_id", "pos", snippets.is_noise(F.col("title"), F.col("content"), F.col("url")).alias("is_noise")
+    )
+
+
+@query
+def snippet_geo(spark, folder):
+    from .operators import snippets
+
+    joined = snippets.dedup(testbed.snippets(spark, folder)).join(
+        testbed.places(spark, folder).select("poi_id", "locality", "county", "state", "country"), "poi_id", "left"
+    )
+    return joined.select("poi_id", "pos", snippets.is_elsewhere(
+        *[F.col(c) for c in ("title", "content", "locality", "county", "state", "country")]).alias("is_elsewhere"))
+
+
+@query
+def snippet_topk(spark, folder):
+    from .operators import snippets
+
+    return snippets.clean(testbed.snippets(spark, folder), testbed.places(spark, folder)).select("poi_id", "pos", "title", "engine")
+
+
+@query
+def preview_snippets(spark, folder):
+    from .operators import snippets
+
+    return snippets.website_snippets(testbed.previews(spark, folder)).unionByName(
+        snippets.map_snippets(testbed.map_previews(spark, folder)))
+
+
+def _united(spark, folder) -> DataFrame:
+    from .operators import snippets
+
+    places = testbed.places(spark, folder)
+    return snippets.union_sources(
+        snippets.clean(testbed.snippets(spark, folder), places), snippets.website_snippets(testbed.previews(spark, folder)),
+        snippets.map_snippets(testbed.map_previews(spark, folder)), places,
+    )
+
+
+@query
+def snippet_union(spark, folder):
+    return _united(spark, folder).select("poi_id", "pos", "title", "url", "engine")
+
+
+@query
+def snippet_rank(spark, folder):
+    from .operators import snippets
+
+    return snippets.rank_by_quality(_united(spark, folder)).select("poi_id", "pos", "url", "score")
+
+
+@query
+def platform_classify(spark, folder):
+    from .operators import snippets
+
+    return testbed.snippets(spark, folder).select("poi_id", "pos", snippets.platform(F.col("url")).alias("platform"))
+
+
+@query
+def official_flag(spark, folder):
+    from .operators import snippets
+
+    sites = testbed.places(spark, folder).select("poi_id", pois.official_site(F.col("tags")).alias("site"))
+    return testbed.snippets(spark, folder).select("poi_id", "pos", "url").join(sites, "poi_id", "left").select(
+        "poi_id", "pos", snippets.is_official(F.col("url"), F.col("site")).alias("is_official")
+    )
+
+
+@query
+def engine_set(spark, folder):
+    from .operators import snippets
+
+    return snippets.engines_seen(testbed.snippets(spark, folder)).select("poi_id", F.array_join("engines", ",").alias("engines"))
+
+
+# --- extraction ------------------------------------------------------------------------------
+
+
+def _gathered(spark, folder) -> DataFrame:
+    """Up to eight distinct snippets per place, with the place's category and number."""
+    from .operators import extract, snippets
+
+    places = testbed.places(spark, folder).select("poi_id", "category", "n")
+    return extract.gather(snippets.dedup(testbed.snippets(spark, folder))).join(places, "poi_id", "left")
+
+
+@query
+def price_level(spark, folder):
+    from .operators import extract
+
+    return _gathered(spark, folder).select("poi_id", extract.price_level(F.col("snippets"), F.col("category")).alias("price_level"))
+
+
+@query
+def rating_extract(spark, folder):
+    from .operators import extract
+
+    known = F.when(F.col("n") % 4 == 1, 4.5)
+    return _gathered(spark, folder).select("poi_id", extract.rating(F.col("snippets"), known).alias("rating"))
+
+
+@query
+def review_count_extract(spark, folder):
+    from .operators import extract
+
+    known = F.when(F.col("n") % 4 == 1, 99.0)
+    return _gathered(spark, folder).select("poi_id", extract.review_count(F.col("snippets"), known).alias("review_count"))
+
+
+@query
+def hours_text_extract(spark, folder):
+    from .operators import extract
+
+    known = F.when(F.col("n") % 4 == 1, F.array(F.lit("Mo-Fr"), F.lit("Sa")))
+    return _gathered(spark, folder).select("poi_id", extract.hours_text(F.col("snippets"), known).alias("hours"))
+
+
+@query
+def hours_table(spark, folder):
+    from .operators import extract, snippets
+
+    return _gathered(spark, folder).select("poi_id", snippets.flatten_hours(extract.structured_hours(F.col("snippets"))).alias("hours"))
+
+
+@query
+def divergences(spark, folder):
+    from .operators import extract
+
+    return _gathered(spark, folder).select("poi_id", F.array_join(extract.divergences(F.col("snippets")), "|").alias("divergences"))
+
+
+@query
+def preview_fields(spark, folder):
+    from .operators import snippets
+
+    return testbed.map_previews(spark, folder).select("poi_id", F.array_join(snippets.preview_fields(), ",").alias("fields"))
+
+
+@query
+def hours_display(spark, folder):
+    from .operators import extract, snippets
+
+    tables = testbed.map_previews(spark, folder).select(
+        F.col("poi_id").alias("id"), F.coalesce(snippets.flatten_hours(F.col("structured_hours")), "hours_text").alias("shown"))
+    texts = testbed.poi_enrichment(spark, folder).select(
+        F.col("poi_id").alias("id"), F.replace(extract.hours_lines(F.col("hours")), F.lit("\n"), F.lit("|")).alias("shown"))
+    return tables.unionByName(texts)

@@ -231,3 +231,394 @@ FINAL["adaptive_radius"] = "SELECT CAST(max(total) AS BIGINT) AS n_pois, CAST(ma
 FINAL["distance_sweep"] = f"""
 SELECT CAST(m AS DOUBLE) AS max_distance_m, count(*) AS n_pois, {metres('sum(d)')} AS sum_distance_m
 FROM nearest, (VALUES (300), (600), (900), (1500)) AS t(m) WHERE d <= m GROUP BY 1"""
+
+# --- sources ---------------------------------------------------------------------------
+FINAL["gpx_ingest"] = """
+SELECT '/in/f' || n || '.GPX' AS path, CASE WHEN n % 3 = 0 THEN 'Meta ' || n WHEN n % 5 <> 4 AND n % 3 <> 2 THEN 'T' || n ELSE 'f' || n END AS name,
+  CAST(row_number() OVER (PARTITION BY n ORDER BY event_id) - 1 AS BIGINT) AS seq,
+  CAST(floor((40 + (event_id % 1000) * 1e-3) * 1e6 + 0.5) AS BIGINT) AS lat_e6, (1 + event_id % 7) * 1000000 AS lon_e6,
+  CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN -100 ELSE CAST(floor(value * 100 + 0.5) AS BIGINT) END AS ele_cm,
+  strftime(ts, '%Y-%m-%d') AS "time", NULL AS error
+FROM (SELECT *, event_id // 250 AS n FROM events) WHERE event_id % 50 <> 7 AND n % 7 <> 6
+UNION ALL SELECT DISTINCT '/in/f' || event_id // 250 || '.GPX', NULL, NULL, NULL, NULL, NULL, NULL, 'Invalid GPX file: XML parse error'
+FROM events WHERE event_id // 250 % 7 = 6"""
+FINAL["osm_ingest"] = """
+SELECT id // 50 AS n, CAST(id % 50 AS INT) AS pos, type, id,
+  CASE WHEN type = 'node' OR k17 <> 0 THEN CAST(floor(lat * 1e6 + 0.5) AS BIGINT) END AS lat_e6,
+  array_to_string([x.key || '=' || x.value FOR x IN tags], ';') AS tags FROM elements"""
+FINAL["search_ingest"] = """
+SELECT doc_id // 10 AS n, CAST(doc_id % 10 AS INT) AS pos, CASE WHEN doc_id % 9 <> 7 THEN 'T' || doc_id ELSE '' END AS title,
+  'https://e.org/' || doc_id AS url, CASE WHEN doc_id % 8 = 1 THEN 'unknown' ELSE source END AS engine, CAST(length(text) AS INT) AS n_chars
+FROM documents
+UNION ALL SELECT n, e.pos, '', CASE e.pos WHEN 0 THEN 'timed out ' || n ELSE 'CAPTCHA' END, CASE e.pos WHEN 0 THEN 'bing' ELSE 'aol' END, -1
+FROM (SELECT DISTINCT doc_id // 10 AS n FROM documents), (VALUES (0), (1)) AS e(pos) WHERE n % 3 = 0"""
+FINAL["geo_context"] = """
+SELECT c_custkey AS k, c_custkey % 11 <> 0 AS found, CASE WHEN c_custkey % 11 <> 0 THEN
+    CASE c_custkey % 5 WHEN 0 THEN 'City ' || c_custkey WHEN 1 THEN 'Village ' || c_custkey WHEN 2 THEN 'Village ' || c_custkey
+    WHEN 3 THEN 'County ' || c_nationkey END END AS locality,
+  CASE WHEN c_custkey % 11 <> 0 AND c_custkey % 5 <> 4 THEN 'County ' || c_nationkey END AS county,
+  CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment END AS state, CASE WHEN c_custkey % 11 <> 0 THEN 'France' END AS country,
+  CASE WHEN c_custkey % 11 <> 0 AND c_custkey % 2 = 0 THEN 'fr' END AS country_code FROM customer"""
+FINAL["page_preview"] = r"""
+SELECT page_id, url, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title,
+  nullif(trim(regexp_replace(coalesce(
+    nullif(regexp_extract(html, '(?is)<meta\s+name=["'']description["'']\s+content=["''](.*?)["''][^>]*>', 1), ''),
+    regexp_extract(html, '(?is)<meta\s+content=["''](.*?)["'']\s+name=["'']description["''][^>]*>', 1)), '\s+', ' ', 'g')), '') AS description,
+  md5(nullif(substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\s+', ' ', 'g'),
+    '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 1, 1200), '')) AS excerpt_md5
+FROM pages"""
+FINAL["failure_report"] = """
+SELECT CASE WHEN user_id % 3 = 0 THEN 'yandex-maps' ELSE 'google-maps' END AS source, 'https://maps.example.com/' || user_id AS url,
+  count(*) AS n_failures, CAST(max(1 + event_id % 4) AS INT) AS max_attempts, arg_max('E' || event_id, ts) AS last_error
+FROM events WHERE event_type = 'error' GROUP BY 1, 2"""
+
+# --- places ------------------------------------------------------------------------------
+FINAL["category_filter"] = "SELECT poi_id, category FROM pois WHERE category IN ('Water', 'Food shop', 'Wifi')"
+FINAL["category_counts"] = "SELECT category, count(*) AS n_pois FROM pois GROUP BY 1"
+FINAL["poi_sort"] = f"SELECT poi_id, category, {metres('d')} AS distance_m FROM corridor ORDER BY category, d, poi_id"
+_POLICY = case_map("category", rules.POLICY, "'skip'")
+FINAL["policy_assign"] = f"SELECT poi_id, {_POLICY} AS policy FROM pois"
+FINAL["policy_counts"] = f"""
+SELECT count(*) AS n_pois, count(*) FILTER (WHERE {_POLICY} <> 'skip') AS n_enrichable, count(*) FILTER (WHERE {_POLICY} = 'full') AS n_full FROM pois"""
+FINAL["generic_name_filter"] = f"SELECT poi_id, name FROM pois WHERE lower(trim(name)) NOT IN {in_list(rules.GENERIC_NAMES)}"
+FINAL["translate_labels"] = f"""
+SELECT poi_id, {case_map('category', rules.CATEGORY_LABEL['fr'], 'category')} AS category_fr,
+  {case_map('category', rules.CATEGORY_LABEL['en'], 'category')} AS category_en,
+  {case_map('lower(trim(name))', rules.GENERIC_NAME_FR, 'name')} AS name_fr FROM pois"""
+FINAL["icon_lookup"] = f"""
+SELECT poi_id, coalesce(([i FOR i IN [{case_map("x.key || '=' || x.value", rules.OSMAND_TAG_ICON)} FOR x IN tags] IF i IS NOT NULL])[1],
+  {case_map('category', rules.OSMAND_ICON, "'special_star'")}) AS osmand_icon FROM pois"""
+CTE["poi_enr"] = r"""
+SELECT *, CASE k % 3 WHEN 0 THEN 'node' WHEN 1 THEN 'way' ELSE 'relation' END || '/' || k AS poi_id,
+  CASE k % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'skipped' ELSE 'done' END AS status,
+  CASE WHEN k % 5 = 1 THEN CASE WHEN k % 2 = 0 THEN 'no-results' ELSE 'generic-name' END END AS skip_reason,
+  CASE WHEN k % 3 = 1 THEN 'Mon-Fri: 8:00-12:00, 14:00-18:00; Sat: 9:00-12:00 / Sun: closed' END AS hours,
+  (k % 101) / 1e2 AS confidence, CASE WHEN k % 6 <> 5 THEN (k % 41) / 1e1 + 1 END AS rating, CASE WHEN k % 4 = 1 THEN k END AS review_count,
+  CASE WHEN k % 7 < 3 THEN 1 + k % 4 END AS price_level,
+  CASE WHEN k % 5 = 2 THEN 'Place ' || k || repeat(' long and winding description', 8) WHEN k % 5 = 3 THEN 'A <b>&  place' || k END AS description
+FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 4 <> 0)"""
+FINAL["availability_flags"] = r"""
+SELECT poi_id, sunday AS open_sunday, evening AS open_evening,
+  array_to_string([x.t FOR x IN [{'t': CASE WHEN sunday THEN 'Open Sunday' END}, {'t': CASE WHEN evening THEN 'Open evenings' END}] IF x.t IS NOT NULL], '|') AS availability
+FROM (
+  SELECT poi_id, CASE h WHEN '' THEN false WHEN 'Mo-Su 08:00-22:00' THEN true WHEN 'Mo-Fr 09:00-18:00; Su closed' THEN false
+      WHEN 'Sa 10:00-12:00; Su 08h00 - 01h00' THEN true ELSE false END AS sunday,
+    len([x FOR x IN regexp_extract_all(h, '\d{1,2}[h:.]?\d{0,2}\s*[-–]\s*(\d{1,2})', 1) IF CAST(x AS INT) >= 20 OR CAST(x AS INT) <= 2]) > 0 AS evening
+  FROM (SELECT p.poi_id, coalesce(e.hours, """ + tag("opening_hours") + r""", '') AS h FROM pois p LEFT JOIN poi_enr e USING (poi_id)))"""
+FINAL["confidence_bands"] = """
+SELECT CASE WHEN confidence >= 0.6 THEN 'high' WHEN confidence >= 0.3 THEN 'medium' WHEN confidence > 0 THEN 'low' END AS band, count(*) AS n_pois
+FROM poi_enr GROUP BY 1"""
+
+# --- cache -----------------------------------------------------------------------------------
+CTE["cache_versions"] = """
+SELECT 'node' AS osm_type, o_custkey AS osm_id, CASE o_orderkey % 3 WHEN 0 THEN 'Food shop' WHEN 1 THEN 'Water' ELSE repeat('x', 101) END AS category,
+  45 + o_custkey * 1e-3 AS lat, CASE WHEN o_orderkey % 41 = 0 THEN 200e0 ELSE 1e0 END AS lon, 'Name ' || o_orderkey AS name,
+  '{"rating":' || o_orderkey % 5 || '}' AS enrichment, CASE WHEN o_orderkey % 7 = 0 THEN 'error' ELSE 'done' END AS status,
+  o_orderdate AS enriched_at, o_orderkey AS version FROM orders"""
+CTE["cache_now"] = """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY osm_type, osm_id ORDER BY enriched_at DESC, version DESC) AS rn FROM cache_versions) WHERE rn = 1"""
+FINAL["cache_lookup"] = """
+SELECT c.osm_type, c.osm_id, c.name, enriched_at < TIMESTAMP '2001-08-01' - INTERVAL 90 DAY AS is_stale
+FROM cache_now c JOIN pois p USING (osm_type, osm_id) WHERE c.osm_id > 0"""
+FINAL["cache_lookup_stats"] = """
+SELECT count(*) AS requested, count(DISTINCT CASE WHEN c.osm_id IS NOT NULL THEN r.osm_type || r.osm_id END) AS hits,
+  count(*) - count(DISTINCT CASE WHEN c.osm_id IS NOT NULL THEN r.osm_type || r.osm_id END) AS misses
+FROM (SELECT CASE WHEN event_id % 4 = 0 THEN 'way' ELSE 'node' END AS osm_type, user_id * 3 AS osm_id FROM events) r
+LEFT JOIN cache_now c USING (osm_type, osm_id) WHERE r.osm_id > 0"""
+FINAL["cache_split"] = """
+SELECT p.poi_id, CASE WHEN c.osm_id IS NOT NULL AND p.osm_id > 0 THEN 'reuse' ELSE 'work' END AS action
+FROM pois p LEFT JOIN (SELECT * FROM cache_now WHERE enriched_at >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAY) c USING (osm_type, osm_id)"""
+FINAL["cache_upsert"] = """
+SELECT osm_type, osm_id, category, name, enrichment, version, strftime(enriched_at, '%Y-%m-%d') AS enriched_on FROM (
+  SELECT *, row_number() OVER (PARTITION BY osm_type, osm_id ORDER BY enriched_at DESC, version DESC) AS rn FROM cache_versions
+  WHERE status = 'done' AND osm_id > 0 AND length(category) <= 100 AND lon BETWEEN -180 AND 180) WHERE rn = 1"""
+FINAL["pending_worklist"] = """
+SELECT p.poi_id, p.category FROM pois p LEFT JOIN poi_enr e USING (poi_id)
+WHERE e.status IS NULL OR e.status = 'error' OR (e.status = 'skipped' AND e.skip_reason = 'no-results' AND e.k % 3 = 0)"""
+CTE["places"] = """
+SELECT n, 'p' || n AS poi_id, n AS ord, 45 + (n % 100) * 1e-2 AS lat, 1 + (n // 100) * 1e-2 AS lon,
+  CASE n % 7 WHEN 0 THEN 'Restaurant or Bar' WHEN 1 THEN 'Food shop' WHEN 2 THEN 'Sleeping place' WHEN 3 THEN 'Gears' WHEN 4 THEN 'Laundry'
+    WHEN 5 THEN 'Water' ELSE 'Restaurant or Bar' END AS category,
+  CASE WHEN n % 11 = 5 THEN ' Toilets ' WHEN n % 11 = 7 THEN '' ELSE 'Chez Paul ' || n END AS name,
+  CASE WHEN n % 4 = 3 THEN NULL WHEN n % 4 = 1 THEN 'Tours' ELSE 'Saumur' END AS locality,
+  CASE WHEN n % 4 IN (0, 1) THEN 'Indre-et-Loire' END AS county, CASE WHEN n % 4 = 0 THEN 'Centre' END AS state,
+  CASE WHEN n % 4 <> 3 THEN 'France' END AS country,
+  CASE WHEN n % 3 = 0 THEN 'fast_food' END AS amenity, CASE WHEN n % 3 = 1 THEN 'bakery' END AS shop,
+  CASE WHEN n % 5 = 0 THEN '0' || n END AS phone, n % 5 AS n_unresponsive,
+  CASE WHEN n % 2 = 0 THEN 'https://www.place' || n || '.example.com/' END AS site
+FROM (SELECT doc_id // 9 AS n FROM documents WHERE doc_id % 9 = 0)"""
+
+
+def num(expr: str) -> str:
+    return f"regexp_replace(CAST({expr} AS VARCHAR), '\\.0$', '')"
+
+
+FINAL["enrichment_worklist"] = f"""
+SELECT poi_id, CAST(v - 1 AS INT) AS variant, trim(CASE v WHEN 1 THEN q1 ELSE q2 END) AS query,
+  'https://www.google.com/maps/search/' || replace(name, ' ', '%20') || '/@' || {num('lat')} || ',' || {num('lon')} || ',17z' AS google_maps_url,
+  'https://www.google.com/maps/dir/?api=1&destination=' || {num('lat')} || ',' || {num('lon')} AS google_directions_url,
+  CASE WHEN trim(name) <> '' THEN 'https://yandex.com/maps/?text=' || replace(trim(name), ' ', '%20') || '&ll=' || {num('lon')} || ',' || {num('lat')} || '&z=16' END AS yandex_maps_url,
+  site AS official_site
+FROM (
+  SELECT *, concat_ws(' ', CASE WHEN trim(name) <> '' THEN '"' || trim(name) || '"' END, locality, county, state,
+      CASE WHEN trim(name) = '' THEN nullif(concat_ws(' ', replace(amenity, '_', ' '), shop), '') END,
+      {case_map('category', rules.SEARCH_WORDS, "'avis'")}) AS q1,
+    concat_ws(' ', CASE WHEN trim(name) <> '' THEN '"' || trim(name) || '"' END, locality) AS q2
+  FROM places), (VALUES (1), (2)) AS t(v)
+WHERE v = 1 OR (q2 <> '' AND q2 <> q1)"""
+
+
+def site_url(key: str) -> str:
+    raw = f"trim({tag(key)})"
+    url = (
+        f"CASE WHEN regexp_matches({raw}, '(?i)^https?://') THEN {raw} "
+        f"WHEN regexp_full_match({raw}, '(?i)[\\w.-]+\\.[a-z]{{2,}}(/.*)?') THEN 'https://' || {raw} END"
+    )
+    host = f"regexp_replace(regexp_replace(lower(regexp_extract({url}, '(?i)^https?://([^/?#:]+)', 1)), '^www\\.', ''), '^m\\.', '')"
+    exact = "|".join(d.replace(".", "\\.") for d in rules.NOT_OFFICIAL_DOMAINS)
+    brand = "|".join(rules.NOT_OFFICIAL_BRANDS)
+    return f"CASE WHEN NOT regexp_matches({host}, '(^|\\.)({exact})$') AND NOT regexp_matches({host}, '^({brand})(\\.|$)') THEN {url} END"
+
+
+FINAL["official_site"] = f"SELECT id, coalesce({', '.join(site_url(k) for k in rules.OFFICIAL_SITE_TAGS)}) AS site FROM elements"
+FINAL["geocode_batch"] = """
+SELECT poi_id, a AS lat_key, b AS lon_key, CASE WHEN (a + b) % 3 <> 0 THEN 'L' || a % 7 END AS locality
+FROM (SELECT poi_id, CAST(floor(lat * 1000 + 0.5) AS BIGINT) AS a, CAST(floor(lon * 1000 + 0.5) AS BIGINT) AS b FROM pois)"""
+CTE["snippets"] = f"""
+SELECT 'p' || poi AS poi_id, * FROM (
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 + (doc_id - doc_id // 3 - 1) // 9 END AS poi,
+    CASE WHEN doc_id % 3 = 0 THEN doc_id // 3 ELSE (doc_id - doc_id // 3 - 1) % 9 END AS pos,
+    {testbed._SNIPPET_TITLE} AS title, {duck(testbed._SNIPPET_URL)} AS url,
+    CASE WHEN doc_id % 29 = 0 THEN '  ' ELSE text || {testbed._SNIPPET_SUFFIX} END AS content, source AS engine
+  FROM documents)"""
+_U = r"^([a-z]+)://([^/?#]+)([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def url_host(url: str) -> str:
+    return f"nullif(lower(regexp_extract({url}, '{_U}', 2)), '')"
+
+
+def url_page(url: str) -> str:
+    part = lambda i: f"regexp_extract({url}, '{_U}', {i})"
+    path = f"CASE WHEN length({part(3)}) > 1 THEN regexp_replace({part(3)}, '/$', '') ELSE '/' END"
+    kept = (
+        f"[CASE WHEN q LIKE '%=%' THEN q ELSE q || '=' END FOR q IN string_split(substr({part(4)}, 2), '&') "
+        f"IF q <> '' AND split_part(q, '=', 1) NOT IN {in_list(['utm_source', 'utm_medium', 'utm_campaign', 'utm_content', 'utm_term', 'fbclid', 'gclid', 'ref', 'source', 'srsltid'])}]"
+    )
+    return (
+        f"CASE WHEN regexp_matches({url}, '{_U}') THEN {part(1)} || '://' || regexp_replace(lower({part(2)}), '^(www|m)\\.', '') || {path} "
+        f"|| CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END || {part(5)} ELSE {url} END"
+    )
+
+
+FINAL["url_normalize"] = f"""
+SELECT url, {url_page('url')} AS page, {url_host('url')} AS host FROM (SELECT url FROM pages UNION ALL SELECT url FROM snippets)"""
+
+# --- snippets ---------------------------------------------------------------------------
+_WS = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+CTE["cand"] = f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY pos) AS rn FROM (
+  SELECT *, row_number() OVER (PARTITION BY poi_id, page ORDER BY pos) AS pn FROM (
+    SELECT poi_id, pos, title, url, engine, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS content, {url_page('url')} AS page FROM snippets)
+  WHERE content <> '') WHERE pn = 1) WHERE rn <= 16"""
+_FOREIGN = "一-鿿぀-ヿ가-힯Ѐ-ӿ؀-ۿ֐-׿ऀ-ॿ"
+
+
+def noise_sql() -> str:
+    named = " OR ".join(
+        f"regexp_matches({c}, '(?i)my unicredit banking|internet banking|login|sign in')" for c in ("title", "content", "url")
+    )
+    sample = "(title || ' ' || substr(content, 1, 200))"
+    dense = (
+        f"length(regexp_replace({sample}, '[^{_FOREIGN}]', '', 'g')) / "
+        f"greatest(length(regexp_replace({sample}, '{_WS}', '', 'g')), 1) > 0.15"
+    )
+    return f"({named} OR {dense})"
+
+
+def elsewhere_sql() -> str:
+    text = "lower(title || ' ' || content)"
+    mentioned = " OR ".join(f"coalesce(contains({text}, lower({c})), false)" for c in ("locality", "county", "state", "country"))
+    city = r"([A-Z][a-zà-ÿ]+(?:\s+[A-Z][a-zà-ÿ]+)*)"
+    c1 = f"lower(regexp_extract(title, ',\\s*{city}\\s*[-–:·]?\\s*', 1))"
+    c2 = f"lower(regexp_extract(title, '[-–]\\s*{city}\\s*$', 1))"
+    c3 = f"lower(regexp_extract(title, '(?i)in\\s+{city}', 1))"
+    arms = []
+    for c in (c1, c2, c3):
+        same = f"({c} = lower(locality) OR {c} = lower(county) OR {c} = lower(country))"
+        arms.append(f"WHEN length({c}) >= 3 AND coalesce({same}, false) THEN false")
+        arms.append(f"WHEN length({c}) >= 3 AND NOT contains(lower(locality), {c}) AND NOT contains({c}, lower(locality)) THEN true")
+    return f"(NOT ({mentioned}) AND CASE {' '.join(arms)} ELSE false END)"
+
+
+FINAL["snippet_dedup"] = "SELECT poi_id, pos, url, md5(content) AS content_md5 FROM cand"
+FINAL["snippet_noise"] = f"SELECT poi_id, pos, {noise_sql()} AS is_noise FROM snippets"
+CTE["placed"] = f"""
+SELECT c.*, locality, county, state, country FROM cand c LEFT JOIN places p USING (poi_id)"""
+FINAL["snippet_geo"] = f"SELECT poi_id, pos, {elsewhere_sql()} AS is_elsewhere FROM placed"
+CTE["kept"] = f"""
+SELECT poi_id, pos, title, url, content, engine FROM (
+  SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY pos) AS kn FROM placed WHERE NOT {noise_sql()} AND NOT {elsewhere_sql()}) WHERE kn <= 8"""
+FINAL["snippet_topk"] = "SELECT poi_id, pos, title, engine FROM kept"
+CTE["previews"] = """
+SELECT 'p' || n AS poi_id, n, 'https://www.place' || n || '.example.com/' AS url, 'https://www.place' || n || '.example.com/home' AS final_url,
+  CASE WHEN n % 6 <> 4 THEN 'Place ' || n END AS title, CASE WHEN n % 8 = 0 THEN 'Welcome to place ' || n END AS description,
+  CASE WHEN n % 8 = 2 THEN 'Some text of the page' END AS excerpt, n % 10 <> 8 AS has_data,
+  CASE WHEN n % 10 <> 8 AND n % 3 = 0 THEN 'House of n ' || n END AS sd_description,
+  CASE WHEN n % 10 <> 8 AND n % 7 = 0 THEN '€€' END AS sd_price,
+  CASE WHEN n % 10 <> 8 AND n % 4 = 0 THEN 'Mo-Fr 09:00-18:00; Sa 10:00-12:00' END AS sd_hours,
+  CASE WHEN n % 10 <> 8 THEN CASE n % 6 WHEN 0 THEN 4.4 WHEN 2 THEN 4.0 END END AS sd_rating,
+  CASE WHEN n % 10 <> 8 AND n % 12 = 0 THEN 87 END AS sd_count
+FROM (SELECT doc_id // 9 AS n FROM documents WHERE doc_id % 18 = 0)"""
+CTE["map_previews"] = """
+SELECT 'p' || n AS poi_id, n, coalesce(CASE WHEN n % 5 = 0 THEN 'https://maps.google.com/place/' || n END, 'https://maps.google.com/?q=' || n) AS url,
+  CASE WHEN n % 4 <> 1 THEN 'Map place ' || n END AS title, CASE WHEN n % 3 = 0 THEN 'Restaurant' END AS category,
+  CASE WHEN n % 2 = 0 THEN '4.5' WHEN n % 7 = 1 THEN '3' END AS rating, CASE WHEN n % 4 = 0 THEN 120 END AS review_count,
+  CASE WHEN n % 6 = 3 THEN 2 END AS price_level,
+  CASE WHEN n % 5 = 1 THEN 'Mon: 08:00-19:00; Sun: closed' WHEN n % 5 = 2 THEN 'Open until 19:00' END AS hours, n % 5 = 1 AS has_table,
+  CASE WHEN n % 8 = 0 THEN '1 rue Nationale' END AS address, CASE WHEN n % 9 = 0 THEN '+33 2 41 00 00 00' END AS phone,
+  CASE WHEN n % 10 = 0 THEN 'https://example.com' END AS website, CASE WHEN n % 7 = 0 THEN 'Nice terrace' END AS snippet
+FROM (SELECT doc_id // 9 AS n FROM documents WHERE doc_id % 9 = 0 AND doc_id % 27 <> 18)"""
+CTE["web_snips"] = f"""
+SELECT * FROM (
+  SELECT poi_id, 0 AS pos, coalesce(title, 'Official site') AS title, final_url AS url, sd_description AS content, 'official_website' AS engine FROM previews
+  UNION ALL SELECT poi_id, 1, 'Official opening hours', final_url, 'Opening hours: ' || sd_hours, 'official_website' FROM previews
+  UNION ALL SELECT poi_id, 2, 'Official structured data', final_url, nullif(concat_ws('. ', 'Rating ' || {num('sd_rating')} || '/5', sd_count || ' reviews', 'Price ' || sd_price), ''), 'official_website' FROM previews)
+WHERE content IS NOT NULL"""
+CTE["map_snips"] = """
+SELECT * FROM (
+  SELECT poi_id, 0 AS pos, coalesce(title, 'Google Maps') AS title, url, snippet AS content, 'google_maps' AS engine FROM map_previews
+  UNION ALL SELECT poi_id, 1, coalesce(title, 'Google Maps') || ' facts', url, nullif(concat_ws('. ', category, 'Rating ' || rating || '/5', review_count || ' reviews',
+    'Price ' || repeat('$', price_level), hours, address, phone), ''), 'google_maps' FROM map_previews)
+WHERE content IS NOT NULL"""
+FINAL["preview_snippets"] = "SELECT * FROM web_snips UNION ALL SELECT * FROM map_snips"
+CTE["own"] = """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY sr, pos) AS un FROM (
+  SELECT *, 0 AS sr FROM web_snips UNION ALL SELECT *, 1 FROM kept)) WHERE un <= 8"""
+CTE["united"] = """
+SELECT poi_id, rn - 1 AS pos, title, url, content, engine FROM (
+  SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY sr, un) AS rn FROM (
+    SELECT poi_id, sr, un, title, url, content, engine FROM own
+    UNION ALL SELECT m.poi_id, 2, m.pos, m.title, m.url, m.content, m.engine FROM map_snips m
+      LEFT JOIN (SELECT poi_id, count(*) AS c FROM own GROUP BY 1) o USING (poi_id) LEFT JOIN places p USING (poi_id)
+      WHERE coalesce(o.c, 0) < 2 OR coalesce(p.n_unresponsive, 0) >= 2)) WHERE rn <= 8"""
+FINAL["snippet_union"] = "SELECT poi_id, pos, title, url, engine FROM united"
+_SCORE = "CASE " + " ".join(f"WHEN regexp_matches(lower(url), {quote(p)}) THEN {v}" for p, v in rules.DOMAIN_QUALITY) + " ELSE 1 END"
+CTE["ranked"] = f"""
+SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY score DESC, length(content) DESC, pos0) - 1 AS pos FROM (
+  SELECT poi_id, pos AS pos0, title, url, content, engine, {_SCORE} AS score FROM united) WHERE score > 0"""
+FINAL["snippet_rank"] = "SELECT poi_id, pos, url, CAST(score AS INT) AS score FROM ranked"
+
+
+def platform_sql(url: str) -> str:
+    arms = " ".join(f"WHEN contains({url_host(url)}, {quote(p)}) THEN {quote(n)}" for p, n in rules.PLATFORM_BY_HOST)
+    return f"CASE {arms} ELSE 'other' END"
+
+
+FINAL["platform_classify"] = f"SELECT poi_id, pos, {platform_sql('url')} AS platform FROM snippets"
+FINAL["official_flag"] = f"""
+SELECT s.poi_id, s.pos, coalesce(regexp_replace({url_host('s.url')}, '^www\\.', '') = site_host OR {url_host('s.url')} LIKE '%.' || site_host, false) AS is_official
+FROM snippets s LEFT JOIN (SELECT poi_id, regexp_replace({url_host('site')}, '^www\\.', '') AS site_host FROM places) p USING (poi_id)"""
+FINAL["engine_set"] = """
+SELECT poi_id, string_agg(engine, ',' ORDER BY pos) AS engines FROM (SELECT poi_id, engine, min(pos) AS pos FROM snippets GROUP BY 1, 2) GROUP BY 1"""
+
+# --- extraction ---------------------------------------------------------------------------
+CTE["gathered"] = """
+SELECT poi_id, list({'pos': pos, 'title': title, 'url': url, 'content': content, 'engine': engine} ORDER BY pos) AS l FROM cand WHERE rn <= 8 GROUP BY 1"""
+_RATE = r"(?i)(\d(?:[.,]\d)?)\s*(?:/\s*5|stars?|étoiles?)"
+
+
+def each(pattern: str, group: int = 0, column: str = "l") -> str:
+    return f"flatten([regexp_extract_all(s.content, {quote(pattern)}, {group}) FOR s IN {column}])"
+
+
+def rating_sql(column: str = "l") -> str:
+    values = f"[CAST(replace(r, ',', '.') AS DOUBLE) FOR r IN {each(_RATE, 1, column)}]"
+    return f"(floor(([v FOR v IN {values} IF v BETWEEN 1 AND 5])[1] * 10 + 0.5) / 10)"
+
+
+def reviews_sql(column: str = "l") -> str:
+    return f"CAST(({each('(?i)([0-9]{1,5})' + _WS + '+(?:reviews?|avis|opiniones)', 1, column)})[1] AS BIGINT)"
+
+
+def hours_text_sql(column: str = "l") -> str:
+    source = r"(?i)((?:mon|tue|wed|thu|fri|sat|sun|lun|mar|mer|jeu|ven|sam|dim)[^.;]{0,80}\d{1,2}[:h]\d{2}[^.;]{0,40})"
+    found = f"[h FOR h IN [nullif(regexp_extract(s.content, {quote(source)}, 1), '') FOR s IN {column}] IF h IS NOT NULL]"
+    return f"regexp_replace(({found})[1], '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def price_sql(category: str, column: str = "l") -> str:
+    sym = f"[length(regexp_replace(m, '{_WS}', '', 'g')) FOR m IN {each('€' + _WS + '*€{1,3}|[$]' + _WS + '*[$]{1,3}|£' + _WS + '*£{1,3}|¥' + _WS + '*¥{1,3}', 0, column)}]"
+    b, e = rf"(?:^|[\s,;:!?.(])", rf"(?:$|[\s,;:!?.)])"
+    text = f"array_to_string([s.content FOR s IN {column}], ' ')"
+    said = f"regexp_replace({text}, '(?i){b}pas\\s+cher(?:$|[\\s,;:!?.)])', ' cheap ', 'g')"
+    words = [
+        (4, r"very\s+expensive|très\s+cher"), (3, "expensive|cher"), (2, r"moderate|moderately\s+priced|modéré|prix\s+moyens?"),
+        (1, r"inexpensive|cheap|bon\s+marché|économique"),
+    ]
+    word = "CASE " + " ".join(f"WHEN regexp_matches({said}, '(?i){b}({w}){e}') THEN {n}" for n, w in words) + " END"
+    prices = (
+        f"[v FOR v IN [CAST(replace(regexp_replace(m, '[€$£¥]|{_WS}', '', 'g'), ',', '.') AS DOUBLE) FOR m IN "
+        f"{each('(?:[€$£¥]' + _WS + '*[0-9]+(?:[.,][0-9]{1,2})?)|(?:[0-9]+(?:[.,][0-9]{1,2})?' + _WS + '*[€$£¥])', 0, column)}] IF v > 0 AND v < 10000]"
+    )
+    middle = lambda x: f"(list_sort({x}))[len({x}) // 2 + 1]"
+    m = middle(prices)
+    bracket = lambda a, c, d: f"CASE WHEN {m} <= {a} THEN 1 WHEN {m} <= {c} THEN 2 WHEN {m} <= {d} THEN 3 WHEN {m} IS NOT NULL THEN 4 END"
+    return f"CAST(coalesce({middle(sym)}, {word}, CASE WHEN {category} = 'Sleeping place' THEN {bracket(30, 70, 150)} ELSE {bracket(8, 20, 45)} END) AS INT)"
+
+
+_D = "(monday|tuesday|wednesday|thursday|friday|saturday|sunday|lundi|mardi|mercredi|jeudi|vendredi|samedi|dimanche|mon|tue|wed|thu|fri|sat|sun|lun|mar|mer|jeu|ven|sam|dim)"
+_ROW = rf"(?i)\b{_D}[\s.:–-]*([0-9]{{1,2}}[h:][0-9]{{2}})\s*[–\-]\s*([0-9]{{1,2}}[h:][0-9]{{2}})"
+_SHUT = rf"(?i)(?:fermé|closed|ferme)\s+le\s+{_D}\b"
+_BOTH = _ROW + "|" + _SHUT.replace("(?i)", "")
+
+
+def clock_sql(expr: str) -> str:
+    return f"lpad(regexp_extract({expr}, '^[0-9]+'), 2, '0') || ':' || right({expr}, 2)"
+
+
+def hours_cte(source: str) -> str:
+    day = case_map("d", rules.SNIPPET_DAYS)
+    return f"""
+SELECT poi_id, string_agg(day || ': ' || CASE WHEN o IS NULL THEN 'closed' ELSE {clock_sql('o')} || '-' || {clock_sql('c')} END, '; ' ORDER BY list_position({rules.WEEK}, day)) AS table_text,
+  count(*) AS n_days
+FROM (
+  SELECT poi_id, day, arg_min({{'o': o, 'c': c}}, {{'p': pos, 'i': i}}) AS x, x.o AS o, x.c AS c FROM (
+    SELECT poi_id, pos, i, {day} AS day, nullif(regexp_extract(m, {quote(_ROW)}, 2), '') AS o, nullif(regexp_extract(m, {quote(_ROW)}, 3), '') AS c
+    FROM (SELECT *, lower(coalesce(nullif(regexp_extract(m, {quote(_ROW)}, 1), ''), regexp_extract(m, {quote(_SHUT)}, 1))) AS d FROM (
+      SELECT poi_id, s.pos AS pos, unnest(range(len(ms))) AS i, unnest(ms) AS m FROM (
+        SELECT poi_id, s, regexp_extract_all(s.title || ' ' || s.content, {quote(_BOTH)}) AS ms FROM (SELECT poi_id, unnest(l) AS s FROM {source}))))) GROUP BY 1, 2)
+GROUP BY 1 HAVING count(*) >= 2"""
+
+
+CTE["hours_tab"] = hours_cte("gathered")
+FINAL["rating_extract"] = f"SELECT poi_id, coalesce(CASE n % 4 WHEN 1 THEN 4.5 END, {rating_sql()}) AS rating FROM gathered LEFT JOIN (SELECT poi_id, n FROM places) USING (poi_id)"
+FINAL["review_count_extract"] = f"SELECT poi_id, coalesce(CASE n % 4 WHEN 1 THEN 99 END, {reviews_sql()}) AS review_count FROM gathered LEFT JOIN (SELECT poi_id, n FROM places) USING (poi_id)"
+FINAL["hours_text_extract"] = f"SELECT poi_id, coalesce(CASE n % 4 WHEN 1 THEN 'Mo-Fr; Sa' END, {hours_text_sql()}) AS hours FROM gathered LEFT JOIN (SELECT poi_id, n FROM places) USING (poi_id)"
+FINAL["price_level"] = f"SELECT poi_id, {price_sql('category')} AS price_level FROM gathered LEFT JOIN places USING (poi_id)"
+FINAL["hours_table"] = "SELECT poi_id, table_text AS hours FROM gathered LEFT JOIN hours_tab USING (poi_id)"
+
+
+def diverge_sql(column: str = "l") -> str:
+    ranges = f"[lower(r) FOR r IN {each(r'(?i)[0-9]{1,2}[h:][0-9]{2}\s*[-–]\s*[0-9]{1,2}[h:][0-9]{2}', 0, column)}]"
+    rates = f"[v FOR v IN [CAST(r AS DOUBLE) FOR r IN {each(r'(?i)([0-9](?:[.][0-9])?)\s*(?:/\s*5|stars?|étoiles?)', 1, column)}] IF v BETWEEN 1 AND 5]"
+    closed = f"len([1 FOR s IN {column} IF regexp_matches(s.content, '(?i)\\b(ferm[eé]\\s+d[eé]finitivement|permanently\\s+closed|temporairement\\s+ferm[eé]|temporarily\\s+closed)\\b')]) > 0"
+    liked = f"len([1 FOR s IN {column} IF regexp_matches(s.content, '(?i)\\b(open|ouvert|excellent|great|recomm)')]) > 0"
+    return f"""[m FOR m IN [
+      CASE WHEN len({ranges}) >= 2 AND len(list_distinct({ranges})) > 1 THEN 'Sources report different opening hours — verify locally.' END,
+      CASE WHEN len({rates}) >= 2 AND list_max({rates}) - list_min({rates}) >= 1 THEN
+        'Rating varies across sources (' || printf('%.1f', list_min({rates})) || ' to ' || printf('%.1f', list_max({rates})) || '/5).' END,
+      CASE WHEN {closed} AND {liked} THEN 'Some sources suggest this place may be closed — verify before counting on it.'
+        WHEN {closed} THEN 'Closure signals detected in sources — may be permanently or temporarily closed.' END] IF m IS NOT NULL]"""
+
+
+FINAL["divergences"] = f"SELECT poi_id, array_to_string({diverge_sql()}, '|') AS divergences FROM gathered"
+FINAL["preview_fields"] = """
+SELECT poi_id, concat_ws(',', CASE WHEN hours IS NOT NULL THEN 'openingHours' END, CASE WHEN rating IS NOT NULL THEN 'rating' END,
+  CASE WHEN review_count IS NOT NULL THEN 'reviewCount' END, CASE WHEN address IS NOT NULL THEN 'address' END, CASE WHEN phone IS NOT NULL THEN 'phone' END,
+  CASE WHEN website IS NOT NULL THEN 'website' END, CASE WHEN price_level IS NOT NULL THEN 'priceLevel' END, CASE WHEN category IS NOT NULL THEN 'category' END) AS fields
+FROM map_previews"""
+FINAL["hours_display"] = """
+SELECT 'p' || n AS id, CASE WHEN n % 5 = 1 THEN 'Mon: 08:00-19:00; Sun: closed' WHEN n % 5 = 2 THEN 'Open until 19:00' END AS shown
+FROM map_previews UNION ALL
+SELECT poi_id, array_to_string([trim(x) FOR x IN regexp_split_to_array(hours, '[;\\n]|\\s/\\s') IF trim(x) <> ''], '|') FROM poi_enr"""

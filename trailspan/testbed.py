@@ -224,3 +224,142 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
         "CASE WHEN event_id % 3 = 0 THEN 'search:0' ELSE concat(CASE WHEN event_id % 3 = 1 THEN 'search:' ELSE 'geo:' END, user_id) END AS key",
         "CASE WHEN event_id % 3 = 2 THEN 'geocode' ELSE 'search' END AS cache", "ts", "event_id",
     )
+
+
+# --- raw responses and texts ----------------------------------------------------------
+
+
+def gpx_files(spark: SparkSession, folder: str) -> DataFrame:
+    """GPX texts of 250 points each, from ``events``; every seventh file is damaged."""
+    point = (
+        "concat('<trkpt lat=\"', 40 + (event_id % 1000) * 1e-3, CASE WHEN event_id % 50 = 7 THEN 'x\" lon=\"?' ELSE concat('\" lon=\"', 1 + event_id % 7) END, '\">', "
+        "CASE event_type WHEN 'error' THEN '' WHEN 'view' THEN '<ele>n/a</ele>' ELSE concat('<ele>', value, ' m</ele>') END, "
+        "'<time>', date_format(ts, 'yyyy-MM-dd'), '</time></trkpt>')"
+    )
+    lines = table(spark, folder, "events").selectExpr("event_id div 250 AS n", "event_id % 250 AS i", f"{point} AS line")
+    return lines.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("l")).selectExpr(
+        "concat('/in/f', n, '.GPX') AS path",
+        "concat('<?xml version=\"1.0\"?><gpx xmlns=\"http://www.topografix.com/GPX/1/1\">', "
+        "CASE WHEN n % 3 = 0 THEN concat('<metadata><name>Meta ', n, '</name></metadata>') ELSE '' END, "
+        "'<wpt lat=\"1\" lon=\"1\"/>', CASE WHEN n % 5 = 4 THEN '<rte><name>r</name>' ELSE concat('<trk>', "
+        "CASE WHEN n % 3 <> 2 THEN concat('<name>T', n, '</name>') ELSE '' END, '<trkseg>') END, "
+        "array_join(transform(slice(l, 1, 125), x -> CASE WHEN n % 5 = 4 THEN replace(x.line, 'trkpt', 'rtept') ELSE x.line END), ''), "
+        "CASE WHEN n % 5 = 4 THEN '' ELSE '</trkseg><trkseg>' END, "
+        "array_join(transform(slice(l, 126, 125), x -> CASE WHEN n % 5 = 4 THEN replace(x.line, 'trkpt', 'rtept') ELSE x.line END), ''), "
+        "CASE WHEN n % 5 = 4 THEN '</rte>' ELSE '</trkseg></trk>' END, CASE WHEN n % 7 = 6 THEN '' ELSE '</gpx>' END) AS content",
+    )
+
+
+def osm_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Service responses of up to 50 elements each."""
+    one = F.struct("ord", F.to_json(F.struct("type", "id", "lat", "lon", "center", "tags")).alias("j"))
+    return elements(spark, folder).groupBy((F.col("ord") / 50).cast("long").alias("n")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["j"]), ",").alias("items")
+    ).selectExpr("n", "concat('{\"version\":0.6,\"elements\":[', items, ']}') AS json")
+
+
+def search_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Search responses of ten documents each."""
+    docs = table(spark, folder, "documents").selectExpr(
+        "doc_id div 10 AS n", "doc_id",
+        "to_json(named_struct('title', CASE WHEN doc_id % 9 <> 7 THEN concat('T', doc_id) END, 'url', concat('https://e.org/', doc_id), "
+        "'content', text, 'engine', CASE WHEN doc_id % 8 = 1 THEN '' ELSE source END, 'score', 1e0)) AS j",
+    )
+    return docs.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("doc_id", "j"))).alias("l")).selectExpr(
+        "n",
+        "concat('{\"query\":\"q\",\"results\":[', array_join(transform(l, x -> x.j), ','), '],\"unresponsive_engines\":', "
+        "CASE WHEN n % 3 = 0 THEN concat('[[\"bing\",\"timed out ', n, '\"],[\"aol\",\"CAPTCHA\"]]') ELSE '[]' END, '}') AS json",
+    )
+
+
+def geocode_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Reverse-geocode responses, one per customer."""
+    return table(spark, folder, "customer").selectExpr(
+        "c_custkey AS k",
+        "CASE WHEN c_custkey % 11 = 0 THEN '{\"error\":\"none\"}' ELSE to_json(named_struct('address', named_struct("
+        "'city', CASE c_custkey % 5 WHEN 0 THEN concat('City ', c_custkey) WHEN 1 THEN '' END, "
+        "'village', CASE WHEN c_custkey % 5 IN (1, 2) THEN concat('Village ', c_custkey) END, "
+        "'county', CASE WHEN c_custkey % 5 <> 4 THEN concat('County ', c_nationkey) END, 'state', c_mktsegment, "
+        "'country', 'France', 'country_code', CASE WHEN c_custkey % 2 = 0 THEN 'FR' END))) END AS json",
+    )
+
+
+def failure_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Failure log lines, one per error event."""
+    return table(spark, folder, "events").filter("event_type = 'error'").selectExpr(
+        "to_json(named_struct('source', CASE WHEN user_id % 3 = 0 THEN 'yandex-maps' ELSE 'google-maps' END, "
+        "'url', concat('https://maps.example.com/', user_id), 'poiName', concat('P', user_id), "
+        "'attempts', CAST(1 + event_id % 4 AS INT), 'lastError', concat('E', event_id), 'failedAt', ts)) AS value"
+    )
+
+
+_MAP_HEAD = """CASE doc_id % 6
+  WHEN 0 THEN 'Results\nChez Zoé 4,3 (1 280) · Restaurant français · Open\n37000 Tours, 12 rue de la Paix, France\n+33 2 47 00 11 22\n'
+  WHEN 1 THEN 'Chez Zoé\n4.7 (56)Hôtel de charme Overview\nPrice $$$\n'
+  WHEN 2 THEN 'Кафе · 4,6\n126 оценок\n'
+  WHEN 3 THEN 'Nothing here\nNearby places 4.9\n'
+  WHEN 4 THEN 'Are you a robot\n'
+  ELSE 'Chez Zoé 9.9 stars 15 avis\nNearby hotels 3.2\n' END"""
+_MAP_HOURS = """CASE doc_id % 5
+  WHEN 0 THEN 'Monday 8:00 AM–10:00 PM\nTuesday Closed\nnote\nWednesday 24 hours\nx\ny\nz\nThursday 9:00 AM–5:00 PM\n'
+  WHEN 1 THEN 'Lundi 9h00 – 18h00\nMardi fermé\nMercredi open late\n'
+  WHEN 2 THEN 'Понедельник 9:00 – 18:00\nВторник круглосуточно\nСреда выходной\nПятница 8.30-17.00\n'
+  WHEN 3 THEN 'Sunday 12:00 AM-11:30 PM\n'
+  ELSE 'Pazartesi 09:00 - 22:00\nSalı kapalı\nFriday 25:00 - 26:00\nSaturday 24h\n' END"""
+
+
+def map_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Map-page texts: a head, opening hours, then a whole document."""
+    return table(spark, folder, "documents").selectExpr(
+        "CASE WHEN doc_id % 6 = 2 OR doc_id % 5 IN (2, 4) THEN 'yandex' ELSE 'google' END AS source",
+        "concat('https://maps.example.com/', doc_id, CASE WHEN doc_id % 31 = 3 THEN '/showcaptcha' ELSE '' END) AS url",
+        "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'Chez Zoé - Google Maps' END AS title",
+        f"concat({_MAP_HEAD}, {_MAP_HOURS}, text) AS body_text",
+    )
+
+
+_RAW_RATING = "CASE doc_id % 6 WHEN 0 THEN '4.26' WHEN 1 THEN '7' WHEN 2 THEN '\"4\"' WHEN 3 THEN 'null' ELSE '3' END"
+_RAW_COUNT = "CASE doc_id % 5 WHEN 0 THEN '12.5' WHEN 1 THEN '-3' ELSE '40' END"
+_RAW_PRICE = "CASE doc_id % 4 WHEN 0 THEN '2' WHEN 1 THEN '9' ELSE 'null' END"
+_RAW_HOURS = (
+    "CASE doc_id % 4 WHEN 0 THEN '[{\"day\":\"Mon-Fri\",\"open\":\"08:00\",\"close\":\"19:00\"},{\"day\":\" Sun \",\"open\":\"closed\",\"close\":null},{\"open\":\"x\"}]' "
+    "WHEN 1 THEN '\" daily 9-18 \"' WHEN 2 THEN '[]' ELSE 'null' END"
+)
+_RAW_REVIEW = """CASE doc_id % 9
+  WHEN 0 THEN 'Rated well by riders. Second sentence' WHEN 1 THEN 'Une adresse très appréciée avec terrasse.'
+  WHEN 2 THEN 'Wow!!!!' WHEN 3 THEN 'ok' WHEN 4 THEN '★★★★ §§§§' WHEN 5 THEN '' WHEN 6 THEN 'Una comida'
+  WHEN 7 THEN 'Good coffee and aaaaaaa lot' ELSE 'Solid choice (4.2/5)' END"""
+
+
+def model_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw answers of a text model; the description is a whole document."""
+    return table(spark, folder, "documents").selectExpr(
+        "doc_id", "CASE WHEN doc_id % 3 = 0 THEN 'fr' ELSE 'en' END AS language",
+        f"concat('{{\"rating\":', {_RAW_RATING}, ',\"reviewCount\":', {_RAW_COUNT}, ',\"priceLevel\":', {_RAW_PRICE}, ',\"hours\":', {_RAW_HOURS}, "
+        f"',\"review\":\"', {_RAW_REVIEW}, '\",\"description\":', "
+        "regexp_replace(to_json(array(CASE WHEN doc_id % 10 < 3 THEN NULL WHEN doc_id % 10 < 6 THEN 'A quiet stop near the canal.' ELSE text END)), '^.|.$', ''), '}') AS body",
+    ).selectExpr(
+        "doc_id", "language",
+        "CASE doc_id % 13 WHEN 0 THEN concat('```json\\n', body, '\\n```') WHEN 1 THEN concat('Sure: ', body, ' done') "
+        "WHEN 2 THEN 'no answer' WHEN 3 THEN '{broken' WHEN 4 THEN '{\"rating\": }' ELSE body END AS raw",
+    )
+
+
+def poi_enrichment(spark: SparkSession, folder: str) -> DataFrame:
+    """Enrichment states of the map elements, for exports and work-lists."""
+    return table(spark, folder, "customer").filter("c_custkey % 4 <> 0").selectExpr("c_custkey AS k").selectExpr(
+        "concat(CASE k % 3 WHEN 0 THEN 'node' WHEN 1 THEN 'way' ELSE 'relation' END, '/', k) AS poi_id", "k AS ord",
+        "CASE k % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'skipped' ELSE 'done' END AS status",
+        "CASE WHEN k % 5 = 1 THEN CASE WHEN k % 2 = 0 THEN 'no-results' ELSE 'generic-name' END END AS skip_reason",
+        "CASE WHEN k % 3 = 0 THEN array(named_struct('engine', 'bing', 'reason', concat('timed out ', k)), "
+        "named_struct('engine', concat('e', k % 4), 'reason', 'CAPTCHA')) END AS unresponsive_engines",
+        "CASE WHEN k % 6 <> 5 THEN (k % 41) / 1e1 + 1 END AS rating", "CASE WHEN k % 4 = 1 THEN k END AS review_count",
+        "CASE WHEN k % 7 < 3 THEN CAST(1 + k % 4 AS INT) END AS price_level",
+        "CASE WHEN k % 3 = 1 THEN 'Mon-Fri: 8:00-12:00, 14:00-18:00; Sat: 9:00-12:00 / Sun: closed' END AS hours",
+        "CASE WHEN k % 4 = 2 THEN array(named_struct('day', 'Mon-Fri', 'open', '08:00', 'close', '18:30'), "
+        "named_struct('day', 'Saturday', 'open', '09:00', 'close', '12:00'), named_struct('day', 'Sun', 'open', 'closed', 'close', CAST(NULL AS STRING))) END AS opening_hours",
+        "CASE WHEN k % 5 = 2 THEN concat('Place ', k, repeat(' long and winding description', 8)) WHEN k % 5 = 3 THEN concat('A <b>&  place', k) END AS description",
+        "CASE WHEN k % 6 = 1 THEN 'Good \"reviews\".' END AS review", "CASE WHEN k % 8 = 2 THEN 'Saumur' END AS locality",
+        "CAST(k % 9 AS INT) AS source_count", "(k % 101) / 1e2 AS confidence",
+        "CASE WHEN k % 4 = 3 THEN array('Opening hours were not confirmed from the collected sources.') ELSE CAST(array() AS ARRAY<STRING>) END AS cautions",
+    )
