@@ -11,7 +11,7 @@ from . import rules, testbed
 from .functions import geo
 from .functions.text import js_round
 from .operators import corridor, dedup, pois, tracks
-from .session import configure
+from .session import checkpoint_dir, configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -555,3 +555,265 @@ def hours_display(spark, folder):
     texts = testbed.poi_enrichment(spark, folder).select(
         F.col("poi_id").alias("id"), F.replace(extract.hours_lines(F.col("hours")), F.lit("\n"), F.lit("|")).alias("shown"))
     return tables.unionByName(texts)
+
+
+# --- map pages, structured data, checks of synthesised texts ---------------------------------
+
+
+@query
+def mappage_extract(spark, folder):
+    from .operators import mappages
+
+    return mappages.map_fields(testbed.map_pages(spark, folder)).drop("title", "body_text")
+
+
+@query
+def hours_rows(spark, folder):
+    from .operators import mappages
+
+    return mappages.hours_rows(testbed.map_pages(spark, folder))
+
+
+@query
+def hours_block(spark, folder):
+    from .operators import mappages
+
+    return mappages.hours_blocks(testbed.map_pages(spark, folder))
+
+
+@query
+def jsonld_extract(spark, folder):
+    from .sources.pages import with_structured_data
+
+    block = """CASE page_id % 6
+      WHEN 0 THEN concat('{"@graph":[{"@type":"X","openingHours":["Mo-Fr 09:00-18:00"," Sa  10:00-12:00",""]},{"description":" Sub  ', page_id, ' ","telephone":"+33 1","openingHours":"Mo-Fr 09:00-18:00"}]}')
+      WHEN 1 THEN '[{"description":"A place","priceRange":"€€"},{"description":"B","openingHours":"Mo-Su","aggregateRating":{"ratingValue":"4,5","ratingCount":12}}]'
+      WHEN 2 THEN '{broken'
+      WHEN 3 THEN '{"name":"n","description":{"a":1},"mainEntity":{"description":"Main","mainEntity":[{"telephone":"02 41"}]}}'
+      WHEN 4 THEN '{"name":"n","openingHours":[]}'
+      ELSE '{"aggregateRating":{"ratingValue":3,"reviewCount":"7"}}' END"""
+    pages = testbed.table(spark, folder, "pages").selectExpr(
+        "page_id", f"concat(html, '<SCRIPT id=x type=\\'application/ld+json\\'>\n', {block}, '</script>') AS html"
+    )
+    s = F.col("structured")
+    return with_structured_data(pages).select(
+        "page_id", s["description"].alias("description"), s["telephone"].alias("telephone"), s["priceRange"].alias("price_range"),
+        F.array_join(s["openingHours"], ";").alias("opening_hours"), s["rating"].alias("rating"), s["reviewCount"].alias("review_count"),
+    )
+
+
+@query
+def llm_output_gate(spark, folder):
+    from .operators import extract, snippets
+
+    p = F.col("parsed")
+    return extract.synthesis_gate(testbed.model_outputs(spark, folder)).select(
+        "doc_id", p["rating"].alias("rating"), p["review_count"].alias("review_count"), p["price_level"].alias("price_level"),
+        snippets.flatten_hours(p["hours"]).alias("hours"), p["description"].alias("description"), p["review"].alias("review"), "reason",
+    )
+
+
+# --- structured content, confidence, enrichment -------------------------------------------------
+
+
+def _ranked_lists(spark, folder) -> DataFrame:
+    from .operators import extract, snippets
+
+    lists = extract.gather(snippets.rank_by_quality(_united(spark, folder)))
+    site = testbed.previews(spark, folder).select("poi_id", F.struct("description", "excerpt", "title", "final_url").alias("preview"))
+    return lists.join(site, "poi_id", "left")
+
+
+@query
+def source_rollup(spark, folder):
+    from .operators import structured
+
+    rolled = _ranked_lists(spark, folder).select("poi_id", structured.source_rollup(F.col("snippets"), F.col("preview")).alias("r"))
+    text = F.transform("r", lambda d: F.concat_ws("=", d["platform"], d["brief"], d["url"]))
+    return rolled.select("poi_id", F.array_join(text, "|").alias("rollup"))
+
+
+@query
+def source_confirmation(spark, folder):
+    from .operators import structured
+
+    rolled = _ranked_lists(spark, folder).select("poi_id", structured.source_rollup(F.col("snippets"), F.col("preview")).alias("r"))
+    return rolled.select("poi_id", structured.source_confirmation(F.col("r")).alias("confirmation"))
+
+
+def _enriched(spark, folder) -> DataFrame:
+    from .plans.enrich import enrich
+
+    return enrich(
+        testbed.places(spark, folder), testbed.snippets(spark, folder), testbed.previews(spark, folder), testbed.map_previews(spark, folder)
+    )
+
+
+@query
+def structured_content(spark, folder):
+    s = F.col("structured")
+    lists = ("practicalities", "cautions", "unknowns", "divergences")
+    return _enriched(spark, folder).filter(s.isNotNull()).select(
+        "poi_id", s["headline"].alias("headline"), s["operational_summary"].alias("operational_summary"),
+        *[F.array_join(s[n], "|").alias(n) for n in lists], s["source_confirmation"].alias("source_confirmation"), "essentials",
+    )
+
+
+@query
+def confidence(spark, folder):
+    return _enriched(spark, folder).select("poi_id", "confidence")
+
+
+@query
+def deterministic_enrich(spark, folder):
+    return _enriched(spark, folder).select(
+        "poi_id", "status", "skip_reason", "rating", "review_count", "hours", "price_level", "description", "review", "source_count",
+        F.nullif(F.array_join("google_maps_fields", ","), F.lit("")).alias("google_maps_fields"), "confidence",
+    )
+
+
+@query
+def run_summary(spark, folder):
+    from .operators import structured
+
+    return structured.run_summary(_enriched(spark, folder))
+
+
+@query
+def engine_failures(spark, folder):
+    from .operators import structured
+
+    return structured.engine_failures(testbed.poi_enrichment(spark, folder))
+
+
+@query
+def merge_precedence(spark, folder):
+    from .operators import snippets, structured
+
+    n = F.col("n")
+    said = F.when(n % 3 == 0, F.array(F.struct(F.lit("All").alias("day"), F.lit("daily").alias("open"), F.lit(None).cast("string").alias("close"))))
+    # Even places took the model path, where snippet hours do not stand in.
+    maps = testbed.map_previews(spark, folder).select("poi_id", F.col("structured_hours").alias("map_hours"))
+    done = _enriched(spark, folder).filter("status = 'done' AND source_count > 0").join(maps, "poi_id", "left")
+    from_map = F.when(F.exists("raw_snippets", lambda s: s["engine"] == "google_maps"), F.col("map_hours"))
+    opening = F.coalesce(said, F.when(n % 2 == 0, from_map).otherwise(F.col("opening_hours")))
+    return done.select(
+        "poi_id", structured.merged(F.when(n % 3 == 0, 5.0), F.col("rating")).alias("rating"),
+        structured.merged(F.when(n % 4 == 0, F.lit(1).cast("long")), F.col("review_count")).alias("review_count"),
+        structured.merged(snippets.flatten_hours(said), F.col("hours")).alias("hours"), snippets.flatten_hours(opening).alias("opening_hours"),
+    )
+
+
+# --- jobs ---------------------------------------------------------------------------------------
+
+
+def _job_states(spark, folder) -> DataFrame:
+    from .operators import jobs
+
+    return jobs.latest_state(testbed.job_log(spark, folder), "change_no")
+
+
+@query
+def job_latest(spark, folder):
+    return _job_states(spark, folder).select("job_id", "status", "source", "attempt", "error")
+
+
+@query
+def job_stats(spark, folder):
+    from .operators import jobs
+
+    states = _job_states(spark, folder)
+    newest = jobs.latest_jobs(states.withColumn("created_no", F.substring("job_id", 2, 20).cast("long")))
+    counts = jobs.job_counts(states, "source").withColumnRenamed("source", "label")
+    return counts.unionByName(jobs.job_counts(newest, "job_id").withColumnRenamed("job_id", "label"))
+
+
+@query
+def job_prune(spark, folder):
+    from .operators import jobs
+
+    return jobs.prune(_job_states(spark, folder), "2024-01-29 00:00:00").select("job_id", "status")
+
+
+@query
+def request_cache_stats(spark, folder):
+    from .operators import jobs
+    from .streaming.state import mark_misses
+
+    return jobs.request_cache_stats(mark_misses(testbed.requests(spark, folder), 86_400))
+
+
+# --- exports ---------------------------------------------------------------------------------------
+
+
+def _export_pois(spark, folder, enriched: bool) -> DataFrame:
+    """Places of the corridor, computed once: a document needs them in several parts."""
+    from .sinks.documents import with_enrichment
+
+    checkpoint_dir(spark)
+    near = _corridor(spark, folder).checkpoint()
+    if not enriched:
+        return with_enrichment(near, None)
+    none = "CAST(NULL AS STRING)"
+    extra = testbed.poi_enrichment(spark, folder).withColumn("structured", F.expr(
+        f"named_struct('headline', {none}, 'operational_summary', {none}, 'practicalities', CAST(NULL AS ARRAY<STRING>), "
+        "'source_rollup', CAST(NULL AS ARRAY<STRUCT<platform:STRING,brief:STRING,url:STRING>>), 'cautions', cautions, "
+        f"'unknowns', CAST(NULL AS ARRAY<STRING>), 'divergences', CAST(NULL AS ARRAY<STRING>), 'source_confirmation', {none})"
+    ))
+    return with_enrichment(near, extra)
+
+
+@query
+def geojson_export(spark, folder):
+    from .sinks.documents import geojson_features
+
+    return geojson_features(_export_pois(spark, folder, False))
+
+
+def _track_names(spark, folder) -> DataFrame:
+    return testbed.points(spark, folder).filter("seq = 0").select("track_id", F.concat(F.lit("Route & "), "track_id").alias("name"))
+
+
+@query
+def gpx_export(spark, folder):
+    from .sinks.documents import gpx_lines
+
+    return gpx_lines(_export_pois(spark, folder, True), testbed.points(spark, folder), _track_names(spark, folder), osmand=True)
+
+
+@query
+def kml_export(spark, folder):
+    from .sinks.documents import kml_lines
+
+    return kml_lines(_export_pois(spark, folder, True), testbed.points(spark, folder), _track_names(spark, folder))
+
+
+@query
+def compact_desc(spark, folder):
+    from .sinks.describe import compact_description
+
+    return _export_pois(spark, folder, True).select("poi_id", compact_description().alias("description"))
+
+
+# --- table twins of the streams -------------------------------------------------------------------
+
+
+@query
+def engine_health(spark, folder):
+    from .operators import jobs
+
+    return jobs.engine_health(testbed.engine_log(spark, folder), "2024-01-30 23:50:00")
+
+
+@query
+def rate_windows(spark, folder):
+    from .operators import jobs
+
+    return jobs.rate_windows(testbed.requests(spark, folder), limit=1, minutes=60)
+
+
+@query
+def ttl_misses(spark, folder):
+    from .streaming.state import ttl_misses as misses
+
+    return misses(testbed.requests(spark, folder), 86_400)

@@ -89,7 +89,16 @@ def round_to(col: Column, digits: int) -> Column:
 
 def one_decimal(col: Column) -> Column:
     """Number as text with exactly one decimal."""
-    return F.format_string("%.1f", col)
+    return F.when(col.isNotNull(), F.format_string("%.1f", col))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    Higher-order functions are interpreted, without sharing of equal parts, so a
+    costly array that is used several times is bound to a lambda variable.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def number_text(col: Column) -> Column:

@@ -63,7 +63,7 @@ def _decimal(raw: Column) -> Column:
 
 
 def _upper_median(values: Column) -> Column:
-    return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))
+    return T.let(F.sort_array(values), lambda v: F.get(v, F.floor(F.size(v) / 2).cast("int")))
 
 
 def rating(snippets: Column, website_rating: Column | None = None) -> Column:
@@ -100,17 +100,21 @@ def structured_hours(snippets: Column) -> Column:
         text = F.concat(snippet["title"], F.lit(" "), snippet["content"])
         found = T.all_matches(text, f"{DAY_HOURS}|{DAY_CLOSED}", 0, True)
         return F.transform(found, lambda m: F.struct(
-            F.coalesce(
-                T.lookup(rules.SNIPPET_DAYS, F.lower(T.first_match(m, DAY_HOURS, 1, True))),
-                T.lookup(rules.SNIPPET_DAYS, F.lower(T.first_match(m, DAY_CLOSED, 1, True))),
-            ).alias("day"),
+            F.lower(F.coalesce(T.first_match(m, DAY_HOURS, 1, True), T.first_match(m, DAY_CLOSED, 1, True))).alias("word"),
             F.coalesce(_clock(T.first_match(m, DAY_HOURS, 2, True)), F.lit("closed")).alias("open"),
             _clock(T.first_match(m, DAY_HOURS, 3, True)).alias("close"),
         ))
 
-    entries = F.flatten(F.transform(snippets, rows))
-    week = F.array_compact(F.array(*[F.get(F.filter(entries, lambda e: e["day"] == d), F.lit(0)) for d in rules.WEEK]))
-    return F.when(F.size(week) >= 2, week)
+    def first_of_day(entries: Column, day: str) -> Column:
+        words = [w for w, d in rules.SNIPPET_DAYS.items() if d == day]
+        hit = F.get(F.filter(entries, lambda e: e["word"].isin(*words)), F.lit(0))
+        return F.when(hit.isNotNull(), F.struct(F.lit(day).alias("day"), hit["open"].alias("open"), hit["close"].alias("close")))
+
+    week = T.let(
+        F.flatten(F.transform(snippets, rows)),
+        lambda entries: F.array_compact(F.array(*[first_of_day(entries, d) for d in rules.WEEK])),
+    )
+    return T.let(week, lambda w: F.when(F.size(w) >= 2, w))
 
 
 def price_level(snippets: Column, category: Column, legacy: bool = False) -> Column:
@@ -121,41 +125,50 @@ def price_level(snippets: Column, category: Column, legacy: bool = False) -> Col
     symbols = F.transform(_each(snippets, REPEATED_SYMBOL), lambda m: F.char_length(T.replace(m, r"\s", "")))
     text = F.array_join(F.transform(snippets, lambda s: s["content"]), " ")
     said = text if legacy else T.replace(text, NOT_CHEAP, " cheap ", True)
-    words = None
-    for level, source in PRICE_WORDS:
-        test = T.matches(said, source, True)
-        words = F.when(test, level) if words is None else words.when(test, level)
+
+    def level_said(text: Column) -> Column:
+        (level, source), *more = PRICE_WORDS
+        ladder = F.when(T.matches(text, source, True), level)
+        for level, source in more:
+            ladder = ladder.when(T.matches(text, source, True), level)
+        return ladder
+
     numbers = F.filter(
         F.transform(_each(snippets, PRICE), lambda m: _decimal(T.replace(m, r"[€$£¥\s]", ""))),
         lambda v: (v > 0) & (v < 10000),
     )
-    middle = _upper_median(numbers)
 
-    def bracket(limits: tuple[float, float, float]) -> Column:
-        return F.when(middle <= limits[0], 1).when(middle <= limits[1], 2).when(middle <= limits[2], 3).when(middle.isNotNull(), 4)
+    def bracket(middle: Column) -> Column:
+        low, mid, high = (
+            F.when(category.eqNullSafe("Sleeping place"), a).otherwise(b) for a, b in zip(SLEEPING_BRACKETS, OTHER_BRACKETS)
+        )
+        return F.when(middle <= low, 1).when(middle <= mid, 2).when(middle <= high, 3).when(middle.isNotNull(), 4)
 
-    by_price = F.when(category.eqNullSafe("Sleeping place"), bracket(SLEEPING_BRACKETS)).otherwise(bracket(OTHER_BRACKETS))
-    return F.coalesce(_upper_median(symbols), words, by_price).cast("int")
+    return F.coalesce(_upper_median(symbols), T.let(said, level_said), T.let(_upper_median(numbers), bracket)).cast("int")
 
 
 def divergences(snippets: Column) -> Column:
     """Disagreements between snippets: hours, ratings, closure."""
-    ranges = F.transform(_each(snippets, HOURS_RANGE), F.lower)
-    hours = (F.size(ranges) >= 2) & (F.size(F.array_distinct(ranges)) > 1)
+    def hours(ranges: Column) -> Column:
+        differ = (F.size(ranges) >= 2) & (F.size(F.array_distinct(ranges)) > 1)
+        return F.when(differ, F.lit("Sources report different opening hours — verify locally."))
+
+    def spread(ratings: Column) -> Column:
+        low, high = F.array_min(ratings), F.array_max(ratings)
+        return F.when(
+            (F.size(ratings) >= 2) & (high - low >= 1.0),
+            F.concat(F.lit("Rating varies across sources ("), T.one_decimal(low), F.lit(" to "), T.one_decimal(high), F.lit("/5).")),
+        )
+
     ratings = F.filter(
         F.transform(_each(snippets, RATING_DOT_ONLY, 1), lambda r: r.try_cast("double")), lambda v: v.between(1, 5)
     )
-    low, high = F.array_min(ratings), F.array_max(ratings)
     closed = F.exists(snippets, lambda s: T.matches(s["content"], CLOSURE, True))
     liked = F.exists(snippets, lambda s: T.matches(s["content"], POSITIVE, True))
     return T.compact_array(
-        F.when(hours, F.lit("Sources report different opening hours — verify locally.")),
-        F.when(
-            (F.size(ratings) >= 2) & (high - low >= 1.0),
-            F.concat(F.lit("Rating varies across sources ("), T.one_decimal(low), F.lit(" to "), T.one_decimal(high), F.lit("/5).")),
-        ),
-        F.when(closed & liked, F.lit("Some sources suggest this place may be closed — verify before counting on it."))
-        .when(closed, F.lit("Closure signals detected in sources — may be permanently or temporarily closed.")),
+        T.let(F.transform(_each(snippets, HOURS_RANGE), F.lower), hours), T.let(ratings, spread),
+        T.let(closed, lambda c: F.when(c & liked, F.lit("Some sources suggest this place may be closed — verify before counting on it."))
+              .when(c, F.lit("Closure signals detected in sources — may be permanently or temporarily closed."))),
     )
 
 

@@ -120,65 +120,87 @@ def map_fields(pages: DataFrame) -> DataFrame:
     )
 
 
-def _clock(raw: Column, source: str) -> Column:
-    """Time as HH:MM; null when it is none."""
-    value = T.strip(raw)
-    h24 = F.regexp_extract(value, "(?i)" + rules.MAP_SOURCES[source]["clock"], 1)
-    m24 = F.regexp_extract(value, "(?i)" + rules.MAP_SOURCES[source]["clock"], 2)
-    twelve = r"^(\d{1,2}):(\d{2})\s*(AM|PM)$"
-    h12 = T.first_match(value, twelve, 1, True).cast("int")
-    noon = F.upper(T.first_match(value, twelve, 3, True))
-    hour = F.when((noon == "AM") & (h12 == 12), 0).when((noon == "PM") & (h12 != 12), h12 + 12).otherwise(h12)
-    as_24 = F.when(
-        (h24 != "") & (h24.try_cast("int") <= 23) & (m24.try_cast("int") <= 59), F.concat(F.lpad(h24, 2, "0"), F.lit(":"), m24)
+_TWELVE = r"^(\d{1,2}):(\d{2})\s*(AM|PM)$"
+
+
+def _is_clock(value: Column) -> Column:
+    plain = F.when(F.col("source") == "yandex", value.rlike("(?i)" + rules.MAP_SOURCES["yandex"]["clock"])).otherwise(
+        value.rlike("(?i)" + rules.MAP_SOURCES["google"]["clock"])
     )
-    as_12 = F.when(
-        h12.isNotNull(), F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), T.first_match(value, twelve, 2, True))
+    hour = F.regexp_extract(value, r"^\d+", 0).try_cast("int")
+    minute = F.substring(value, -2, 2).try_cast("int")
+    return plain & (hour <= 23) & (minute <= 59)
+
+
+def _clock(value: Column) -> Column:
+    """Time as HH:MM; null when it is none. The second source also writes 9.30."""
+    hour = F.regexp_extract(value, r"^\d+", 0)
+    noon = F.upper(F.substring(value, -2, 2))
+    h12 = hour.try_cast("int")
+    h24 = F.when((noon == "AM") & (h12 == 12), 0).when((noon == "PM") & (h12 != 12), h12 + 12).otherwise(h12)
+    return F.when(_is_clock(value), F.concat(F.lpad(hour, 2, "0"), F.lit(":"), F.substring(value, -2, 2))).when(
+        T.matches(value, _TWELVE, True),
+        F.concat(F.lpad(h24.cast("string"), 2, "0"), F.lit(":"), T.first_match(value, r":(\d{2})", 1)),
     )
-    return F.coalesce(as_24, as_12)
 
 
-def _hours_row(line: Column, source: str) -> Column:
-    words = rules.MAP_SOURCES[source]
-    text = T.collapse(line)
-    day_raw = F.regexp_extract(text, r"^(\S+) ", 1)
-    times = F.regexp_extract(text, r"^\S+ (.*)$", 1)
-    day = F.coalesce(T.lookup(words["days"], F.lower(day_raw)), day_raw)
-    closed = F.lower(times).isin(*words["closed"])
-    all_day = T.matches(times, words["all_day"], True)
-    parts = F.split(times, r"\s*[–—\-]\s*")
-    opens, closes = _clock(parts[0], source), _clock(F.element_at(parts, -1), source)
-    ranged = (F.size(parts) >= 2) & opens.isNotNull() & closes.isNotNull()
-
-    def row(o: Column, c: Column) -> Column:
-        return F.struct(day.alias("day"), o.alias("open"), c.alias("close"))
+def _by_source(test) -> Column:
+    return F.when(F.col("source") == "yandex", test("yandex")).otherwise(test("google"))
 
-    as_closed, as_all_day = row(F.lit("closed"), F.lit(None).cast("string")), row(F.lit("00:00"), F.lit("23:59"))
-    out = F.when(day_raw == "", F.lit(None)).when(closed, as_closed)
-    if words["all_day_first"]:
-        return out.when(all_day, as_all_day).when(ranged, row(opens, closes))
-    return out.when(ranged, row(opens, closes)).when(all_day, as_all_day)
 
+def with_hours_row(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Adds ``row``: ``{day, open, close}`` of a line such as "Monday 9 AM - 6 PM".
 
-def hours_row(line: Column, source: Column) -> Column:
-    """``{day, open, close}`` of one line such as "Monday 9 AM - 6 PM"; null if it is none."""
-    return F.when(source == "yandex", _hours_row(line, "yandex")).otherwise(_hours_row(line, "google"))
+    Null when the line is none. Needs ``source``. Steps are columns of their own, so
+    each pattern runs once per line.
+    """
+    days = _by_source(lambda s: T.lookup(rules.MAP_SOURCES[s]["days"], F.lower("_word")))
+    closed = _by_source(lambda s: F.lower("_times").isin(*rules.MAP_SOURCES[s]["closed"]))
+    all_day = _by_source(lambda s: T.matches(F.col("_times"), rules.MAP_SOURCES[s]["all_day"], True))
+    split = (
+        lines.withColumn("_text", T.collapse(F.col(line)))
+        .withColumn("_word", T.blank_to_null(F.regexp_extract("_text", r"^(\S+) ", 1)))
+        .withColumn("_times", F.regexp_extract("_text", r"^\S+ (.*)$", 1))
+        .withColumn("_parts", F.split("_times", r"\s*[–—\-]\s*"))
+    )
+    read = (
+        split.withColumn("_open", T.strip(F.col("_parts")[0])).withColumn("_close", T.strip(F.element_at("_parts", -1)))
+        .withColumn("_day", F.coalesce(days, F.col("_word")))
+        .withColumn("_from", _clock(F.col("_open"))).withColumn("_to", _clock(F.col("_close")))
+        .withColumn("_all_day", all_day).withColumn("_closed", closed)
+    )
+    ranged = (F.size("_parts") >= 2) & F.col("_from").isNotNull() & F.col("_to").isNotNull()
 
+    def row(o: Column, c: Column) -> Column:
+        return F.struct(F.col("_day").alias("day"), o.alias("open"), c.alias("close"))
+
+    whole_day = row(F.lit("00:00"), F.lit("23:59"))
+    # The second source lets "24h" win over a range, the first one the range.
+    first_whole_day = F.col("_all_day") & (F.col("source") == "yandex")
+    stated = (
+        F.when(F.col("_closed"), row(F.lit("closed"), F.lit(None).cast("string"))).when(first_whole_day, whole_day)
+        .when(ranged, row(F.col("_from"), F.col("_to"))).when(F.col("_all_day"), whole_day)
+    )
+    return read.withColumn("row", F.when(F.col("_word").isNotNull(), stated)).drop(
+        "_text", "_word", "_times", "_parts", "_open", "_close", "_day", "_from", "_to", "_all_day", "_closed"
+    )
 
-def _starts_with_day(line: Column, source: Column) -> Column:
-    def test(name: str) -> Column:
-        return T.matches(line, rf"^({'|'.join(rules.MAP_SOURCES[name]['block_days'])})\s+.+", True)
 
-    return F.when(source == "yandex", test("yandex")).otherwise(test("google"))
+def _starts_with_day() -> Column:
+    return _by_source(lambda s: T.matches(F.col("line"), rf"^({'|'.join(rules.MAP_SOURCES[s]['block_days'])})\s+.+", True))
 
 
 def hours_rows(pages: DataFrame) -> DataFrame:
-    """Every non-blank line of a page with the opening-hours row it states, if any."""
+    """The opening-hours lines of each page: ``line_no, day, open, close``.
+
+    Lines that do not start with a day name are dropped before any further pattern
+    runs; ``line_no`` counts the non-blank lines of the page.
+    """
     lines = F.filter(F.transform(F.split("body_text", "\n"), T.strip), lambda x: x != "")
-    return (
-        pages.select("source", "url", F.posexplode(lines).alias("line_no", "line"))
-        .withColumn("row", F.when(_starts_with_day(F.col("line"), F.col("source")), hours_row(F.col("line"), F.col("source"))))
-    )
+    named = pages.select("source", "url", F.posexplode(lines).alias("line_no", "line")).filter(_starts_with_day())
+    # Exploding drops the lines without hours; a filter on the row would be pushed
+    # down and run all of its patterns twice.
+    return with_hours_row(named).select("source", "url", "line_no", F.inline(F.array_compact(F.array("row"))))
 
 
 def hours_blocks(pages: DataFrame, max_gap: int = 2) -> DataFrame:
@@ -188,11 +210,11 @@ def hours_blocks(pages: DataFrame, max_gap: int = 2) -> DataFrame:
     entry is none. Only lines with hours take part in the window: the distance to
     the hit before shows whether the block had ended.
     """
-    hits = hours_rows(pages).filter("row IS NOT NULL")
+    hits = hours_rows(pages)
     w = W.partitionBy("source", "url").orderBy("line_no")
     broken = F.coalesce(F.col("line_no") - F.lag("line_no").over(w) - 1 > max_gap, F.lit(False)).cast("int")
     first = (
         hits.withColumn("_broken", broken).withColumn("_block", F.sum("_broken").over(w)).filter("_block = 0")
         .withColumn("_n", F.count("*").over(W.partitionBy("source", "url"))).filter("_n >= 2")
     )
-    return first.select("source", "url", "line_no", "row.*")
+    return first.select("source", "url", "line_no", "day", "open", "close")

@@ -41,14 +41,17 @@ def source_rollup(snippets: Column, preview: Column) -> Column:
         brief = F.concat(F.lit(f"{_label(name)}: "), T.shorten(text, 180))
         return F.struct(F.lit(name).alias("platform"), brief.alias("brief"), url.alias("url"))
 
-    found = []
-    for name in sorted(rules.PLATFORMS, key=lambda n: rules.PLATFORMS[n][1]):
-        if name == "official_website":
-            found.append(F.when(F.coalesce(described, F.lit(False)), digest(name, site_text, preview["final_url"])))
-        else:
-            best = F.array_max(F.filter(numbered, lambda s: s["platform"] == name))
-            found.append(F.when(best.isNotNull(), digest(name, best["content"], best["url"])))
-    return F.array_compact(F.array(*found)).cast(_DIGEST)
+    def digests(numbered: Column) -> list[Column]:
+        found = []
+        for name in sorted(rules.PLATFORMS, key=lambda n: rules.PLATFORMS[n][1]):
+            if name == "official_website":
+                found.append(F.when(F.coalesce(described, F.lit(False)), digest(name, site_text, preview["final_url"])))
+            else:
+                best = F.array_max(F.filter(numbered, lambda s: s["platform"] == name))
+                found.append(T.let(best, lambda b: F.when(b.isNotNull(), digest(name, b["content"], b["url"]))))
+        return found
+
+    return T.let(numbered, lambda n: F.array_compact(F.array(*digests(n)))).cast(_DIGEST)
 
 
 def _platforms(rollup: Column) -> Column:

@@ -583,7 +583,7 @@ def hours_cte(source: str) -> str:
 SELECT poi_id, string_agg(day || ': ' || CASE WHEN o IS NULL THEN 'closed' ELSE {clock_sql('o')} || '-' || {clock_sql('c')} END, '; ' ORDER BY list_position({rules.WEEK}, day)) AS table_text,
   count(*) AS n_days
 FROM (
-  SELECT poi_id, day, arg_min({{'o': o, 'c': c}}, {{'p': pos, 'i': i}}) AS x, x.o AS o, x.c AS c FROM (
+  SELECT poi_id, day, first(o ORDER BY pos, i) AS o, first(c ORDER BY pos, i) AS c FROM (
     SELECT poi_id, pos, i, {day} AS day, nullif(regexp_extract(m, {quote(_ROW)}, 2), '') AS o, nullif(regexp_extract(m, {quote(_ROW)}, 3), '') AS c
     FROM (SELECT *, lower(coalesce(nullif(regexp_extract(m, {quote(_ROW)}, 1), ''), regexp_extract(m, {quote(_SHUT)}, 1))) AS d FROM (
       SELECT poi_id, s.pos AS pos, unnest(range(len(ms))) AS i, unnest(ms) AS m FROM (
@@ -622,3 +622,265 @@ FINAL["hours_display"] = """
 SELECT 'p' || n AS id, CASE WHEN n % 5 = 1 THEN 'Mon: 08:00-19:00; Sun: closed' WHEN n % 5 = 2 THEN 'Open until 19:00' END AS shown
 FROM map_previews UNION ALL
 SELECT poi_id, array_to_string([trim(x) FOR x IN regexp_split_to_array(hours, '[;\\n]|\\s/\\s') IF trim(x) <> ''], '|') FROM poi_enr"""
+
+# --- map pages, structured data, synthesis checks ----------------------------------------------
+CTE["map_pages"] = f"""
+SELECT doc_id, CASE WHEN doc_id % 6 = 2 OR doc_id % 5 IN (2, 4) THEN 'yandex' ELSE 'google' END AS source,
+  'https://maps.example.com/' || doc_id || CASE WHEN doc_id % 31 = 3 THEN '/showcaptcha' ELSE '' END AS url,
+  CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'Chez Zoé - Google Maps' END AS title,
+  {testbed._MAP_HEAD} || {testbed._MAP_HOURS} || text AS body_text FROM documents"""
+_BODY = "body_text"
+_SIM_RATE = "(?i)Hôtels similaires|Nearby hotels?|Similar places|À proximité|Nearby places"
+_SIM_COUNT = "(?i)Hôtels similaires|Nearby hotels|À proximité"
+_SEC = "(?:Présentation|Overview|Prix|About|À propos|Directions|Itinéraires)"
+
+
+def ex(col: str, pattern: str, group: int = 0) -> str:
+    return f"nullif(regexp_extract({col}, {quote(pattern)}, {group}), '')"
+
+
+CTE["map_local"] = f"""
+SELECT *, regexp_split_to_array(loc, {quote(_SIM_RATE)})[1] AS loc_r, regexp_split_to_array(loc, {quote(_SIM_COUNT)})[1] AS loc_c FROM (
+  SELECT *, CASE WHEN title IS NULL OR strpos(lower(body_text), 'chez zoé') = 0 THEN substr(body_text, 1, 800)
+    ELSE substr(body_text, strpos(lower(body_text), 'chez zoé'), 900) END AS loc FROM map_pages)"""
+FINAL["mappage_extract"] = f"""
+SELECT source, url, CASE WHEN rating BETWEEN 1 AND 5 THEN rating END AS rating, CAST(regexp_replace(cnt, '[\\s.,]', '', 'g') AS BIGINT) AS review_count,
+  trim(regexp_replace(cat, '\\s+', ' ', 'g')) AS category, regexp_replace(trim(regexp_replace(ph, '\\s+', ' ', 'g')), '^[^+0-9]+', '') AS phone,
+  CASE WHEN source = 'google' THEN trim(regexp_replace({ex(_BODY, chr(92) + 'b[0-9]{4,5}[^' + chr(92) + 'n]{10,120}')}, '\\s+', ' ', 'g')) END AS address,
+  CASE WHEN source = 'google' THEN CAST(length({ex(_BODY, '[$]{1,4}|€{1,4}|£{1,4}')}) AS INT) END AS price_level,
+  url LIKE '%showcaptcha%' OR regexp_matches(body_text, '(?i)(are you a robot|подтвердите.+не робот|captcha|smartcaptcha)') AS is_captcha
+FROM (
+  SELECT *, CAST(replace(CASE WHEN source = 'yandex' THEN {ex('substr(loc, 1, 800)', chr(92) + 'b([1-5][.,][0-9])' + chr(92) + 'b', 1)}
+      ELSE {ex('loc_r', chr(92) + 'b([0-9][.,][0-9])' + chr(92) + 'b', 1)} END, ',', '.') AS DOUBLE) AS rating,
+    CASE WHEN source = 'yandex' THEN {ex('substr(loc, 1, 1200)', '(?i)([0-9][0-9' + chr(92) + 's.,]*)' + chr(92) + 's+(?:reviews?|оценок|оценки|оценка|отзывов|отзыва|отзыв|değerlendirme|yorum|avis)', 1)}
+      ELSE coalesce({ex('loc_c', '[(]([0-9][0-9' + chr(92) + 's.,]*)[)]', 1)}, {ex('loc_c', '(?i)([0-9][0-9' + chr(92) + 's.,]*)' + chr(92) + 's+(?:reviews?|avis)', 1)}) END AS cnt,
+    CASE WHEN source = 'yandex' THEN {ex('loc', '^([^·' + chr(92) + 'n]{3,60})' + chr(92) + 's*·' + chr(92) + 's*[0-9.,]', 1)}
+      ELSE coalesce({ex('loc', '(?i)[(][0-9][0-9' + chr(92) + 's.,]*[)]' + chr(92) + 's*·' + chr(92) + 's*([^·]{3,60})' + chr(92) + 's*·', 1)},
+        {ex('loc', '(?i)[0-9](?:[.,][0-9])' + chr(92) + 's*(?:[(]([0-9' + chr(92) + 's.,]+)[)])?' + chr(92) + 's*([^·]{3,60}?)(?:·' + chr(92) + 's*)?' + _SEC, 2)},
+        {ex('loc', '(?i)[0-9](?:[.,][0-9])' + chr(92) + 's+([^·]{3,60}?)' + _SEC, 1)}) END AS cat,
+    {ex(_BODY, '[+]?[0-9][0-9' + chr(92) + 's().-]{6,}')} AS ph
+  FROM map_local)"""
+# The opening-hours lines of the heads, written out; documents hold none.
+CTE["head_hours"] = """
+SELECT * FROM (VALUES
+  (0, 0, 'Mon', '08:00', '22:00', '08:00', '22:00'), (0, 1, 'Tue', 'closed', NULL, 'closed', NULL), (0, 3, 'Wed', '00:00', '23:59', '00:00', '23:59'),
+  (0, 7, 'Thu', '09:00', '17:00', '09:00', '17:00'),
+  (1, 0, 'Mon', '09:00', '18:00', '09:00', '18:00'), (1, 1, 'Tue', 'closed', NULL, 'closed', NULL),
+  (2, 0, 'Mon', NULL, NULL, '09:00', '18:00'), (2, 1, 'Tue', NULL, NULL, '00:00', '23:59'), (2, 2, 'Wed', NULL, NULL, 'closed', NULL), (2, 3, 'Fri', NULL, NULL, '08:30', '17:00'),
+  (3, 0, 'Sun', '00:00', '23:30', '00:00', '23:30'),
+  (4, 0, 'Mon', NULL, NULL, '09:00', '22:00'), (4, 1, 'Tue', NULL, NULL, 'closed', NULL), (4, 3, 'Sat', NULL, NULL, '00:00', '23:59')
+) AS t(kind, line, day, g_open, g_close, y_open, y_close)"""
+CTE["hour_lines"] = """
+SELECT source, url, doc_id, line, line + CASE doc_id % 6 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 2 END AS line_no, day,
+  CASE WHEN source = 'google' THEN g_open ELSE y_open END AS open, CASE WHEN source = 'google' THEN g_close ELSE y_close END AS close
+FROM map_pages JOIN head_hours ON kind = doc_id % 5 WHERE CASE WHEN source = 'google' THEN g_open ELSE y_open END IS NOT NULL"""
+FINAL["hours_rows"] = 'SELECT source, url, CAST(line_no AS INT) AS line_no, day, "open", "close" FROM hour_lines'
+FINAL["hours_block"] = """
+SELECT source, url, CAST(line_no AS INT) AS line_no, day, "open", "close" FROM (
+  SELECT *, count(*) OVER (PARTITION BY url) AS n FROM hour_lines WHERE NOT (doc_id % 5 = 0 AND line = 7)) WHERE n >= 2"""
+FINAL["jsonld_extract"] = """
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'Sub ' || page_id WHEN 1 THEN 'A place' WHEN 3 THEN 'Main' END AS description,
+  CASE page_id % 6 WHEN 0 THEN '+33 1' WHEN 3 THEN '02 41' END AS telephone, CASE page_id % 6 WHEN 1 THEN '€€' END AS price_range,
+  CASE page_id % 6 WHEN 0 THEN 'Mo-Fr 09:00-18:00;Sa 10:00-12:00' WHEN 1 THEN 'Mo-Su' WHEN 3 THEN '' WHEN 5 THEN '' END AS opening_hours,
+  CAST(CASE page_id % 6 WHEN 1 THEN 4.5 WHEN 5 THEN 3.0 END AS DOUBLE) AS rating, CAST(CASE page_id % 6 WHEN 1 THEN 12.0 WHEN 5 THEN 7.0 END AS DOUBLE) AS review_count FROM pages"""
+CTE["raw_parts"] = f"""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'fr' ELSE 'en' END AS language, doc_id % 13 NOT IN (2, 3, 4) AS usable,
+  {testbed._RAW_RATING} AS r, {testbed._RAW_COUNT} AS c, {testbed._RAW_PRICE} AS p, {testbed._RAW_REVIEW} AS rev,
+  CASE WHEN doc_id % 10 < 3 THEN NULL WHEN doc_id % 10 < 6 THEN 'A quiet stop near the canal.' ELSE text END AS des FROM documents"""
+
+
+def sentence_sql(col: str) -> str:
+    flat = f"nullif(trim(regexp_replace({col}, '{_WS}+', ' ', 'g')), '')"
+    return f"trim(coalesce(nullif(regexp_extract({flat}, '^(.{{1,180}}?[.!?])(?:\\s|$)', 1), ''), substr({flat}, 1, 180)))"
+
+
+def unreadable_sql(col: str) -> str:
+    letters = "|".join(f"{c}{{6,}}|{c.upper()}{{6,}}" for c in "abcdefghijklmnopqrstuvwxyz")
+    odd = f"length({col}) - length(regexp_replace({col}, '[^\\p{{L}}\\p{{N}}\\s.,:;!?()''\"\\-/%&]', '', 'g'))"
+    return (
+        f"coalesce(length({col}) < 4 OR regexp_matches({col}, '!{{4,}}|\\?{{4,}}|\\.{{4,}}|,{{4,}}') OR regexp_matches({col}, '{letters}') "
+        f"OR ({odd}) / length({col}) > 0.15, false)"
+    )
+
+
+from .operators.extract import NOT_ENGLISH, NOT_FRENCH  # noqa: E402
+
+
+def foreign_sql(col: str) -> str:
+    return (
+        f"coalesce(CASE language WHEN 'en' THEN regexp_matches({col}, {quote('(?i)' + NOT_ENGLISH)}) "
+        f"ELSE regexp_matches({col}, {quote('(?i)' + NOT_FRENCH)}) END, false)"
+    )
+
+
+FINAL["llm_output_gate"] = f"""
+SELECT doc_id, CAST(CASE WHEN usable THEN CASE r WHEN '4.26' THEN 4.3 WHEN '3' THEN 3.0 END END AS DOUBLE) AS rating,
+  CAST(CASE WHEN usable THEN CASE c WHEN '12.5' THEN 13 WHEN '40' THEN 40 END END AS BIGINT) AS review_count,
+  CAST(CASE WHEN usable AND p = '2' THEN 2 END AS BIGINT) AS price_level,
+  CASE WHEN usable THEN CASE doc_id % 4 WHEN 0 THEN 'Mon-Fri: 08:00-19:00; Sun: closed' WHEN 1 THEN 'All: daily 9-18' END END AS hours,
+  CASE WHEN usable THEN d END AS description, CASE WHEN usable THEN v END AS review,
+  CASE WHEN NOT usable THEN 'invalid-json' WHEN {foreign_sql('d')} OR {foreign_sql('v')} THEN 'bad-language'
+    WHEN {unreadable_sql('d')} OR {unreadable_sql('v')} THEN 'unreadable' END AS reason
+FROM (SELECT *, {sentence_sql('des')} AS d, {sentence_sql('rev')} AS v FROM raw_parts)"""
+
+# --- structured content -----------------------------------------------------------------------
+CTE["final_lists"] = """
+SELECT poi_id, list({'pos': pos, 'title': title, 'url': url, 'content': content, 'engine': engine} ORDER BY pos) AS l FROM ranked GROUP BY 1"""
+CTE["final_hours"] = hours_cte("final_lists")
+
+
+def shorten_sql(col: str, limit: int) -> str:
+    v = f"trim(regexp_replace({col}, '{_WS}+', ' ', 'g'))"
+    return f"CASE WHEN length({v}) <= {limit} THEN {v} ELSE trim(substr({v}, 1, {limit - 1})) || '…' END"
+
+
+CTE["digests"] = f"""
+SELECT poi_id, platform, {case_map('platform', {n: v[0] for n, v in rules.PLATFORMS.items()})} AS label, {case_map('platform', {n: str(v[1]) for n, v in rules.PLATFORMS.items()})} AS prio,
+  {shorten_sql('content', 180)} AS brief, url FROM (
+  SELECT poi_id, platform, content, url FROM (
+    SELECT *, row_number() OVER (PARTITION BY poi_id, platform ORDER BY length(content) DESC, pos) AS dn FROM (
+      SELECT *, {platform_sql('url')} AS platform FROM ranked)) WHERE dn = 1
+  UNION ALL SELECT poi_id, 'official_website', coalesce(description, excerpt, title), final_url FROM previews JOIN final_lists USING (poi_id)
+    WHERE coalesce(description, excerpt, title) IS NOT NULL)"""
+CTE["rollups"] = f"""
+SELECT poi_id, string_agg(platform || '=' || label || ': ' || brief || '=' || url, '|' ORDER BY prio) AS rollup, string_agg(label, ', ' ORDER BY prio) AS labels,
+  bool_or(platform = 'official_website') AS official, bool_or(platform IN {in_list(rules.REPUTATION_PLATFORMS)}) AS reviews FROM digests GROUP BY 1"""
+_CONF = "CASE WHEN official AND reviews THEN 'both' WHEN official THEN 'official' WHEN reviews THEN 'reviews-only' ELSE 'none' END"
+_NOT_SEARCHED = f"(lower(trim(name)) IN {in_list(rules.GENERIC_NAMES)} OR {_POLICY} <> 'full')"
+FINAL["source_rollup"] = f"SELECT poi_id, rollup FROM rollups"
+FINAL["source_confirmation"] = f"SELECT poi_id, {_CONF} AS confirmation FROM rollups"
+CTE["place_facts"] = f"""
+SELECT p.*, f.l, CASE WHEN lower(trim(p.name)) IN {in_list(rules.GENERIC_NAMES)} THEN 'generic' ELSE {_POLICY.replace('CASE category', 'CASE p.category')} END AS policy,
+  v.poi_id IS NOT NULL AS has_preview, v.sd_rating, v.sd_count, v.sd_hours, h.table_text, m.has_table, m.hours AS map_hours, pf.fields AS map_fields,
+  r.labels, r.official, r.reviews
+FROM places p LEFT JOIN final_lists f USING (poi_id) LEFT JOIN previews v USING (poi_id) LEFT JOIN final_hours h USING (poi_id)
+LEFT JOIN map_previews m USING (poi_id) LEFT JOIN rollups r USING (poi_id) LEFT JOIN ({FINAL['preview_fields']}) pf USING (poi_id)"""
+CTE["values_found"] = f"""
+SELECT *, coalesce(hours_text, hours_flat) AS hours FROM (
+  SELECT *, policy = 'full' AND l IS NOT NULL AS found, policy = 'full' AND l IS NOT NULL AND len([1 FOR s IN l IF s.engine = 'google_maps']) > 0 AS used_map,
+    CASE WHEN policy = 'full' AND l IS NOT NULL THEN coalesce(sd_rating, {rating_sql()}) END AS rating,
+    CASE WHEN policy = 'full' AND l IS NOT NULL THEN coalesce(sd_count, {reviews_sql()}) END AS review_count,
+    CASE WHEN policy = 'full' AND l IS NOT NULL THEN coalesce(sd_hours, {hours_text_sql()}) END AS hours_text,
+    CASE WHEN policy = 'full' AND l IS NOT NULL THEN coalesce(CASE WHEN has_table AND len([1 FOR s IN l IF s.engine = 'google_maps']) > 0 THEN map_hours END, table_text) END AS hours_flat,
+    CASE WHEN policy = 'full' AND l IS NOT NULL THEN {price_sql('category')} END AS price_level,
+    CASE WHEN policy = 'full' AND l IS NOT NULL THEN {diverge_sql()} ELSE [] END AS div,
+    name || ', ' || coalesce(replace(amenity, '_', ' '), shop, category) || ', useful stop near the route.' AS description
+  FROM place_facts)"""
+
+
+def listed(items: list[str], limit: int) -> str:
+    return f"([x FOR x IN [{', '.join(items)}] IF x IS NOT NULL])[1:{limit}]"
+
+
+CTE["enr"] = f"""
+SELECT *, CASE WHEN rating IS NOT NULL AND review_count IS NOT NULL THEN 'Web reviews: ' || printf('%.1f', rating) || '/5 from ' || review_count || ' reviews.'
+    WHEN rating IS NOT NULL THEN 'Web reviews: ' || printf('%.1f', rating) || '/5.' WHEN review_count IS NOT NULL THEN 'Review volume confirmed: ' || review_count || '.' END AS review,
+  {shorten_sql('description', 320)} AS headline,
+  {shorten_sql("concat_ws(' ', CASE WHEN hours IS NOT NULL THEN 'Hours available.' ELSE 'Hours unclear.' END, CASE WHEN rating IS NOT NULL THEN 'Reputation signals present.' ELSE 'Reputation signals limited.' END, 'Coverage: ' || labels || '.', CASE WHEN len(div) > 0 THEN 'Some source disagreements detected.' END)", 240)} AS op_summary,
+  {listed(["CASE WHEN coalesce(amenity, shop) <> lower(name) THEN 'Type (OSM): ' || replace(coalesce(amenity, shop), '_', ' ') END",
+           "'Reported rating: ' || printf('%.1f', rating) || '/5' || coalesce(' (' || review_count || ' reviews)', '')",
+           "trim('Hours: ' || hours)", "'Price level: ' || repeat('$', price_level)", "'Phone: ' || phone", "'Locality: ' || locality"], 6)} AS practicalities,
+  {listed([f"CASE WHEN labels IS NULL THEN coalesce({case_map('category', rules.CONTRACT_WEAK_SOURCE)}, 'No identifiable review or discovery platform found.') END",
+           "CASE WHEN rating IS NULL THEN 'No explicit rating found in the collected sources.' END",
+           "CASE WHEN hours IS NULL THEN 'Opening hours were not confirmed from the collected sources.' END",
+           "CASE WHEN review_count IS NULL AND rating IS NOT NULL THEN 'Rating found, but review volume was not confirmed.' END",
+           "CASE WHEN labels IS NOT NULL AND NOT reviews THEN 'Sources are limited to social profiles or generic directories — reliability uncertain.' END"], 4)} AS cautions,
+  CASE WHEN labels IS NOT NULL THEN 'Exact type or specialty could not be determined from sources.' END AS unknown
+FROM values_found"""
+CTE["scored"] = """
+SELECT *, CASE WHEN n_s = 0 OR NOT found THEN 0.0 ELSE least(greatest(floor((least(n_s / 15::DOUBLE, 0.4::DOUBLE) + least(n_e * 0.05::DOUBLE, 0.15::DOUBLE) + least(n_f * 0.04::DOUBLE, 0.2::DOUBLE)
+    + CASE WHEN site_used THEN 0.1::DOUBLE ELSE 0 END + least(least(n_c / n_s::DOUBLE / 1500, 0.1::DOUBLE) + least(n_h * 0.025::DOUBLE, 0.05::DOUBLE), 0.15::DOUBLE) - least(len(div) * 0.05::DOUBLE, 0.15::DOUBLE)) * 100 + 0.5) / 100, 0), 1) END AS confidence
+FROM (SELECT *, coalesce(len(l), 0) AS n_s, len(list_distinct([s.engine FOR s IN l])) AS n_e, list_sum([length(s.content) FOR s IN l]) AS n_c,
+  len(list_distinct([h FOR h IN [""" + url_host("s.url") + """ FOR s IN l] IF h IS NOT NULL])) AS n_h, has_preview AND policy IN ('full', 'minimal') AS site_used,
+  (rating IS NOT NULL)::INT + (review_count IS NOT NULL)::INT + (hours IS NOT NULL)::INT + found::INT + (review IS NOT NULL)::INT AS n_f FROM enr)"""
+FINAL["structured_content"] = f"""
+SELECT poi_id, headline, op_summary AS operational_summary, array_to_string(practicalities, '|') AS practicalities, array_to_string(cautions, '|') AS cautions,
+  coalesce(unknown, '') AS unknowns, array_to_string(div, '|') AS divergences, {_CONF} AS source_confirmation,
+  {shorten_sql("concat_ws(' ', headline, op_summary, CASE WHEN len(practicalities) > 0 THEN 'Key facts: ' || array_to_string(practicalities, '; ') || '.' END, CASE WHEN len(div) > 0 THEN 'Divergences: ' || array_to_string(div, ' ') END, CASE WHEN len(cautions) > 0 THEN 'Cautions: ' || array_to_string(cautions, ' ') END, 'Unknown: ' || unknown)", 700)} AS essentials
+FROM enr WHERE found"""
+FINAL["confidence"] = "SELECT poi_id, confidence FROM scored"
+_STATUS = "CASE WHEN policy = 'minimal' OR found THEN 'done' ELSE 'skipped' END"
+FINAL["deterministic_enrich"] = f"""
+SELECT poi_id, {_STATUS} AS status, CASE WHEN policy = 'generic' THEN 'generic-name' WHEN policy = 'skip' THEN 'low-value-category' WHEN policy = 'full' AND NOT found THEN 'no-results' END AS skip_reason,
+  rating, CAST(review_count AS BIGINT) AS review_count, hours, CAST(price_level AS INT) AS price_level, CASE WHEN found THEN description END AS description, review,
+  CAST(CASE WHEN found THEN n_s ELSE 0 END AS INT) AS source_count, CASE WHEN used_map AND map_fields <> '' THEN map_fields END AS google_maps_fields, confidence
+FROM scored"""
+FINAL["run_summary"] = f"""
+SELECT count(*) FILTER (WHERE s = 'done') AS done, count(*) FILTER (WHERE s = 'skipped') AS skipped, count(*) FILTER (WHERE s = 'error') AS error
+FROM (SELECT {_STATUS} AS s FROM values_found)"""
+FINAL["engine_failures"] = """
+SELECT engine, arg_min(reason, {'o': k, 'p': p}) AS reason, count(*) AS n_places FROM (
+  SELECT k, 0 AS p, 'bing' AS engine, 'timed out ' || k AS reason FROM poi_enr WHERE k % 3 = 0
+  UNION ALL SELECT k, 1, 'e' || k % 4, 'CAPTCHA' FROM poi_enr WHERE k % 3 = 0) GROUP BY 1"""
+FINAL["merge_precedence"] = f"""
+SELECT v.poi_id, coalesce(CASE WHEN n % 3 = 0 THEN 5.0 END, rating) AS rating, CAST(coalesce(CASE WHEN n % 4 = 0 THEN 1 END, review_count) AS BIGINT) AS review_count,
+  coalesce(CASE WHEN n % 3 = 0 THEN 'All: daily' END, hours) AS hours,
+  CASE WHEN n % 3 = 0 THEN 'All: daily' WHEN n % 2 = 0 THEN CASE WHEN used_map AND has_table THEN map_hours END ELSE hours_flat END AS opening_hours
+FROM values_found v WHERE found"""
+
+# --- jobs, exports, streams' table twins --------------------------------------------------------
+CTE["job_log"] = """
+SELECT 'j' || event_id // 7 AS job_id, event_id // 7 AS job_no, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'error' THEN 'error' ELSE 'done' END AS status,
+  CASE WHEN user_id % 3 = 0 THEN 'yandex-maps' ELSE 'google-maps' END AS source, CAST(1 + event_id % 3 AS INT) AS attempt,
+  CASE WHEN event_type = 'error' THEN 'E' || event_id % 10 END AS error, ts AS updated_at, event_id FROM events"""
+CTE["job_now"] = """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY updated_at DESC, event_id DESC) AS rn FROM job_log) WHERE rn = 1"""
+FINAL["job_latest"] = "SELECT job_id, status, source, attempt, error FROM job_now"
+FINAL["job_stats"] = """
+SELECT source AS label, count(*) FILTER (WHERE status = 'queued') AS queued, count(*) FILTER (WHERE status = 'running') AS running,
+  count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'error') AS error FROM job_now GROUP BY 1
+UNION ALL SELECT * FROM (SELECT job_id, (status = 'queued')::INT, (status = 'running')::INT, (status = 'done')::INT, (status = 'error')::INT FROM job_now ORDER BY job_no DESC LIMIT 20)"""
+FINAL["job_prune"] = """
+SELECT job_id, status FROM job_now WHERE NOT (status IN ('done', 'error') AND updated_at < TIMESTAMP '2024-01-29' - INTERVAL 7 DAY)"""
+CTE["requests"] = """
+SELECT 'c' || user_id AS client, CASE WHEN event_id % 3 = 0 THEN 'search:0' ELSE CASE WHEN event_id % 3 = 1 THEN 'search:' ELSE 'geo:' END || user_id END AS key,
+  CASE WHEN event_id % 3 = 2 THEN 'geocode' ELSE 'search' END AS cache, ts, event_id FROM events"""
+CTE["key_times"] = "SELECT key, list(DISTINCT ts ORDER BY ts) AS times FROM requests GROUP BY 1"
+CTE["misses"] = """
+SELECT key, times[1] AS ts, [t FOR t IN times IF t >= times[1] + INTERVAL 1 DAY] AS left_over FROM key_times
+UNION ALL SELECT key, left_over[1], [t FOR t IN left_over IF t >= left_over[1] + INTERVAL 1 DAY] FROM misses WHERE len(left_over) > 0"""
+FINAL["ttl_misses"] = "SELECT key, ts FROM misses"
+FINAL["request_cache_stats"] = """
+SELECT r.cache, count(DISTINCT r.key) AS n_keys, CAST(count(*) - max(m.n) AS BIGINT) AS hits, CAST(max(m.n) AS BIGINT) AS misses FROM requests r JOIN (
+  SELECT CASE WHEN key LIKE 'geo:%' THEN 'geocode' ELSE 'search' END AS cache, count(*) AS n FROM misses GROUP BY 1) m USING (cache) GROUP BY 1"""
+FINAL["rate_windows"] = """
+SELECT date_trunc('hour', ts) AS window_start, client, count(*) AS n_requests FROM requests GROUP BY 1, 2 HAVING count(*) > 1"""
+CTE["engine_log"] = """
+SELECT * FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'e0' ELSE 'e' || (1 + user_id) END AS engine, event_type NOT IN ('error', 'view') AS success,
+  CASE WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN 'CAPTCHA required' WHEN 1 THEN 'Too many requests' ELSE 'parsing error' END
+    WHEN event_type = 'view' THEN 'request timed out' END AS reason, ts, event_id FROM events) WHERE success OR reason <> 'parsing error'"""
+FINAL["engine_health"] = """
+SELECT engine, failures, suspended_until, last_reason, coalesce(suspended_until > TIMESTAMP '2024-01-30 23:50:00', false) AS is_suspended FROM (
+  SELECT engine, count(*) FILTER (WHERE NOT success AND run = last_run) AS failures,
+    CASE WHEN count(*) FILTER (WHERE NOT success AND run = last_run) >= 2 THEN max(ts) FILTER (WHERE NOT success AND run = last_run) + INTERVAL 30 MINUTE END AS suspended_until,
+    last(reason ORDER BY ts, event_id) FILTER (WHERE NOT success) AS last_reason
+  FROM (SELECT *, max(run) OVER (PARTITION BY engine) AS last_run FROM (
+    SELECT *, sum(success::INT) OVER (PARTITION BY engine ORDER BY ts, event_id) AS run FROM engine_log)) GROUP BY 1)"""
+FINAL["geojson_export"] = f"""
+SELECT poi_id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || CAST(lon AS VARCHAR) || ',' || CAST(lat AS VARCHAR) || ']}},"properties":{{"name":' || to_json(coalesce({tag('name')}, name))
+  || ',"category":' || to_json(category) || ',"icon":' || to_json(icon) || ',"distanceToTrace":' || {metres('d')}
+  || coalesce(array_to_string([',' || to_json(x.key) || ':' || to_json(x.value) FOR x IN tags IF x.key <> 'name'], ''), '') || '}}}}' AS feature FROM corridor"""
+
+
+def truncate_sql(col: str, limit: int) -> str:
+    v = f"trim(regexp_replace({col}, '\\s+', ' ', 'g'))"
+    head = f"substr({v}, 1, {limit - 1})"
+    at = f"(length({head}) - strpos(reverse({head}), ' '))"
+    cut = f"CASE WHEN contains({head}, ' ') AND {at} > {limit * 0.6} THEN substr({head}, 1, {at}) ELSE {head} END"
+    return f"CASE WHEN length({v}) <= {limit} THEN {v} ELSE regexp_replace({cut}, '[,.;:!?\\-—\\s]+$', '') || '…' END"
+
+
+CTE["desc_lines"] = f"""
+SELECT poi_id, [x FOR x IN [
+  concat_ws(' · ', category, CASE WHEN st = 'done' THEN '★' || printf('%.1f', rating) || coalesce(' (' || review_count || ')', '') END,
+    CASE WHEN st = 'done' THEN repeat('$', price_level) END, 'km ' || printf('%.1f', along / 1000) || ' — ' || {metres('d')} || 'm'),
+  CASE WHEN st = 'done' THEN {truncate_sql('description', 150)} END,
+  CASE WHEN st = 'done' AND k % 4 = 2 THEN 'Mo-Fr 8-18:30 · Sa 9-12 · Su closed'
+    WHEN st = 'done' AND hours IS NOT NULL THEN 'Mon-Fri: 8:00-12:00, 14:00-18:00 · Sat: 9:00-12:00 · Sun: closed'
+    ELSE replace({tag('opening_hours')}, '; ', ' · ') END,
+  coalesce('☎ ' || coalesce({tag('phone')}, {tag('contact:phone')}), nullif(coalesce({tag('website')}, {tag('contact:website')}), '')),
+  CASE WHEN k % 4 = 3 THEN '⚠ Opening hours were not confirmed from the collected sources.' END] IF x IS NOT NULL] AS lines
+FROM (SELECT c.*, e.status AS st, e.rating, e.review_count, e.price_level, e.description, e.hours, e.k FROM corridor c LEFT JOIN poi_enr e USING (poi_id))"""
+FINAL["compact_desc"] = """
+SELECT poi_id, array_to_string(CASE WHEN length(array_to_string(lines, chr(10))) <= 400 THEN lines WHEN length(array_to_string(lines[1:-2], chr(10))) <= 400 THEN lines[1:-2]
+  ELSE lines[1:-3] END, chr(10)) AS description FROM desc_lines"""

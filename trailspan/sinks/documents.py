@@ -27,9 +27,10 @@ def with_enrichment(pois: DataFrame, enriched: DataFrame | None) -> DataFrame:
     """Places with their enrichment as struct ``e``; null where there is none."""
     if enriched is None:
         return pois.withColumn("e", F.lit(None).cast(ENRICHMENT))
-    names = [part.name for part in _fields()]
     have = set(enriched.columns)
-    struct = F.struct(*[(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in ((f.name, f.dataType) for f in _fields()) if n in names])
+    struct = F.struct(*[
+        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in _fields()
+    ])
     return pois.join(enriched.select("poi_id", struct.alias("e")), "poi_id", "left")
 
 
