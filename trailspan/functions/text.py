@@ -7,12 +7,15 @@ rounding is half towards plus infinity, ``\\s`` includes the no-break space,
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the characters that count as white space besides the ASCII ones.
 EXTRA_SPACE = r"\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _WORD = "[A-Za-z0-9_]"
+_STARTS_WORD = re.compile(r"\(?(?:[A-Za-z0-9]|\\d|\[[0-9])")
 _BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
 
@@ -32,7 +35,8 @@ def pattern(source: str, ignore_case: bool = False) -> str:
             elif token == r"\S" and not in_class:
                 out.append(rf"[^\s{EXTRA_SPACE}]")
             elif token == r"\b" and not in_class:
-                out.append(_BOUNDARY)
+                # Before an ASCII word character only the start of a word is possible.
+                out.append(f"(?<!{_WORD})" if _STARTS_WORD.match(source, i + 2) else _BOUNDARY)
             else:
                 out.append(token)
             i += 2
@@ -64,8 +68,13 @@ def replace(col: Column, source: str, by: str | Column, ignore_case: bool = Fals
     return F.regexp_replace(col, F.lit(pattern(source, ignore_case)), F.lit(by) if isinstance(by, str) else by)
 
 
+# All of them spelled out, for trimming without a pattern.
+_SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def strip(col: Column) -> Column:
-    return replace(col, r"^\s+|\s+$", "")
+    """Trim white space; looks at the ends only, however long the text is."""
+    return F.btrim(col, F.lit(_SPACES))
 
 
 def collapse(col: Column) -> Column:
@@ -92,26 +101,26 @@ def one_decimal(col: Column) -> Column:
     return F.when(col.isNotNull(), F.format_string("%.1f", col))
 
 
+def number_text(col: Column) -> Column:
+    """Double as the shortest text: no trailing ``.0``."""
+    text = col.cast("string")
+    return F.regexp_replace(text, r"\.0$", "")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once per row.
 
     Higher-order functions are interpreted, without sharing of equal parts, so a
-    costly array that is used several times is bound to a lambda variable.
+    costly value that is used several times is bound to a lambda variable.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def number_text(col: Column) -> Column:
-    """Double as the shortest text: no trailing ``.0``."""
-    text = col.cast("string")
-    return F.regexp_replace(text, r"\.0$", "")
-
-
 def shorten(col: Column, limit: int) -> Column:
     """Collapse white space, then cut to ``limit`` characters with an ellipsis."""
-    value = collapse(col)
-    cut = F.concat(F.trim(F.substring(value, 1, limit - 1)), F.lit("…"))
-    return F.when(F.char_length(value) <= limit, value).otherwise(cut)
+    return let(collapse(col), lambda v: F.when(F.char_length(v) <= limit, v).otherwise(
+        F.concat(F.trim(F.substring(v, 1, limit - 1)), F.lit("…"))
+    ))
 
 
 def truncate_words(col: Column, limit: int) -> Column:
@@ -119,14 +128,14 @@ def truncate_words(col: Column, limit: int) -> Column:
 
     Null gives the empty string.
     """
-    value = collapse(F.coalesce(col, F.lit("")))
-    head = F.substring(value, 1, limit - 1)
-    last_word = F.regexp_extract(head, r"(?s)^(.*) [^ ]*$", 1)
-    keep = F.when(
-        head.contains(" ") & (F.char_length(last_word) > F.lit(limit * 0.6)), last_word
-    ).otherwise(head)
-    cut = F.concat(replace(keep, r"[,.;:!?\-—\s]+$", ""), F.lit("…"))
-    return F.when(F.char_length(value) <= limit, value).otherwise(cut)
+    def cut(value: Column) -> Column:
+        head = F.substring(value, 1, limit - 1)
+        # Null when there is no blank far enough behind the start.
+        whole_words = first_match(head, rf"(?s)^(.{{{int(limit * 0.6) + 1},}}) [^ ]*$", 1)
+        shortened = replace(F.coalesce(whole_words, head), r"[,.;:!?\-—\s]+$", "")
+        return F.when(F.char_length(value) <= limit, value).otherwise(F.concat(shortened, F.lit("…")))
+
+    return let(collapse(F.coalesce(col, F.lit(""))), cut)
 
 
 def first_upper(col: Column) -> Column:

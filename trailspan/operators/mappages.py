@@ -31,7 +31,8 @@ PHONE = r"\+?\d[\d\s().-]{6,}"
 ADDRESS = r"\b\d{4,5}[^\n]{10,120}"
 PRICE_SYMBOLS = r"([$€£])\1{0,3}"
 CAPTCHA_URL = r"showcaptcha|smartcaptcha"
-CAPTCHA_TEXT = r"(are you a robot|подтвердите.+не робот|captcha|smartcaptcha)"
+CAPTCHA_PHRASES = ["are you a robot", "captcha"]
+CAPTCHA_RUSSIAN = ("подтвердите", r"подтвердите.+не робот")
 HOURS_HINT = {
     "google": r"(open|closed|ouvre|fermé|ferme|\d{1,2}[:h]\d{2})",
     "yandex": r"(open|closed|открыто|закрыто|круглосуточно|\d{1,2}[:h]\d{2})",
@@ -102,7 +103,13 @@ def clean_hours(raw: Column) -> Column:
 
 
 def is_captcha(url: Column, body: Column) -> Column:
-    return T.matches(url, CAPTCHA_URL, True) | F.coalesce(T.matches(body, CAPTCHA_TEXT, True), F.lit(False))
+    """Plain substring tests first: a pattern runs only on the few pages that may match."""
+    lower = F.lower(body)
+    word, phrase = CAPTCHA_RUSSIAN
+    said = lower.contains(word) & T.matches(lower, phrase)
+    for plain in CAPTCHA_PHRASES:
+        said = said | lower.contains(plain)
+    return T.matches(url, CAPTCHA_URL, True) | F.coalesce(said, F.lit(False))
 
 
 def map_fields(pages: DataFrame) -> DataFrame:

@@ -89,12 +89,13 @@ def compact_description() -> Column:
         header, about, F.when(hours != "", T.truncate_words(hours, HOURS_LINE)), contact,
         F.when(caution != "", F.concat(F.lit("⚠ "), T.truncate_words(caution, CAUTION_LINE))),
     )
-    # The longest run of first lines that fits; the first line is always kept.
-    kept = F.filter(
-        F.transform(F.sequence(F.size(lines), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(lines, F.lit(1), n), "\n")),
-        lambda text: F.char_length(text) <= MAX_CHARS,
-    )
-    return F.coalesce(F.get(kept, F.lit(0)), T.truncate_words(lines[0], MAX_CHARS))
+    def fit(ls: Column) -> Column:
+        # The longest run of first lines that fits; the first line is always kept.
+        runs = F.transform(F.sequence(F.size(ls), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(ls, F.lit(1), n), "\n"))
+        kept = F.filter(runs, lambda text: F.char_length(text) <= MAX_CHARS)
+        return F.coalesce(F.get(kept, F.lit(0)), T.truncate_words(ls[0], MAX_CHARS))
+
+    return T.let(lines, fit)
 
 
 def _hours_html(raw: Column) -> Column:
