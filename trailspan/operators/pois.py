@@ -33,23 +33,29 @@ def _listed(entry: str, listed: Iterable[str]) -> str:
     return f"concat_ws('=', {entry}.key, {entry}.value) IN ({values})"
 
 
+def listed_tags(tags: str, listed: Iterable[str]) -> Column:
+    """Tags whose ``key=value`` is listed, in tag order."""
+    return F.expr(f"filter(map_entries({tags}), e -> {_listed('e', listed)})")
+
+
 def first_listed_tag(tags: str, listed: Iterable[str]) -> Column:
     """First tag, in tag order, whose ``key=value`` is listed; null if none."""
-    return F.expr(f"get(filter(map_entries({tags}), e -> {_listed('e', listed)}), 0)")
+    return F.get(listed_tags(tags, listed), F.lit(0))
 
 
 def categorize(elements: DataFrame, categories: Iterable[str] | None = None) -> DataFrame:
     """Elements to POIs: coordinate, category, icon and display name.
 
-    Works row by row: no explode, no shuffle, no dimension join.
+    Works row by row: no shuffle and no dimension join.
     """
     node = F.col("type") == "node"
     located = (
         elements.withColumn("_lat", F.when(node, F.col("lat")).otherwise(F.col("center.lat")))
         .withColumn("_lon", F.when(node, F.col("lon")).otherwise(F.col("center.lon")))
         .filter(F.col("_lat").isNotNull() & F.col("_lon").isNotNull())
-        .withColumn("_hit", first_listed_tag("tags", rules.CATEGORY_BY_TAG))
-        .filter(F.col("_hit").isNotNull())
+        # Exploding the first hit drops elements without one. A filter would be pushed
+        # below and search the tags a second time.
+        .withColumn("_hit", F.explode(F.slice(listed_tags("tags", rules.CATEGORY_BY_TAG), 1, 1)))
     )
     tag = _tag_text(F.col("_hit"))
     fallback = T.first_upper(F.replace(F.col("_hit")["value"], F.lit("_"), F.lit(" ")))
