@@ -182,7 +182,7 @@ def test_one_decimal_of_null_is_null(spark):
     assert one(spark.range(1), T.one_decimal(F.lit(None).cast("double"))) is None
 
 
-def test_reference_cases_of_confirmation(spark):
+def test_source_confirmation(spark):
     d = "array<struct<platform:string,brief:string,url:string>>"
     for names, want in ((["google_maps"], "reviews-only"), (["official_website"], "official"), (["official_website", "yelp"], "both"), (["facebook"], "none"), ([], "none")):
         rows = F.transform(F.array(*[F.lit(n) for n in names]).cast("array<string>"), lambda n: F.struct(n.alias("platform"), n.alias("brief"), n.alias("url"))).cast(d)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rules, testbed
-from .functions import geo
 from .functions.text import js_round
 from .operators import corridor, dedup, pois, tracks
 from .session import checkpoint_dir, configure

@@ -30,7 +30,7 @@ from ..functions import geo
 from ..session import checkpoint_dir
 
 # Tile sizes in degrees, tried from the left until no tile holds more than
-# MAX_TILE_ROWS spots. The smallest must exceed the largest radius.
+# MAX_TILE_ROWS spots. Any size gives the same result; it only moves work.
 TILE_SIZES = (0.02, 0.005)
 MAX_TILE_ROWS = 200_000
 _SPOT = "run_id string, category string, ord long, lat double, lon double, radius double"
@@ -165,7 +165,7 @@ def find_leaders(spots: DataFrame, max_tile_rows: int = MAX_TILE_ROWS) -> DataFr
     columns = [*_KEY, "ord", "lat", "lon", "radius"]
     open_spots = spots.select(*columns).checkpoint()
     found: list[DataFrame] = []
-    sizes = [s for s in TILE_SIZES]
+    sizes = list(TILE_SIZES)
     fullest = _fullest(open_spots, sizes[0])
     while len(sizes) > 1 and fullest > max_tile_rows:
         sizes.pop(0)
