@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, html_text, language_id, mixing, quality, substring_dedup, token_store, warc
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_html_extract": html_text.op2_html_extract,
+    "op3_warc_salvage": warc.op3_warc_salvage,
+    "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_quality": quality.op6_quality,
+    "op7_langid": language_id.op7_langid,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_token_store": token_store.op9_token_store,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
