@@ -27,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -217,6 +218,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     return out if out is not None else docs.sparkSession.createDataFrame([], _MATCH)
 
 
+def _flagger(items: Items):
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        column = pa.array(texts, pa.large_string(), from_pandas=True)
+        hit = np.zeros(len(column), bool)
+        for a, b in slices(string_parts(column)[1]):
+            for row, *_ in items.matches(*word_hashes(column.slice(a, b - a))):
+                hit[a + row] = True
+        return pd.Series(hit)
+
+    return found
+
+
+def with_flag(docs: DataFrame, benchmark: DataFrame, flag_col: str = "contaminated", shingle: int = SHINGLE, similarity: float = SIMILARITY, blocks: int = BLOCKS, radius: int = RADIUS, item_chars: int = ITEM_CHARS) -> DataFrame:
+    """docs with a boolean behind its own columns: whether the row's text has a passage of the benchmark.
+
+    A narrow map: rows are judged where they are, so repeated and null ids need no join.
+    """
+    flag = F.lit(False)
+    for names, texts in _item_blocks(benchmark, item_chars):
+        items = Items(names, texts, shingle, similarity, blocks, radius, len(names))
+        if items.names:
+            flag = flag | _flagger(items)(F.col("text").cast("string"))
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != flag_col.lower()), flag.alias(flag_col))
+
+
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark, over whole texts."""
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

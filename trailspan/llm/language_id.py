@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -68,20 +69,17 @@ def codes_of(text: str) -> np.ndarray:
 def grams(codes: np.ndarray, sizes: int = SIZES) -> tuple[np.ndarray, np.ndarray]:
     """(n-grams as numbers, place of their first character). A blank stands only at an n-gram's ends."""
     found, places = [], []
-    for n in range(1, sizes + 1):
-        if len(codes) < n:
-            break
+    letter = codes != 0
+    named = np.where(letter, codes, 1)  # 1 is no letter: " t" and "t" stay apart
+    for n in range(1, min(sizes, len(codes)) + 1):
         at = np.arange(len(codes) - n + 1)
-        value = np.zeros(len(at), np.int64)
+        value, any_letter, ok = np.zeros(len(at), np.int64), np.zeros(len(at), bool), np.ones(len(at), bool)
         for k in range(n):
-            value = (value << _BITS) | codes[k:k + len(at)]
-        ok = np.ones(len(at), bool)
-        for k in range(1, n - 1):
-            ok &= codes[k:k + len(at)] != 0
-        if n <= 2:
-            ok &= value != 0
-            if n == 2:
-                ok &= (codes[:len(at)] != 0) | (codes[1:] != 0)
+            value = (value << _BITS) | named[k:k + len(at)]
+            any_letter |= letter[k:k + len(at)]
+            if 0 < k < n - 1:
+                ok &= letter[k:k + len(at)]
+        ok &= any_letter
         found.append(value[ok])
         places.append(at[ok])
     if not found:
@@ -217,19 +215,17 @@ def predict(text: str | None, ranks: Ranks, sizes: int = SIZES, most: int = DOC_
     return ranks.langs[best], float(1.0 - d[best] / (len(mine) * ranks.missing))
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", sizes: int = SIZES, most: int = DOC_PROFILE) -> DataFrame:
-    """docs with lang_pred and lang_score behind its own columns (of the same names, the old ones go)."""
+def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", sizes: int = SIZES, most: int = DOC_PROFILE, pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+    """docs with two columns behind its own: the language and its score (old columns of these names go)."""
     ranks = Ranks(profiles)
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")]
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (pred_col.lower(), score_col.lower())]
 
     @F.pandas_udf("lang string, score double")
-    def guess(texts):
-        import pandas as pd
-
+    def guess(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([predict(t, ranks, sizes, most) for t in texts], columns=["lang", "score"])
 
-    out = docs.select(*(F.col(f"`{c}`") for c in kept), guess(F.col(text_col).cast("string")).alias("__guess"))
-    return out.select(*(F.col(f"`{c}`") for c in kept), F.col("__guess.lang").alias("lang_pred"), F.col("__guess.score").alias("lang_score"))
+    found = docs.select(F.struct(*own).alias("own"), guess(F.col(f"`{text_col}`").cast("string")).alias("guess"))
+    return found.select("own.*", F.col("guess.lang").alias(pred_col), F.col("guess.score").alias(score_col))
 
 
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:

@@ -1,7 +1,8 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network.
 
 Tokens are runs of letters and digits (bytes over 127 count as letters) and single runs of other
-signs, both as they are, so that odd marks and capitals are words of their own. Every token has an
+signs, both as they are, so that odd marks and capitals are words of their own, and one token for
+any word that repeats the word before it. Every token has an
 *index vector*, a few +1 and -1 at places that its hash gives. A token's *word vector* is its index
 vector plus the mean of those of its neighbours (``REACH`` on either side, moved on by one place
 for each step of distance, so that order counts) over the training texts. A document's features
@@ -45,16 +46,21 @@ THRESHOLD = 0.3
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
+_AGAIN = np.uint64(0x5851F42D4C957F2D)
 _SIGN = ~_ALNUM
 _SIGN[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each token, its row), in the order of the text."""
+    """(hash of each token, its row), in the order of the text. A word that repeats the word before it is the
+    token ``_AGAIN``, so that repetition has a word vector too."""
     words, signs = Words(data, offsets, inside=_ALNUM), Words(data, offsets, inside=_SIGN)
+    hashes, rows = words.hashes(), words.rows()
+    again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])) + 1
+    hashes[again] = _AGAIN
     start = np.concatenate([words.starts, signs.starts])
     order = np.argsort(start, kind="stable")
-    return np.concatenate([words.hashes(), signs.hashes()])[order], np.concatenate([words.rows(), signs.rows()])[order]
+    return np.concatenate([hashes, signs.hashes()])[order], np.concatenate([rows, signs.rows()])[order]
 
 
 def index_vectors(tokens_: np.ndarray, dimensions: int = DIMENSIONS, signs: int = SIGNS) -> tuple[np.ndarray, np.ndarray]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, language_id, mixing, quality, substring_dedup, token_store, warc
+from . import decontaminate, exact_dedup, html_text, language_id, mixing, ngram_join, quality, substring_dedup, token_store, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_html_extract": html_text.op2_html_extract,
     "op3_warc_salvage": warc.op3_warc_salvage,
+    "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_quality": quality.op6_quality,
     "op7_langid": language_id.op7_langid,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLE = {
     "op1_substring_dedup": substring_dedup.ORACLE,
+    "op4_ngram_jaccard": ngram_join.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }

@@ -26,6 +26,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,9 @@ CHUNK = 8
 RANK_STEP = 512
 SHARD_IDS = 1 << 20
 #: Pieces of text whose ids a task remembers, at most.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
+#: Signs that are cut from the end of a piece; none of them ends a special token or starts a contraction.
+_TAIL = ".,;:!?%&$#*()\"/-"
 _MAGIC = b"TDAC0001"
 
 
@@ -119,42 +122,62 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Ids of whole texts. White space always ends a word for this vocabulary, so each distinct
-    piece between white space is encoded once for many texts, and the ids are the same."""
+    """Ids of whole texts, by way of their distinct pieces.
+
+    This vocabulary's tokens never cross white space, nor the border between a letter and the sign
+    behind it, and ASCII letters count in lower case. So texts are cut at white space, the distinct
+    pieces into a body and the signs of ``_TAIL`` that end it, and each distinct part is encoded once.
+    Parts with other signs, such as those of special tokens, are left as they are.
+    """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.tokenizer, self.known, self.most = _tokenizer(path), {}, remembered
-
-    def _encoded(self, pieces: list[str]) -> list[np.ndarray]:
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > self.most:
-            known = self.known = {}
-            new = pieces
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, np.uint32)
-        return [known[p] for p in pieces]
+        self.tokenizer, self.most = _tokenizer(path), remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def _slots(self, parts: list[str]) -> np.ndarray:
+        """Place of each part among the known ones; unknown ones are encoded."""
+        new = [p for p in parts if p not in self.known]
+        self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+        self.sizes = np.append(self.sizes, sizes)
+        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each), with ``end`` behind each text."""
+        if len(self.known) > self.most:
+            self._forget()
         pieces = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         counts = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pieces.flatten().dictionary_encode()
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        ids = self._encoded(coded.dictionary.to_pylist())
-        n = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-        first = np.append(0, np.cumsum(n))[:-1]
-        per_piece = n[index] if len(index) else np.empty(0, np.int64)
-        upto = np.append(0, np.cumsum(per_piece))
-        edge = np.append(0, np.cumsum(counts))
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        whole = coded.dictionary
+        bare = pc.utf8_rtrim(whole, characters=_TAIL)
+        bare = pc.if_else(pc.match_substring_regex(bare, r"\pL$"), bare, whole)
+        tails = whole.cast(pa.large_binary()).to_pylist()
+        cut = pc.binary_length(bare).to_pylist()
+        bare = pc.if_else(pc.match_substring(bare, "<"), bare, pc.ascii_lower(bare))
+        bodies = bare.dictionary_encode()
+        ends = [t[n:].decode() for t, n in zip(tails, cut, strict=True)]
+        names = {t: k for k, t in enumerate(dict.fromkeys(ends))}
+        body = self._slots(bodies.dictionary.to_pylist())[bodies.indices.to_numpy(zero_copy_only=False)] if len(whole) else np.empty(0, np.int64)
+        tail = self._slots(list(names))[np.fromiter(map(names.__getitem__, ends), np.int64, len(ends))] if len(whole) else body
+        both = np.stack([body[index], tail[index]], axis=1).ravel()
+        first = np.append(0, np.cumsum(self.sizes))
+        sizes = self.sizes[both]
+        upto = np.append(0, np.cumsum(sizes))
+        edge = np.append(0, np.cumsum(counts)) * 2
         lengths = upto[edge[1:]] - upto[edge[:-1]] + 1
         out = np.full(int(lengths.sum()), end, np.uint32)
-        last = np.cumsum(lengths) - 1
-        body = np.ones(len(out), bool)
-        body[last] = False
-        if len(index):
-            out[body] = flat[spread(first[index], per_piece)]
+        inside = np.ones(len(out), bool)
+        inside[np.cumsum(lengths) - 1] = False
+        if len(both):
+            out[inside] = self.ids[spread(first[both], sizes)]
         return out, lengths
 
 
@@ -176,7 +199,7 @@ def _shards(path: str, end: int, shard_ids: int):
             names, texts = batch.column("doc_id").cast(pa.int64()), batch.column("text")
             part = batch.column("part")[0].as_py() if batch.num_rows else part
             offsets = string_parts(texts)[1]
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, 16 << 20):
                 ids, n = encoder(texts.slice(a, b - a), end)
                 at = np.append(0, np.cumsum(n))
                 first = 0
@@ -209,16 +232,16 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
     totals.select("part", before.alias("before")).write.parquet(f"{folder}/parts")
 
 
-def _placed(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    shards = spark.read.schema(_SHARD).parquet(f"{folder}/shards")
+def _starts(spark: SparkSession, folder: str) -> DataFrame:
+    """part, shard, first (ids of all shards before it), ids."""
+    shards = spark.read.schema(_SHARD).parquet(f"{folder}/shards").select("part", "shard", "ids")
     parts = spark.read.schema("part int, before long").parquet(f"{folder}/parts")
     within = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = shards.select("part", "shard", within.alias("within")).join(parts, "part").select("part", "shard", (F.col("before") + F.col("within")).alias("first"))
-    return shards.select(*columns).join(starts, ["part", "shard"])
+    return shards.withColumn("within", within).join(parts, "part").select("part", "shard", (F.col("before") + F.col("within")).alias("first"), "ids")
 
 
-_READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
-_READ_ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "n_tokens", "ids_crc32")])
+_READ = "part int, shard int, doc_id long, place long, n_tokens long, ids_crc32 long"
+_READ_ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32())] + [(c, pa.int64()) for c in ("doc_id", "place", "n_tokens", "ids_crc32")])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,13 +250,15 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard = Shard(batch.column("data")[row].as_buffer().to_pybytes())
             raw, at = memoryview(shard.all().astype("<u4").tobytes()), shard.starts
             crc = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            first = batch.column("first")[row].as_py()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[row].values, pa.array(at[:-1] + first, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], schema=_READ_ARROW)
+            where = [pa.array(np.full(shard.docs, batch.column(c)[row].as_py(), np.int32)) for c in ("part", "shard")]
+            yield pa.RecordBatch.from_arrays([*where, batch.column("doc_ids")[row].values, pa.array(at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], schema=_READ_ARROW)
 
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per document of the files: doc_id, start, n_tokens, ids_crc32."""
-    return _placed(spark, folder, ["part", "shard", "doc_ids", "data"]).mapInArrow(_digests, _READ)
+    """One row per document of the files: doc_id, start, n_tokens, ids_crc32. Only these rows meet the shards' starts."""
+    shards = spark.read.schema(_SHARD).parquet(f"{folder}/shards").select("part", "shard", "doc_ids", "data")
+    found = shards.mapInArrow(_digests, _READ)
+    return found.join(_starts(spark, folder), ["part", "shard"]).select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
 _TOKEN_ARROW = pa.schema([("place", pa.int64()), ("token", pa.int64())])
@@ -249,7 +274,7 @@ def _tokens_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def tokens_at(spark: SparkSession, folder: str, places: DataFrame) -> DataFrame:
     """place, token for each ``place`` (count from the first id of all) that the files have."""
-    starts = _placed(spark, folder, ["part", "shard", "ids"])
+    starts = _starts(spark, folder)
     width = F.lit(SHARD_IDS)
     bins = F.sequence(F.floor(F.col("first") / width), F.floor((F.col("first") + F.col("ids") - 1) / width))
     asked = places.select(F.col("place").cast("long")).distinct().withColumn("bin", F.floor(F.col("place") / width))
