@@ -174,8 +174,8 @@ def _indexed(shingle: int, percent: int, buckets: int, flush_words: int, shared)
 
     def packed(where: np.ndarray, star: bool, columns: dict[str, np.ndarray]) -> Iterator[dict]:
         by = np.argsort(where, kind="stable")
-        cut = runs(where[by])
-        for lo, hi in zip(cut, np.append(cut[1:], len(by)), strict=True):
+        cut = np.append(runs(where[by]), len(by))
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             mine = by[lo:hi]
             yield {"bucket": int(where[mine[0]]), "star": star, **{k: v[mine].tobytes() for k, v in columns.items()}}
 
