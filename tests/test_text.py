@@ -187,3 +187,55 @@ def test_source_confirmation(spark):
     for names, want in ((["google_maps"], "reviews-only"), (["official_website"], "official"), (["official_website", "yelp"], "both"), (["facebook"], "none"), ([], "none")):
         rows = F.transform(F.array(*[F.lit(n) for n in names]).cast("array<string>"), lambda n: F.struct(n.alias("platform"), n.alias("brief"), n.alias("url"))).cast(d)
         assert one(spark.range(1), structured.source_confirmation(rows)) == want
+
+
+def test_json_ld_of_any_depth(spark):
+    from trailspan.sources.pages import jsonld_nodes
+
+    block = '<script type="application/ld+json">%s</script>'
+    deep = '{"name":"n0"}'
+    for k in range(1, 8):
+        deep = '{"name":"n%d","%s":%s}' % (k, "mainEntity" if k % 2 else "@graph", deep if k % 2 else f"[[{deep}],1,null]")
+    pages = [
+        (0, block % deep, [f"n{k}" for k in range(7, -1, -1)]),
+        (1, block % '[[{"name":"a"},[{"name":"b"}]],{"name":"c"}]', ["a", "b", "c"]),
+        (2, block % '{"name":"p","mainEntity":[{"name":"r"}],"@graph":[{"name":"q","@graph":[{"name":"s"}]}]}', ["p", "q", "s", "r"]),
+        (3, block % "no json" + block % '{"name":"x"}', ["x"]), (4, "no block", []), (5, block % '{"name":"o","@graph":{"name":"not a list"}}', ["o"]),
+    ]
+    df = spark.createDataFrame([(k, h) for k, h, _ in pages], "k int, html string")
+    names = F.transform(jsonld_nodes(F.col("html")), lambda n: F.try_variant_get(n, "$.name", "string"))
+    assert {r.k: r.names for r in df.select("k", names.alias("names")).collect()} == {k: w for k, _, w in pages}
+
+
+def test_fields_of_whole_tables(spark):
+    from trailspan.operators import extract_table as X
+
+    rows = [("p", k, "t", f"u{k}", c, "e") for k, c in enumerate(
+        ["nothing"] * 20 + ["Rated 4,5/5 from 12 reviews, open Monday 08:00-12:00", "3/5 and 99 reviews $$", "Monday 09:00-10:00 Tuesday 9h00-11h00 $$$", "10 € or 30€, permanently closed", "€€€€ very nice"])]
+    rows += [("q", 0, "t", "u", "12 € 40 €", "e"), ("r", 0, "t", "u", "cheap", "e"), ("s", 0, "t", "u", "", "e")]
+    df = spark.createDataFrame(rows, "poi_id string, pos int, title string, url string, content string, engine string")
+    places = spark.createDataFrame([("p", "Food"), ("q", "Food"), ("q2", "x")], "poi_id string, category string")
+    one = lambda out, c: {r.poi_id: r[c] for r in out.collect()}
+    assert one(X.ratings(df), "rating") == {"p": 4.5, "q": None, "r": None, "s": None}
+    assert one(X.review_counts(df), "review_count")["p"] == 12
+    assert one(X.hours_texts(df), "hours")["p"].startswith("Monday 08:00")
+    week = one(X.hours_tables(df), "hours")
+    assert [(d.day, d.open, d.close) for d in week["p"]] == [("Mon", "08:00", "12:00"), ("Tue", "09:00", "11:00")] and week["q"] is None
+    assert one(X.price_levels(df, places), "price_level") == {"p": 3, "q": 3, "r": 1, "s": None}
+    said = one(X.divergences(df), "divergences")
+    assert len(said["p"]) == 2 + 1 and said["q"] == []
+
+
+def test_gpx_with_empty_parts_and_prefixes(spark):
+    from trailspan.sources.gpx import parse_gpx
+
+    point = '<trkpt lat="%d" lon="1"><ele>5</ele></trkpt>'
+    files = [
+        ("a.gpx", f"<gpx><trk/><trk><trkseg/><trkseg>{point % 1}</trkseg></trk><trk><name>x</name></trk><trk><trkseg>{point % 2}</trkseg></trk></gpx>"),
+        ("b.gpx", f'<g:gpx xmlns:g="u"><g:trk><g:trkseg><g:trkpt lat="3" lon="1"/></g:trkseg></g:trk></g:gpx>'),
+        ("c.gpx", '<gpx><rte/><rte><rtept lat="4" lon="1"/></rte><rte><name>n</name></rte></gpx>'),
+        ("d.gpx", "<gpx><trk><trkseg/></trk></gpx>"), ("e.gpx", "<gpx><trk"),
+    ]
+    points, rejects = parse_gpx(spark.createDataFrame(files, "path string, content string"))
+    assert sorted((r.track_id, r.seq, r.lat) for r in points.collect()) == [("a.gpx", 0, 1.0), ("a.gpx", 1, 2.0), ("b.gpx", 0, 3.0), ("c.gpx", 0, 4.0)]
+    assert sorted(r.path for r in rejects.collect()) == ["d.gpx", "e.gpx"]

@@ -118,7 +118,7 @@ def tag_predicates(spark, folder):
 
 @query
 def segment_distance(spark, folder):
-    seg = tracks.track_segments(testbed.points(spark, folder)).filter("track_idx > 0")
+    seg = tracks.track_segments(testbed.points(spark, folder))
     pairs = corridor.near_segments(_pois(spark, folder).select("poi_id", "lat", "lon"), seg, 300.0)
     return pairs.filter("d <= 300").select("poi_id", "seg_idx", metres("d").alias("distance_m"))
 
@@ -414,7 +414,7 @@ def snippet_noise(spark, folder):
 def snippet_geo(spark, folder):
     from .operators import snippets
 
-    joined = snippets.dedup(testbed.snippets(spark, folder)).join(
+    joined = snippets.dedup(testbed.snippets(spark, folder), None).join(
         testbed.places(spark, folder).select("poi_id", "locality", "county", "state", "country"), "poi_id", "left"
     )
     return joined.select("poi_id", "pos", snippets.is_elsewhere(
@@ -485,57 +485,63 @@ def engine_set(spark, folder):
 # --- extraction ------------------------------------------------------------------------------
 
 
-def _gathered(spark, folder) -> DataFrame:
-    """Up to eight distinct snippets per place, with the place's category and number."""
-    from .operators import extract, snippets
+def _all_snippets(spark, folder) -> DataFrame:
+    """The distinct pages of every place, all of them."""
+    from .operators import snippets
 
-    places = testbed.places(spark, folder).select("poi_id", "category", "n")
-    return extract.gather(snippets.dedup(testbed.snippets(spark, folder))).join(places, "poi_id", "left")
+    return snippets.dedup(testbed.snippets(spark, folder), None)
+
+
+def _known(spark, folder, value) -> DataFrame:
+    """What a website states itself, for a quarter of the places."""
+    return testbed.places(spark, folder).select("poi_id", F.when(F.col("n") % 4 == 1, value).alias("known"))
 
 
 @query
 def price_level(spark, folder):
-    from .operators import extract
+    from .operators import extract_table
 
-    return _gathered(spark, folder).select("poi_id", extract.price_level(F.col("snippets"), F.col("category")).alias("price_level"))
+    return extract_table.price_levels(_all_snippets(spark, folder), testbed.places(spark, folder))
 
 
 @query
 def rating_extract(spark, folder):
-    from .operators import extract
+    from .operators import extract_table
 
-    known = F.when(F.col("n") % 4 == 1, 4.5)
-    return _gathered(spark, folder).select("poi_id", extract.rating(F.col("snippets"), known).alias("rating"))
+    found = extract_table.ratings(_all_snippets(spark, folder)).join(_known(spark, folder, F.lit(4.5)), "poi_id", "left")
+    return found.select("poi_id", F.coalesce("known", "rating").alias("rating"))
 
 
 @query
 def review_count_extract(spark, folder):
-    from .operators import extract
+    from .operators import extract_table
 
-    known = F.when(F.col("n") % 4 == 1, 99.0)
-    return _gathered(spark, folder).select("poi_id", extract.review_count(F.col("snippets"), known).alias("review_count"))
+    found = extract_table.review_counts(_all_snippets(spark, folder)).join(_known(spark, folder, F.lit(99).cast("long")), "poi_id", "left")
+    return found.select("poi_id", F.coalesce("known", "review_count").alias("review_count"))
 
 
 @query
 def hours_text_extract(spark, folder):
-    from .operators import extract
+    from .operators import extract_table
 
-    known = F.when(F.col("n") % 4 == 1, F.array(F.lit("Mo-Fr"), F.lit("Sa")))
-    return _gathered(spark, folder).select("poi_id", extract.hours_text(F.col("snippets"), known).alias("hours"))
+    found = extract_table.hours_texts(_all_snippets(spark, folder)).join(_known(spark, folder, F.lit("Mo-Fr; Sa")), "poi_id", "left")
+    return found.select("poi_id", F.coalesce("known", "hours").alias("hours"))
 
 
 @query
 def hours_table(spark, folder):
-    from .operators import extract, snippets
+    from .operators import extract_table, snippets
 
-    return _gathered(spark, folder).select("poi_id", snippets.flatten_hours(extract.structured_hours(F.col("snippets"))).alias("hours"))
+    found = extract_table.hours_tables(_all_snippets(spark, folder))
+    return found.select("poi_id", snippets.flatten_hours(F.col("hours")).alias("hours"))
 
 
 @query
 def divergences(spark, folder):
-    from .operators import extract
+    from .operators import extract_table
 
-    return _gathered(spark, folder).select("poi_id", F.array_join(extract.divergences(F.col("snippets")), "|").alias("divergences"))
+    found = extract_table.divergences(_all_snippets(spark, folder))
+    return found.select("poi_id", F.array_join("divergences", "|").alias("divergences"))
 
 
 @query

@@ -90,11 +90,10 @@ def _clock(raw: Column) -> Column:
     return F.concat(F.lpad(parts[0], 2, "0"), F.lit(":"), F.substring(F.lpad(parts[1], 2, "0"), 1, 2))
 
 
-def structured_hours(snippets: Column) -> Column:
-    """Opening hours by day from title and content; null below two days.
+def day_statements(snippets: Column) -> Column:
+    """Statements on days from titles and contents, in order: word, open, close.
 
-    The first statement on a day wins. Matches are found in one pass and taken
-    apart afterwards, on the short matched text only.
+    Matches are found in one pass and taken apart afterwards, on the short matched text only.
     """
     def rows(snippet: Column) -> Column:
         text = F.concat(snippet["title"], F.lit(" "), snippet["content"])
@@ -105,18 +104,31 @@ def structured_hours(snippets: Column) -> Column:
             _clock(T.first_match(m, DAY_HOURS, 3, True)).alias("close"),
         ))
 
+    return F.flatten(F.transform(snippets, rows))
+
+
+def structured_hours(snippets: Column) -> Column:
+    """Opening hours by day from title and content; the first statement on a day wins; null below two days."""
     def first_of_day(entries: Column, day: str) -> Column:
         words = [w for w, d in rules.SNIPPET_DAYS.items() if d == day]
         hit = F.get(F.filter(entries, lambda e: e["word"].isin(*words)), F.lit(0))
         return F.when(hit.isNotNull(), F.struct(F.lit(day).alias("day"), hit["open"].alias("open"), hit["close"].alias("close")))
 
     week = T.let(
-        F.flatten(F.transform(snippets, rows)),
+        day_statements(snippets),
         lambda entries: F.array_compact(F.array(*[first_of_day(entries, d) for d in rules.WEEK])),
     )
     return T.let(week, lambda w: F.when(F.size(w) >= 2, w))
 
 
+def price_bracket(middle: Column, category: Column) -> Column:
+    """Level of a median price, by kind of place."""
+    low, mid, high = (
+        F.when(category.eqNullSafe("Sleeping place"), a).otherwise(b) for a, b in zip(SLEEPING_BRACKETS, OTHER_BRACKETS)
+    )
+    return F.when(middle <= low, 1).when(middle <= mid, 2).when(middle <= high, 3).when(middle.isNotNull(), 4)
+
+
 def price_level(snippets: Column, category: Column, legacy: bool = False) -> Column:
     """Level 1-4: repeated symbols, then words, then the median price.
 
@@ -138,38 +150,33 @@ def price_level(snippets: Column, category: Column, legacy: bool = False) -> Col
         lambda v: (v > 0) & (v < 10000),
     )
 
-    def bracket(middle: Column) -> Column:
-        low, mid, high = (
-            F.when(category.eqNullSafe("Sleeping place"), a).otherwise(b) for a, b in zip(SLEEPING_BRACKETS, OTHER_BRACKETS)
-        )
-        return F.when(middle <= low, 1).when(middle <= mid, 2).when(middle <= high, 3).when(middle.isNotNull(), 4)
+    level = T.let(_upper_median(numbers), lambda middle: price_bracket(middle, category))
+    return F.coalesce(_upper_median(symbols), T.let(said, level_said), level).cast("int")
 
-    return F.coalesce(_upper_median(symbols), T.let(said, level_said), T.let(_upper_median(numbers), bracket)).cast("int")
+
+def divergence_texts(hours_differ: Column, low: Column, high: Column, closed: Column, liked: Column) -> Column:
+    """Disagreements in words, from what the snippets of a place say together."""
+    return T.compact_array(
+        F.when(hours_differ, F.lit("Sources report different opening hours — verify locally.")),
+        F.when(high - low >= 1.0, F.concat(
+            F.lit("Rating varies across sources ("), T.one_decimal(low), F.lit(" to "), T.one_decimal(high), F.lit("/5)."))),
+        F.when(closed & liked, F.lit("Some sources suggest this place may be closed — verify before counting on it."))
+        .when(closed, F.lit("Closure signals detected in sources — may be permanently or temporarily closed.")),
+    )
 
 
 def divergences(snippets: Column) -> Column:
     """Disagreements between snippets: hours, ratings, closure."""
-    def hours(ranges: Column) -> Column:
-        differ = (F.size(ranges) >= 2) & (F.size(F.array_distinct(ranges)) > 1)
-        return F.when(differ, F.lit("Sources report different opening hours — verify locally."))
-
-    def spread(ratings: Column) -> Column:
-        low, high = F.array_min(ratings), F.array_max(ratings)
-        return F.when(
-            (F.size(ratings) >= 2) & (high - low >= 1.0),
-            F.concat(F.lit("Rating varies across sources ("), T.one_decimal(low), F.lit(" to "), T.one_decimal(high), F.lit("/5).")),
-        )
-
     ratings = F.filter(
         F.transform(_each(snippets, RATING_DOT_ONLY, 1), lambda r: r.try_cast("double")), lambda v: v.between(1, 5)
     )
-    closed = F.exists(snippets, lambda s: T.matches(s["content"], CLOSURE, True))
-    liked = F.exists(snippets, lambda s: T.matches(s["content"], POSITIVE, True))
-    return T.compact_array(
-        T.let(F.transform(_each(snippets, HOURS_RANGE), F.lower), hours), T.let(ratings, spread),
-        T.let(closed, lambda c: F.when(c & liked, F.lit("Some sources suggest this place may be closed — verify before counting on it."))
-              .when(c, F.lit("Closure signals detected in sources — may be permanently or temporarily closed."))),
+    said = F.struct(
+        F.size(F.array_distinct(F.transform(_each(snippets, HOURS_RANGE), F.lower))).alias("ranges"), ratings.alias("ratings"),
+        F.exists(snippets, lambda s: T.matches(s["content"], CLOSURE, True)).alias("closed"),
+        F.exists(snippets, lambda s: T.matches(s["content"], POSITIVE, True)).alias("liked"),
     )
+    return T.let(said, lambda x: divergence_texts(
+        x["ranges"] > 1, F.array_min(x["ratings"]), F.array_max(x["ratings"]), x["closed"], x["liked"]))
 
 
 def hours_lines(raw: Column) -> Column:

@@ -201,7 +201,7 @@ FROM rule_rows r LEFT JOIN (
 WHERE r.category IN ('Water', 'Gears', 'Wifi') GROUP BY 1"""
 FINAL["segment_distance"] = f"""
 SELECT p.poi_id, s.seg_idx, {metres('d')} AS distance_m FROM pair_dist s JOIN pois p USING (poi_id)
-WHERE track_idx > 0 AND d <= 300"""
+WHERE d <= 300"""
 FINAL["distance_to_track"] = f"SELECT poi_id, track_id, {metres('d')} AS distance_m FROM track_dist WHERE d <= 1500"
 FINAL["corridor_join"] = f"""
 SELECT poi_id, track_id, {metres('d')} AS distance_m, {metres('along')} AS along_m FROM track_dist WHERE d <= 300"""
@@ -416,11 +416,12 @@ SELECT url, {url_page('url')} AS page, {url_host('url')} AS host FROM (SELECT ur
 
 # --- snippets ---------------------------------------------------------------------------
 _WS = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
-CTE["cand"] = f"""
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY pos) AS rn FROM (
+CTE["distinct_pages"] = f"""
+SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY pos) AS rn FROM (
   SELECT *, row_number() OVER (PARTITION BY poi_id, page ORDER BY pos) AS pn FROM (
     SELECT poi_id, pos, title, url, engine, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS content, {url_page('url')} AS page FROM snippets)
-  WHERE content <> '') WHERE pn = 1) WHERE rn <= 16"""
+  WHERE content <> '') WHERE pn = 1"""
+CTE["cand"] = "SELECT * FROM distinct_pages WHERE rn <= 16"
 _FOREIGN = "一-鿿぀-ヿ가-힯Ѐ-ӿ؀-ۿ֐-׿ऀ-ॿ"
 
 
@@ -455,7 +456,9 @@ FINAL["snippet_dedup"] = "SELECT poi_id, pos, url, md5(content) AS content_md5 F
 FINAL["snippet_noise"] = f"SELECT poi_id, pos, {noise_sql()} AS is_noise FROM snippets"
 CTE["placed"] = f"""
 SELECT c.*, locality, county, state, country FROM cand c LEFT JOIN places p USING (poi_id)"""
-FINAL["snippet_geo"] = f"SELECT poi_id, pos, {elsewhere_sql()} AS is_elsewhere FROM placed"
+CTE["all_placed"] = """
+SELECT c.*, locality, county, state, country FROM distinct_pages c LEFT JOIN places p USING (poi_id)"""
+FINAL["snippet_geo"] = f"SELECT poi_id, pos, {elsewhere_sql()} AS is_elsewhere FROM all_placed"
 CTE["kept"] = f"""
 SELECT poi_id, pos, title, url, content, engine FROM (
   SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY pos) AS kn FROM placed WHERE NOT {noise_sql()} AND NOT {elsewhere_sql()}) WHERE kn <= 8"""
@@ -524,7 +527,7 @@ SELECT poi_id, string_agg(engine, ',' ORDER BY pos) AS engines FROM (SELECT poi_
 
 # --- extraction ---------------------------------------------------------------------------
 CTE["gathered"] = """
-SELECT poi_id, list({'pos': pos, 'title': title, 'url': url, 'content': content, 'engine': engine} ORDER BY pos) AS l FROM cand WHERE rn <= 8 GROUP BY 1"""
+SELECT poi_id, list({'pos': pos, 'title': title, 'url': url, 'content': content, 'engine': engine} ORDER BY pos) AS l FROM distinct_pages GROUP BY 1"""
 _RATE = r"(?i)(\d(?:[.,]\d)?)\s*(?:/\s*5|stars?|étoiles?)"
 
 

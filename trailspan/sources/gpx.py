@@ -22,9 +22,17 @@ def parse_gpx(files: DataFrame, path: str = "path", content: str = "content") ->
     dropped before numbering, so ``seq`` is dense. A file that is not XML or holds no
     point is a reject.
     """
-    doc = files.withColumn("_gpx", F.from_xml(F.col(content).cast("string"), GPX))
-    track_points = F.flatten(F.flatten(F.transform("_gpx.trk", lambda t: F.transform(t["trkseg"], lambda s: s["trkpt"]))))
-    route_points = F.flatten(F.transform("_gpx.rte", lambda r: r["rtept"]))
+    raw = F.col(content).cast("string")
+    # A prefix on the root element is on all elements: they are read without it.
+    plain = F.when(raw.rlike(r"<[A-Za-z_][\w.\-]*:gpx[\s>]"), F.regexp_replace(raw, r"<(/?)[A-Za-z_][\w.\-]*:", "<$1")).otherwise(raw)
+    doc = files.withColumn("_gpx", F.from_xml(plain, GPX))
+
+    def joined(parts: Column) -> Column:
+        """All members in order; a part that is missing or empty has none."""
+        return F.flatten(F.filter(parts, lambda p: p.isNotNull()))
+
+    segments = F.transform("_gpx.trk", lambda t: joined(F.transform(t["trkseg"], lambda s: s["trkpt"])))
+    track_points, route_points = joined(segments), joined(F.transform("_gpx.rte", lambda r: r["rtept"]))
 
     def usable(points: Column) -> Column:
         present = F.filter(points, lambda p: p.isNotNull())

@@ -27,8 +27,6 @@ def _clean(col: Column) -> Column:
     return T.blank_to_null(T.collapse(col))
 
 
-# Nodes are read from arrays, @graph and mainEntity down to this depth.
-JSONLD_DEPTH = 3
 _NO_NODES = "CAST(array() AS array<variant>)"
 
 
@@ -47,25 +45,52 @@ def _items(node: Column) -> Column:
     )
 
 
-def _with_children(node: Column, depth: int) -> Column:
-    """The node and all below it, parents first."""
-    own = F.when(_is(node, "OBJECT"), F.array(node)).otherwise(F.expr(_NO_NODES))
-    if depth == 0:
-        return own
-    main = _field(node, "$.mainEntity")
-    below = F.concat(
-        F.coalesce(_field(node, "$['@graph']", "array<variant>"), F.expr(_NO_NODES)),
-        F.when(main.isNull(), F.expr(_NO_NODES)).otherwise(_items(main)),
+_NO_PLACED = "CAST(array() AS array<struct<place:array<int>,node:variant>>)"
+
+
+def _members(node: Column, place: Column) -> Column:
+    """The members of an array, each with its place behind the array's own."""
+    inside = F.coalesce(_field(node, "$", "array<variant>"), F.expr(_NO_NODES))
+    return F.transform(inside, lambda m, i: F.struct(F.concat(place, F.array(i)).alias("place"), m.alias("node")))
+
+
+def _below(item: Column) -> Column:
+    """What stands right below: an array's members; an object's @graph, if an array, and its mainEntity."""
+    node, place = item["node"], item["place"]
+    graph, main = _field(node, "$['@graph']"), _field(node, "$.mainEntity")
+    under = lambda value, k: F.array(F.struct(F.concat(place, F.array(F.lit(k))).alias("place"), value.alias("node")))
+    none = F.expr(_NO_PLACED)
+    children = F.concat(
+        F.when(F.coalesce(_is(graph, "ARRAY"), F.lit(False)), under(graph, 0)).otherwise(none), F.when(main.isNotNull(), under(main, 1)).otherwise(none),
     )
-    return F.concat(own, F.flatten(F.transform(below, lambda c: _with_children(c, depth - 1))))
+    return F.when(_is(node, "ARRAY"), _members(node, place)).when(_is(node, "OBJECT"), children).otherwise(none)
 
 
 def jsonld_nodes(html: Column) -> Column:
-    """All nodes of the page's ld+json blocks; blocks that are not JSON are skipped."""
+    """All nodes of the page's ld+json blocks, parents first, at any depth; blocks that are not JSON are skipped.
+
+    Level by level: the opening brackets of a page's blocks bound its depth. Places put the nodes of
+    all levels back into the order of the document.
+    """
     blocks = T.all_matches(html, _LD_JSON, 1, ignore_case=True)
-    parsed = F.filter(F.transform(blocks, F.try_parse_json), lambda v: v.isNotNull())
-    tops = F.flatten(F.transform(parsed, _items))
-    return F.flatten(F.transform(tops, lambda n: _with_children(n, JSONLD_DEPTH)))
+
+    def walked(blocks: Column) -> Column:
+        parsed = F.transform(blocks, lambda b, i: F.struct(F.array(i).alias("place"), F.try_parse_json(b).alias("node")))
+        tops = F.filter(parsed, lambda t: t["node"].isNotNull())
+        depth = F.aggregate(blocks, F.lit(0), lambda n, b: n + F.regexp_count(b, F.lit(r"[\[{]")))
+        start = F.struct(F.expr(_NO_PLACED).alias("found"), tops.cast("array<struct<place:array<int>,node:variant>>").alias("level"))
+
+        def step(state: Column, _: Column) -> Column:
+            objects = F.filter(state["level"], lambda t: _is(t["node"], "OBJECT"))
+            return F.when(F.size(state["level"]) == 0, state).otherwise(F.struct(
+                F.concat(state["found"], objects).alias("found"), F.flatten(F.transform(state["level"], _below)).alias("level"),
+            ))
+
+        found = F.aggregate(F.sequence(F.lit(0), depth), start, step)["found"]
+        ordered = F.array_sort(found, lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0))
+        return F.transform(ordered, lambda t: t["node"])
+
+    return T.let(blocks, walked)
 
 
 def _text_of(value: Column) -> Column:
