@@ -40,7 +40,7 @@ WINDOW = 50
 #: Words of an anchor.
 ANCHOR = 8
 #: Words that a task hashes before it sends windows off.
-FLUSH_WORDS = 2_000_000
+FLUSH_WORDS = 800_000
 _WORD_BASE, _ANCHOR_BASE = 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A35
 _SENT = "bucket long, decided boolean, ids binary, keys binary, starts binary, lengths binary, anchors binary, hashes binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int64()), ("decided", pa.bool_())] + [(c, pa.binary()) for c in ("ids", "keys", "starts", "lengths", "anchors", "hashes")])
