@@ -196,3 +196,23 @@ def test_plans_have_no_nested_loops_and_no_row_udfs(spark):
     assert "WindowGroupLimit" in plan_of(QUERIES["snippet_topk"](spark, folder))
     scan = plan_of(QUERIES["track_length"](spark, folder))
     assert "ReadSchema: struct<event_id:bigint>" in scan
+
+
+def test_runs_do_not_meet(spark):
+    """Another run's tracks change nothing: not what is near, not the radius, not the merging."""
+    from pyspark.sql import functions as F
+
+    from trailspan.plans.corridor import corridor_pois
+
+    rows = [("node", k, 48.85 + 0.0004 * k, 2.35, {"amenity": "drinking_water"}, k) for k in range(40)]
+    elements = spark.createDataFrame(rows, "type string, id long, lat double, lon double, tags map<string,string>, ord long").withColumn(
+        "center", F.lit(None).cast("struct<lat:double,lon:double>"))
+    def track(run, idx, lon):
+        return [(f"t{idx}", idx, s, 48.85 + 0.001 * s, lon, None, None, run) for s in range(18)]
+    schema = "track_id string, track_idx int, seq long, lat double, lon double, ele double, time string, run_id string"
+    one, two = track("a", 0, 2.351), track("b", 1, 2.352)
+    def near(points, run):
+        out = corridor_pois(elements, spark.createDataFrame(points, schema), 400.0)
+        return [(r.poi_id, r.n_merged, round(r.distance_to_trace, 6)) for r in out.filter(F.col("run_id") == run).collect()]
+    assert near(one + two, "a") == near(one, "a") != []
+    assert near(one + two, "b") == near(two, "b") != []

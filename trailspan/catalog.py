@@ -139,6 +139,14 @@ def corridor_join(spark, folder):
     )
 
 
+@query
+def corridor_runs(spark, folder):
+    """Three users' tracks at once: each place is reported for every run it is near."""
+    points = testbed.points(spark, folder).withColumn("run_id", F.concat(F.lit("run"), F.col("track_idx") % 3))
+    near = corridor.corridor_filter(_pois(spark, folder), points, 1500.0)
+    return near.select("run_id", "poi_id", metres("distance_to_trace").alias("distance_m"))
+
+
 @query
 def along_track(spark, folder):
     near = corridor.nearest_track(_distances(spark, folder))
@@ -335,8 +343,8 @@ def cache_lookup_stats(spark, folder):
 def cache_split(spark, folder):
     from .operators import cache
 
-    reuse, work = cache.split_by_cache(_pois(spark, folder), _cache(spark, folder), AS_OF)
-    return reuse.select("poi_id", F.lit("reuse").alias("action")).unionByName(work.select("poi_id", F.lit("work").alias("action")))
+    flagged = cache.with_reuse(_pois(spark, folder), _cache(spark, folder), AS_OF)
+    return flagged.select("poi_id", F.when(F.col("reuse"), "reuse").otherwise("work").alias("action"))
 
 
 @query

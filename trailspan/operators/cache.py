@@ -41,18 +41,20 @@ def lookup_stats(requests: DataFrame, cache: DataFrame, as_of: str) -> DataFrame
     )
 
 
+def with_reuse(pois: DataFrame, cache: DataFrame, as_of: str, max_age_days: int = MAX_AGE_DAYS) -> DataFrame:
+    """Adds ``reuse``: whether a place has a fresh cached row. One join; every place stays once."""
+    fresh = cache.filter(~is_stale(as_of, max_age_days)).select(F.col("osm_type").alias("_type"), F.col("osm_id").alias("_id"), F.lit(True).alias("reuse")).distinct()
+    wanted = pois.drop("reuse").withColumn("_key", F.when(cacheable(), F.col("osm_id")))
+    found = wanted.join(fresh, (F.col("osm_type") == F.col("_type")) & (F.col("_key") == F.col("_id")), "left")
+    return found.drop("_key", "_type", "_id").withColumn("reuse", F.coalesce("reuse", F.lit(False)))
+
+
 def split_by_cache(
     pois: DataFrame, cache: DataFrame, as_of: str, max_age_days: int = MAX_AGE_DAYS
 ) -> tuple[DataFrame, DataFrame]:
-    """Places whose fresh cached row is reused, and places to work on."""
-    fresh = cache.filter(~is_stale(as_of, max_age_days)).select(*KEY)
-    wanted = pois.withColumn("_key", F.when(cacheable(), F.col("osm_id")))
-    matching = (F.col("w.osm_type") == F.col("f.osm_type")) & (F.col("w._key") == F.col("f.osm_id"))
-    w, f = wanted.alias("w"), fresh.alias("f")
-    return (
-        w.join(f, matching, "left_semi").drop("_key"),
-        w.join(f, matching, "left_anti").drop("_key"),
-    )
+    """Places whose fresh cached row is reused, and places to work on. To use both in one job, take ``with_reuse``."""
+    flagged = with_reuse(pois, cache, as_of, max_age_days)
+    return flagged.filter("reuse").drop("reuse"), flagged.filter("NOT reuse").drop("reuse")
 
 
 def acceptable(updates: DataFrame) -> DataFrame:

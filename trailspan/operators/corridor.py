@@ -92,7 +92,8 @@ def track_distances(
 ) -> DataFrame:
     """Distance and position along the track for each (place, track) in reach.
 
-    Columns: ``poi_id``, ``track_idx``, ``track_id``, ``distance_m``, ``along_m``.
+    Columns: ``poi_id``, ``track_idx``, ``track_id``, ``distance_m``, ``along_m``, and ``run_id`` (one user's
+    upload) if the points have it.
     The distance is the least over all segments and the last point; the position
     belongs to the nearest segment, the first one on a tie.
     """
@@ -105,7 +106,7 @@ def track_distances(
     on_segment = F.when(
         ~F.col("is_tail"), F.struct("d", "seg_idx", (F.col("cum_start_m") + F.col("t") * F.col("seg_len_m")).alias("at"))
     )
-    return (
+    near = (
         pairs.groupBy("poi_id", "track_idx", "track_id")
         .agg(F.min("d").alias("distance_m"), F.min(on_segment).alias("_best"))
         .filter(F.col("distance_m") <= float(max_distance_m))
@@ -114,13 +115,18 @@ def track_distances(
             F.coalesce("_best.at", F.lit(0.0)).alias("along_m"),
         )
     )
+    if "run_id" not in points.columns:
+        return near
+    # A track belongs to one run: one row per track is joined.
+    return near.join(points.groupBy("track_idx", "track_id").agg(F.min("run_id").alias("run_id")), ["track_idx", "track_id"])
 
 
 def nearest_track(distances: DataFrame) -> DataFrame:
-    """The nearest track of each place; the lowest track index wins a tie."""
+    """The nearest track of each place, in each run if there are runs; the lowest track index wins a tie."""
     best = F.min(F.struct("distance_m", "track_idx", "track_id", "along_m")).alias("_best")
-    return distances.groupBy("poi_id").agg(best).select(
-        "poi_id", F.col("_best.track_idx").alias("track_idx"), F.col("_best.track_id").alias("track_id"),
+    key = [c for c in ("run_id", "poi_id") if c in distances.columns]
+    return distances.groupBy(*key).agg(best).select(
+        *key, F.col("_best.track_idx").alias("track_idx"), F.col("_best.track_id").alias("track_id"),
         F.col("_best.distance_m").alias("distance_to_trace"),
         F.col("_best.along_m").alias("along_trace_distance"),
     )
@@ -129,13 +135,13 @@ def nearest_track(distances: DataFrame) -> DataFrame:
 def corridor_filter(
     pois: DataFrame, points: DataFrame, max_distance_m: float = 1500.0, block: int = BLOCK
 ) -> DataFrame:
-    """Places within the distance of any track, with distance and position.
+    """Places within the distance of any track, with distance and position; once for each run the points name.
 
     The join works on ids and coordinates only; the other columns are fetched for
     the places that are kept.
     """
     near = nearest_track(track_distances(pois, points, max_distance_m, block))
-    return pois.join(near, "poi_id")
+    return pois.drop("run_id").join(near, "poi_id") if "run_id" in near.columns else pois.join(near, "poi_id")
 
 
 def distance_sweep(distances: DataFrame, thresholds: Iterable[float]) -> DataFrame:

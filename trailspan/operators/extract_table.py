@@ -67,8 +67,9 @@ def price_levels(snippets: DataFrame, places: DataFrame, legacy: bool = False) -
     prices = F.filter(
         F.transform(T.all_matches(c, X.PRICE, 0, True), lambda m: X._decimal(T.replace(m, r"[€$£¥\s]", ""))), lambda v: (v > 0) & (v < 10000),
     )
+    of_size = lambda n: F.size(F.filter(sizes, lambda v: v == n))
     rows = snippets.select(
-        "poi_id", *(F.size(F.filter(sizes, lambda v, n=n: v == n)).alias(f"s{n}") for n in _SYMBOL_SIZES),
+        "poi_id", *(of_size(n).alias(f"s{n}") for n in _SYMBOL_SIZES),
         *(T.matches(said, source, True).alias(f"w{level}") for level, source in X.PRICE_WORDS), prices.alias("prices"),
     )
     said_by = rows.groupBy("poi_id").agg(

@@ -204,10 +204,11 @@ def hours_rows(pages: DataFrame) -> DataFrame:
     runs; ``line_no`` counts the non-blank lines of the page.
     """
     lines = F.filter(F.transform(F.split("body_text", "\n"), T.strip), lambda x: x != "")
-    named = pages.select("source", "url", F.posexplode(lines).alias("line_no", "line")).filter(_starts_with_day())
+    key = [c for c in ("source", "url", "_page") if c in pages.columns]
+    named = pages.select(*key, F.posexplode(lines).alias("line_no", "line")).filter(_starts_with_day())
     # Exploding drops the lines without hours; a filter on the row would be pushed
     # down and run all of its patterns twice.
-    return with_hours_row(named).select("source", "url", "line_no", F.inline(F.array_compact(F.array("row"))))
+    return with_hours_row(named).select(*key, "line_no", F.inline(F.array_compact(F.array("row"))))
 
 
 def hours_blocks(pages: DataFrame, max_gap: int = 2) -> DataFrame:
@@ -217,11 +218,12 @@ def hours_blocks(pages: DataFrame, max_gap: int = 2) -> DataFrame:
     entry is none. Only lines with hours take part in the window: the distance to
     the hit before shows whether the block had ended.
     """
-    hits = hours_rows(pages)
-    w = W.partitionBy("source", "url").orderBy("line_no")
+    # Every row of pages is a page of its own, also where one URL was fetched twice.
+    hits = hours_rows(pages.withColumn("_page", F.monotonically_increasing_id()))
+    w = W.partitionBy("_page").orderBy("line_no")
     broken = F.coalesce(F.col("line_no") - F.lag("line_no").over(w) - 1 > max_gap, F.lit(False)).cast("int")
     first = (
         hits.withColumn("_broken", broken).withColumn("_block", F.sum("_broken").over(w)).filter("_block = 0")
-        .withColumn("_n", F.count("*").over(W.partitionBy("source", "url"))).filter("_n >= 2")
+        .withColumn("_n", F.count("*").over(W.partitionBy("_page"))).filter("_n >= 2")
     )
     return first.select("source", "url", "line_no", "day", "open", "close")

@@ -203,6 +203,9 @@ FINAL["segment_distance"] = f"""
 SELECT p.poi_id, s.seg_idx, {metres('d')} AS distance_m FROM pair_dist s JOIN pois p USING (poi_id)
 WHERE d <= 300"""
 FINAL["distance_to_track"] = f"SELECT poi_id, track_id, {metres('d')} AS distance_m FROM track_dist WHERE d <= 1500"
+FINAL["corridor_runs"] = f"""
+SELECT run_id, poi_id, {metres('d')} AS distance_m FROM (
+  SELECT 'run' || (track_idx % 3) AS run_id, poi_id, min(d) AS d FROM track_dist WHERE d <= 1500 GROUP BY 1, 2)"""
 FINAL["corridor_join"] = f"""
 SELECT poi_id, track_id, {metres('d')} AS distance_m, {metres('along')} AS along_m FROM track_dist WHERE d <= 300"""
 FINAL["along_track"] = f"SELECT poi_id, track_id, {metres('along')} AS along_m FROM nearest"

@@ -19,9 +19,12 @@ def corridor_pois(
 ) -> DataFrame:
     """Categorise, keep what is near a track, merge duplicates, order by position.
 
-    ``elements`` needs ``ord``, the input order, unique per element.
+    ``elements`` needs ``ord``, the input order, unique per element. If ``points`` has ``run_id``
+    (one user's upload), every run is worked on by itself: what is near, the merging radius, the
+    merging and the order depend on its own tracks alone.
     """
     places = pois.categorize(elements, categories)
     near = corridor.corridor_filter(places, points, max_distance_m)
     kept = dedup.dedup_pois(near, dedup_radius_m)
-    return kept.orderBy(F.col("along_trace_distance"), F.col("ord"))
+    run = [F.col("run_id")] if "run_id" in kept.columns else []
+    return kept.orderBy(*run, F.col("along_trace_distance"), F.col("ord"))

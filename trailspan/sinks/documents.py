@@ -117,8 +117,11 @@ def _background() -> Column:
     return F.coalesce(T.lookup(rules.OSMAND_BACKGROUND, F.col("category")), F.lit(rules.OSMAND_BACKGROUND_FALLBACK))
 
 
-def _lines(df: DataFrame, section: int, order: Column, text: Column) -> DataFrame:
-    return df.select("doc_id", F.lit(section).alias("section"), order.cast("long").alias("ord"), text.alias("text"))
+def _lines(df: DataFrame, section: int, order: Column, text: Column, tie: Column | None = None) -> DataFrame:
+    """``tie`` decides between lines of equal ``ord``, so that equal input gives equal files."""
+    return df.select(
+        "doc_id", F.lit(section).alias("section"), order.cast("long").alias("ord"), (F.lit("") if tie is None else tie).alias("tie"), text.alias("text"),
+    )
 
 
 def gpx_lines(pois: DataFrame, points: DataFrame, tracks: DataFrame, osmand: bool = False) -> DataFrame:
@@ -142,7 +145,7 @@ def gpx_lines(pois: DataFrame, points: DataFrame, tracks: DataFrame, osmand: boo
     position = T.js_round(F.col("along_trace_distance") * 1000)
     parts = [
         _lines(docs, 0, F.lit(0), F.lit(head)),
-        _lines(waypoints(by_doc, osmand), 4, position, F.col("text")),
+        _lines(waypoints(by_doc, osmand), 4, position, F.col("text"), F.col("poi_id")),
         _lines(docs, 5, F.lit(0), F.concat(F.lit("  <trk>\n    <name>"), T.escape_xml(F.col("name")), F.lit("</name>\n    <trkseg>"))),
         _lines(points.withColumn("doc_id", F.col("track_id")), 6, F.col("seq"), point),
         _lines(docs, 7, F.lit(0), F.lit("    </trkseg>\n  </trk>\n</gpx>")),
@@ -157,7 +160,7 @@ def gpx_lines(pois: DataFrame, points: DataFrame, tracks: DataFrame, osmand: boo
         )
         parts += [
             _lines(docs, 1, F.lit(0), F.lit("  <extensions>\n    <osmand:points_groups>")),
-            _lines(used, 2, F.col("first"), group),
+            _lines(used, 2, F.col("first"), group, F.col("category")),
             _lines(docs, 3, F.lit(0), F.lit("    </osmand:points_groups>\n  </extensions>")),
         ]
     out = parts[0]
@@ -202,12 +205,13 @@ def kml_lines(pois: DataFrame, points: DataFrame, tracks: DataFrame) -> DataFram
         ",", T.number_text(F.col("lon")), T.number_text(F.col("lat")), F.coalesce(T.number_text(F.col("ele")), F.lit("0"))
     )
 
-    def line(df: DataFrame, section: int, text: Column, folder: str | None = None, order: Column | None = None) -> DataFrame:
+    def line(df: DataFrame, section: int, text: Column, folder: str | None = None, order: Column | None = None, tie: Column | None = None) -> DataFrame:
         zero = F.lit(0).cast("long")
         return df.select(
             "doc_id", F.lit(section).alias("section"), (F.col(folder) if folder else zero).alias("folder"),
             (F.col("category") if folder else F.lit("")).alias("category"),
-            (order if order is not None else zero).cast("long").alias("ord"), text.alias("text"),
+            (order if order is not None else zero).cast("long").alias("ord"),
+            (F.lit("") if tie is None else tie).alias("tie"), text.alias("text"),
         )
 
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2">\n  <Document>\n    <name>Places along the route</name>'
@@ -220,7 +224,7 @@ def kml_lines(pois: DataFrame, points: DataFrame, tracks: DataFrame) -> DataFram
         line(points.withColumn("doc_id", F.col("track_id")), 2, point, order=F.col("seq")),
         line(docs, 3, F.lit("      </coordinates></LineString>\n    </Placemark>")),
         line(folders, 4, F.concat(F.lit("    <Folder>\n      <name>"), T.escape_xml(F.col("category")), F.lit("</name>")), "folder", F.lit(-1)),
-        line(placemarks(by_doc).join(folders, ["doc_id", "category"]), 4, F.col("text"), "folder", F.col("_at")),
+        line(placemarks(by_doc).join(folders, ["doc_id", "category"]), 4, F.col("text"), "folder", F.col("_at"), F.col("poi_id")),
         line(folders, 4, F.lit("    </Folder>"), "folder", F.lit((1 << 62))),
         line(docs, 5, F.lit("  </Document>\n</kml>")),
     ]
@@ -236,7 +240,7 @@ def write_documents(lines: DataFrame, path: str, partitions: int | None = None)
     Rows are range-partitioned in document order: a document larger than one task
     spans part files whose names sort in order.
     """
-    order = ["doc_id", *[c for c in ("section", "folder", "category", "ord") if c in lines.columns]]
+    order = ["doc_id", *[c for c in ("section", "folder", "category", "ord", "tie") if c in lines.columns]]
     ranged = lines.repartitionByRange(partitions, *order) if partitions else lines.repartitionByRange(*order)
     ranged.sortWithinPartitions(*order).select("doc_id", "text").write.mode("overwrite").partitionBy("doc_id").text(path)
 
