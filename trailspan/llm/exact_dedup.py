@@ -38,9 +38,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("t"))
     narrow = written(rows.select("doc_id", F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, head_chars)).alias("head")), "exact-narrow")
 
-    lengths = narrow.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select("n")
+    lengths = written(narrow.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select("n"), "exact-lengths")
     same_length = narrow.join(lengths, "n", "left_semi")
-    heads = same_length.groupBy("n", "head").agg(F.count("*").alias("c")).where("c > 1").select("n", "head")
+    # Keys of groups are written, so that a join deals both of its sides out itself and can split a hot key.
+    heads = written(same_length.groupBy("n", "head").agg(F.count("*").alias("c")).where("c > 1").select("n", "head"), "exact-heads")
     same_head = same_length.join(heads, ["n", "head"], "left_semi")
 
     # Nulls do not meet in a join by equality; flag and value together do.
@@ -50,6 +51,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "no_id", "id", F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, head_chars)).alias("head"), F.sha2("t", 256).alias("full"),
     ), "exact-full")
     groups = full.groupBy("n", "full").agg(F.min(F.when(~F.col("no_id"), F.col("id"))).alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = written(groups, "exact-groups")
     decided = full.join(groups, ["n", "full"]).select("no_id", "id", "n", "head", "keep_id", "group_size").distinct()
 
     out = narrow.select("doc_id", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "n", "head")
