@@ -24,7 +24,7 @@ Sets and their relations:
 First each set is compared with its most similar candidate and its hubs; pairs that already hang
 together need no comparison. So no group of copies is expanded into pairs.
 
-Nothing is collected but the frequent shingles (``HOT_LIST`` at most). Hubs' rows are dealt out by
+Nothing is collected but the frequent shingles (``HOT_LIST`` at most) and a filter of 2^26 bits. Hubs' rows are dealt out by
 joins that adaptive execution splits, and by blocks of ``BLOCK`` sets.
 
 Defined cases: null and empty texts and texts of white space have no shingle, link with nothing and
@@ -53,6 +53,8 @@ HOT_LIST = 200_000
 BLOCK = 1024
 SKETCH_BITS = 512
 FLUSH_WORDS = 800_000
+#: Logarithm of the bits of the filter that picks the texts to be compared.
+FILTER_BITS = 26
 #: Entries of an index list from which it is skipped by blocks.
 LONG_LIST = 256
 _BASE = 0xB5297A4D3F84D5B5
@@ -170,7 +172,10 @@ _PACKED_ARROW = pa.schema([("bucket", pa.int64()), ("star", pa.bool_())] + [(c,
 
 
 def _indexed(shingle: int, percent: int, buckets: int, flush_words: int, shared):
-    """First shingles of every set, packed by the bucket of the shingle; and (set, hub) for frequent ones."""
+    """First shingles of every set, packed by the bucket of the shingle; and (set, hub) for frequent ones.
+
+    Inside its bucket half of a shingle's hash stands for it: two that are mixed up make a candidate more, never one less.
+    """
 
     def packed(where: np.ndarray, star: bool, columns: dict[str, np.ndarray]) -> Iterator[dict]:
         by = np.argsort(where, kind="stable")
@@ -197,7 +202,7 @@ def _indexed(shingle: int, percent: int, buckets: int, flush_words: int, shared)
         row, pos = row[at], at - np.repeat(first, use)
         value, place, n = value[at], place[at], counts[row].astype(np.int32)
         plain = place < 0
-        rows = list(packed(value[plain] % np.uint64(buckets), False, {"a": fp[row[plain]], "b": value[plain], "n": n[plain], "pos": pos[plain].astype(np.int32)}))
+        rows = list(packed(value[plain] % np.uint64(buckets), False, {"a": fp[row[plain]], "b": (value[plain] >> np.uint64(32)).astype(np.uint32), "n": n[plain], "pos": pos[plain].astype(np.int32)}))
         x, r = fp[row[~plain]], hot.hub[place[~plain]] if len(hot.hub) else np.empty(0, np.int64)
         if len(x):
             pair = np.unique(np.stack([x, r], axis=1)[x != r], axis=0)
@@ -259,7 +264,7 @@ def _listed(percent: int):
                 x, r = np.frombuffer(row["a"], np.int64), np.frombuffer(row["b"], np.int64)
                 out.append(pa.table([pa.array(x), pa.array(r), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.int32()), pa.array(np.ones(len(x), bool))], schema=_PAIR_ARROW))
                 continue
-            for held, c, kind in zip(parts, ("a", "b", "n", "pos"), (np.int64, np.uint64, np.int32, np.int32), strict=True):
+            for held, c, kind in zip(parts, ("a", "b", "n", "pos"), (np.int64, np.uint32, np.int32, np.int32), strict=True):
                 held.append(np.frombuffer(row[c], kind))
         if parts[0]:
             fp, token, n, pos = (np.concatenate(x) for x in parts)
@@ -322,10 +327,27 @@ def _near(percent: int):
 _SET_ARROW = pa.schema([("fp", pa.int64()), ("items", pa.binary())])
 
 
-def _sets(shingle: int):
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit map of 2^FILTER_BITS bits with two bits set for each ``k``: bounded, whatever the table's size."""
+    mask = (1 << FILTER_BITS) - 1
+    bit = keys.select(F.explode(F.array(F.expr(f"k & {mask}L"), F.expr(f"shiftrightunsigned(k, {FILTER_BITS}) & {mask}L"))).alias("p"))
+    words = bit.groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def _sets(shingle: int, shared):
+    """Sets of the rows whose key may be asked for; a few more may come, which changes no answer."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask, words = np.uint64((1 << FILTER_BITS) - 1), shared.value
         for batch in batches:
-            data, offsets = string_parts(batch.column("text"))
+            k = batch.column("k").to_numpy().view(np.uint64)
+            use = np.ones(len(k), bool)
+            for p in (k & mask, (k >> np.uint64(FILTER_BITS)) & mask):
+                use &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+            data, offsets = string_parts(batch.column("text").filter(pa.array(use)))
             for a, b in slices(offsets):
                 value, counts = shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], shingle)
                 edge = np.append(0, np.cumsum(counts))
@@ -363,7 +385,8 @@ def _checked(percent: int):
 
 
 def check_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Each pair (x, y, star) with its exact answer."""
+    """Each pair (x, y, star) with its exact answer. The pairs are written first: few of them are sent to the sets."""
+    pairs = written(pairs, "join-asked-pairs")
     left = pairs.join(sets.select(F.col("fp").alias("x"), F.col("items").alias("ix")), "x")
     whole = left.join(sets.select(F.col("fp").alias("y"), F.col("items").alias("iy")), "y")
     return written(whole.select("x", "y", "star", "ix", "iy").mapInArrow(_checked(percent), _CHECKED), "checked")
@@ -436,7 +459,8 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = written(rows.mapInArrow(_surveyed(shingle, flush_words), _FIRST), "join-survey")
     members = first.where("not hot").select("doc_id", "fp", "n")
-    nodes = first.where("not hot and n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
+    row_id = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"))
+    nodes = first.where("not hot and n > 0").groupBy("fp").agg(F.max("sketch").alias("sketch"), F.min(row_id).alias("row"))
     often = first.where("hot").groupBy("token").agg(F.sum("sets").alias("sets"), F.min("hub").alias("hub")).where(F.col("sets") >= hot_sets)
     hot = often.orderBy(F.desc("sets"), "token").limit(hot_list).toArrow()
     shared = spark.sparkContext.broadcast(HotList(*(hot.column(c).to_numpy().astype(np.int64) for c in ("token", "sets", "hub"))))
@@ -451,13 +475,12 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     near = written(sx.join(nodes.select(F.col("fp").alias("y"), F.col("sketch").alias("sy")), "y").mapInArrow(_near(percent), "x long, y long, d int"), "join-near")
     stars = written(found.where("star").select("x", "y").distinct(), "join-stars")
 
-    # Texts of the nodes that are compared at all, one document for each.
+    # Sets of the nodes that are compared at all, from one row of each. The filter has a fixed size; where it
+    # lets more rows through, more sets are written.
     wanted = near.select(F.explode(F.array("x", "y")).alias("fp")).unionAll(stars.select(F.explode(F.array("x", "y")).alias("fp"))).distinct()
-    asked = first.where("not hot and n > 0").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("k"))
-    asked = written(asked.select("fp", "k.no_id", "k.id"), "join-asked")
-    read = rows.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text")
-    # Rows that share an id may bring a node that wasn't asked for, or one twice: neither changes an answer.
-    sets = written(read.join(asked.select("no_id", "id").distinct(), ["no_id", "id"], "left_semi").select("text").mapInArrow(_sets(shingle), "fp long, items binary"), "join-sets")
+    asked = nodes.join(wanted, "fp", "left_semi").select(F.when(~F.col("row.no_id"), F.col("row.id")).alias("doc_id"))
+    chosen = spark.sparkContext.broadcast(key_filter(asked.select(F.xxhash64("doc_id").alias("k"))))
+    sets = written(rows.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(_sets(shingle, chosen), "fp long, items binary"), "join-sets")
 
     # Each set with its most similar candidate, and with its hubs.
     both = near.unionAll(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "d"))
