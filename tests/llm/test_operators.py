@@ -115,6 +115,9 @@ def test_html_extraction(spark):
     assert html_text.main_text(PAGE) == want
     article = "<nav><a href=x>menu</a></nav><article><h1>A title</h1><p>x</p><p>" + "word " * 200 + "</p></article><footer>f</footer>"
     assert html_text.main_text(article) == "A title\n\nx\n\n" + ("word " * 200).strip()
+    wrapped = f'<body><form><div class="layout with-sidebar"><div class=header><h1>Site</h1></div>{article}<article class=comment><p>{"no " * 100}</p></article></div></form>'
+    assert html_text.main_text(wrapped) == html_text.main_text(article)
+    assert html_text.main_text(f'<div class="page no-ads"><h1>T</h1><p>{"w " * 90}</p><div style="display: none"><p>{"x " * 60}</p></div></div>') == "T\n\n" + ("w " * 90).strip()
     for empty in (None, "", "   ", "<p></p>", "<nav>only a menu</nav>", "<!-- c -->", "<script>1</script>", "<", "</p>", "<a"):
         assert isinstance(html_text.main_text(empty), str)
     assert html_text.main_text(None) == html_text.main_text("<nav>only a menu</nav>") == ""

@@ -8,7 +8,7 @@ over a threshold, a share of their spread, cluster as content.
 
 A cluster says *where* the article is; which lines it has follows from the page's structure, so
 that short paragraphs between long ones stay. The region is the innermost element that holds
-nearly all of the clustered text, or an ``article`` or ``main`` element that does. All lines of the region
+nearly all of the clustered text, or an ``article`` or ``main`` element with most of it. All lines of the region
 are kept but those in elements that never hold the article (menus, headers, footers, side bars,
 notices, adverts, forms, comments): by tag, by ARIA role, or by a word in ``class`` or ``id``.
 
@@ -55,23 +55,24 @@ _WORDS = frozenset(
 )
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-_PLACES = frozenset("article main body html".split())
+_INNER = frozenset("p pre li td tr blockquote ul ol h1 h2 h3 h4 h5 h6".split())
+_COMMENT = frozenset("comment reply".split())
 
 
-def _apart(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
-    """Whether an element never holds the article."""
+def _apart(tag: str, attributes: list[tuple[str, str | None]]) -> int:
+    """Whether an element holds something else than the article: 2 by what it is, 1 by its name, 0 not."""
     if tag in _ASIDE:
-        return True
-    if tag in _PLACES:
-        return False
+        return 1 if tag == "form" else 2  # some pages are one form
+    by_name = 0
     for name, value in attributes:
-        if name == "role" and value and value.strip().lower() in _ROLES or name == "hidden":
-            return True
-        if name in ("class", "id") and value:
+        value = (value or "").lower() if name in ("role", "style") else value
+        if name == "role" and value.strip() in _ROLES or name == "hidden" or name == "style" and "display:none" in re.sub(r"\s", "", value):
+            return 2
+        if name in ("class", "id") and value and tag not in ("main", "body", "html"):
             words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            if not _WORDS.isdisjoint(words):
-                return True
-    return False
+            if not (_COMMENT if tag == "article" else _WORDS).isdisjoint(words):
+                by_name = 1
+    return by_name
 
 
 class _Lines(HTMLParser):
@@ -79,18 +80,17 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, number, apart, hidden
-        self.parent, self.tag_of, self.links = [-1], [""], 0
+        self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, number, hidden
+        self.parent, self.tag_of, self.apart, self.links = [-1], [""], [0], 0
         self.now: list[str] = []
         self.tags = self.linked = 0
-        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, linked characters, element, apart
+        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, linked characters, element
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.now).split())
         self.now = []
         if text:
-            _, element, apart, _ = self.open[-1]
-            self.lines.append((text, self.tags, self.linked, element, apart))
+            self.lines.append((text, self.tags, self.linked, self.open[-1][1]))
             self.tags = self.linked = 0
 
     def _leave(self, depth: int) -> None:
@@ -125,10 +125,11 @@ class _Lines(HTMLParser):
                         break
                 elif self.open[depth][0] in _LIMITS[tag]:
                     break
-        _, element, apart, hidden = self.open[-1]
+        _, element, hidden = self.open[-1]
         self.parent.append(element)
         self.tag_of.append(tag)
-        self.open.append((tag, len(self.parent) - 1, apart or _apart(tag, attrs), hidden or tag in _HIDDEN))
+        self.apart.append(_apart(tag, attrs))
+        self.open.append((tag, len(self.parent) - 1, hidden or tag in _HIDDEN))
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -144,7 +145,7 @@ class _Lines(HTMLParser):
             self._end_line()
 
     def handle_data(self, data: str) -> None:
-        if not self.open[-1][3]:
+        if not self.open[-1][2]:
             self.now.append(data)
             if self.links > 0:
                 self.linked += len(data)
@@ -172,6 +173,31 @@ def content_lines(ratios: np.ndarray, sigma: float = SIGMA, threshold: float = T
     return soft >= min(threshold * float(soft.std()) or 0.0, float(soft.max()))
 
 
+def _below(parent: list[int], amount: np.ndarray) -> np.ndarray:
+    """Each element's amount with all that is inside it; parents come before their children."""
+    out = amount.astype(float)
+    for element in range(len(parent) - 1, 0, -1):
+        out[parent[element]] += out[element]
+    return out
+
+
+def _set_apart(page: _Lines, length: np.ndarray, element: np.ndarray) -> np.ndarray:
+    """For each element whether it stands apart from the article, itself or by what it is in.
+
+    A name alone doesn't set apart what holds an article or main element, or a first heading and most
+    of the text: that is a wrapper, such as "with-sidebar".
+    """
+    n = len(page.parent)
+    holds_article = _below(page.parent, np.array([t in ("article", "main") for t in page.tag_of])) - np.array([t in ("article", "main") for t in page.tag_of])
+    holds_heading = _below(page.parent, np.array([t == "h1" for t in page.tag_of])) > 0
+    text = _below(page.parent, np.bincount(element, length, n))
+    out = np.zeros(n, bool)
+    for e in range(n):
+        wrapper = holds_article[e] > 0 or holds_heading[e] and text[e] > 0.5 * text[0]
+        out[e] = page.apart[e] == 2 or page.apart[e] == 1 and not wrapper or page.parent[e] >= 0 and out[page.parent[e]]
+    return out
+
+
 def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD, held: float = HELD) -> str:
     """The article of one page."""
     page = _Lines()
@@ -181,29 +207,26 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     if not lines:
         return ""
     length = np.array([len(t) for t, *_ in lines], float)
-    ratio = np.array([max(0, len(t) - k) / max(1, g) for t, g, k, *_ in lines])
-    apart = np.array([a for *_, a in lines])
+    element = np.array([e for *_, e in lines])
+    apart = _set_apart(page, length, element)[element]
+    ratio = np.array([max(0, len(t) - k) / max(1, g) for t, g, k, _ in lines])
     ratio[apart] = 0.0
     chosen = content_lines(ratio, sigma, threshold) & ~apart & (ratio > 0)
     if not chosen.any():
         return ""
-    inside = np.zeros(len(page.parent))
-    for line in np.flatnonzero(chosen):
-        element = lines[line][3]
-        while element >= 0:
-            inside[element] += length[line]
-            element = page.parent[element]
-    enough = np.flatnonzero(inside >= held * length[chosen].sum())
-    region = int(enough.max())  # elements are numbered from the outside in: the innermost comes last
-    for element in enough:
-        if page.tag_of[element] in ("article", "main"):
-            region = int(element)
-    while page.tag_of[region] not in _BLOCK and page.parent[region] >= 0 or page.tag_of[region] in ("p", "pre", "li", "td", "blockquote", "tr", "ul", "ol") and page.parent[region] >= 0:
+    inside = _below(page.parent, np.bincount(element[chosen], length[chosen], len(page.parent)))
+    total = inside[0]
+    # Elements are numbered from the outside in: the innermost that holds enough comes last.
+    region = int(np.flatnonzero(inside >= held * total).max())
+    for e in np.flatnonzero(inside > 0.5 * total):
+        if page.tag_of[e] in ("article", "main"):
+            region = int(e)
+    while page.parent[region] >= 0 and (page.tag_of[region] not in _BLOCK or page.tag_of[region] in _INNER):
         region = page.parent[region]
     within = np.zeros(len(page.parent), bool)
-    for element in range(len(page.parent)):
-        within[element] = element == region or page.parent[element] >= 0 and within[page.parent[element]]
-    return "\n\n".join(t for t, _, _, element, out in lines if within[element] and not out)
+    for e in range(len(page.parent)):
+        within[e] = e == region or page.parent[e] >= 0 and within[page.parent[e]]
+    return "\n\n".join(line[0] for line, e, out in zip(lines, element, apart, strict=True) if within[e] and not out)
 
 
 _TEXT_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_substring_dedup": substring_dedup.ORACLE,
+    "op3_warc_salvage": warc.ORACLE,
     "op4_ngram_jaccard": ngram_join.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }

@@ -247,3 +247,21 @@ def op3_warc_salvage(spark, sf_dir: str) -> DataFrame:
     found = read_archives(spark.read.schema(_ARCHIVE).parquet(folder), with_payload=False)
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:x-record:(-?[0-9]+)>$', 1) as long)")
     return found.where("kind = 'record'").select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+#: Base32 of the hexadecimal SHA-1, five bits at a time.
+ORACLE = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), g AS (
+  SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS last FROM p
+), b AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), i -> ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010',
+    '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', substr(x, i, 1))]), '') AS bits FROM g
+)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), j -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, 5 * j + 1, 1)::INT + 8 * substr(bits, 5 * j + 2, 1)::INT
+    + 4 * substr(bits, 5 * j + 3, 1)::INT + 2 * substr(bits, 5 * j + 4, 1)::INT + substr(bits, 5 * j + 5, 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM b
+"""
