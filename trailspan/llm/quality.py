@@ -38,8 +38,8 @@ SIGNS = 4
 REACH = 2
 VOCABULARY = 20_000
 #: Bounds on the labelled rows that the model is fitted on, and on their characters together.
-TRAIN_ROWS = 5_000
-TRAIN_CHARS = 20_000_000
+TRAIN_ROWS = 4_000
+TRAIN_CHARS = 10_000_000
 HIDDEN = 24
 EPOCHS = 60
 THRESHOLD = 0.3
@@ -151,7 +151,7 @@ def fit(texts: list[str], labels: np.ndarray, dimensions: int = DIMENSIONS, voca
     if not len(y) or y.min() == y.max():
         return Model(np.empty(0, np.uint64), np.zeros((0, dimensions)), none, none, none, none, none, 0.0, 1.0, float(y.mean()) if len(y) else 0.5)
     data, offsets = string_parts(pa.array(texts, pa.large_string()))
-    parts = [(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in slices(offsets)]
+    parts = [(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in slices(offsets, 1 << 19)]
     known, context = _word_vectors(parts, vocabulary, dimensions)
     model = Model(known, context, none, none, none, none, none, 0.0, 1.0)
     x = np.concatenate([model.features(d, o) for d, o in parts])
