@@ -116,14 +116,16 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, compress
     joined.select("id", "url", "payload", "refers_to").mapInArrow(_packed(compress, archive_bytes), _ARCHIVE).write.option("compression", "none").parquet(folder)
 
 
-def _inflated(data: memoryview, at: int) -> tuple[bytes, int] | None:
+def _inflated(data: memoryview, at: int, step: int = 1 << 16) -> tuple[bytes, int] | None:
     """(content, end) of the gzip member that starts at ``at``, or None if it isn't whole and right."""
-    reader = zlib.decompressobj(31)
-    try:
-        out = reader.decompress(data[at:])
-    except zlib.error:
-        return None
-    return (out, len(data) - len(reader.unused_data)) if reader.eof else None
+    reader, out = zlib.decompressobj(31), []
+    while not reader.eof and at < len(data):
+        try:
+            out.append(reader.decompress(data[at:at + step]))
+        except zlib.error:
+            return None
+        at = min(at + step, len(data))
+    return (b"".join(out), at - len(reader.unused_data)) if reader.eof else None
 
 
 def _parsed(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
@@ -256,12 +258,12 @@ WITH p AS (
 ), g AS (
   SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS last FROM p
 ), b AS (
-  SELECT *, array_to_string(list_transform(range(1, 41), i -> ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010',
-    '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', substr(x, i, 1))]), '') AS bits FROM g
+  SELECT *, array_to_string([['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010',
+    '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', substr(x, i, 1))] FOR i IN range(1, 41)], '') AS bits FROM g
 )
 SELECT page_id, n AS payload_bytes,
-  array_to_string(list_transform(range(0, 32), j -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, 5 * j + 1, 1)::INT + 8 * substr(bits, 5 * j + 2, 1)::INT
-    + 4 * substr(bits, 5 * j + 3, 1)::INT + 2 * substr(bits, 5 * j + 4, 1)::INT + substr(bits, 5 * j + 5, 1)::INT, 1)), '') AS payload_digest,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, 5 * j + 1, 1)::INT + 8 * substr(bits, 5 * j + 2, 1)::INT
+    + 4 * substr(bits, 5 * j + 3, 1)::INT + 2 * substr(bits, 5 * j + 4, 1)::INT + substr(bits, 5 * j + 5, 1)::INT, 1) FOR j IN range(0, 32)], '') AS payload_digest,
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
 FROM b
 """
