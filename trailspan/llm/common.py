@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,40 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_scopes: list[list[tuple[str, str]]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; Hadoop deletes it when the session's JVM ends."""
+    """A new path in the shared folder; Hadoop deletes it when the session's JVM ends, if no scope does before."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    place, store = _hadoop(spark, path)
+    store.deleteOnExit(place)
+    if _scopes:
+        _scopes[-1].append((name, path))
     return path
 
 
+def _hadoop(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: tuple[str, ...] = ()) -> Iterator[None]:
+    """Deletes at its end what was written inside, but for tables of the names in ``keep``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for name, path in _scopes.pop():
+            if name in keep:
+                if _scopes:
+                    _scopes[-1].append((name, path))
+                continue
+            place, store = _hadoop(spark, path)
+            store.delete(place, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 #: Fixed domains of the labels table: bits of (quality, toxic) and the targets that the query mixes to.
 DOMAINS = ("clean", "poor", "toxic")
@@ -145,8 +145,9 @@ def fit_rates(members: DataFrame, targets: list[float], total: float | None = No
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, domains: tuple[str, ...] = DOMAINS, steps: int = STEPS) -> DataFrame:
     """doc_id, tokens, p_<domain> ..., rate: one row for each row of docs."""
     targets = TARGETS if targets is None else targets
-    model, prior, other = train(docs, labelled, domains)
-    members = written(posteriors(docs, model, prior, other), "mix-members")
+    with scratch(docs.sparkSession, ("mix-members",)):
+        model, prior, other = train(docs, labelled, domains)
+        members = written(posteriors(docs, model, prior, other), "mix-members")
     slopes, _ = fit_rates(members, [float(targets.get(d, 0.0)) for d in domains], steps=steps)
     return members.select("doc_id", "tokens", *(F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(domains)), _rate(F.col("tokens"), F.col("p"), slopes, 1.0).alias("rate"))
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mixed, rolling, runs, slices, splits, spread, string_parts, written
+from .common import Words, mixed, rolling, runs, scratch, slices, splits, spread, string_parts, written
 from .components import components
 
 SHINGLE = 4
@@ -455,6 +455,11 @@ def derive_links(stars: DataFrame, labels: DataFrame, percent: int = PERCENT, bl
 
 def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", hot_sets: int = HOT_SETS, hot_list: int = HOT_LIST, block: int = BLOCK, flush_words: int = FLUSH_WORDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, node (the fingerprint of its set)."""
+    with scratch(docs.sparkSession, ("join-survey", "join-members", "join-names")):
+        return _joined(docs, shingle, percent, id_col, text_col, hot_sets, hot_list, block, flush_words)
+
+
+def _joined(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, hot_sets: int, hot_list: int, block: int, flush_words: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = written(rows.mapInArrow(_surveyed(shingle, flush_words), _FIRST), "join-survey")
