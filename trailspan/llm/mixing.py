@@ -131,13 +131,15 @@ def fit_rates(members: DataFrame, targets: list[float], total: float | None = No
     g = np.array([[gram[f"g{i}_{j}"] for j in k] for i in k], float)
     inverse = np.linalg.pinv(g + 1e-12 * np.trace(g) * np.eye(len(targets)))
     wanted = np.array(targets, float) / (sum(targets) or 1.0) * (size if total is None else total)
-    slopes, seen = [], []
+    slopes, seen, last = [], [], None
     for _ in range(steps):
         now = members.agg(*(F.sum(a(i) * _rate(F.col("tokens"), F.col("p"), slopes, size)).alias(f"e{i}") for i in k)).first()
         expected = np.array([now[f"e{i}"] for i in k], float)
         seen.append({"expected": expected.tolist(), "wanted": wanted.tolist()})
-        if np.abs(expected - wanted).max() <= tolerance * max(size, 1.0):
-            break
+        near = tolerance * max(size, 1.0)
+        if np.abs(expected - wanted).max() <= near or last is not None and np.abs(expected - last).max() <= 1e-3 * near:
+            break  # at the targets, or as near as nonnegative rates come
+        last = expected
         slopes.append((inverse @ (expected - wanted)).tolist())
     return slopes, seen
 
