@@ -69,9 +69,14 @@ def test_cache_upsert_stream_equals_batch(spark):
     root = folder()
     q = upsert.upsert_stream(streamed(spark, updates, order="version"), root, folder(), "version")
     assert q.awaitTermination(240)
-    newest = spark.read.parquet(f"{root}/version=2").select("osm_id", "name", "version")
+    newest = upsert.read_cache(spark, root, "version").select("osm_id", "name", "version")
     want = cache.upsert(updates.limit(0).drop("status"), updates, "version").select("osm_id", "name", "version")
     assert sorted(map(tuple, newest.collect())) == sorted(map(tuple, want.collect()))
+    # A query with a new checkpoint on the same root adds to what is there.
+    late = cache.acceptable(updates).limit(1).withColumn("name", F.lit("late")).withColumn("version", F.lit(10**6).cast(updates.schema["version"].dataType)).withColumn("enriched_at", F.lit("2100-01-01").cast("timestamp")).withColumn("status", F.lit("done"))
+    assert upsert.upsert_stream(streamed(spark, late, order="version"), root, folder(), "version").awaitTermination(240)
+    again = {r.osm_id: r.name for r in upsert.read_cache(spark, root, "version").collect()}
+    assert len(again) == want.count() and list(again.values()).count("late") == 1
 
 
 def test_rate_stream_equals_table(spark):

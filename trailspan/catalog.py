@@ -708,8 +708,8 @@ def merge_precedence(spark, folder):
     # Even places took the model path, where snippet hours do not stand in.
     maps = testbed.map_previews(spark, folder).select("poi_id", F.col("structured_hours").alias("map_hours"))
     done = _enriched(spark, folder).filter("status = 'done' AND source_count > 0").join(maps, "poi_id", "left")
-    from_map = F.when(F.exists("raw_snippets", lambda s: s["engine"] == "google_maps"), F.col("map_hours"))
-    opening = F.coalesce(said, F.when(n % 2 == 0, from_map).otherwise(F.col("opening_hours")))
+    from_map = structured.map_hours_of(F.col("raw_snippets"), F.col("map_hours"))
+    opening = structured.merged_hours(said, from_map, F.col("opening_hours"), n % 2 == 0)
     return done.select(
         "poi_id", structured.merged(F.when(n % 3 == 0, 5.0), F.col("rating")).alias("rating"),
         structured.merged(F.when(n % 4 == 0, F.lit(1).cast("long")), F.col("review_count")).alias("review_count"),

@@ -67,30 +67,20 @@ def acceptable(updates: DataFrame) -> DataFrame:
     ).withColumn("name", F.substring("name", 1, MAX_NAME))
 
 
-def upsert(existing: DataFrame, updates: DataFrame, *tie: str) -> DataFrame:
-    """Last write per key over the cache and its updates.
+def newest(versions: DataFrame, *tie: str) -> DataFrame:
+    """Last write per key.
 
     The newest row is found by a map-side combined aggregate, so a key with very
     many versions does not gather in one task.
     """
-    both = existing.unionByName(acceptable(updates).select(*existing.columns))
-    rest = [c for c in both.columns if c not in KEY]
-    newest = F.max_by(F.struct(*rest), F.struct("enriched_at", *tie)).alias("_row")
-    return both.groupBy(*KEY).agg(newest).select(*KEY, "_row.*")
-
+    rest = [c for c in versions.columns if c not in KEY]
+    last = F.max_by(F.struct(*rest), F.struct("enriched_at", *tie)).alias("_row")
+    return versions.groupBy(*KEY).agg(last).select(*KEY, "_row.*")
 
-def write_snapshot(cache: DataFrame, root: str, version: int, buckets: int = 64) -> str:
-    """Write a full cache version, laid out for look-ups by key.
 
-    A new folder per version keeps readers of the old one undisturbed.
-    """
-    path = f"{root}/version={version}"
-    bucket = F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
-    (
-        cache.withColumn("bucket", bucket).repartition("osm_type", "bucket").sortWithinPartitions("osm_type", "bucket", "osm_id")
-        .write.mode("overwrite").partitionBy("osm_type", "bucket").parquet(path)
-    )
-    return path
+def upsert(existing: DataFrame, updates: DataFrame, *tie: str) -> DataFrame:
+    """Last write per key over the cache and its updates."""
+    return newest(existing.unionByName(acceptable(updates).select(*existing.columns)), *tie)
 
 
 def needs_work() -> Column:

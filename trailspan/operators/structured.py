@@ -220,6 +220,16 @@ def merged(synthesis: Column, deterministic: Column) -> Column:
     return F.coalesce(synthesis, deterministic)
 
 
+def map_hours_of(snippets: Column, map_hours: Column) -> Column:
+    """The map page's hours table, where the map page is among a place's sources."""
+    return F.when(F.exists(snippets, lambda s: s["engine"] == "google_maps"), map_hours)
+
+
+def merged_hours(said: Column, from_map: Column, from_snippets: Column, by_model: Column) -> Column:
+    """Opening hours by precedence: what the model said; else the map's on the model path, the snippets' off it."""
+    return F.coalesce(said, F.when(by_model, from_map).otherwise(from_snippets))
+
+
 def run_summary(enriched: DataFrame) -> DataFrame:
     """Places per status, in one row."""
     return enriched.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("done", "skipped", "error")])
