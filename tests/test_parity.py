@@ -5,6 +5,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, rows_of
+from trailspan.catalog import QUERIES
+from trailspan.oracle import statements
 
 FOLDER = "/root/testdata/sf0.001"
 # The full set runs with check.py; these touch every module and every plan shape.
@@ -33,5 +35,6 @@ def test_same_rows(spark, duck, name):
 
 def test_contract(spark):
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) <= {"gpx_export", "kml_export"}
+    assert set(QUERIES) - set(statements()) <= {"gpx_export", "kml_export"}
+    assert set(QUERIES) <= set(queries()) and set(statements()) <= set(oracle_sql())
     assert entry(spark).count() > 0
