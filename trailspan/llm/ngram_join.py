@@ -47,12 +47,12 @@ from .components import components
 
 SHINGLE = 4
 PERCENT = 85
-#: A shingle is frequent from this many sets on; at most this many shingles are.
-HOT_SETS = 16
+#: A shingle is frequent if tasks saw it in this many sets, counting where one saw it twice; at most this many are.
+HOT_SETS = 4
 HOT_LIST = 200_000
 BLOCK = 1024
 SKETCH_BITS = 512
-FLUSH_WORDS = 800_000
+FLUSH_WORDS = 2_000_000
 #: Logarithm of the bits of the filter that picks the texts to be compared.
 FILTER_BITS = 26
 #: Entries of an index list from which it is skipped by blocks.
@@ -387,8 +387,9 @@ def _checked(percent: int):
 def check_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Each pair (x, y, star) with its exact answer. The pairs are written first: few of them are sent to the sets."""
     pairs = written(pairs, "join-asked-pairs")
-    left = pairs.join(sets.select(F.col("fp").alias("x"), F.col("items").alias("ix")), "x")
-    whole = left.join(sets.select(F.col("fp").alias("y"), F.col("items").alias("iy")), "y")
+    # Where the pairs are few, only the sets they name leave their scan.
+    side = lambda name, items: sets.select(F.col("fp").alias(name), F.col("items").alias(items)).join(pairs.select(name), name, "left_semi")
+    whole = pairs.join(side("x", "ix"), "x").join(side("y", "iy"), "y")
     return written(whole.select("x", "y", "star", "ix", "iy").mapInArrow(_checked(percent), _CHECKED), "checked")
 
 
@@ -436,13 +437,15 @@ def derive_links(stars: DataFrame, labels: DataFrame, percent: int = PERCENT, bl
     """Links between a hub's sets that are in different components so far; ``stars``: checked pairs with hubs."""
     named = labels.select(F.col("node").alias("x"), F.col("label").alias("lx"))
     hubs = labels.select(F.col("node").alias("y"), F.col("label").alias("ly"))
-    rows = stars.join(named, "x", "left").join(hubs, "y", "left").select("x", "y", "size", "less", "more", F.coalesce("lx", "x").alias("label"), F.coalesce("ly", "y").alias("hub_label"))
-    rows = written(rows.withColumn("own", F.col("label") != F.col("hub_label")), "hub-rows")
+    rows = stars.select("x", "y").join(named, "x", "left").join(hubs, "y", "left").select("x", "y", F.coalesce("lx", "x").alias("label"), F.coalesce("ly", "y").alias("hub_label"))
+    rows = written(rows.select("x", "y", "label", (F.col("label") != F.col("hub_label")).alias("own")), "hub-rows")
     count = rows.groupBy("y").agg(F.sum(F.col("own").cast("int")).alias("out"), F.count("*").alias("all")).where("out > 0")
     count = written(count.select("y", F.ceil(F.col("out") / block).cast("int").alias("u"), F.ceil((F.col("all") - F.col("out")) / block).cast("int").alias("l")), "hub-blocks")
     # A set outside the hub's component is in the cells of its block with every block; one inside, with every outside block.
     spot = lambda m: F.pmod(F.xxhash64("x"), m).cast("int")
-    dealt = rows.join(count, "y").select("x", "y", "size", "less", "more", "label", "own", "u", "l")
+    # The differences, which are wide, are fetched for hubs that have a set outside alone.
+    open_hubs = rows.join(count, "y")
+    dealt = stars.select("x", "y", "size", "less", "more").join(count.select("y"), "y", "left_semi").join(open_hubs, ["x", "y"]).select("x", "y", "size", "less", "more", "label", "own", "u", "l")
     seq = lambda m: F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
     outside = dealt.where("own").withColumn("mine", spot(F.col("u")))
     uu = outside.withColumn("other", F.explode(seq(F.col("u")))).select("*", F.lit("uu").alias("kind"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
