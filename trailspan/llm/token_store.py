@@ -42,7 +42,7 @@ CHUNK = 8
 RANK_STEP = 512
 SHARD_IDS = 1 << 20
 #: Pieces of text whose ids a task remembers, at most.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Signs that are cut from the end of a piece; none of them ends a special token or starts a contraction.
 _TAIL = ".,;:!?%&$#*()\"/-"
 _MAGIC = b"TDAC0001"
@@ -199,7 +199,7 @@ def _shards(path: str, end: int, shard_ids: int):
             names, texts = batch.column("doc_id").cast(pa.int64()), batch.column("text")
             part = batch.column("part")[0].as_py() if batch.num_rows else part
             offsets = string_parts(texts)[1]
-            for a, b in slices(offsets, 16 << 20):
+            for a, b in slices(offsets, 3 << 20):
                 ids, n = encoder(texts.slice(a, b - a), end)
                 at = np.append(0, np.cumsum(n))
                 first = 0
