@@ -479,3 +479,33 @@ def test_decontamination(spark):
     assert {r.contaminated for r in decontaminate.with_flag(docs, bench.limit(0)).collect()} == {False}
     blocks = decontaminate.contaminated(docs, bench, item_chars=300)
     assert {(r.doc_id, r.item_id) for r in blocks.collect()} >= {(k, k) for k in range(20)}
+
+
+def short_matches(rows, items, similarity=0.8):
+    """Items that a whole text is similar enough to, of texts with fewer words than the item, without weights."""
+    split = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
+    out = set()
+    for d, t in rows:
+        for i, item in items:
+            w, v = split(t), split(item)
+            n = min(5, len(v))
+            a, b = ({tuple(x[k:k + n]) for k in range(len(x) - n + 1)} for x in (w, v))
+            if len(w) < len(v) and a and b and len(a & b) >= similarity * len(a | b):
+                out.add((d, i))
+    return out
+
+
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    rng = random.Random(4)
+    # No two items share a shingle, so that all weights are equal.
+    items = [(k, " ".join(f"i{k}x{rng.randrange(10**6)}" for _ in range(n))) for k, n in enumerate([50, 50, 30, 12, 3, 4])]
+    cut = lambda k, a, b: " ".join(items[k][1].split()[a:b])
+    rows = [(0, cut(0, 0, 48)), (1, cut(1, 1, 50)), (2, cut(2, 2, 29)), (3, cut(3, 0, 11)), (4, cut(4, 0, 2)), (5, cut(5, 0, 3)), (6, cut(0, 0, 30)), (7, cut(0, 0, 4)), (8, cut(0, 5, 49) + " " + cut(1, 0, 1)), (None, cut(0, 1, 49))]
+    rows += [(10 + k, f"{cut(2, 0, 20)} other {cut(2, 21, 29)}") for k in range(2)]
+    docs, bench = table(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == short_matches(rows, items) >= {(0, 0), (1, 1), (2, 2), (3, 3), (None, 0)}
+    first = next(r for r in got if r.doc_id == 0)
+    assert (first.first_word, first.n_words) == (0, 48) and abs(first.similarity - 44 / 46) < 1e-9
+    hit = {d for d, _ in short_matches(rows, items)}
+    assert {r.doc_id: r.contaminated for r in decontaminate.with_flag(docs, bench).collect()} == {d: d in hit for d, _ in rows}

@@ -6,7 +6,7 @@ shingle's weight is 1 + ln(items / items that have it); one that no item has wei
 that a single item has.
 
 For each length that items have, the windows of that many words of a text get a SimHash of their
-weighted shingles. Fingerprints are cut into ``BLOCKS`` blocks of 8 bits: two within ``RADIUS`` bits
+weighted shingles; a text with fewer words than that is one window as a whole. Fingerprints are cut into ``BLOCKS`` blocks of 8 bits: two within ``RADIUS`` bits
 differ by at most RADIUS // BLOCKS bits in some block, so a look-up of all block values that near
 finds every item within the radius. Candidates are then compared exactly: sum of the smaller
 weights over sum of the larger ones of both shingle multisets, which must reach ``SIMILARITY``.
@@ -143,12 +143,16 @@ class Items:
             hi = np.minimum(at, last[row] - n)
             ok = hi >= lo
             starts = np.unique(spread(lo[ok], (hi - lo + 1)[ok]))
-            for part in np.array_split(starts, max(1, len(starts) // 4096)):
-                if not len(part):
+            # A row with fewer words is one window as it is.
+            short = np.unique(row[counts[row] < n])
+            starts = np.concatenate([starts, (last - counts)[short]])
+            shingles = np.append(np.full(len(starts) - len(short), n - size + 1), counts[short] - size + 1)
+            for some in np.array_split(np.arange(len(starts)), max(1, len(starts) // 4096)):
+                if not len(some):
                     continue
-                per = n - size + 1
+                part, per = starts[some], shingles[some]
                 # Votes are summed once per place of the stretch and taken as differences.
-                base = np.unique(spread(part, np.full(len(part), per)))
+                base = np.unique(spread(part, per))
                 upto = np.zeros((len(base) + 1, 64))
                 np.cumsum(_votes(rolled[base], self.weights_of(rolled[base])), axis=0, out=upto[1:])
                 place = np.searchsorted(base, part)
@@ -160,9 +164,9 @@ class Items:
                     found |= near[b][((print_ >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)]
                 w, k = np.nonzero(found)
                 close = np.bitwise_count(print_[w] ^ prints[k]) <= self.radius
-                for i, j in zip(part[w[close]].tolist(), k[close].tolist(), strict=True):
+                for i, m, j in zip(part[w[close]].tolist(), per[w[close]].tolist(), k[close].tolist(), strict=True):
                     item = mine[j]
-                    s = self.similar(item, rolled[i:i + per])
+                    s = self.similar(item, rolled[i:i + m])
                     if s >= self.similarity:
                         r = int(np.searchsorted(last, i, "right"))
                         first = i - int(last[r] - counts[r])
@@ -187,7 +191,7 @@ def _searched(items: Items):
                 found = sorted(items.matches(words, counts))
                 if found:
                     row, item, s, first = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array([items.names[i] for i in item], pa.int64()), pa.array(s, pa.float64()), pa.array(first, pa.int64()), pa.array([items.lengths[i] for i in item], pa.int64())], schema=_MATCH_ARROW)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array([items.names[i] for i in item], pa.int64()), pa.array(s, pa.float64()), pa.array(first, pa.int64()), pa.array([min(items.lengths[i], int(counts[r])) for r, i in zip(row, item, strict=True)], pa.int64())], schema=_MATCH_ARROW)
 
     return task
 
