@@ -509,3 +509,29 @@ def test_decontamination_of_texts_shorter_than_the_item(spark):
     assert (first.first_word, first.n_words) == (0, 48) and abs(first.similarity - 44 / 46) < 1e-9
     hit = {d for d, _ in short_matches(rows, items)}
     assert {r.doc_id: r.contaminated for r in decontaminate.with_flag(docs, bench).collect()} == {d: d in hit for d, _ in rows}
+
+
+def test_decontamination_weights_are_those_of_the_whole_benchmark(spark):
+    rng = random.Random(12)
+    words = [f"q{k}" for k in range(300)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    shared = [prose(12) for _ in range(3)]
+    items = [(k, " ".join(shared[k % 3] + prose(12 + k % 5))) for k in range(24)] + [(30, None), (31, "q1 q2"), (32, "q1 q2")]
+    rows = []
+    for k in range(24):
+        w = items[k][1].split()
+        for edits in range(1, 4):  # near the limit, in the rare part, in the shared one, with another item's words
+            a, b = list(w), list(w)
+            for _ in range(edits):
+                a[12 + rng.randrange(len(w) - 12)] = "zz"
+                b[rng.randrange(12)] = "yy"
+            rows += [(len(rows), " ".join(prose(9) + a + prose(9))), (len(rows) + 1, " ".join(b)), (len(rows) + 2, " ".join(w[:-edits - 2] + shared[(k + 1) % 3][:edits + 6]))]
+    docs, bench = table(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    seen = []
+    for item_chars in (1, 300, 900, 10**9):
+        got = decontaminate.contaminated(docs, bench, item_chars=item_chars).collect()
+        seen.append(sorted((r.doc_id, r.item_id, round(r.similarity, 9), r.first_word, r.n_words) for r in got))
+        if item_chars in (300, 900):
+            flags = decontaminate.with_flag(docs, bench, item_chars=item_chars).collect()
+            assert {r.doc_id for r in flags if r.contaminated} == {r[0] for r in seen[-1]}
+    assert seen[0] and all(x == seen[-1] for x in seen)

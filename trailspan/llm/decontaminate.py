@@ -3,7 +3,7 @@
 Texts and items become words (runs of letters and digits in lower case; any byte over 127 counts
 as a letter) and shingles of ``SHINGLE`` words (an item with fewer words is one shingle). A
 shingle's weight is 1 + ln(items / items that have it); one that no item has weighs as much as one
-that a single item has.
+that a single item has. Both are counted over the whole benchmark, in Spark.
 
 For each length that items have, the windows of that many words of a text get a SimHash of their
 weighted shingles; a text with fewer words than that is one window as a whole. Fingerprints are cut into ``BLOCKS`` blocks of 8 bits: two within ``RADIUS`` bits
@@ -13,7 +13,9 @@ weights over sum of the larger ones of both shingle multisets, which must reach
 
 A window can only reach that if it shares a shingle with the item, so only windows around a
 shingle of some item are built. The items are a stated query set: they go through the driver in blocks
-of ``ITEM_CHARS`` characters at most, each block against all rows.
+of ``ITEM_CHARS`` characters at most, each block against all rows. Each block has the counts of all
+shingles that several items of the benchmark have, its own or not, since a window's other shingles weigh
+too: 16 bytes each, at most half as many as the benchmark has words. So results don't depend on the blocks.
 
 Defined cases: null or empty texts match nothing, nor do items without a word. Equal items match
 alike, each under its id. Of several windows the most similar counts, then the first. Null ids are
@@ -65,10 +67,17 @@ def _votes(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.where(bit == 1, weights[:, None], -weights[:, None])
 
 
+def _often(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that are there several times, sorted, and how often."""
+    found, times = np.unique(shingles, return_counts=True)
+    return found[times > 1], times[times > 1]
+
+
 class Items:
     """One block of the query set, ready for look-ups."""
 
-    def __init__(self, names: list[int | None], texts: list[str | None], shingle: int, similarity: float, blocks: int, radius: int, all_items: int, frequency: dict[int, int] | None = None):
+    def __init__(self, names: list[int | None], texts: list[str | None], shingle: int, similarity: float, blocks: int, radius: int, all_items: int, frequency: tuple[np.ndarray, np.ndarray] | None = None):
+        """``frequency``: the shingles that several of all items have, sorted, and how many have each; these items' own if None."""
         if 64 % blocks or 64 // blocks != 8:
             raise ValueError("blocks of 8 bits are looked up: 8 blocks")
         self.shingle, self.similarity, self.blocks, self.radius = shingle, similarity, blocks, radius
@@ -80,10 +89,11 @@ class Items:
                 self.names.append(names[k])
                 self.lengths.append(int(n))
                 self.bags.append(Counter(rolling(hashes[a:a + n], min(shingle, int(n)), _BASE).tolist()))
-        have = Counter(h for bag in self.bags for h in bag) if frequency is None else frequency
+        own = np.array([h for bag in self.bags for h in bag], np.uint64)
+        self.known = np.unique(own)
+        self.often, have = _often(own) if frequency is None else frequency
         self.top = 1.0 + math.log(max(1, all_items))
-        self.known = np.array(sorted({h for bag in self.bags for h in bag}), np.uint64)
-        self.weight = np.array([1.0 + math.log(max(1, all_items) / have[int(h)]) for h in self.known])
+        self.weight = 1.0 + np.log(max(1, all_items) / have)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.known >> np.uint64(44)).astype(np.int64)] = True
         self.groups = {}
@@ -99,8 +109,8 @@ class Items:
             self.groups[n] = (mine, prints, near)
 
     def weights_of(self, shingles: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, shingles), max(0, len(self.known) - 1))
-        return np.where(self.known[at] == shingles, self.weight[at], self.top) if len(self.known) else np.full(len(shingles), self.top)
+        at = np.minimum(np.searchsorted(self.often, shingles), max(0, len(self.often) - 1))
+        return np.where(self.often[at] == shingles, self.weight[at], self.top) if len(self.often) else np.full(len(shingles), self.top)
 
     def has(self, shingles: np.ndarray) -> np.ndarray:
         """Places of shingles that some item has."""
@@ -210,12 +220,41 @@ def _item_blocks(benchmark: DataFrame, most: int) -> Iterator[tuple[list, list]]
         yield names, texts
 
 
+_COUNT_ARROW = pa.schema([("shingle", pa.int64()), ("items", pa.int64())])
+
+
+def _item_shingles(shingle: int):
+    """Shingles of items and how many of a slice's items have each."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(string_parts(batch.column("text"))[1]):
+                hashes, counts = word_hashes(batch.column("text").slice(a, b - a))
+                first = np.cumsum(counts) - counts
+                own = [np.unique(rolling(hashes[f:f + n], min(shingle, int(n)), _BASE)) for f, n in zip(first, counts, strict=True) if n]
+                if own:
+                    found, items = np.unique(np.concatenate(own), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(items)], schema=_COUNT_ARROW)
+
+    return task
+
+
+def item_frequency(benchmark: DataFrame, shingle: int = SHINGLE) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
+    """Number of all items, and the shingles that several of them have with their counts, sorted by shingle."""
+    counts = benchmark.select(F.col("text").cast("string").alias("text")).mapInArrow(_item_shingles(shingle), "shingle long, items long")
+    often = counts.groupBy("shingle").agg(F.sum("items").alias("items")).where("items > 1").toArrow()
+    name, have = often.column("shingle").to_numpy().view(np.uint64), often.column("items").to_numpy()
+    order = np.argsort(name)
+    return benchmark.count(), (name[order], have[order])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, blocks: int = BLOCKS, radius: int = RADIUS, item_chars: int = ITEM_CHARS) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: the best window of each similar pair."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
+    all_items, frequency = item_frequency(benchmark, shingle)
     for names, texts in _item_blocks(benchmark, item_chars):
-        items = Items(names, texts, shingle, similarity, blocks, radius, len(names))
+        items = Items(names, texts, shingle, similarity, blocks, radius, all_items, frequency)
         if items.names:
             part = rows.mapInArrow(_searched(items), _MATCH)
             out = part if out is None else out.unionAll(part)
@@ -241,8 +280,9 @@ def with_flag(docs: DataFrame, benchmark: DataFrame, flag_col: str = "contaminat
     A narrow map: rows are judged where they are, so repeated and null ids need no join.
     """
     flag = F.lit(False)
+    all_items, frequency = item_frequency(benchmark, shingle)
     for names, texts in _item_blocks(benchmark, item_chars):
-        items = Items(names, texts, shingle, similarity, blocks, radius, len(names))
+        items = Items(names, texts, shingle, similarity, blocks, radius, all_items, frequency)
         if items.names:
             flag = flag | _flagger(items)(F.col("text").cast("string"))
     return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != flag_col.lower()), flag.alias(flag_col))
