@@ -30,11 +30,11 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked sets, that with the smallest id; rows without words all stay.
+    """One document of each group of linked sets (5 words, 80 %), that with the smallest id; rows without words all stay.
 
     Rows with equal ids stay or go together; a row with a null id has no place among the ids and stays.
     """
-    found = ngram_join.similar_documents(docs)
+    found = ngram_join.similar_documents(docs, shingle=5, percent=80)
     # A group's name is its smallest id: every other id of the group goes.
     gone = found.where("n_shingles > 0 and doc_id > component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

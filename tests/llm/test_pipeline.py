@@ -93,3 +93,20 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, base).count() == 0
     spark.read.parquet(f"{folder}/documents.parquet").write.mode("overwrite").parquet(f"{base}/documents.parquet")
     assert corpus_pipeline.run(spark, base).count() > 0
+
+
+def test_near_duplicates_are_those_of_five_words_and_eighty_percent(spark):
+    rng = random.Random(2)
+    rows = []
+    for k, edits in enumerate([11, 11, 8, 12, 15, 30]):
+        w = [f"n{k}x{j}" for j in range(500)]
+        other = list(w)
+        for place in range(edits):  # scattered: no two edits in one shingle
+            other[20 + place * 15] = f"e{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    rows += [(None, rows[0][1]), (40, None), (41, "a b c d"), (42, "A b c d"), (43, "a b c")]
+    sets = {d: {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} for d, t in rows if d is not None and (w := (t or "").lower().split())}
+    gone = {y for y in sets for x in sets if x < y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert Counter(kept) == Counter(d for d, _ in rows if d not in gone) and {1, 3, 5, 42} <= gone and not {7, 9, 11} & gone
