@@ -535,3 +535,28 @@ def test_decontamination_weights_are_those_of_the_whole_benchmark(spark):
             flags = decontaminate.with_flag(docs, bench, item_chars=item_chars).collect()
             assert {r.doc_id for r in flags if r.contaminated} == {r[0] for r in seen[-1]}
     assert seen[0] and all(x == seen[-1] for x in seen)
+
+
+def test_quality_learns_behind_a_very_long_text_and_from_all_texts(spark):
+    rows = [(k, f"good{k % 7} fine words here" if k % 2 else f"bad{k % 7} ### words") for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(100, 1), (101, 0)], "doc_id long, quality int")
+    first = labels.orderBy(F.xxhash64("doc_id")).first().doc_id
+    rows = [(d, "long text " * 1_200_000 if d == first else t) for d, t in rows] + [(200 + k, "unlabelled pair") for k in range(5)] + [(300, None)]
+    docs = table(spark, rows).repartition(3)
+    model = quality.train(docs, labels)
+    assert model.constant is None
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert np.mean([(got[k] >= 0.5) == (k % 2 == 1) for k in range(60) if k != first]) >= 0.95
+    # Word vectors against a plain sum over all texts, also with many small flushes.
+    small = [(d, t) for d, t in rows if d != first]
+    names, context = quality.word_vectors(table(spark, small).repartition(4), flush_tokens=20)
+    want, seen = defaultdict(lambda: np.zeros(quality.DIMENSIONS)), defaultdict(int)
+    for _, t in small:
+        h = quality.tokens(*string_parts(pa.array([t], pa.large_string())))[0]
+        for i in range(len(h)):
+            seen[h[i]] += 1
+            for step in (-2, -1, 1, 2):
+                if 0 <= i + step < len(h):
+                    place, value = quality.index_vectors(h[i + step:i + step + 1])
+                    np.add.at(want[h[i]], (place[0] + step) % quality.DIMENSIONS, value[0])
+    assert names.tolist() == sorted(seen) and all(np.allclose(v, want[n] / (4 * seen[n]), atol=1e-6) for n, v in zip(names, context, strict=True))

@@ -5,14 +5,14 @@ signs, both as they are, so that odd marks and capitals are words of their own,
 any word that repeats the word before it. Every token has an
 *index vector*, a few +1 and -1 at places that its hash gives. A token's *word vector* is its index
 vector plus the mean of those of its neighbours (``REACH`` on either side, moved on by one place
-for each step of distance, so that order counts) over the training texts. A document's features
+for each step of distance, so that order counts) over all texts, labelled or not, summed in Spark. A document's features
 are the mean of its tokens' word vectors, the length of that mean, and log of its token count.
 
 The network has one hidden layer (tanh) and a sigmoid, trained with numpy on at most
-``TRAIN_ROWS`` labelled rows of
-``TRAIN_CHARS`` characters together, picked by a hash of their ids; a fifth of them is kept back, and a
-temperature fitted on it calibrates the probabilities. Word vectors are kept for the ``VOCABULARY``
-most frequent tokens of these rows; any other token has its index vector alone. So the model has a
+``TRAIN_ROWS`` labelled rows, picked by a hash of their ids; a fifth of them is kept back, and a
+temperature fitted on it calibrates the probabilities. Only their features reach the driver, so no text is
+too long for the sample. Word vectors are kept for the ``VOCABULARY``
+most frequent tokens of all texts; any other token has its index vector alone. So the model has a
 fixed size, and scoring is a narrow map over whole texts.
 
 Defined cases: null and empty texts get the score of an all-zero vector. Labels that are null or
@@ -22,12 +22,13 @@ labels among the training rows every score is the mean label (0.5 without any).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, mixed, runs, slices, string_parts
@@ -37,9 +38,10 @@ DIMENSIONS = 128
 SIGNS = 4
 REACH = 2
 VOCABULARY = 20_000
-#: Bounds on the labelled rows that the model is fitted on, and on their characters together.
+#: Bound on the labelled rows that the network is fitted on.
 TRAIN_ROWS = 4_000
-TRAIN_CHARS = 10_000_000
+#: Tokens whose sums travel together.
+_SUM_BLOCK = 512
 HIDDEN = 24
 EPOCHS = 60
 THRESHOLD = 0.3
@@ -122,39 +124,104 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _word_vectors(texts: list[tuple[np.ndarray, np.ndarray]], vocabulary: int, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
-    """(known tokens, mean of their neighbours' moved index vectors) of some texts."""
-    parts = [tokens(d, o) for d, o in texts]
-    every = np.concatenate([h for h, _ in parts])
-    names, counts = np.unique(every, return_counts=True)
-    names = np.sort(names[np.lexsort((names, -counts))[:vocabulary]])
+def _neighbour_sums(names: np.ndarray, hashes: np.ndarray, row: np.ndarray, total: np.ndarray, seen: np.ndarray) -> None:
+    """Adds to ``total`` the neighbours' moved index vectors of each of ``names`` in some texts, to ``seen`` how often it is there."""
+    at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
+    mine = names[at] == hashes
+    dimensions = total.shape[1]
+    flat = total.reshape(-1)
+    for step in [*range(-REACH, 0), *range(1, REACH + 1)]:
+        i = np.arange(max(0, -step), len(hashes) - max(0, step))
+        i = i[mine[i] & (row[i] == row[i + step])]
+        place, value = index_vectors(hashes[i + step], dimensions)
+        np.add.at(flat, (at[i][:, None] * dimensions + (place + step) % dimensions).ravel(), value.astype(np.int32).ravel())
+    seen += np.bincount(at[mine], minlength=len(names))
+
+
+_COUNTED_ARROW = pa.schema([("token", pa.int64()), ("times", pa.int64())])
+
+
+def _token_counts(flush_tokens: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            for k in range(0, len(found), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(found[k:k + 100_000].view(np.int64)), pa.array(times[k:k + 100_000])], schema=_COUNTED_ARROW)
+
+        held, size = [], 0
+        for batch in batches:
+            data, offsets = string_parts(batch.column("text"))
+            for a, b in slices(offsets):
+                held.append(tokens(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])[0])
+                size += len(held[-1])
+                if size >= flush_tokens:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
+
+    return task
+
+
+_SUMS_ARROW = pa.schema([("block", pa.int32()), ("sums", pa.binary())])
+
+
+def _summed(shared, dimensions: int):
+    """A task's sums in blocks of ``_SUM_BLOCK`` tokens: how often each is there, then its vector."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = shared.value
+        total, seen = np.zeros((len(names), dimensions), np.int32), np.zeros(len(names), np.int64)
+        for batch in batches:
+            data, offsets = string_parts(batch.column("text"))
+            for a, b in slices(offsets):
+                _neighbour_sums(names, *tokens(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]), total, seen)
+        for k in range(0, len(names), _SUM_BLOCK):
+            if seen[k:k + _SUM_BLOCK].any():
+                part = np.column_stack([seen[k:k + _SUM_BLOCK], total[k:k + _SUM_BLOCK]]).astype(np.int64)
+                # Most numbers are small: the narrowest type holds them.
+                kind = np.min_scalar_type(-int(np.abs(part).max()) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([k // _SUM_BLOCK], pa.int32()), pa.array([kind.char.encode() + zlib.compress(part.astype(kind).tobytes(), 1)], pa.binary())], schema=_SUMS_ARROW)
+
+    return task
+
+
+def _unpacked(sums: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(sums[1:]), np.dtype(sums[:1].decode())).astype(np.int64)
+
+
+def _added():
+    def add(table: pa.Table) -> pa.Table:
+        total = 0
+        for sums in table.column("sums"):
+            total = total + _unpacked(sums.as_py())
+        return pa.table([table.column("block").slice(0, 1), pa.array([b"q" + zlib.compress(total.tobytes(), 1)], pa.binary())], schema=_SUMS_ARROW)
+
+    return add
+
+
+def word_vectors(docs: DataFrame, vocabulary: int = VOCABULARY, dimensions: int = DIMENSIONS, flush_tokens: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(the most frequent tokens of all texts, sorted; mean of their neighbours' moved index vectors)."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("text").cast("string").alias("text"))
+    counts = rows.mapInArrow(_token_counts(flush_tokens), "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    names = np.sort(counts.orderBy(F.desc("times"), "token").limit(vocabulary).select("token").toArrow().column("token").to_numpy().view(np.uint64))
     total, seen = np.zeros((len(names), dimensions), np.float32), np.zeros(len(names))
-    for hashes, row in parts:
-        at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
-        mine = names[at] == hashes
-        for step in [*range(-REACH, 0), *range(1, REACH + 1)]:
-            i = np.arange(max(0, -step), len(hashes) - max(0, step))
-            i = i[mine[i] & (row[i] == row[np.clip(i + step, 0, len(row) - 1)])]
-            for lo in range(0, len(i), 1 << 18):
-                j = i[lo:lo + (1 << 18)]
-                place, value = index_vectors(hashes[j + step], dimensions)
-                flat = at[j][:, None] * dimensions + (place + step) % dimensions
-                total += np.bincount(flat.ravel(), value.ravel(), total.size).reshape(total.shape).astype(np.float32)
-        seen += np.bincount(at[mine], minlength=len(names))
+    if len(names):
+        parts = rows.mapInArrow(_summed(spark.sparkContext.broadcast(names), dimensions), "block int, sums binary")
+        for block, sums in parts.groupBy("block").applyInArrow(_added(), "block int, sums binary").toLocalIterator():
+            part = _unpacked(bytes(sums)).reshape(-1, dimensions + 1)
+            seen[block * _SUM_BLOCK:block * _SUM_BLOCK + len(part)], total[block * _SUM_BLOCK:block * _SUM_BLOCK + len(part)] = part[:, 0], part[:, 1:]
     return names, total / np.maximum(seen * 2 * REACH, 1)[:, None].astype(np.float32)
 
 
-def fit(texts: list[str], labels: np.ndarray, dimensions: int = DIMENSIONS, vocabulary: int = VOCABULARY, hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Word vectors, network and temperature from these rows."""
+def fit(x: np.ndarray, labels: np.ndarray, known: np.ndarray, context: np.ndarray, hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """Network and temperature from rows of features, which come from these word vectors."""
     y = np.asarray(labels, np.float64)
     none = np.zeros(0)
     if not len(y) or y.min() == y.max():
-        return Model(np.empty(0, np.uint64), np.zeros((0, dimensions)), none, none, none, none, none, 0.0, 1.0, float(y.mean()) if len(y) else 0.5)
-    data, offsets = string_parts(pa.array(texts, pa.large_string()))
-    parts = [(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in slices(offsets, 1 << 19)]
-    known, context = _word_vectors(parts, vocabulary, dimensions)
+        return Model(known[:0], context[:0], none, none, none, none, none, 0.0, 1.0, float(y.mean()) if len(y) else 0.5)
     model = Model(known, context, none, none, none, none, none, 0.0, 1.0)
-    x = np.concatenate([model.features(d, o) for d, o in parts])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     back, use = order[:len(y) // 5], order[len(y) // 5:]
@@ -184,16 +251,38 @@ def fit(texts: list[str], labels: np.ndarray, dimensions: int = DIMENSIONS, voca
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> Model:
-    """Fit on at most ``train_rows`` whole texts of the rows that ``docs`` and ``labels`` (doc_id, quality)
-    share, in the order of a hash of their ids, as long as they have ``train_chars`` characters together."""
+_SAMPLE_ARROW = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("key", pa.int64()), ("x", pa.binary())])
+
+
+def _sampled(shared):
+    """The features of each labelled text."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            data, offsets = string_parts(batch.column("text"))
+            for a, b in slices(offsets):
+                x = model.features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), part.column("key"), pa.array([v.tobytes() for v in x], pa.binary())], schema=_SAMPLE_ARROW)
+
+    return task
+
+
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    """Word vectors from all of ``docs``; the network from at most ``train_rows`` of the rows that ``docs`` and
+    ``labels`` (doc_id, quality) share, in the order of a hash of their ids. Texts of any length count alike:
+    the driver sees their features alone."""
     marked = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     # The sample is drawn from the narrow table first, so that few texts travel.
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(train_rows)
+    known, context = word_vectors(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(Model(known, context, *[np.zeros(0)] * 5, 0.0, 1.0))
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "text"))
-    data = found.withColumn("so_far", so_far).where(F.col("so_far") <= train_chars).orderBy("so_far", "doc_id").select("text", "quality").toArrow()
-    return fit(data.column("text").to_pylist(), data.column("quality").to_numpy())
+    rows = found.select("doc_id", "quality", F.xxhash64("text").alias("key"), "text").mapInArrow(_sampled(shared), "doc_id long, quality int, key long, x binary")
+    data = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "key").limit(train_rows).toArrow()
+    x = np.frombuffer(b"".join(data.column("x").to_pylist()), np.float64).reshape(data.num_rows, -1) if data.num_rows else np.zeros((0, DIMENSIONS + 2))
+    return fit(x, data.column("quality").to_numpy(), known, context)
 
 
 _SCORE_ARROW = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
