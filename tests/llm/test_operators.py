@@ -560,3 +560,17 @@ def test_quality_learns_behind_a_very_long_text_and_from_all_texts(spark):
                     place, value = quality.index_vectors(h[i + step:i + step + 1])
                     np.add.at(want[h[i]], (place[0] + step) % quality.DIMENSIONS, value[0])
     assert names.tolist() == sorted(seen) and all(np.allclose(v, want[n] / (4 * seen[n]), atol=1e-6) for n, v in zip(names, context, strict=True))
+
+
+def test_exact_dedup_query_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(1, "a b"), (1, "a  b"), (1, "other"), (2, "a\nb"), (None, "a b"), (None, None), (3, ""), (4, "x" * 5000 + "a"), (4, "x" * 5000 + "b"), (5, "x" * 5000 + "a"), (5, "x" * 5000 + "b"), (6, "single")]
+    table(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[norm(t)].append(d)
+    keep = {t: min((d for d in ds if d is not None), default=None) for t, ds in groups.items()}
+    want = [(d, keep[norm(t)], len(groups[norm(t)]), d == keep[norm(t)], hashlib.sha256(norm(t).encode()).hexdigest()) for d, t in rows]
+    got = exact_dedup.op8_exact_dedup(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)

@@ -29,17 +29,18 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_chars: int = HEAD_CHARS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept.
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_chars: int = HEAD_CHARS, digest_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, and with ``digest_col`` the SHA-256 of its normalised text.
 
     ``docs`` should be a table that can be scanned twice; its text is shuffled only for rows
     that share length and head with another row.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("t"))
-    narrow = written(rows.select("doc_id", F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, head_chars)).alias("head")), "exact-narrow")
+    digest = [F.sha2("t", 256).alias("full")] if digest_col else []
+    narrow = written(rows.select("doc_id", F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, head_chars)).alias("head"), *digest), "exact-narrow")
 
     lengths = written(narrow.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select("n"), "exact-lengths")
-    same_length = narrow.join(lengths, "n", "left_semi")
+    same_length = narrow.select("doc_id", "n", "head").join(lengths, "n", "left_semi")
     # Keys of groups are written, so that a join deals both of its sides out itself and can split a hot key.
     heads = written(same_length.groupBy("n", "head").agg(F.count("*").alias("c")).where("c > 1").select("n", "head"), "exact-heads")
     same_head = same_length.join(heads, ["n", "head"], "left_semi")
@@ -52,22 +53,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ), "exact-full")
     groups = full.groupBy("n", "full").agg(F.min(F.when(~F.col("no_id"), F.col("id"))).alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     groups = written(groups, "exact-groups")
-    decided = full.join(groups, ["n", "full"]).select("no_id", "id", "n", "head", "keep_id", "group_size").distinct()
+    # With the digest, rows of one id, length and head but different texts are told apart too.
+    key = ["no_id", "id", "n", "head"] + (["full"] if digest_col else [])
+    decided = full.join(groups, ["n", "full"]).select(*key, "keep_id", "group_size").distinct()
 
-    out = narrow.select("doc_id", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "n", "head")
-    out = out.join(decided, ["no_id", "id", "n", "head"], "left")
+    out = narrow.select("doc_id", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), *key[2:])
+    out = out.join(decided, key, "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("doc_id") == keep, keep.isNull()).alias("kept"),
+        *([F.col("full").alias(digest_col)] if digest_col else []),
     )
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Exact duplicates of the whole documents table, with the digest of each normalised text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    digests = docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
-    return exact_duplicates(docs).join(digests, "doc_id")
+    return exact_duplicates(docs, digest_col="text_sha256")
 
 
 ORACLE = r"""
