@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, language_id, mixing, ngram_join, quality, substring_dedup, token_store, warc
+from . import (
+    decontaminate,
+    exact_dedup,
+    html_text,
+    kd_search,
+    language_id,
+    mixing,
+    ngram_join,
+    phrases,
+    quality,
+    substring_dedup,
+    token_alignment,
+    token_store,
+    warc,
+)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_token_store": token_store.op9_token_store,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_phrases": phrases.op11_phrases,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_kd_search": kd_search.op13_kd_search,
 }
 
 ORACLE = {
@@ -22,4 +39,6 @@ ORACLE = {
     "op3_warc_salvage": warc.ORACLE,
     "op4_ngram_jaccard": ngram_join.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_phrases": phrases.ORACLE,
+    "op13_kd_search": kd_search.ORACLE,
 }
