@@ -22,7 +22,9 @@ the order is that of their texts. An empty table gives no shard. Other columns a
 
 from __future__ import annotations
 
+import json
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,17 +36,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, slices, splits, spread, string_parts, tokenizer_file
+from .common import Words, scratch_path, slices, splits, spread, string_parts, tokenizer_file
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 CHUNK = 8
 RANK_STEP = 512
 SHARD_IDS = 1 << 20
-#: Pieces of text whose ids a task remembers, at most.
-REMEMBERED = 200_000
+#: Words whose ids a process remembers; with more it starts anew, which changes no id.
+REMEMBERED = 1_000_000
+#: Parts of letters that are given to the tokenizer as one text.
+JOINED = 256
 #: Signs that are cut from the end of a piece; none of them ends a special token or starts a contraction.
 _TAIL = ".,;:!?%&$#*()\"/-"
+# A body ends with a letter that stays one letter in composed form and in lower case.
+_PLAIN_END = "[A-Za-zÀ-ÖØ-öø-įıĲ-ž]$"
 _MAGIC = b"TDAC0001"
 
 
@@ -121,73 +127,157 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+# The rules of word_bpe_49k.json on which cutting a text into words rests.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def _by_words(path: str) -> bool:
+    """Whether ids of a text are those of its words: whether the vocabulary has the rules that ``Encoder`` rests on."""
+    rules = json.loads(_tokenizer(path).to_str())
+    signs = [t["content"] for t in rules["added_tokens"]]
+    return (
+        rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]} and not rules["post_processor"]
+        and all("<" in t and t.isascii() and not any(c.isspace() for c in t) and t[-1] not in _TAIL for t in signs)
+    )
+
+
+class Ids:
+    """Ids by the 64-bit hash of what they encode."""
+
+    def __init__(self):
+        self.keys, self.slot = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.first, self.sizes, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 if unknown."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.slot[at], -1)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keys that aren't known yet, ascending, with their ids one after the other."""
+        at = np.searchsorted(self.keys, keys)
+        self.slot = np.insert(self.slot, at, np.arange(len(self.sizes), len(self.sizes) + len(keys)))
+        self.keys = np.insert(self.keys, at, keys)
+        self.first = np.append(self.first, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.sizes, self.ids = np.append(self.sizes, sizes), np.append(self.ids, ids)
+
+    def of(self, slots: np.ndarray) -> np.ndarray:
+        """The ids at these places, one after the other."""
+        return self.ids[spread(self.first[slots], self.sizes[slots])]
+
+
 class Encoder:
-    """Ids of whole texts, by way of their distinct pieces.
+    """Ids of whole texts, by way of their distinct words.
 
     This vocabulary's tokens never cross white space, nor the border between a letter and the sign
-    behind it, and ASCII letters count in lower case. So texts are cut at white space, the distinct
-    pieces into a body and the signs of ``_TAIL`` that end it, and each distinct part is encoded once.
-    Parts with other signs, such as those of special tokens, are left as they are.
+    behind it, and ASCII letters count in lower case. So texts are cut at white space, and only words that a
+    process hasn't met yet are looked at: they are cut into a body and the signs of ``_TAIL`` that end it, and each
+    new part is encoded once. Parts with other signs, such as those of special tokens, are left as they are.
+    Words and parts are remembered by a 64-bit hash. For a vocabulary with other rules texts are encoded whole.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.tokenizer, self.most = _tokenizer(path), remembered
+        self.tokenizer, self.most, self.by_words = _tokenizer(path), remembered, _by_words(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
-
-    def _slots(self, parts: list[str]) -> np.ndarray:
-        """Place of each part among the known ones; unknown ones are encoded."""
-        new = [p for p in parts if p not in self.known]
-        self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        self.words, self.parts = Ids(), Ids()
+
+    def _encoded_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_encoded``, with parts of letters alone put together: each of them ends with a token that ends a word."""
+        plain = np.fromiter((p.isalpha() and (p.isascii() or unicodedata.normalize("NFC", p).lower().isalpha()) for p in parts), bool, len(parts))
+        named = np.flatnonzero(plain)
+        ids, _ = self._encoded([" ".join([parts[k] for k in named[a:a + JOINED].tolist()]) for a in range(0, len(named), JOINED)])
+        last = np.flatnonzero(self.ends_word[ids])
+        if len(last) != len(named):  # not so in this case: each part by itself
+            return self._encoded(parts)
+        sizes = np.empty(len(parts), np.int64)
+        other, sizes[~plain] = self._encoded([parts[k] for k in np.flatnonzero(~plain).tolist()])
+        sizes[plain] = np.diff(np.append(-1, last))
+        out = np.empty(int(sizes.sum()), np.uint32)
+        mine = np.repeat(plain, sizes)
+        out[mine], out[~mine] = ids, other
+        return out, sizes
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
-        self.sizes = np.append(self.sizes, sizes)
-        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _slots(self, parts: pa.Array) -> np.ndarray:
+        """Place of each part, each a word or empty, among the known ones; unknown ones are encoded."""
+        at = Words(*string_parts(parts))
+        keys = np.zeros(len(parts), np.uint64)
+        keys[at.rows()] = at.hashes()
+        slots = self.parts.find(keys)
+        if (slots < 0).any():
+            new, one = np.unique(keys[slots < 0], return_index=True)
+            texts = parts.take(pa.array(np.flatnonzero(slots < 0)[one])).to_pylist()
+            self.parts.add(new, *self._encoded_parts(texts))
+            slots = self.parts.find(keys)
+        return slots
+
+    def _learn(self, keys: np.ndarray, words: pa.Array) -> None:
+        """Distinct new words, each from its body and its tail."""
+        bare = pc.utf8_rtrim(words, characters=_TAIL)
+        bare = pc.if_else(pc.match_substring_regex(bare, _PLAIN_END), bare, words)
+        cut = pc.binary_length(bare).to_numpy()
+        longer = np.flatnonzero(pc.binary_length(words).to_numpy() > cut)
+        tails = np.full(len(words), None, object)
+        tails[longer] = [w[n:] for w, n in zip(words.take(pa.array(longer)).cast(pa.large_binary()).to_pylist(), cut[longer].tolist(), strict=True)]
+        body = self._slots(pc.if_else(pc.match_substring(bare, "<"), bare, pc.ascii_lower(bare)))
+        tail = self._slots(pa.array(tails, pa.large_binary()).cast(pa.large_string()).fill_null(""))
+        both = np.stack([body, tail], axis=1).ravel()
+        self.words.add(keys, self.parts.of(both), self.parts.sizes[body] + self.parts.sizes[tail])
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each), with ``end`` behind each text."""
-        if len(self.known) > self.most:
-            self._forget()
-        pieces = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-        counts = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = pieces.flatten().dictionary_encode()
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        whole = coded.dictionary
-        bare = pc.utf8_rtrim(whole, characters=_TAIL)
-        bare = pc.if_else(pc.match_substring_regex(bare, r"\pL$"), bare, whole)
-        tails = whole.cast(pa.large_binary()).to_pylist()
-        cut = pc.binary_length(bare).to_pylist()
-        bare = pc.if_else(pc.match_substring(bare, "<"), bare, pc.ascii_lower(bare))
-        bodies = bare.dictionary_encode()
-        ends = [t[n:].decode() for t, n in zip(tails, cut, strict=True)]
-        names = {t: k for k, t in enumerate(dict.fromkeys(ends))}
-        body = self._slots(bodies.dictionary.to_pylist())[bodies.indices.to_numpy(zero_copy_only=False)] if len(whole) else np.empty(0, np.int64)
-        tail = self._slots(list(names))[np.fromiter(map(names.__getitem__, ends), np.int64, len(ends))] if len(whole) else body
-        both = np.stack([body[index], tail[index]], axis=1).ravel()
-        first = np.append(0, np.cumsum(self.sizes))
-        sizes = self.sizes[both]
-        upto = np.append(0, np.cumsum(sizes))
-        edge = np.append(0, np.cumsum(counts)) * 2
-        lengths = upto[edge[1:]] - upto[edge[:-1]] + 1
+        if self.by_words:
+            if len(self.words.keys) > self.most:
+                self._forget()
+            data, offsets = string_parts(texts)
+            words = Words(data, offsets)
+            keys = words.hashes()
+            slots = self.words.find(keys)
+            unknown = np.flatnonzero(slots < 0)
+            if len(unknown):
+                new, one = np.unique(keys[unknown], return_index=True)
+                raw, at = data.tobytes(), unknown[one]
+                self._learn(new, pa.array([raw[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)], pa.large_binary()).cast(pa.large_string()))
+                slots[unknown] = self.words.find(keys[unknown])
+            ids, per_word, first = self.words.of(slots), self.words.sizes[slots], words.first
+        else:
+            ids, per_word = self._encoded(texts.fill_null("").to_pylist())
+            first = np.arange(len(texts) + 1)
+        edge = np.append(0, np.cumsum(per_word))[first]
+        lengths = np.diff(edge) + 1
         out = np.full(int(lengths.sum()), end, np.uint32)
         inside = np.ones(len(out), bool)
         inside[np.cumsum(lengths) - 1] = False
-        if len(both):
-            out[inside] = self.ids[spread(first[both], sizes)]
+        out[inside] = ids
         return out, lengths
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One for each process: what a task has learned serves the next."""
+    return Encoder(path)
+
+
 _SHARD = "part int, shard int, ids long, doc_ids array<long>, data binary"
 _SHARD_ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("data", pa.binary())])
 
 
 def _shards(path: str, end: int, shard_ids: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number, part = Encoder(path), 0, 0
+        encoder, number, part = _encoder(path), 0, 0
         held, lengths, docs, size = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
