@@ -21,6 +21,9 @@ Sets and their relations:
   r have |x & y| = |r| - |r\\x| - |r\\y| + |r\\x & r\\y| + |x\\r & y\\r|, which is derived from the kept
   answers; only sets that don't hang together with the hub yet are compared that way, in blocks.
 
+* Links are counted component by component: a set of each is compared with all others of it, and all other
+  answers are derived from those differences, in cells that hand on numbers, not pairs.
+
 First each set is compared with its most similar candidate and its hubs; pairs that already hang
 together need no comparison. So no group of copies is expanded into pairs.
 
@@ -52,11 +55,15 @@ HOT_SETS = 4
 HOT_LIST = 200_000
 BLOCK = 1024
 SKETCH_BITS = 512
-FLUSH_WORDS = 2_000_000
+#: Shingles that a task holds before it sends them; bounds its memory, changes no answer.
+FLUSH_WORDS = 800_000
 #: Logarithm of the bits of the filter that picks the texts to be compared.
 FILTER_BITS = 26
-#: Entries of an index list from which it is skipped by blocks.
-LONG_LIST = 256
+#: Entries of an index list from which it is skipped by blocks, and from which its sets meet by way of a hub.
+LONG_LIST = 32
+HUB_LIST = 64
+#: Sets of a block when links are counted.
+CELL = 512
 _BASE = 0xB5297A4D3F84D5B5
 
 
@@ -227,7 +234,7 @@ def _indexed(shingle: int, percent: int, buckets: int, flush_words: int, shared)
     return task
 
 
-def list_pairs(n: np.ndarray, pos: np.ndarray, percent: int = PERCENT, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def list_pairs(n: np.ndarray, pos: np.ndarray, percent: int = PERCENT, block: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of an index list's entries that may link, by blocks of like positions: whole blocks are skipped."""
     order = np.lexsort((n, pos))
     n, left = n[order].astype(np.int64), (n - pos)[order].astype(np.int64)  # left: shingles from here on
@@ -276,6 +283,11 @@ def _listed(percent: int):
             length = np.diff(np.append(head, len(token)))
             xs, ys = [], []
             for h, m in zip(head[length >= LONG_LIST].tolist(), length[length >= LONG_LIST].tolist(), strict=True):
+                if m >= HUB_LIST:  # its first set is the hub of the others, wherever tasks saw them
+                    r = fp[h:h + m].min()
+                    x = fp[h:h + m][fp[h:h + m] != r]
+                    out.append(pa.table([pa.array(x), pa.array(np.full(len(x), r)), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.int32()), pa.array(np.ones(len(x), bool))], schema=_PAIR_ARROW))
+                    continue
                 i, j = list_pairs(n[h:h + m], pos[h:h + m], percent)
                 xs.append(h + i)
                 ys.append(h + j)
@@ -397,42 +409,114 @@ _LINK = "x long, y long"
 _LINK_ARROW = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
 
+def overlaps(size: int, less: list[np.ndarray], more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, intersections of all pairs) of sets given by their differences to one set of ``size``."""
+    n_less, n_more = np.array([len(v) for v in less]), np.array([len(v) for v in more])
+    both = (size - n_less[:, None] - n_less[None, :]).astype(np.int64)
+    for parts, counts in ((less, n_less), (more, n_more)):
+        flat, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), counts)
+        _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+        keep = often[column] > 1  # an item of one set alone meets nothing
+        row, column = row[keep], column[keep]
+        _, column = np.unique(column, return_inverse=True)
+        width = int(column.max()) + 1 if len(column) else 0
+        for a in range(0, width, 4096):  # so that the matrix stays small
+            m = np.zeros((len(parts), min(4096, width - a)), np.float32)
+            some = (column >= a) & (column < a + 4096)
+            m[row[some], column[some] - a] = 1
+            both += np.rint(m @ m.T).astype(np.int64)
+    np.fill_diagonal(both, size - n_less + n_more)
+    return size - n_less + n_more, both
+
+
+def linked(n: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
+    """Which of all pairs link."""
+    return 100 * both >= percent * (n[:, None] + n[None, :] - both)
+
+
+def spanning(link: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that hang the same labels together as all of ``link`` (symmetric): fewer than there are labels."""
+    _, at = np.unique(label, return_inverse=True)
+    seen, out = np.zeros(len(label), bool), [np.empty((2, 0), np.int64)]
+    for root in np.unique(at[link.any(axis=1)]).tolist():
+        if seen[root]:
+            continue
+        seen[root], front = True, np.flatnonzero(at == root)
+        while len(front):
+            j = np.flatnonzero(link[front].any(axis=0) & ~seen[at])
+            j = j[np.unique(at[j], return_index=True)[1]]
+            if len(j):
+                out.append(np.stack([front[link[np.ix_(front, j)].argmax(axis=0)], j]))
+            seen[at[j]] = True
+            front = np.flatnonzero(np.isin(at, at[j]))
+    i, j = np.concatenate(out, axis=1)
+    return i, j
+
+
+def _differences(table: pa.Table) -> tuple[int, list[np.ndarray], list[np.ndarray]]:
+    return int(table.column("size")[0].as_py()), [np.frombuffer(v, np.int32) for v in table.column("less").to_pylist()], [np.frombuffer(v, np.uint64) for v in table.column("more").to_pylist()]
+
+
 def _derived(percent: int):
-    """A cell of a hub's sets: links of sets that don't hang together with the hub, from the differences to it."""
+    """A cell of a hub's sets: a spanning forest of the links of sets that don't hang together with the hub, from the differences to it."""
 
     def one(table: pa.Table) -> pa.Table:
         x = table.column("x").to_numpy()
         label, own = table.column("label").to_numpy(), table.column("own").to_numpy(zero_copy_only=False)
-        size = int(table.column("size")[0].as_py())
-        less = [np.frombuffer(v, np.int32) for v in table.column("less").to_pylist()]
-        more = [np.frombuffer(v, np.uint64) for v in table.column("more").to_pylist()]
-        n_less, n_more = np.array([len(v) for v in less]), np.array([len(v) for v in more])
-        n = size - n_less + n_more
-        both = (size - n_less[:, None] - n_less[None, :]).astype(np.int64)
-        for parts, counts in ((less, n_less), (more, n_more)):
-            flat, row = np.concatenate(parts), np.repeat(np.arange(len(x)), counts)
-            _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
-            keep = often[column] > 1  # an item of one set alone meets nothing
-            row, column = row[keep], column[keep]
-            _, column = np.unique(column, return_inverse=True)
-            width = int(column.max()) + 1 if len(column) else 0
-            for a in range(0, width, 4096):  # so that the matrix stays small
-                m = np.zeros((len(x), min(4096, width - a)), np.float32)
-                some = (column >= a) & (column < a + 4096)
-                m[row[some], column[some] - a] = 1
-                both += np.rint(m @ m.T).astype(np.int64)
-        link = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & own[:, None] & (label[:, None] != label[None, :])
-        i, j = np.nonzero(link)
-        if len(i):  # one link to each component is enough
-            order = np.lexsort((label[j], i))
-            i, j = i[order], j[order]
-            head = runs(i, label[j])
-            i, j = i[head], j[head]
+        link = linked(*overlaps(*_differences(table)), percent) & (own[:, None] | own[None, :]) & (label[:, None] != label[None, :])
+        i, j = spanning(link, label)
         return pa.table([pa.array(x[i]), pa.array(x[j])], schema=_LINK_ARROW)
 
     return one
 
 
+_COUNT_ARROW = pa.schema([("x", pa.int64()), ("links", pa.int64())])
+
+
+def _link_counts(percent: int):
+    """For the sets of a cell, how many documents of other sets of their component link with them in this cell."""
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("label")
+        label = table.column("label").to_numpy()
+        out_x, out_n = [], []
+        cut = np.append(runs(label), len(label))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            part = table.slice(a, b - a)
+            x, copies, mine = (part.column(c).to_numpy() for c in ("x", "copies", "mine"))
+            link = linked(*overlaps(*_differences(part)), percent) & (x[:, None] != x[None, :])
+            if part.column("i")[0].as_py() != part.column("j")[0].as_py():
+                link &= mine[:, None] != mine[None, :]
+            out_x.append(x)
+            out_n.append(link @ copies)
+        return pa.table([pa.array(np.concatenate(out_x)), pa.array(np.concatenate(out_n))], schema=_COUNT_ARROW)
+
+    return one
+
+
+def count_links(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
+    """x, links: how many documents of other sets link with each set that has a link.
+
+    ``nodes``: fp, label, copies. A component of two sets has the one link that joined it. In a larger one every set is
+    compared with one set of it, and the answers of all pairs are derived from those differences, in cells of two
+    blocks of about ``cell`` sets; cells hand on a number for each of their sets, never a pair. Small components share a task.
+    """
+    size = nodes.groupBy("label").agg(F.count("*").alias("m"), F.min("fp").alias("hub")).where("m > 1")
+    inside = written(nodes.join(size, "label"), "join-count-nodes")
+    pair = inside.where("m = 2").select("label", "fp", "copies")
+    other = pair.groupBy("label").agg(F.sum("copies").alias("all"))
+    two = pair.join(other, "label").select(F.col("fp").alias("x"), (F.col("all") - F.col("copies")).alias("links"))
+    more = inside.where("m > 2")
+    checked = check_pairs(more.select(F.col("fp").alias("x"), F.col("hub").alias("y"), F.lit(True).alias("star")), sets, percent)
+    spread_over = max(1, -(-more.count() // (4 * cell)))
+    rows = checked.select("x", "size", "less", "more").distinct().join(more.select(F.col("fp").alias("x"), "label", "copies", F.ceil(F.col("m") / cell).cast("int").alias("u")), "x")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("x"), "u").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("u") - 1)))
+    key = F.when(F.col("u") == 1, F.pmod(F.xxhash64("label"), F.lit(spread_over))).otherwise(F.col("label"))
+    cells = rows.select("x", "label", "copies", "size", "less", "more", "mine", (F.col("u") == 1).alias("small"), key.alias("key"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    counted = cells.groupBy("small", "key", "i", "j").applyInArrow(_link_counts(percent), "x long, links long")
+    return two.unionAll(counted.groupBy("x").agg(F.sum("links").alias("links")))
+
+
 def derive_links(stars: DataFrame, labels: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Links between a hub's sets that are in different components so far; ``stars``: checked pairs with hubs."""
     named = labels.select(F.col("node").alias("x"), F.col("label").alias("lx"))
@@ -456,13 +540,16 @@ def derive_links(stars: DataFrame, labels: DataFrame, percent: int = PERCENT, bl
     return cells.groupBy("y", "kind", "i", "j").applyInArrow(_derived(percent), _LINK)
 
 
-def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", hot_sets: int = HOT_SETS, hot_list: int = HOT_LIST, block: int = BLOCK, flush_words: int = FLUSH_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, node (the fingerprint of its set)."""
-    with scratch(docs.sparkSession, ("join-survey", "join-members", "join-names")):
-        return _joined(docs, shingle, percent, id_col, text_col, hot_sets, hot_list, block, flush_words)
+def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", hot_sets: int = HOT_SETS, hot_list: int = HOT_LIST, block: int = BLOCK, flush_words: int = FLUSH_WORDS, count: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, node (the fingerprint of its set), n_links.
+
+    ``n_links`` is the number of other documents that link with it, copies included; null if ``count`` is off.
+    """
+    with scratch(docs.sparkSession, ("join-survey", "join-members", "join-names", "join-links", "join-copies")):
+        return _joined(docs, shingle, percent, id_col, text_col, hot_sets, hot_list, block, flush_words, count)
 
 
-def _joined(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, hot_sets: int, hot_list: int, block: int, flush_words: int) -> DataFrame:
+def _joined(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, hot_sets: int, hot_list: int, block: int, flush_words: int, count: bool) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = written(rows.mapInArrow(_surveyed(shingle, flush_words), _FIRST), "join-survey")
@@ -510,13 +597,20 @@ def _joined(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     inside = members.where("n > 0").join(labels, members["fp"] == labels["node"], "left").select("doc_id", "n", "fp", F.coalesce("label", "fp").alias("label"))
     inside = written(inside, "join-members")
     names = written(inside.groupBy("label").agg(F.min("doc_id").alias("component_id")), "join-names")
-    out = inside.join(names, "label").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("fp").alias("node"))
-    return out.unionAll(members.where("n = 0").select("doc_id", F.lit(0).cast("long"), F.col("doc_id"), F.lit(None).cast("long")))
+    if count:
+        copies = written(inside.groupBy("fp", "label").agg(F.count("*").alias("copies")), "join-copies")
+        others = written(count_links(copies, sets, percent), "join-links").withColumnRenamed("x", "fp")
+        known = copies.join(others, "fp", "left").select("fp", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        inside = inside.join(known, "fp")
+    else:
+        inside = inside.withColumn("n_links", F.lit(None).cast("long"))
+    out = inside.join(names, "label").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("fp").alias("node"), "n_links")
+    return out.unionAll(members.where("n = 0").select("doc_id", F.lit(0).cast("long"), F.col("doc_id"), F.lit(None).cast("long"), F.lit(0 if count else None).cast("long")))
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    """Components of the whole documents table by word 4-grams at 85 percent."""
-    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+    """Components and numbers of links of the whole documents table by word 4-grams at 85 percent."""
+    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 ORACLE = r"""
@@ -541,6 +635,9 @@ WITH RECURSIVE w AS (
   SELECT e.y, r.o FROM r JOIN e ON e.x = r.doc_id WHERE r.o < e.y
 ), m AS (
   SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id
+), k AS (
+  SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY x
 )
-SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM w JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, coalesce(k.n_links, 0)::BIGINT AS n_links
+FROM w JOIN m USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
