@@ -105,7 +105,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = batch.column("lang")
         for lang in pc.unique(langs).to_pylist():
             texts = batch.column("text").filter(pc.equal(langs, lang))
-            for a, b in slices(string_parts(texts)[1], 16 << 20):
+            for a, b in slices(string_parts(texts)[1], 2 << 20):
                 words = pc.ascii_split_whitespace(pc.utf8_lower(texts.slice(a, b - a))).flatten()
                 counted = pc.value_counts(words)
                 held.setdefault(lang, []).append(pa.table({"word": counted.field("values").cast(pa.string()), "n": counted.field("counts").cast(pa.int64())}))
