@@ -13,6 +13,7 @@ COLUMNS = {
     "op3_warc_salvage": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], "op4_ngram_jaccard": ["doc_id", "n_shingles", "component_id"],
     "op6_quality": ["doc_id", "held_out", "score", "predicted"], "op7_langid": ["doc_id", "held_out", "lang_pred", "score"],
     "op8_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"], "op9_token_store": ["doc_id", "start", "n_tokens", "ids_crc32"],
+    "op12_token_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 
 
@@ -26,7 +27,7 @@ def duck():
 
 def test_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLE) <= set(oracle_sql())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

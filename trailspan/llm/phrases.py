@@ -198,9 +198,9 @@ class DoubleArray:
         """``hashes``: a row for each phrase, its words' hashes; ``ids``: its number."""
         names = sorted(set(langs))
         self.slot_of = {x: k + 1 for k, x in enumerate(names)}
-        self.size = hashes.shape[1] if len(hashes) else 0
+        self.size = hashes.shape[1]
         self.words = np.unique(hashes)
-        symbols = np.searchsorted(self.words, hashes).astype(np.int64).reshape(len(ids), -1)
+        symbols = np.searchsorted(self.words, hashes).astype(np.int64)
         parent = np.array([self.slot_of[x] for x in langs], np.int64)
         self._limit = 1 + len(names)
         room = max(1024, 4 * (symbols.size + len(names)))
