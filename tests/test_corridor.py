@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from test_tracks import hav, table
 from trailspan import rules
-from trailspan.operators import corridor, dedup, pois
-from trailspan.plans.corridor import corridor_pois
+from trailspan.operators import corridor, dedup, pois, tracks
+from trailspan.plans.corridor import corridor_pois, sweep
 from trailspan.schemas import ELEMENTS
 
 LINE = [(48.8566, 2.3522, None), (48.86, 2.36, None), (48.865, 2.37, None), (48.87, 2.38, None)]
@@ -147,10 +147,10 @@ def walk(rows, radius):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limit", [200_000, 5])
+@pytest.mark.parametrize("crowd", [16, 1])
 @pytest.mark.parametrize("shape", ["cloud", "chain", "copies"])
-def test_dedup_equals_the_walk(spark, limit, shape):
-    rng = random.Random(len(shape) + limit)
+def test_dedup_equals_the_walk(spark, crowd, shape):
+    rng = random.Random(len(shape) + crowd)
     rows = []
     for i in range(160):
         cat = rng.choice(["Water", "Water", "Shelter", "Food shop"])
@@ -164,11 +164,57 @@ def test_dedup_equals_the_walk(spark, limit, shape):
     df = spark.createDataFrame(rows, "category string, ord long, lat double, lon double, n int").selectExpr(
         "concat('p', ord) AS poi_id", "category", "ord", "lat", "lon", "map_from_entries(transform(slice(sequence(1, 9), 1, n), i -> struct(string(i), 'v'))) AS tags"
     )
-    got = dedup.dedup_pois(df, 50.0, max_tile_rows=limit)
+    got = dedup.dedup_pois(df, 50.0, crowd=crowd)
     assert sorted(r.ord for r in got.collect()) == walk(rows, 50.0)
     assert got.agg(F.sum("n_merged")).first()[0] == len(rows)
 
 
+@pytest.mark.parametrize("step", [0.0004, 0.00015])
+def test_a_long_chain_takes_few_rounds(spark, step):
+    """300 places in a row over many cells, each near the one before or the three before."""
+    rows = [("run", "Water", i, 60 + i * step, 5.0, 60.0) for i in range(300)]
+    spots = spark.createDataFrame(rows, "run_id string, category string, ord long, lat double, lon double, radius double")
+    gone, rounds = dedup.absorbed_spots(dedup.neighbours(spots))
+    taken = {r.v for t in gone for r in t.collect()}
+    assert rounds <= 8 and sorted(set(range(300)) - taken) == walk([("Water", i, y, x, 0) for _, _, i, y, x, _ in rows], 60.0)
+    assert {r.ord for r in dedup.find_leaders(spots).collect()} == set(range(300)) - taken
+
+
+def test_merging_runs_no_python(spark):
+    rows = [("p%d" % i, "Water", i, 60 + i * 0.0003, 5.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "poi_id string, category string, ord long, lat double, lon double").withColumn("tags", F.expr("map('k', 'v')"))
+    assert "Python" not in plan_of(dedup.dedup_pois(df)) and "Pandas" not in plan_of(dedup.dedup_pois(df))
+    assert "Python" not in plan_of(dedup.find_leaders(df.selectExpr("'r' AS run_id", "*", "50.0D AS radius")))
+
+
+def test_runs_of_segments_meet_few_places(spark):
+    """The join sees runs, not segments: far fewer pairs, the same distances."""
+    line = [(48.8 + 0.0002 * k, 2.3 + 0.0001 * math.sin(k), None) for k in range(800)]
+    rng = random.Random(3)
+    df = spark.createDataFrame([(f"p{i}", 48.8 + rng.uniform(0, 0.16), 2.3 + rng.uniform(-0.02, 0.02)) for i in range(300)], "poi_id string, lat double, lon double")
+    seg = tracks.track_segments(table(spark, ("t", line)))
+    sizes = {run: corridor.near_runs(df, seg, 300.0, run).count() for run in (1, 32)}
+    assert 5 * sizes[32] <= sizes[1]
+    near = lambda run: {(r.poi_id, r.seg_idx): round(r.d, 6) for r in corridor.near_segments(df, seg, 300.0, run).filter("d <= 300").collect()}
+    assert near(1) == near(32) == near(7) != {}
+    runs = plan_of(corridor.near_runs(df, tracks.measured_segments(table(spark, ("t", line)), tail=True), 300.0))
+    assert "CartesianProduct" not in runs and "NestedLoop" not in runs
+
+
+def test_sweep_keeps_what_single_runs_keep(spark):
+    rng = random.Random(12)
+    rows = [node(i, 48.858 + rng.uniform(-0.004, 0.004), 2.358 + rng.uniform(-0.006, 0.006), amenity=rng.choice(["drinking_water", "shelter", "restaurant"])) for i in range(150)]
+    df, pts = elements(spark, rows), table(spark, ("t", LINE))
+    swept = {r.max_distance_m: (r.n_pois, r.n_near, round(r.sum_distance_m, 3)) for r in sweep(pois.categorize(df), pts, [100, 250, 600]).collect()}
+    for limit, found in swept.items():
+        alone = corridor_pois(df, pts, limit).collect()
+        assert found == (len(alone), sum(r.n_merged for r in alone), round(sum(r.distance_to_trace for r in alone), 3))
+    assert len(swept) == 3
+    two = pts.withColumn("run_id", F.lit("a")).unionByName(pts.withColumn("run_id", F.lit("b")).withColumn("track_id", F.lit("u")).withColumn("track_idx", F.lit(1)))
+    for r in sweep(pois.categorize(df), two, [100, 250, 600]).collect():
+        assert r.run_id in ("a", "b") and swept[r.max_distance_m][:2] == (r.n_pois, r.n_near)
+
+
 def test_runs_are_kept_apart(spark):
     rows = [("a", "Water", 0, 60.0, 5.0), ("b", "Water", 1, 60.0, 5.0), ("b", "Water", 2, 60.0, 5.0)]
     df = spark.createDataFrame(rows, "run_id string, category string, ord long, lat double, lon double").selectExpr("concat('p', ord) AS poi_id", "*", "map('k', 'v') AS tags")

@@ -54,6 +54,20 @@ def test_blocks_do_not_change_results(spark, block):
     assert tracks.track_segments(df, block).count() == 49 + 7
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 8, 8192])
+def test_gaps_in_seq_change_nothing(spark, block):
+    pts = wavy(20)
+    seq = [5, 6, 7, 9, 30, 31, 64, 65, 66, 90, 91, 500, 501, 502, 503, 504, 9000, 9001, 20000, 20001]
+    dense = table(spark, ("a", pts), ("b", pts[:2]), ("c", pts[:1]))
+    gaps = dense.join(spark.createDataFrame(list(enumerate(seq)), "seq long, new long"), "seq").drop("seq").withColumnRenamed("new", "seq")
+    want = {(r.track_id, seq[r.seq]): round(r.cum_m, 6) for r in tracks.cumulative_distance(dense, 8192).collect()}
+    assert {(r.track_id, r.seq): round(r.cum_m, 6) for r in tracks.cumulative_distance(gaps, block).collect()} == want
+    same = lambda f: [sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in f(df, b).collect()) for df, b in ((gaps, block), (dense, 8192))]
+    for f in (tracks.track_length, tracks.track_table, lambda d, b: tracks.elevation_stats(d, block=b), lambda d, b: tracks.resample(d, 300.0, b)):
+        got, expected = same(f)
+        assert got == expected
+
+
 def resample_loop(p, spacing):
     if len(p) < 2:
         return p

@@ -179,10 +179,22 @@ def adaptive_radius(spark, folder):
 
 @query
 def distance_sweep(spark, folder):
-    out = corridor.distance_sweep(_distances(spark, folder), [300, 600, 900, 1500])
+    """Kept places for each limit and run, after merging with the run's own radius."""
+    from .plans.corridor import sweep
+
+    points = testbed.points(spark, folder).withColumn("run_id", F.concat(F.lit("run"), F.col("track_idx") % 2))
+    out = sweep(_pois(spark, folder), points, [300, 600, 900, 1500])
     return out.withColumn("sum_distance_m", metres("sum_distance_m"))
 
 
+@query
+def distance_counts(spark, folder):
+    """Places near for each limit and run, before merging."""
+    points = testbed.points(spark, folder).withColumn("run_id", F.concat(F.lit("run"), F.col("track_idx") % 2))
+    near = corridor.track_distances(_pois(spark, folder), points, 1500.0)
+    return corridor.distance_sweep(near, [300, 600, 900, 1500]).withColumn("sum_distance_m", metres("sum_distance_m"))
+
+
 # --- sources -----------------------------------------------------------------------
 
 

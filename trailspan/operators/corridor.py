@@ -1,8 +1,9 @@
 """The corridor join: which places lie near which track, and where along it.
 
-Segments are laid out over the cells of a degree grid, padded by the search
-distance; a place has exactly one cell. An equi-join on the cell therefore finds
-every pair within the distance, once, and never plans a nested loop. Pairs are
+Up to ``RUN`` consecutive segments of a track are one row, a run, with the box around them, padded by the
+search distance. Runs are laid out over the cells of a degree grid; a place has exactly one cell. An equi-join on
+the cell therefore finds every pair of place and run whose box holds it, once, and never plans a nested loop. Only runs
+that pass are opened into segments, and only segments whose own box holds the place are measured. Pairs are
 reduced to one row per (place, track) on the map side, before any shuffle, so a
 crowded cell costs computing but no data movement; adaptive execution splits the
 join of such a cell over several tasks.
@@ -22,6 +23,8 @@ from ..functions import geo
 from .tracks import BLOCK, measured_segments
 
 CELL_DEG = 0.02
+#: Segments of a run at most.
+RUN = 16
 
 
 def cell_size(max_distance_m: float) -> float:
@@ -29,8 +32,8 @@ def cell_size(max_distance_m: float) -> float:
     return max(CELL_DEG, max_distance_m / geo.METRES_PER_DEGREE)
 
 
-def segment_cells(segments: DataFrame, max_distance_m: float) -> DataFrame:
-    """One row per segment and cell it may have neighbours in.
+def _segment_cells(max_distance_m: float) -> Column:
+    """Cells in which a segment may have neighbours.
 
     A long segment is laid out piece by piece, so its cell count grows with its
     length and not with the area of its box.
@@ -49,39 +52,66 @@ def segment_cells(segments: DataFrame, max_distance_m: float) -> DataFrame:
             F.least(lon0, lon1) - pad_lon, F.greatest(lon0, lon1) + pad_lon, size,
         )
 
-    whole = box_cells(F.lit(0.0), F.lit(1.0))
-    by_piece = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(0), F.col("_pieces") - 1),
-        lambda i: box_cells(i / F.col("_pieces"), (i + 1) / F.col("_pieces")),
-    )))
+    by_piece = F.flatten(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: box_cells(i / pieces, (i + 1) / pieces)))
+    return F.when(pieces == 1, box_cells(F.lit(0.0), F.lit(1.0))).otherwise(F.array_distinct(by_piece))
+
+
+def segment_runs(segments: DataFrame, max_distance_m: float, run: int = RUN) -> DataFrame:
+    """One row per track, run of consecutive segments and cell: ``cell``, the run's padded box, and its segments.
+
+    Segments that are cut into blocks are grouped within their block, which needs no shuffle.
+    """
+    key = [c for c in ("track_id", "track_idx", "block") if c in segments.columns]
+    held = [c for c in segments.columns if c not in key]
+    pad_lat = geo.lat_margin(max_distance_m)
+    far = F.max(F.greatest(F.abs("a_lat"), F.abs("b_lat")))
+    runs = (
+        segments.withColumn("_cells", _segment_cells(max_distance_m))
+        .groupBy(*key, F.floor(F.col("seg_idx") / run).alias("_run")).agg(
+            F.collect_list(F.struct(*held)).alias("segments"), F.array_distinct(F.flatten(F.collect_list("_cells"))).alias("_cells"),
+            (F.min(F.least("a_lat", "b_lat")) - pad_lat).alias("min_lat"), (F.max(F.greatest("a_lat", "b_lat")) + pad_lat).alias("max_lat"),
+            F.min(F.least("a_lon", "b_lon")).alias("min_lon"), F.max(F.greatest("a_lon", "b_lon")).alias("max_lon"), far.alias("_far"),
+        )
+    )
+    pad_lon = geo.lon_margin(max_distance_m, F.col("_far"))
     return (
-        segments.withColumn("_pieces", pieces).withColumn("pad_lon", pad_lon)
-        .withColumn("cell", F.explode(F.when(F.col("_pieces") == 1, whole).otherwise(by_piece)))
-        .drop("_pieces")
+        runs.withColumn("min_lon", F.col("min_lon") - pad_lon).withColumn("max_lon", F.col("max_lon") + pad_lon)
+        .withColumn("cell", F.explode("_cells")).drop("_cells", "_run", "_far", "block")
     )
 
 
 def _in_box(max_distance_m: float) -> Column:
-    """The place lies in the segment's padded box: a test without trigonometry."""
+    """The place lies in the segment's padded box."""
     pad_lat = geo.lat_margin(max_distance_m)
+    pad_lon = geo.lon_margin(max_distance_m, F.greatest(F.abs("a_lat"), F.abs("b_lat")))
     lat, lon = F.col("lat"), F.col("lon")
     return (
         (lat >= F.least("a_lat", "b_lat") - pad_lat) & (lat <= F.greatest("a_lat", "b_lat") + pad_lat)
-        & (lon >= F.least("a_lon", "b_lon") - F.col("pad_lon")) & (lon <= F.greatest("a_lon", "b_lon") + F.col("pad_lon"))
+        & (lon >= F.least("a_lon", "b_lon") - pad_lon) & (lon <= F.greatest("a_lon", "b_lon") + pad_lon)
+    )
+
+
+def near_runs(places: DataFrame, segments: DataFrame, max_distance_m: float, run: int = RUN) -> DataFrame:
+    """Places with the runs whose padded box holds them: a test of four comparisons."""
+    located = places.withColumn("cell", geo.cell_of(F.col("lat"), F.col("lon"), cell_size(max_distance_m)))
+    return (
+        located.join(segment_runs(segments, max_distance_m, run), "cell")
+        .filter("lat between min_lat and max_lat and lon between min_lon and max_lon")
+        .drop("cell", "min_lat", "max_lat", "min_lon", "max_lon")
     )
 
 
-def near_segments(places: DataFrame, segments: DataFrame, max_distance_m: float) -> DataFrame:
+def near_segments(places: DataFrame, segments: DataFrame, max_distance_m: float, run: int = RUN) -> DataFrame:
     """Places with the segments whose padded box holds them.
 
     Adds ``t``, the share along the segment, and ``d``, the distance. No pair
     within the distance is missing; pairs beyond it are not all dropped.
     """
-    located = places.withColumn("cell", geo.cell_of(F.col("lat"), F.col("lon"), cell_size(max_distance_m)))
     ends = [F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")]
+    runs = near_runs(places, segments, max_distance_m, run)
     return (
-        located.join(segment_cells(segments, max_distance_m), "cell")
-        .filter(_in_box(max_distance_m)).drop("cell", "pad_lon")
+        runs.select(*[c for c in runs.columns if c != "segments"], F.inline("segments"))
+        .filter(_in_box(max_distance_m))
         .withColumn("t", geo.segment_fraction(F.col("lat"), F.col("lon"), *ends))
         .withColumn("d", geo.distance_at_fraction(F.col("lat"), F.col("lon"), *ends, F.col("t")))
     )
@@ -98,7 +128,7 @@ def track_distances(
     belongs to the nearest segment, the first one on a tie.
     """
     segments = measured_segments(points, block, tail=True).select(
-        "track_idx", "track_id", "seg_idx", "a_lat", "a_lon", "b_lat", "b_lon", "seg_len_m", "cum_start_m", "is_tail"
+        "track_idx", "track_id", "block", "seg_idx", "a_lat", "a_lon", "b_lat", "b_lon", "seg_len_m", "cum_start_m", "is_tail"
     )
     # Every place whose only close part is the last point still meets the segment
     # that ends there, because boxes and not distances decide.
@@ -144,16 +174,18 @@ def corridor_filter(
     return pois.drop("run_id").join(near, "poi_id") if "run_id" in near.columns else pois.join(near, "poi_id")
 
 
-def distance_sweep(distances: DataFrame, thresholds: Iterable[float]) -> DataFrame:
-    """Kept places per distance limit, from distances computed once for the largest.
+def within_limits(distances: DataFrame, thresholds: Iterable[float]) -> DataFrame:
+    """The nearest track of each place (in each run), once for every limit it satisfies, as ``max_distance_m``.
 
-    Every place is counted in each limit it satisfies; nothing is joined again.
+    Distances are computed once, for the largest limit; nothing is joined again.
     """
     limits = F.array(*[F.lit(float(t)) for t in sorted(thresholds)])
     reached = F.filter(limits, lambda t: t >= F.col("distance_to_trace"))
-    return (
-        nearest_track(distances)
-        .select(F.explode(reached).alias("max_distance_m"), "distance_to_trace")
-        .groupBy("max_distance_m")
-        .agg(F.count("*").alias("n_pois"), F.sum("distance_to_trace").alias("sum_distance_m"))
-    )
+    return nearest_track(distances).withColumn("max_distance_m", F.explode(reached))
+
+
+def distance_sweep(distances: DataFrame, thresholds: Iterable[float]) -> DataFrame:
+    """Places per distance limit, and per run if there are runs, before merging."""
+    near = within_limits(distances, thresholds)
+    key = [c for c in ("run_id", "max_distance_m") if c in near.columns]
+    return near.groupBy(*key).agg(F.count("*").alias("n_pois"), F.sum("distance_to_trace").alias("sum_distance_m"))

@@ -1,7 +1,7 @@
 """Track operators: lengths, elevation, resampling, chunks.
 
-A track table has one row per point with a dense ``seq`` (0, 1, 2, ...) per
-``track_id``. A single track may hold a large part of all points, so no window
+A track table has one row per point, in the order of ``seq`` within a
+``track_id``; gaps in ``seq`` change nothing. A single track may hold a large part of all points, so no window
 runs over a whole track. Points are cut into blocks of ``seq``; windows run per
 (track, block) and only one row per block takes part in track-wide windows.
 """
@@ -39,23 +39,27 @@ def dense_seq(points: DataFrame, block: int = BLOCK) -> DataFrame:
 def _segments_in_blocks(points: DataFrame, block: int) -> DataFrame:
     """Segment per point, blocked. The last point of a track becomes a tail row.
 
-    The first point of a block is copied into the block before it, so each block
-    can pair its points alone; the copy is dropped after pairing.
+    Points pair up within their block; the last one of a block pairs with the first one of the track's next
+    block that has any, so that gaps in ``seq`` change nothing. Only one row per block takes part in that.
+    ``is_head`` marks the first point of a track.
     """
-    own = F.floor(F.col("seq") / block)
-    on_edge = (F.col("seq") % block == 0) & (F.col("seq") > 0)
-    copies = F.explode(F.when(on_edge, F.array(own, own - 1)).otherwise(F.array(own)))
-    pts = points.select("track_id", "track_idx", "seq", *_POINT, copies.alias("block"))
-    w = W.partitionBy("track_id", "block").orderBy("seq")
-    ahead = {f"b_{c}": F.lead(c).over(w) for c in _POINT}
+    key = ["track_id", "track_idx", "block"]
+    pts = points.select("track_id", "track_idx", "seq", *_POINT, F.floor(F.col("seq") / block).alias("block"))
+    w = W.partitionBy(*key).orderBy("seq")
+    rows = pts.select(
+        *key, F.col("seq").alias("seg_idx"), *[F.col(c).alias(f"a_{c}") for c in _POINT],
+        *[F.lead(c).over(w).alias(f"b_{c}") for c in _POINT],
+        F.lead("seq").over(w).isNull().alias("_ends"), F.lag("seq").over(w).isNull().alias("_starts"),
+    )
+    along = W.partitionBy("track_id", "track_idx").orderBy("block")
+    edges = rows.filter("_starts").select(*key, F.struct(*[F.col(f"a_{c}").alias(c) for c in _POINT]).alias("_first"))
+    edges = edges.select(*key, F.lead("_first").over(along).alias("_next"), F.lag("block").over(along).isNull().alias("_head"))
+    beyond = F.col("_ends") & F.col("_next").isNotNull()
+    paired = rows.join(edges, key).withColumn("is_tail", F.col("_ends") & F.col("_next").isNull()).withColumn("is_head", F.col("_starts") & F.col("_head"))
+    for c in _POINT:
+        paired = paired.withColumn(f"b_{c}", F.when(beyond, F.col(f"_next.{c}")).otherwise(F.col(f"b_{c}")))
     return (
-        pts.select(
-            "track_id", "track_idx", "block", F.col("seq").alias("seg_idx"),
-            *[F.col(c).alias(f"a_{c}") for c in _POINT],
-            *[col.alias(name) for name, col in ahead.items()],
-            F.lead("seq").over(w).isNull().alias("is_tail"),
-        )
-        .filter(F.floor(F.col("seg_idx") / block) == F.col("block"))
+        paired.drop("_ends", "_starts", "_next", "_head")
         .withColumn("b_lat", F.coalesce("b_lat", "a_lat"))
         .withColumn("b_lon", F.coalesce("b_lon", "a_lon"))
         .withColumn(
@@ -69,15 +73,15 @@ def _segments_in_blocks(points: DataFrame, block: int) -> DataFrame:
 
 def track_segments(points: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per pair of consecutive points, with its length."""
-    return _segments_in_blocks(points, block).filter(~F.col("is_tail")).drop("is_tail", "block")
+    return _segments_in_blocks(points, block).filter(~F.col("is_tail")).drop("is_tail", "is_head", "block")
 
 
 def measured_segments(points: DataFrame, block: int = BLOCK, tail: bool = False) -> DataFrame:
     """Segments with ``cum_start_m``, ``cum_end_m`` and the track's ``total_m``.
 
-    With ``tail`` the last point of each track is kept as a zero-length row.
+    With ``tail`` the last point of each track is kept as a zero-length row, and so are ``is_tail``, ``is_head`` and ``block``.
     """
-    running = W.partitionBy("track_id", "block").orderBy("seg_idx")
+    running = W.partitionBy("track_id", "track_idx", "block").orderBy("seg_idx")
     within = _segments_in_blocks(points, block).withColumn(
         "_end", F.sum("seg_len_m").over(running.rowsBetween(W.unboundedPreceding, 0))
     )
@@ -103,9 +107,9 @@ def measured_segments(points: DataFrame, block: int = BLOCK, tail: bool = False)
         .withColumn("cum_end_m", F.col("_offset") + F.col("_end"))
         .withColumn("_start", F.lag("_end").over(running))
         .withColumn("cum_start_m", F.col("_offset") + F.coalesce("_start", F.lit(0.0)))
-        .drop("_offset", "_end", "_start", "block")
+        .drop("_offset", "_end", "_start")
     )
-    return out if tail else out.filter(~F.col("is_tail")).drop("is_tail")
+    return out if tail else out.filter(~F.col("is_tail")).drop("is_tail", "is_head", "block")
 
 
 def cumulative_distance(points: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -178,7 +182,7 @@ def resample(points: DataFrame, spacing_m: float = 500.0, block: int = BLOCK) ->
     low = F.greatest(F.lit(0), F.floor(F.col("cum_start_m") / F.col("total_m") * last) - 1)
     high = F.least(last, F.ceil(F.col("cum_end_m") / F.col("total_m") * last) + 1)
     target = F.col("idx") / last * F.col("total_m")
-    first_segment = (F.col("seg_idx") == 0) & (F.col("idx") == 0)
+    first_segment = F.col("is_head") & (F.col("idx") == 0)
     inside = (target > F.col("cum_start_m")) & (target <= F.col("cum_end_m"))
 
     def between(column: str) -> Column:
@@ -202,7 +206,7 @@ def resample(points: DataFrame, spacing_m: float = 500.0, block: int = BLOCK) ->
         )
     )
     # A single point, or a track that never moves, keeps its first point only.
-    one = seg.filter(single & (F.col("seg_idx") == 0)).select(
+    one = seg.filter(single & F.col("is_head")).select(
         "track_id", "track_idx", F.lit(0).cast("long").alias("seq"),
         F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon"), F.col("a_ele").alias("ele"),
     )

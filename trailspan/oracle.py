@@ -231,9 +231,33 @@ FINAL["poi_dedup"] = "SELECT poi_id, category, CAST(n_merged AS BIGINT) AS n_mer
 FINAL["corridor_pois"] = f"""
 SELECT poi_id, category, name, icon, track_id, {metres('d')} AS distance_m, {metres('along')} AS along_m FROM deduped"""
 FINAL["adaptive_radius"] = "SELECT CAST(max(total) AS BIGINT) AS n_pois, CAST(max(radius) AS DOUBLE) AS radius FROM dedup_in"
+CTE["run_near"] = """
+SELECT 'run' || (track_idx % 2) AS run_id, poi_id, min(d) AS d FROM track_dist WHERE d <= 1500 GROUP BY 1, 2"""
+CTE["sweep_in"] = f"""
+SELECT *, greatest(50, CASE WHEN total >= 1200 THEN 120 WHEN total >= 700 THEN 80 WHEN total >= 300 THEN 60 ELSE 0 END) AS radius,
+  row_number() OVER (PARTITION BY run_id, m, category ORDER BY ord) AS n
+FROM (
+  SELECT r.run_id, t.m, r.d, p.ord, p.poi_id, p.category, p.lat, p.lon, p.tags, count(*) OVER (PARTITION BY r.run_id, t.m) AS total
+  FROM run_near r JOIN pois p USING (poi_id), (VALUES (300), (600), (900), (1500)) AS t(m) WHERE r.d <= t.m)"""
+CTE["sweep_walk"] = f"""
+SELECT run_id, m, category, 0::BIGINT AS n, []::STRUCT(o BIGINT, y DOUBLE, x DOUBLE)[] AS leaders, NULL::BIGINT AS ord, NULL::BIGINT AS leader
+FROM (SELECT DISTINCT run_id, m, category FROM sweep_in WHERE category NOT IN {in_list(rules.NEVER_MERGED)})
+UNION ALL
+SELECT run_id, m, category, n, CASE WHEN hit IS NULL THEN list_append(leaders, {{'o': ord, 'y': lat, 'x': lon}}) ELSE leaders END, ord, coalesce(hit, ord)
+FROM (
+  SELECT w.run_id, w.m, w.category, d.n, w.leaders, d.ord, d.lat, d.lon,
+    ([l.o FOR l IN w.leaders IF {hav('l.y', 'l.x', 'd.lat', 'd.lon')} <= d.radius])[1] AS hit
+  FROM sweep_walk w JOIN sweep_in d ON d.run_id = w.run_id AND d.m = w.m AND d.category = w.category AND d.n = w.n + 1)"""
 FINAL["distance_sweep"] = f"""
-SELECT CAST(m AS DOUBLE) AS max_distance_m, count(*) AS n_pois, {metres('sum(d)')} AS sum_distance_m
-FROM nearest, (VALUES (300), (600), (900), (1500)) AS t(m) WHERE d <= m GROUP BY 1"""
+SELECT run_id, CAST(m AS DOUBLE) AS max_distance_m, count(*) AS n_pois, CAST(sum(n) AS BIGINT) AS n_near, {metres('sum(d)')} AS sum_distance_m
+FROM (
+  SELECT run_id, m, arg_max(d, {{'t': len(tags), 'o': -ord}}) AS d, count(*) AS n
+  FROM (SELECT w.leader, s.* FROM sweep_walk w JOIN sweep_in s ON s.run_id = w.run_id AND s.m = w.m AND s.ord = w.ord WHERE w.ord IS NOT NULL)
+  GROUP BY run_id, m, category, leader
+  UNION ALL SELECT run_id, m, d, 1 FROM sweep_in WHERE category IN {in_list(rules.NEVER_MERGED)}) GROUP BY 1, 2"""
+FINAL["distance_counts"] = f"""
+SELECT run_id, CAST(m AS DOUBLE) AS max_distance_m, count(*) AS n_pois, {metres('sum(d)')} AS sum_distance_m
+FROM run_near, (VALUES (300), (600), (900), (1500)) AS t(m) WHERE d <= m GROUP BY 1, 2"""
 
 # --- sources ---------------------------------------------------------------------------
 FINAL["gpx_ingest"] = """
