@@ -7,10 +7,10 @@ occurrences in a language, overlapping ones included, n all the words of the lan
 * *Words.* One scan counts words and, in the same pass, every pair of neighbours in one of 2^``BUCKET_BITS``
   hash buckets. A pair whose bucket stays below the threshold can't be frequent; the kept buckets are a bit map of
   fixed size (1 MB).
-* *Candidates.* A phrase of k words is a candidate only if it occurs and both phrases of k - 1 words in it are
-  frequent (Apriori), so no frequent phrase is missed. Pairs come from one scan over the kept buckets; longer ones
-  come from the scan that counts the level below: tasks send the distinct phrases that prolong a candidate, and joins
-  with the frequent phrases of that level keep the safe ones. Nothing is paired off within a group.
+* *Candidates.* A phrase of k words is a candidate only if it occurs, its bucket is full, and both phrases of k - 1 words in it are
+  frequent (Apriori), so no frequent phrase is missed. The scan that counts a level counts the buckets of the phrases that
+  prolong its candidates by a word; the next scan sends the distinct phrases in full buckets that prolong a frequent one, and
+  joins with the frequent phrases keep the safe ones. Nothing is paired off within a group.
 * *Counting.* Candidates are dealt out to blocks of about ``BLOCK`` phrases. A block becomes a double-array trie (the
   child of state s by symbol c is slot base[s] + c, if check[slot] is s; the first level is the language), which is
   broadcast: its size is bounded by ``BLOCK``, whatever the table. Tasks move all text positions through the trie
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,8 +145,18 @@ def _survey(bits: int):
     return task
 
 
-_COUNTS = "id long, n long, lang string, phrase string"
-_COUNTS_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("lang", pa.string()), ("phrase", pa.string())])
+_COUNTS = "id long, bucket int, n long"
+_COUNTS_ARROW = pa.schema([("id", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64())])
+_PHRASE = "lang string, phrase string"
+_PHRASE_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string())])
+
+
+def _numbers(column: str, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of a key (``id`` or ``bucket``) and its number."""
+    for a in range(0, len(keys), 100_000):
+        part = slice(a, a + 100_000)
+        known = {column: pa.array(keys[part]).cast(_COUNTS_ARROW.field(column).type), "n": pa.array(n[part], pa.int64())}
+        yield pa.RecordBatch.from_arrays([known[f.name] if f.name in known else pa.nulls(len(n[part]), f.type) for f in _COUNTS_ARROW], schema=_COUNTS_ARROW)
 
 
 class _Seen:
@@ -165,11 +176,18 @@ class _Seen:
         return at
 
 
+def _keys(langs: pa.Array, words: Pieces, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the language and the phrase at each of these words, the same in all tasks."""
+    key = _lang_hashes(langs)[words.row[at]]
+    for j in range(size):
+        key = mixed(key * _NEXT + words.hash[at + j])
+    return key
+
+
 def _named(langs: pa.Array, words: Pieces, at: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
     for a in range(0, len(at), 20_000):
         part = at[a:a + 20_000]
-        none = pa.nulls(len(part), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, langs.take(pa.array(words.row[part])).cast(pa.string()), pa.array(words.phrases(part, size), pa.string())], schema=_COUNTS_ARROW)
+        yield pa.RecordBatch.from_arrays([langs.take(pa.array(words.row[part])).cast(pa.string()), pa.array(words.phrases(part, size), pa.string())], schema=_PHRASE_ARROW)
 
 
 def _pairs(kept: np.ndarray, bits: int):
@@ -180,8 +198,7 @@ def _pairs(kept: np.ndarray, bits: int):
         for langs, words in _read(batches):
             at, bucket = _pair_buckets(words, langs, bits)
             at = at[(kept[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)]
-            keys = mixed(mixed(words.hash[at] ^ _lang_hashes(langs)[words.row[at]]) * _NEXT + words.hash[at + 1])
-            yield from _named(langs, words, at[seen.new(keys)], 2)
+            yield from _named(langs, words, at[seen.new(_keys(langs, words, at, 2))], 2)
 
     return task
 
@@ -284,15 +301,12 @@ class DoubleArray:
         return at, state
 
 
-def _counted(block, whole: bool, longer: bool):
-    """Numbers of the trie's phrases and, if ``longer``, the distinct phrases that prolong one by a word.
-
-    If the trie holds all candidates (``whole``), the phrase that starts a word later has to be one of them too.
-    """
+def _counted(block, longer: bool, bits: int):
+    """Numbers of the trie's phrases and, if ``longer``, of the buckets of phrases that prolong one by a word."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, seen = block.value, _Seen()
-        total = np.zeros(len(trie.check), np.int64)
+        trie = block.value
+        total, buckets = np.zeros(len(trie.check), np.int64), np.zeros(1 << bits if longer else 0, np.int32)
         for langs, words in _read(batches):
             at, state = trie.states(langs, words)
             if not len(at):
@@ -301,20 +315,38 @@ def _counted(block, whole: bool, longer: bool):
                 total += np.bincount(state, minlength=len(total))
             else:
                 np.add.at(total, state, 1)
-            if not longer:
+            if longer:
+                first = at[words.left[at] > trie.size]
+                np.add.at(buckets, (_keys(langs, words, first, trie.size + 1) >> np.uint64(64 - bits)).astype(np.int64), 1)
+        found, full = np.flatnonzero(total), np.flatnonzero(buckets)
+        yield from _numbers("id", trie.ids[found], total[found])
+        yield from _numbers("bucket", full, buckets[full])
+
+    return task
+
+
+def _following(block, kept: np.ndarray, whole: bool, bits: int):
+    """The distinct phrases in kept buckets that prolong one of the trie's by a word.
+
+    If the trie holds all frequent phrases (``whole``), the phrase that starts a word later has to be one of them too.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, seen = block.value, _Seen()
+        for langs, words in _read(batches):
+            at, _ = trie.states(langs, words)
+            if not len(at):
                 continue
             on = words.left[at] > trie.size
             if whole:
                 on[:-1] &= at[1:] == at[:-1] + 1
                 on[-1] = False
-            first, by = at[on], state[on]
-            keys = mixed(by.astype(np.uint64) * _NEXT + words.hash[first + trie.size])
+            first = at[on]
+            keys = _keys(langs, words, first, trie.size + 1)
+            bucket = keys >> np.uint64(64 - bits)
+            held = (kept[(bucket >> np.uint64(3)).astype(np.int64)] >> (bucket & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            first, keys = first[held], keys[held]
             yield from _named(langs, words, first[seen.new(keys)], trie.size + 1)
-        found = np.flatnonzero(total)
-        for a in range(0, len(found), 100_000):
-            part = found[a:a + 100_000]
-            none = pa.nulls(len(part), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(trie.ids[part]), pa.array(total[part]), none, none], schema=_COUNTS_ARROW)
 
     return task
 
@@ -339,18 +371,22 @@ def _safe(phrases: DataFrame, frequent: DataFrame, size: int) -> DataFrame:
     return cut.select("lang", "phrase")
 
 
-def _count_level(spark: SparkSession, rows: DataFrame, candidates: DataFrame, size: int, longer: bool, block: int) -> list[DataFrame]:
-    """Written results of one scan for each block of candidates."""
-    blocks = -(-candidates.count() // block)
-    out = []
+def _tries(spark: SparkSession, phrases: DataFrame, size: int, block: int) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcast tries of blocks of the phrases (id, lang, phrase), and whether there is only one; destroyed when the next is asked for."""
+    blocks = -(-phrases.count() // block)
     for k in range(blocks):
-        mine = candidates.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toArrow()
+        mine = phrases.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toArrow()
         words = Words(*string_parts(mine.column("phrase")))
-        trie = DoubleArray(mine.column("lang").to_pylist(), words.hashes().reshape(-1, size), mine.column("id").to_numpy())
-        shared = spark.sparkContext.broadcast(trie)
-        out.append(written(rows.mapInArrow(_counted(shared, blocks == 1, longer), _COUNTS), f"phrases-{size}"))
+        shared = spark.sparkContext.broadcast(DoubleArray(mine.column("lang").to_pylist(), words.hashes().reshape(-1, size), mine.column("id").to_numpy()))
+        yield shared, blocks == 1
         shared.destroy()
-    return out
+
+
+def _all_of(tables: list[DataFrame]) -> DataFrame:
+    both = tables[0]
+    for t in tables[1:]:
+        both = both.unionAll(t)
+    return both
 
 
 def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text", bits: int = BUCKET_BITS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -364,20 +400,22 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, longest: int = L
     sizes = written(totals.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-langs")
     level = written(totals.groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("f")).where(F.col("f") >= at_least), "phrases-level")
     found = level.withColumn("size", F.lit(1))
-    pairs = rows.mapInArrow(_pairs(_kept_buckets(survey, at_least, bits), bits), _COUNTS)
-    following = pairs.select("lang", "phrase")
+    following = rows.mapInArrow(_pairs(_kept_buckets(survey, at_least, bits), bits), _PHRASE)
     for size in range(2, longest + 1):
         candidates = written(_safe(following, level, size).withColumn("id", F.monotonically_increasing_id()), "phrases-candidates")
-        scans = _count_level(spark, rows, candidates, size, size < longest, block)
+        scans = [written(rows.mapInArrow(_counted(t, size < longest, bits), _COUNTS), "phrases-counts") for t, _ in _tries(spark, candidates, size, block)]
         if not scans:
             break
-        both = scans[0]
-        for s in scans[1:]:
-            both = both.unionAll(s)
+        both = _all_of(scans)
         counts = both.where("id is not null").groupBy("id").agg(F.sum("n").alias("f")).where(F.col("f") >= at_least)
-        level = written(candidates.join(counts, "id").select("lang", "phrase", "f"), "phrases-level")
-        found = found.unionAll(level.withColumn("size", F.lit(size)))
-        following = both.where("phrase is not null").select("lang", "phrase")
+        level = written(candidates.join(counts, "id").select("lang", "phrase", "f", "id"), "phrases-level")
+        found = found.unionAll(level.select("lang", "phrase", "f", F.lit(size).alias("size")))
+        if size < longest:
+            kept = _kept_buckets(both, at_least, bits)
+            longer = [written(rows.mapInArrow(_following(t, kept, whole, bits), _PHRASE), "phrases-following") for t, whole in _tries(spark, level, size, block)]
+            if not longer:
+                break
+            following = _all_of(longer)
     return found, sizes
 
 
