@@ -187,6 +187,20 @@ def distance_sweep(spark, folder):
     return out.withColumn("sum_distance_m", metres("sum_distance_m"))
 
 
+@query
+def source_region(spark, folder):
+    """Places within 1000 m of a track, from elements stored by region: only regions around the tracks are read."""
+    from .schemas import ELEMENTS
+    from .scratch import scratch_path
+    from .sources import regions
+
+    path, points = scratch_path(spark, "elements"), testbed.points(spark, folder)
+    regions.write_elements(testbed.elements(spark, folder), path)
+    asked = regions.around(spark, path, f"{ELEMENTS}, ord bigint", points)
+    near = corridor.track_distances(pois.categorize(asked), points, regions.SOURCE_RADIUS_M)
+    return corridor.nearest_track(near).select("poi_id", metres("distance_to_trace").alias("distance_m"))
+
+
 @query
 def distance_counts(spark, folder):
     """Places near for each limit and run, before merging."""
@@ -331,9 +345,7 @@ AS_OF = "2001-08-01 00:00:00"
 def _cache(spark, folder) -> DataFrame:
     from .operators import cache
 
-    versions = testbed.cache(spark, folder).drop("status")
-    newest = F.max_by(F.struct(*[c for c in versions.columns if c not in cache.KEY]), F.struct("enriched_at", "version")).alias("r")
-    return versions.groupBy(*cache.KEY).agg(newest).select(*cache.KEY, "r.*")
+    return cache.newest(testbed.cache(spark, folder).drop("status"), "version")
 
 
 @query

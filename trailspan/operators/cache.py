@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import text as T
 from . import pois as P
+from .newest import first_rows
 
 KEY = ["osm_type", "osm_id"]
 # --- Fixed values: limits of the cache -----------------------------------------
@@ -68,14 +69,8 @@ def acceptable(updates: DataFrame) -> DataFrame:
 
 
 def newest(versions: DataFrame, *tie: str) -> DataFrame:
-    """Last write per key.
-
-    The newest row is found by a map-side combined aggregate, so a key with very
-    many versions does not gather in one task.
-    """
-    rest = [c for c in versions.columns if c not in KEY]
-    last = F.max_by(F.struct(*rest), F.struct("enriched_at", *tie)).alias("_row")
-    return versions.groupBy(*KEY).agg(last).select(*KEY, "_row.*")
+    """Last write per key: which one is decided without payloads, see ``first_rows``."""
+    return first_rows(versions, KEY, ["enriched_at", *tie], last=True)
 
 
 def upsert(existing: DataFrame, updates: DataFrame, *tie: str) -> DataFrame:

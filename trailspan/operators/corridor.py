@@ -32,13 +32,12 @@ def cell_size(max_distance_m: float) -> float:
     return max(CELL_DEG, max_distance_m / geo.METRES_PER_DEGREE)
 
 
-def _segment_cells(max_distance_m: float) -> Column:
+def _segment_cells(max_distance_m: float, size: float) -> Column:
     """Cells in which a segment may have neighbours.
 
     A long segment is laid out piece by piece, so its cell count grows with its
     length and not with the area of its box.
     """
-    size = cell_size(max_distance_m)
     d_lat, d_lon = F.col("b_lat") - F.col("a_lat"), F.col("b_lon") - F.col("a_lon")
     pieces = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(d_lat), F.abs(d_lon)) / F.lit(size))).cast("int")
     pad_lat = geo.lat_margin(max_distance_m)
@@ -56,7 +55,7 @@ def _segment_cells(max_distance_m: float) -> Column:
     return F.when(pieces == 1, box_cells(F.lit(0.0), F.lit(1.0))).otherwise(F.array_distinct(by_piece))
 
 
-def segment_runs(segments: DataFrame, max_distance_m: float, run: int = RUN) -> DataFrame:
+def segment_runs(segments: DataFrame, max_distance_m: float, run: int = RUN, cell_deg: float | None = None) -> DataFrame:
     """One row per track, run of consecutive segments and cell: ``cell``, the run's padded box, and its segments.
 
     Segments that are cut into blocks are grouped within their block, which needs no shuffle.
@@ -66,7 +65,7 @@ def segment_runs(segments: DataFrame, max_distance_m: float, run: int = RUN) ->
     pad_lat = geo.lat_margin(max_distance_m)
     far = F.max(F.greatest(F.abs("a_lat"), F.abs("b_lat")))
     runs = (
-        segments.withColumn("_cells", _segment_cells(max_distance_m))
+        segments.withColumn("_cells", _segment_cells(max_distance_m, cell_deg or cell_size(max_distance_m)))
         .groupBy(*key, F.floor(F.col("seg_idx") / run).alias("_run")).agg(
             F.collect_list(F.struct(*held)).alias("segments"), F.array_distinct(F.flatten(F.collect_list("_cells"))).alias("_cells"),
             (F.min(F.least("a_lat", "b_lat")) - pad_lat).alias("min_lat"), (F.max(F.greatest("a_lat", "b_lat")) + pad_lat).alias("max_lat"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .. import rules
 from ..functions import text as T
@@ -72,13 +73,21 @@ def price_levels(snippets: DataFrame, places: DataFrame, legacy: bool = False) -
         "poi_id", *(of_size(n).alias(f"s{n}") for n in _SYMBOL_SIZES),
         *(T.matches(said, source, True).alias(f"w{level}") for level, source in X.PRICE_WORDS), prices.alias("prices"),
     )
-    said_by = rows.groupBy("poi_id").agg(
-        *(F.sum(f"s{n}").alias(f"s{n}") for n in _SYMBOL_SIZES), *(F.bool_or(f"w{level}").alias(f"w{level}") for level, _ in X.PRICE_WORDS),
+    # A row for each price; what a snippet says besides goes with its first row, so each text is read once.
+    sums, flags = [f"s{n}" for n in _SYMBOL_SIZES], [f"w{level}" for level, _ in X.PRICE_WORDS]
+    tagged = rows.select("poi_id", *sums, *flags, F.posexplode_outer("prices").alias("i", "v"))
+    once = F.coalesce(F.col("i"), F.lit(0)) == 0
+    by_value = tagged.groupBy("poi_id", "v").agg(
+        F.count("v").alias("c"), *(F.sum(F.when(once, F.col(x))).alias(x) for x in sums), *(F.bool_or(F.when(once, F.col(x))).alias(x) for x in flags),
     )
-    # A place's distinct prices: below 10,000 with two decimals, so a million at most.
-    counts = rows.select("poi_id", F.explode("prices").alias("v")).groupBy("poi_id", "v").agg(F.count("*").alias("c"))
-    middles = counts.groupBy("poi_id").agg(_upper_median().alias("middle"))
-    out = said_by.join(middles, "poi_id", "left").join(places.select("poi_id", "category"), "poi_id", "left")
+    # The upper median: the first value up to which more than half of a place's prices lie. No price is gathered.
+    along = W.partitionBy("poi_id")
+    reached = by_value.withColumn("_upto", F.sum("c").over(along.orderBy("v"))).withColumn("_half", F.floor(F.sum("c").over(along) / 2))
+    said_by = reached.groupBy("poi_id").agg(
+        *(F.sum(x).alias(x) for x in sums), *(F.bool_or(x).alias(x) for x in flags),
+        F.min(F.when(F.col("_upto") > F.col("_half"), F.col("v"))).alias("middle"),
+    )
+    out = said_by.join(places.select("poi_id", "category"), "poi_id", "left")
     total = sum((F.col(f"s{n}") for n in _SYMBOL_SIZES[1:]), F.col(f"s{_SYMBOL_SIZES[0]}"))
     place, symbols, below = F.floor(total / 2), F.lit(None).cast("int"), F.lit(0)
     for n in reversed(_SYMBOL_SIZES):
@@ -91,14 +100,6 @@ def price_levels(snippets: DataFrame, places: DataFrame, legacy: bool = False) -
     return out.select("poi_id", F.coalesce(symbols, ladder, X.price_bracket(F.col("middle"), F.col("category"))).cast("int").alias("price_level"))
 
 
-def _upper_median() -> Column:
-    """Of values v with counts c, the value at place floor(n / 2) in order."""
-    pairs = F.sort_array(F.collect_list(F.struct("v", "c")))
-    half = F.floor(F.sum("c") / 2)
-    walk = lambda s, p: F.struct((s["n"] + p["c"]).alias("n"), F.when(s["v"].isNull() & (s["n"] + p["c"] > half), p["v"]).otherwise(s["v"]).alias("v"))
-    return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("v")), walk)["v"]
-
-
 def divergences(snippets: DataFrame) -> DataFrame:
     """poi_id, divergences (array): disagreements between all of a place's snippets."""
     c = F.col("content")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .newest import first_rows
+
 # --- Fixed values: states, times to live, limits and failure words ------------------
 STATES = ["queued", "running", "done", "error"]
 JOB_TTL_DAYS = 7
@@ -15,9 +17,7 @@ CACHE_TTL_SECONDS = {"overpass": 86_400, "search": 604_800, "geocode": 2_592_000
 
 def latest_state(log: DataFrame, *tie: str) -> DataFrame:
     """Last change of each job."""
-    rest = [c for c in log.columns if c != "job_id"]
-    newest = F.max_by(F.struct(*rest), F.struct("updated_at", *tie)).alias("_row")
-    return log.groupBy("job_id").agg(newest).select("job_id", "_row.*")
+    return first_rows(log, ["job_id"], ["updated_at", *tie], last=True)
 
 
 def job_counts(jobs: DataFrame, *keys: str) -> DataFrame:

@@ -10,18 +10,12 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import text as T
 from ..functions import urls
+from .newest import first_rows
 
 
 def osm_dedup(elements: DataFrame, order: Iterable[str] = ("chunk", "pos")) -> DataFrame:
-    """First row per (type, id) in source order.
-
-    ``min_by`` combines on the map side, so the many copies of one element meet
-    as one row per task.
-    """
-    order = list(order)
-    rest = [c for c in elements.columns if c not in ("type", "id")]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return elements.groupBy("type", "id").agg(first).select("type", "id", "_row.*")
+    """First row per (type, id) in source order, decided without tags, see ``first_rows``."""
+    return first_rows(elements, ["type", "id"], order)
 
 
 def _tag_text(entry: Column) -> Column:

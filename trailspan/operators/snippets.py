@@ -40,15 +40,15 @@ def first_k(snippets: DataFrame, k: int, *order: Column | str, rank: str | None
 
 
 def dedup(snippets: DataFrame, k: int | None = MAX_CANDIDATES) -> DataFrame:
-    """First snippet per place and page; blank ones dropped; first ``k`` kept."""
-    usable = (
-        snippets.withColumn("content", T.strip(F.col("content"))).filter(F.col("content") != "")
-        .withColumn("_page", urls.normalize(F.col("url")))
-    )
-    rest = [c for c in snippets.columns if c != "poi_id"]
-    first = F.min_by(F.struct(*rest), "pos").alias("_row")
-    pages = usable.groupBy("poi_id", "_page").agg(first).select("poi_id", "_row.*")
-    return pages if k is None else first_k(pages, k, "pos")
+    """First snippet per place and page; blank ones dropped; first ``k`` kept.
+
+    ``pos`` is unique within a place. Which rows stay is decided on place, page and position; texts are fetched for those alone.
+    """
+    usable = snippets.withColumn("content", T.strip(F.col("content"))).filter(F.col("content") != "")
+    page = F.coalesce(urls.normalize(F.col("url")), F.lit(""))
+    firsts = usable.select("poi_id", page.alias("_page"), "pos").groupBy("poi_id", "_page").agg(F.min("pos").alias("pos"))
+    firsts = firsts if k is None else first_k(firsts, k, "pos")
+    return usable.join(firsts.select("poi_id", "pos"), ["poi_id", "pos"], "left_semi")
 
 
 def is_noise(title: Column, content: Column, url: Column, legacy: bool = False) -> Column:
@@ -88,13 +88,13 @@ def is_elsewhere(title: Column, content: Column, locality: Column, county: Colum
     return ~mentioned & verdict
 
 
-def clean(snippets: DataFrame, context: DataFrame, k: int = MAX_SNIPPETS) -> DataFrame:
+def clean(snippets: DataFrame, context: DataFrame, k: int = MAX_SNIPPETS, candidates: int | None = MAX_CANDIDATES) -> DataFrame:
     """First ``k`` snippets per place that are neither noise nor about elsewhere.
 
     ``context`` has one row per place: ``poi_id, locality, county, state, country``.
-    Candidates are cut to 16 per place first, so the join is small and even.
+    Only the first ``candidates`` pages of a place are looked at (all if None).
     """
-    kept = dedup(snippets).filter(~is_noise(F.col("title"), F.col("content"), F.col("url")))
+    kept = dedup(snippets, candidates).filter(~is_noise(F.col("title"), F.col("content"), F.col("url")))
     places = ("locality", "county", "state", "country")
     joined = kept.join(context.select("poi_id", *places), "poi_id", "left")
     here = joined.filter(~is_elsewhere(F.col("title"), F.col("content"), *[F.col(p) for p in places]))
@@ -169,15 +169,15 @@ def preview_fields() -> Column:
     )
 
 
-def union_sources(search: DataFrame, website: DataFrame, maps: DataFrame, engines_down: DataFrame) -> DataFrame:
-    """Website snippets, then search snippets, cut to 8; then map snippets for the
+def union_sources(search: DataFrame, website: DataFrame, maps: DataFrame, engines_down: DataFrame, k: int = MAX_SNIPPETS) -> DataFrame:
+    """Website snippets, then search snippets, cut to ``k``; then map snippets for the
     places with fewer than two so far or at least two silent engines, cut again.
 
     ``engines_down`` has ``poi_id, n_unresponsive``. ``pos`` is renumbered from 0.
     """
     columns = ["poi_id", "pos", "title", "url", "content", "engine"]
     tagged = lambda df, rank: df.select(*columns, F.lit(rank).alias("source_rank"))
-    own = first_k(tagged(website, 0).unionByName(tagged(search, 1)), MAX_SNIPPETS, "source_rank", "pos")
+    own = first_k(tagged(website, 0).unionByName(tagged(search, 1)), k, "source_rank", "pos")
     # Each source is already short per place, so counting is cheap.
     so_far = own.groupBy("poi_id").agg(F.count("*").alias("n"))
     wanted = (
@@ -185,7 +185,7 @@ def union_sources(search: DataFrame, website: DataFrame, maps: DataFrame, engine
         .filter((F.coalesce("n", F.lit(0)) < 2) | (F.coalesce("n_unresponsive", F.lit(0)) >= 2))
         .drop("n", "n_unresponsive")
     )
-    out = first_k(own.unionByName(wanted), MAX_SNIPPETS, "source_rank", "pos", rank="_rank")
+    out = first_k(own.unionByName(wanted), k, "source_rank", "pos", rank="_rank")
     return out.withColumn("pos", (F.col("_rank") - 1).cast("long")).drop("_rank", "source_rank")
 
 

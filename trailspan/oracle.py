@@ -255,6 +255,7 @@ FROM (
   FROM (SELECT w.leader, s.* FROM sweep_walk w JOIN sweep_in s ON s.run_id = w.run_id AND s.m = w.m AND s.ord = w.ord WHERE w.ord IS NOT NULL)
   GROUP BY run_id, m, category, leader
   UNION ALL SELECT run_id, m, d, 1 FROM sweep_in WHERE category IN {in_list(rules.NEVER_MERGED)}) GROUP BY 1, 2"""
+FINAL["source_region"] = f"""SELECT poi_id, {metres('min(d)')} AS distance_m FROM track_dist WHERE d <= 1000 GROUP BY 1"""
 FINAL["distance_counts"] = f"""
 SELECT run_id, CAST(m AS DOUBLE) AS max_distance_m, count(*) AS n_pois, {metres('sum(d)')} AS sum_distance_m
 FROM run_near, (VALUES (300), (600), (900), (1500)) AS t(m) WHERE d <= m GROUP BY 1, 2"""

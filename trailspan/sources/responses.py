@@ -60,5 +60,29 @@ def read_failures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FAILURES).json(path)
 
 
+_BROKEN = "_broken"
+
+
+def read_failures_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The failure log as a stream over a folder: its columns, and ``_broken`` with the text of lines that don't fit."""
+    return spark.readStream.schema(f"{FAILURES}, {_BROKEN} string").option("columnNameOfCorruptRecord", _BROKEN).json(path)
+
+
+def sound_failures(stream: DataFrame) -> DataFrame:
+    """Rows of whole lines."""
+    return stream.filter(F.col(_BROKEN).isNull()).drop(_BROKEN)
+
+
+def rescued_failures(stream: DataFrame) -> DataFrame:
+    """What can be read of lines that don't fit: each field that has its type, and the line itself as ``line``.
+
+    A line that is no JSON object gives nulls alone.
+    """
+    fields = [f.strip().rsplit(" ", 1) for f in FAILURES.split(",")]
+    loose = F.from_json(_BROKEN, ", ".join(f"{name} string" for name, _ in fields))
+    return stream.filter(F.col(_BROKEN).isNotNull()).select(
+        *[loose[name].try_cast(kind).alias(name) for name, kind in fields], F.col(_BROKEN).alias("line"))
+
+
 def parse_failures(lines: DataFrame, json: str = "value") -> DataFrame:
     return lines.select(F.from_json(json, FAILURES).alias("f")).filter("f IS NOT NULL").select("f.*")
