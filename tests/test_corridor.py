@@ -215,6 +215,28 @@ def test_sweep_keeps_what_single_runs_keep(spark):
         assert r.run_id in ("a", "b") and swept[r.max_distance_m][:2] == (r.n_pois, r.n_near)
 
 
+def test_only_regions_around_the_line_are_read(spark, tmp_path):
+    """Folders of other regions may hold anything: they are never opened."""
+    from trailspan.schemas import ELEMENTS
+    from trailspan.sources import regions
+
+    near = [node(i, 48.857 + 0.001 * i, 2.356, amenity="drinking_water") for i in range(5)]
+    far = [node(100 + i, 40.0 + 5 * i, -60.0 + i, amenity="drinking_water") for i in range(4)]
+    path = str(tmp_path / "elements")
+    regions.write_elements(elements(spark, near + far + [("way", 9, None, None, None, {"amenity": "shelter"})]), path)
+    pts = table(spark, ("t", LINE))
+    wanted = {str(r.region) for r in regions.regions_around(pts).collect()}
+    folders = {p.name.split("=")[1]: p for p in (tmp_path / "elements").glob("region=*")}
+    assert set(folders) & wanted and set(folders) - wanted
+    for name in set(folders) - wanted:
+        for file in folders[name].glob("*.parquet"):
+            file.write_bytes(b"not a table")
+            (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    read = regions.around(spark, path, f"{ELEMENTS}, ord bigint", pts)
+    assert "dynamicpruning" in plan_of(read)
+    assert sorted(r.id for r in read.collect()) == [0, 1, 2, 3, 4]
+
+
 def test_runs_are_kept_apart(spark):
     rows = [("a", "Water", 0, 60.0, 5.0), ("b", "Water", 1, 60.0, 5.0), ("b", "Water", 2, 60.0, 5.0)]
     df = spark.createDataFrame(rows, "run_id string, category string, ord long, lat double, lon double").selectExpr("concat('p', ord) AS poi_id", "*", "map('k', 'v') AS tags")

@@ -33,6 +33,22 @@ def test_same_rows(spark, duck, name):
     assert rows_of(df.columns, df.collect()) == want and want[1]
 
 
+def test_works_without_the_subpackage(tmp_path):
+    """A copy without ``llm`` and its tests, with or without the pipeline, still registers the library's queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "*.json", "*.md"))
+    script = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'corridor_pois' in q and 'pipeline' not in q and set(o) <= set(q), sorted(q)"
+    for _ in range(2):
+        subprocess.run([sys.executable, "-c", script], cwd=copy, check=True, timeout=100)
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
 def test_contract(spark):
     assert set(oracle_sql()) <= set(queries())
     assert set(QUERIES) - set(statements()) <= {"gpx_export", "kml_export"}

@@ -81,7 +81,7 @@ def rescued_failures(stream: DataFrame) -> DataFrame:
     fields = [f.strip().rsplit(" ", 1) for f in FAILURES.split(",")]
     loose = F.from_json(_BROKEN, ", ".join(f"{name} string" for name, _ in fields))
     return stream.filter(F.col(_BROKEN).isNotNull()).select(
-        *[loose[name].try_cast(kind).alias(name) for name, kind in fields], F.col(_BROKEN).alias("line"))
+        *[F.coalesce(F.col(name), loose[name].try_cast(kind)).alias(name) for name, kind in fields], F.col(_BROKEN).alias("line"))
 
 
 def parse_failures(lines: DataFrame, json: str = "value") -> DataFrame:
