@@ -483,6 +483,7 @@ def _link_counts(percent: int):
         cut = np.append(runs(label), len(label))
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             part = table.slice(a, b - a)
+            part = part.take(pa.array(np.unique(part.column("x").to_numpy(), return_index=True)[1]))  # a set may come twice
             x, copies, mine = (part.column(c).to_numpy() for c in ("x", "copies", "mine"))
             link = linked(*overlaps(*_differences(part)), percent) & (x[:, None] != x[None, :])
             if part.column("i")[0].as_py() != part.column("j")[0].as_py():
@@ -494,22 +495,28 @@ def _link_counts(percent: int):
     return one
 
 
-def count_links(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
+def count_links(nodes: DataFrame, sets: DataFrame, stars: DataFrame, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
     """x, links: how many documents of other sets link with each set that has a link.
 
-    ``nodes``: fp, label, copies. A component of two sets has the one link that joined it. In a larger one every set is
-    compared with one set of it, and the answers of all pairs are derived from those differences, in cells of two
+    ``nodes``: fp, label, copies; ``stars``: checked pairs with hubs. A component of two sets has the one link that joined it. In a
+    larger one every set is compared with one set, the hub that most of them were compared with already, and the answers of all pairs are derived from those differences, in cells of two
     blocks of about ``cell`` sets; cells hand on a number for each of their sets, never a pair. Small components share a task.
     """
-    size = nodes.groupBy("label").agg(F.count("*").alias("m"), F.min("fp").alias("hub")).where("m > 1")
-    inside = written(nodes.join(size, "label"), "join-count-nodes")
+    size = nodes.groupBy("label").agg(F.count("*").alias("m"), F.min("fp").alias("least")).where("m > 1")
+    known = stars.select("x", "y").join(nodes.select(F.col("fp").alias("x"), "label"), "x").groupBy("label", "y").agg(F.count("*").alias("n"))
+    hubs = known.groupBy("label").agg(F.max(F.struct("n", "y")).alias("h")).select("label", F.col("h.y").alias("y"))
+    named = size.join(hubs, "label", "left").select("label", "m", F.coalesce("y", "least").alias("hub"))
+    inside = written(nodes.join(named, "label"), "join-count-nodes")
     pair = inside.where("m = 2").select("label", "fp", "copies")
     other = pair.groupBy("label").agg(F.sum("copies").alias("all"))
     two = pair.join(other, "label").select(F.col("fp").alias("x"), (F.col("all") - F.col("copies")).alias("links"))
     more = inside.where("m > 2")
-    checked = check_pairs(more.select(F.col("fp").alias("x"), F.col("hub").alias("y"), F.lit(True).alias("star")), sets, percent)
+    wanted = more.select(F.col("fp").alias("x"), F.col("hub").alias("y"))
+    had = stars.join(wanted, ["x", "y"], "left_semi").select("x", "size", "less", "more")
+    new = check_pairs(wanted.join(stars.select("x", "y"), ["x", "y"], "left_anti").select("x", "y", F.lit(True).alias("star")), sets, percent)
+    checked = had.unionAll(new.select("x", "size", "less", "more"))
     spread_over = max(1, -(-more.count() // (4 * cell)))
-    rows = checked.select("x", "size", "less", "more").distinct().join(more.select(F.col("fp").alias("x"), "label", "copies", F.ceil(F.col("m") / cell).cast("int").alias("u")), "x")
+    rows = checked.join(more.select(F.col("fp").alias("x"), "label", "copies", F.ceil(F.col("m") / cell).cast("int").alias("u")), "x")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("x"), "u").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("u") - 1)))
     key = F.when(F.col("u") == 1, F.pmod(F.xxhash64("label"), F.lit(spread_over))).otherwise(F.col("label"))
     cells = rows.select("x", "label", "copies", "size", "less", "more", "mine", (F.col("u") == 1).alias("small"), key.alias("key"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
@@ -599,7 +606,7 @@ def _joined(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     names = written(inside.groupBy("label").agg(F.min("doc_id").alias("component_id")), "join-names")
     if count:
         copies = written(inside.groupBy("fp", "label").agg(F.count("*").alias("copies")), "join-copies")
-        others = written(count_links(copies, sets, percent), "join-links").withColumnRenamed("x", "fp")
+        others = written(count_links(copies, sets, one.where("star"), percent), "join-links").withColumnRenamed("x", "fp")
         known = copies.join(others, "fp", "left").select("fp", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
         inside = inside.join(known, "fp")
     else:
