@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows with equal ids stay or go together; a row with a null id has no place among the ids and stays.
     """
-    found = ngram_join.similar_documents(docs, shingle=5, percent=80)
+    found = ngram_join.similar_documents(docs, shingle=5, percent=80, count=False)
     # A group's name is its smallest id: every other id of the group goes.
     gone = found.where("n_shingles > 0 and doc_id > component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
