@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trailspan.llm import kd_search, ngram_join, phrases, token_alignment, token_store
+from trailspan.llm import html_text, kd_search, ngram_join, phrases, token_alignment, token_store
 from trailspan.llm.common import Words, string_parts, tokenizer_file
 
 from .test_operators import plain_sets, table
@@ -293,6 +294,48 @@ def test_tokenizer_with_other_rules_encodes_whole_texts():
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
 
 
+FLAT = (
+    "<body>" + "".join(f"<div><a href=x>{w}</a></div>" for w in "Home News Sport About".split()) + "<div>Buy now</div><div>" + "word " * 60 + "</div><div>" + "text " * 70
+    + "</div><div>a short line</div><div>" + "more " * 50 + "</div><div>Sale 50%</div><div><a href=y>Imprint</a></div></body>"
+)
+
+
+def test_clusters_decide_the_lines_of_flat_pages(monkeypatch):
+    want = "\n\n".join([("word " * 60).strip(), ("text " * 70).strip(), "a short line", ("more " * 50).strip()])
+    assert html_text.main_text(FLAT) == want
+    monkeypatch.setattr(html_text, "clusters", lambda values, threshold: np.ones(len(values), bool))
+    assert "Buy now" in html_text.main_text(FLAT) and "Sale 50%" in html_text.main_text(FLAT)
+
+
+def labelled_pages():
+    """(page, the words of its article) in several layouts; article words start with w, all others don't."""
+    rng = random.Random(21)
+    prose = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    noise = lambda n: " ".join(f"n{rng.randrange(99)}" for _ in range(n))
+    for k in range(80):
+        paragraphs = [prose(rng.choice([1, 4, 20, 40, 90])) for _ in range(rng.randint(3, 12))] + [prose(60)]
+        tag = "div" if k % 4 == 3 else "p"
+        body = "".join(f"<{tag}>{t}</{tag}>" for t in paragraphs)
+        menu = "".join(f"<li><a href=/{i}>{noise(1)}</a></li>" for i in range(8))
+        wrap = [f"<article>{body}</article>", f'<div id="content">{body}</div>', f"<main><div>{body}</div></main>", body][k % 4]
+        yield f"<body><ul>{menu}</ul><div>{noise(2)}</div>{wrap}<div>{noise(2)}</div><div><a href=x>{noise(3)}</a></div><footer>{noise(9)}</footer></body>", " ".join(paragraphs).split()
+
+
+def test_word_precision_and_recall_of_main_texts():
+    hit = found = wanted = 0
+    for page, words in labelled_pages():
+        got = html_text.main_text(page).split()
+        hit, found, wanted = hit + sum((Counter(got) & Counter(words)).values()), found + len(got), wanted + len(words)
+    assert hit / found >= 0.99 and hit / wanted >= 0.99, (hit / found, hit / wanted)
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "</i>" * 100_000 + "x", "<p>" + "<b>x</i><div></div>" * 50_000, "<b><i>" * 50_000 + "<div>a</div>" * 50_000, "<li><b>" * 50_000])
+def test_unclosed_tags_cost_no_square(page):
+    start = time.process_time()
+    assert isinstance(html_text.main_text(page), str)
+    assert time.process_time() - start < 8
+
+
 def test_encoder_forgets_without_changing_ids():
     rng = random.Random(2)
     texts = [" ".join("".join(rng.choice("abcdeé.,'1İ") for _ in range(rng.randint(1, 9))) for _ in range(50)) for _ in range(40)]

@@ -6,21 +6,28 @@ the last line. The text-to-tag ratio of a line is its length over its tags (one
 inside links not counted; the ratios are smoothed along the page with a Gaussian, and the lines
 over a threshold, a share of their spread, cluster as content.
 
-A cluster says *where* the article is; which lines it has follows from the page's structure, so
-that short paragraphs between long ones stay. The region is the innermost element that holds
-nearly all of the clustered text, or an ``article`` or ``main`` element with most of it. All lines of the region
-are kept but those in elements that never hold the article (menus, headers, footers, side bars,
-notices, adverts, forms, comments): by tag, by ARIA role, or by a word in ``class`` or ``id``.
+Clusters say where the article is, and which lines it has. The region is the innermost element that holds
+nearly all of the clustered text, or an ``article`` or ``main`` element with most of it. A line of the region stays
+
+* if it clusters as content, by its own ratio as well as by the smoothed one,
+* if it lies between two such lines of the same parent and is not mostly links, or
+* if the page's structure speaks for it: the region is an ``article`` or ``main`` element or is named as content, or the line
+  is in a paragraph, heading, list, quotation or table and is not all links. So short paragraphs stay.
+
+In a page of bare ``div`` elements the clusters alone decide. Elements that never hold the article (menus, headers, footers,
+side bars, notices, adverts, forms, comments) have no say and no line: by tag, by ARIA role, or by a word in ``class`` or ``id``.
 
 Defined cases: null and empty pages, and pages without a content line, give an empty text. Text
 outside any element counts as a line of the page. Tags that are never closed end with their
-parent. White space (Unicode's) inside a line becomes one space; lines join by an empty line.
+parent. White space (Unicode's) inside a line becomes one space; lines join by an empty line. Repeated rows are answered one
+by one, and other columns are not read. Time grows with the page's length, whatever tags stay open; a page is held whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -57,6 +64,8 @@ _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _INNER = frozenset("p pre li td tr blockquote ul ol h1 h2 h3 h4 h5 h6".split())
 _COMMENT = frozenset("comment reply".split())
+_NAMED_CONTENT = frozenset("article content story post entry main body text".split())
+_TEXTUAL = frozenset("p pre blockquote li dd dt figcaption table caption h1 h2 h3 h4 h5 h6".split())
 
 
 def _apart(tag: str, attributes: list[tuple[str, str | None]]) -> int:
@@ -81,7 +90,8 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, number, hidden
-        self.parent, self.tag_of, self.apart, self.links = [-1], [""], [0], 0
+        self.count: Counter[str] = Counter()  # open elements by tag, so that no search is in vain
+        self.parent, self.tag_of, self.apart, self.named, self.links = [-1], [""], [0], [False], 0
         self.now: list[str] = []
         self.tags = self.linked = 0
         self.lines: list[tuple[str, int, int, int]] = []  # text, tags, linked characters, element
@@ -99,6 +109,7 @@ class _Lines(HTMLParser):
             self._end_line()
         for t, *_ in self.open[depth:]:
             self.links -= t == "a"
+            self.count[t] -= 1
         del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -110,14 +121,14 @@ class _Lines(HTMLParser):
             self._end_line()
         if tag in _VOID:
             return
-        if tag in _CLOSES_P:
+        if tag in _CLOSES_P and self.count["p"]:
             for depth in range(len(self.open) - 1, 0, -1):
                 if self.open[depth][0] == "p":
                     self._leave(depth)
                     break
                 if self.open[depth][0] in _BLOCK:
                     break
-        if tag in _SAME:
+        if tag in _SAME and any(self.count[t] for t in _SAME[tag]):
             for depth in range(len(self.open) - 1, 0, -1):
                 if self.open[depth][0] in _SAME[tag]:
                     self._leave(depth)
@@ -129,6 +140,8 @@ class _Lines(HTMLParser):
         self.parent.append(element)
         self.tag_of.append(tag)
         self.apart.append(_apart(tag, attrs))
+        self.named.append(tag in ("article", "main") or any(k in ("class", "id", "itemprop") and v and not _NAMED_CONTENT.isdisjoint(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower())) for k, v in attrs))
+        self.count[tag] += 1
         self.open.append((tag, len(self.parent) - 1, hidden or tag in _HIDDEN))
         self.links += tag == "a"
 
@@ -137,10 +150,12 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth][0] == tag:
-                self._leave(depth)
-                return
+        if self.count[tag]:
+            depth = len(self.open) - 1
+            while self.open[depth][0] != tag:  # what is passed over is closed, so it's passed over once
+                depth -= 1
+            self._leave(depth)
+            return
         if tag in _BLOCK:
             self._end_line()
 
@@ -165,12 +180,16 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return full / np.convolve(np.ones(n), weight)[reach:reach + n]
 
 
+def clusters(values: np.ndarray, threshold: float) -> np.ndarray:
+    """Which values are over the threshold, a share of their spread; the largest always is."""
+    return values >= min(threshold * float(values.std()) or 0.0, float(values.max()))
+
+
 def content_lines(ratios: np.ndarray, sigma: float = SIGMA, threshold: float = THRESHOLD) -> np.ndarray:
     """Which lines cluster as content."""
     if not len(ratios):
         return np.zeros(0, bool)
-    soft = smoothed(ratios, sigma)
-    return soft >= min(threshold * float(soft.std()) or 0.0, float(soft.max()))
+    return clusters(smoothed(ratios, sigma), threshold)
 
 
 def _below(parent: list[int], amount: np.ndarray) -> np.ndarray:
@@ -226,7 +245,30 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     within = np.zeros(len(page.parent), bool)
     for e in range(len(page.parent)):
         within[e] = e == region or page.parent[e] >= 0 and within[page.parent[e]]
-    return "\n\n".join(line[0] for line, e, out in zip(lines, element, apart, strict=True) if within[e] and not out)
+    kept = _kept(page, element, length, chosen & clusters(ratio, threshold), region, within)
+    return "\n\n".join(line[0] for line, keep, out in zip(lines, kept, apart, strict=True) if keep and not out)
+
+
+def _kept(page: _Lines, element: np.ndarray, length: np.ndarray, chosen: np.ndarray, region: int, within: np.ndarray) -> np.ndarray:
+    """Which lines of the region stay: those of the clusters, those between them, and those the structure speaks for."""
+    inside = within[element]
+    up = region
+    while up > 0 and not page.named[up]:
+        up = page.parent[up]
+    if up > 0 and page.tag_of[up] != "body":
+        return inside
+    textual, links = np.zeros(len(page.parent), bool), np.array([k for _, _, k, _ in page.lines]) / np.maximum(1, length)
+    for e in range(1, len(page.parent)):
+        textual[e] = page.tag_of[e] in _TEXTUAL or textual[page.parent[e]]
+    spoken = textual[element] & (links < 1)
+    # Lines between two chosen ones of the same parent: from the first to the last chosen child of each.
+    above = np.array(page.parent)[element]
+    at = np.arange(len(element))
+    first, last = np.full(len(page.parent), len(element)), np.full(len(page.parent), -1)
+    np.minimum.at(first, above[chosen & inside], at[chosen & inside])
+    np.maximum.at(last, above[chosen & inside], at[chosen & inside])
+    between = (at > first[above]) & (at < last[above]) & (links < 0.5)
+    return inside & (chosen | between | spoken)
 
 
 _TEXT_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
