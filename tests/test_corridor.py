@@ -262,6 +262,11 @@ def test_plans_have_no_nested_loops_and_no_row_udfs(spark):
         for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
             assert word not in plan, (name, word)
     assert "WindowGroupLimit" in plan_of(QUERIES["snippet_topk"](spark, folder))
+    enrich = plan_of(QUERIES["deterministic_enrich"](spark, folder))
+    assert enrich.count("FileScan") == 4 and enrich.count("hashpartitioning(poi_id#") <= 3  # a scan for each source; one more by page
+    for name in ("snippet_dedup", "price_level", "deterministic_enrich", "osm_dedup"):
+        plan = plan_of(QUERIES[name](spark, folder))
+        assert all("content" not in line for line in plan.splitlines() if "SortAggregate" in line), name
     scan = plan_of(QUERIES["track_length"](spark, folder))
     assert "ReadSchema: struct<event_id:bigint>" in scan
 

@@ -101,8 +101,39 @@ def clean(snippets: DataFrame, context: DataFrame, k: int = MAX_SNIPPETS, candid
     return first_k(here.drop(*places), k, "pos")
 
 
-def website_snippets(previews: DataFrame) -> DataFrame:
-    """Up to three snippets from a website preview: description, hours, facts."""
+def first_pages(snippets: DataFrame, k: int = MAX_CANDIDATES) -> DataFrame:
+    """The rows of ``dedup`` in one scan: both limits run before their shuffles, which carry the texts of what is left."""
+    usable = snippets.withColumn("content", T.strip(F.col("content"))).filter(F.col("content") != "").withColumn("_page", urls.normalize(F.col("url")))
+    one = F.row_number().over(W.partitionBy("poi_id", "_page").orderBy("pos"))
+    return first_k(usable.withColumn("_n", one).filter("_n = 1").drop("_n", "_page"), k, "pos")
+
+
+def clean_hits(hits: Column, place: Column, k: int = MAX_SNIPPETS) -> Column:
+    """``clean`` on the gathered candidates of one place."""
+    kept = F.filter(hits, lambda h: ~is_noise(h["title"], h["content"], h["url"]))
+    here = F.filter(kept, lambda h: ~is_elsewhere(h["title"], h["content"], *[place[p] for p in ("locality", "county", "state", "country")]))
+    return F.slice(here, 1, k)
+
+
+def united_hits(own: Column, hits: Column, maps: Column, unresponsive: Column, k: int = MAX_SNIPPETS) -> Column:
+    """``union_sources`` on the gathered rows of one place."""
+    plain = lambda rows: F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in ("title", "url", "content", "engine")]))
+    none = F.expr("cast(array() as array<struct<title:string,url:string,content:string,engine:string>>)")
+    two = F.slice(F.concat(F.coalesce(plain(own), none), F.coalesce(plain(hits), none)), 1, k)
+    wanted = (F.size(two) < 2) | (F.coalesce(unresponsive, F.lit(0)) >= 2)
+    return F.when(wanted, F.slice(F.concat(two, F.coalesce(plain(maps), none)), 1, k)).otherwise(two)
+
+
+def ranked_hits(united: Column) -> Column:
+    """``rank_by_quality`` on the gathered rows of one place, with ``pos`` from 0."""
+    scored = F.transform(united, lambda r, i: F.struct(
+        (-domain_quality(r["url"])).alias("score"), (-F.char_length(r["content"])).alias("size"), i.alias("at"), r.alias("r")))
+    best = F.sort_array(F.filter(scored, lambda s: s["score"] < 0))
+    return F.transform(best, lambda s, i: F.struct(i.cast("long").alias("pos"), *[s["r"][c].alias(c) for c in ("title", "url", "content", "engine")]))
+
+
+def website_rows() -> Column:
+    """Up to three snippets of a website preview as an array: description, hours, facts."""
     s = F.col("structured")
     url = F.coalesce(T.blank_to_null(F.col("final_url")), F.col("url"))
     facts = F.array_join(T.compact_array(
@@ -111,14 +142,19 @@ def website_snippets(previews: DataFrame) -> DataFrame:
         F.when(T.blank_to_null(s["priceRange"]).isNotNull(), F.concat(F.lit("Price "), s["priceRange"])),
     ), ". ")
     hours = F.when(F.size(s["openingHours"]) > 0, F.concat(F.lit("Opening hours: "), F.array_join(s["openingHours"], "; ")))
-    rows = F.array(
-        F.struct(F.coalesce(F.col("title"), F.lit("Official site")).alias("title"), T.blank_to_null(s["description"]).alias("content")),
-        F.struct(F.lit("Official opening hours").alias("title"), hours.alias("content")),
-        F.struct(F.lit("Official structured data").alias("title"), T.blank_to_null(facts).alias("content")),
-    )
-    return previews.select("poi_id", url.alias("url"), F.posexplode(rows).alias("pos", "r")).filter("r.content IS NOT NULL").select(
-        "poi_id", "pos", "r.title", "url", "r.content", F.lit("official_website").alias("engine")
-    )
+    return _rows(url, "official_website", (F.coalesce(F.col("title"), F.lit("Official site")), T.blank_to_null(s["description"])),
+                 (F.lit("Official opening hours"), hours), (F.lit("Official structured data"), T.blank_to_null(facts)))
+
+
+def _rows(url: Column, engine: str, *found: tuple[Column, Column]) -> Column:
+    """Snippets with a content, each with its place in the list."""
+    rows = [F.struct(F.lit(k).alias("pos"), title.alias("title"), url.alias("url"), content.alias("content"), F.lit(engine).alias("engine")) for k, (title, content) in enumerate(found)]
+    return F.filter(F.array(*rows), lambda r: r["content"].isNotNull())
+
+
+def website_snippets(previews: DataFrame) -> DataFrame:
+    """Up to three snippets from a website preview, a row each."""
+    return previews.select("poi_id", F.inline(website_rows()))
 
 
 def flatten_hours(hours: Column) -> Column:
@@ -134,8 +170,8 @@ def flatten_hours(hours: Column) -> Column:
     ), "; ")
 
 
-def map_snippets(previews: DataFrame) -> DataFrame:
-    """Up to two snippets from a map preview: its text and its facts."""
+def map_rows() -> Column:
+    """Up to two snippets of a map preview as an array: its text and its facts."""
     hours = F.when(F.size("structured_hours") > 0, flatten_hours(F.col("structured_hours"))).otherwise(F.col("hours_text"))
     facts = F.array_join(F.filter(F.array(
         F.col("category"),
@@ -145,14 +181,13 @@ def map_snippets(previews: DataFrame) -> DataFrame:
         hours, F.col("address"), F.col("phone"),
     ), lambda x: x.isNotNull() & (x != "")), ". ")
     title = F.coalesce(F.col("title"), F.lit("Google Maps"))
-    rows = F.array(
-        F.struct(title.alias("title"), T.blank_to_null(F.col("snippet")).alias("content")),
-        F.struct(F.concat(title, F.lit(" facts")).alias("title"), T.blank_to_null(facts).alias("content")),
-    )
     url = F.coalesce(T.blank_to_null(F.col("resolved_url")), F.col("url"))
-    return previews.select("poi_id", url.alias("url"), F.posexplode(rows).alias("pos", "r")).filter("r.content IS NOT NULL").select(
-        "poi_id", "pos", "r.title", "url", "r.content", F.lit("google_maps").alias("engine")
-    )
+    return _rows(url, "google_maps", (title, T.blank_to_null(F.col("snippet"))), (F.concat(title, F.lit(" facts")), T.blank_to_null(facts)))
+
+
+def map_snippets(previews: DataFrame) -> DataFrame:
+    """Up to two snippets from a map preview, a row each."""
+    return previews.select("poi_id", F.inline(map_rows()))
 
 
 def preview_fields() -> Column:

@@ -9,15 +9,25 @@ from ..operators import extract, snippets, structured
 from ..operators.pois import google_maps_url, is_generic_name, policy
 
 
-def ranked_snippets(
-    search: DataFrame, places: DataFrame, previews: DataFrame, map_previews: DataFrame
-) -> DataFrame:
-    """Clean search snippets, add website and map snippets, rank by source quality."""
-    united = snippets.union_sources(
-        snippets.clean(search, places), snippets.website_snippets(previews),
-        snippets.map_snippets(map_previews), places,
-    )
-    return snippets.rank_by_quality(united)
+def gather_sources(places: DataFrame, search: DataFrame, previews: DataFrame, map_previews: DataFrame) -> DataFrame:
+    """One row per place: ``place`` (its columns), ``hits`` (its first 16 pages), ``preview``, ``site``, ``map``.
+
+    All sources become rows of one table, keyed by place, and meet in one shuffle. A place gathers at most 16 pages and
+    a row of each other source. Every source is scanned once.
+    """
+    hit = F.struct("pos", "title", "url", "content", "engine")
+    rows = [
+        places.select("poi_id", F.struct(*places.columns).alias("place")),
+        snippets.first_pages(search).select("poi_id", hit.alias("hit")),
+        previews.select("poi_id", F.struct("url", "final_url", "title", "description", "excerpt", "structured").alias("preview"), snippets.website_rows().alias("site")),
+        map_previews.select("poi_id", F.struct(
+            F.col("structured_hours").alias("hours"), snippets.preview_fields().alias("fields"), snippets.map_rows().alias("rows")).alias("map")),
+    ]
+    tagged = rows[0]
+    for more in rows[1:]:
+        tagged = tagged.unionByName(more, allowMissingColumns=True)
+    only = [F.first(c, ignorenulls=True).alias(c) for c in ("place", "preview", "site", "map")]
+    return tagged.groupBy("poi_id").agg(*only, F.sort_array(F.collect_list("hit")).alias("hits")).filter("place IS NOT NULL").drop("poi_id")
 
 
 def enrich(
@@ -31,25 +41,19 @@ def enrich(
     """Enrichment without a language model.
 
     ``places``: ``poi_id, name, category, tags, lat, lon, locality, county, state,
-    country, n_unresponsive``. Places that need no search are kept out of the joins
-    with the snippet tables: only full-policy places are looked up there.
+    country, n_unresponsive``. Everything after the gathering is an expression on one row per place; only
+    full-policy places keep their snippets.
     """
     generic = is_generic_name(F.col("name"))
     effort = F.lit("full") if enrich_all else policy(F.col("category"))
-    decided = places.withColumn("policy", F.when(generic, "generic").otherwise(effort))
-    full = decided.filter("policy = 'full'")
-    wanted = full.select("poi_id")
-    ranked = ranked_snippets(
-        search.join(wanted, "poi_id", "left_semi"), full,
-        previews.join(wanted, "poi_id", "left_semi"), map_previews.join(wanted, "poi_id", "left_semi"),
-    )
-    site = previews.select("poi_id", F.struct(
-        "url", "final_url", "title", "description", "excerpt", "structured").alias("preview"))
-    maps = map_previews.select("poi_id", F.col("structured_hours").alias("_map_hours"), snippets.preview_fields().alias("_map_fields"))
-    joined = (
-        decided.join(extract.gather(ranked), "poi_id", "left").join(site, "poi_id", "left").join(maps, "poi_id", "left")
-        .withColumn("snippets", F.coalesce("snippets", F.expr("filter(array(named_struct('pos', 0L, 'title', '', 'url', '', 'content', '', 'engine', '')), x -> false)")))
-    )
+    sources = gather_sources(places, search, previews, map_previews)
+    decided = sources.select("place.*", "place", "hits", "preview", "site", "map").withColumn("policy", F.when(generic, "generic").otherwise(effort))
+    # Each step is a column of its own: arrays are worked on by interpreted functions that don't share equal parts.
+    here = decided.withColumn("hits", snippets.clean_hits(F.col("hits"), F.col("place")))
+    united = here.withColumn("hits", snippets.united_hits(F.col("site"), F.col("hits"), F.col("map.rows"), F.col("n_unresponsive")))
+    joined = united.withColumn("snippets", F.when(F.col("policy") == "full", snippets.ranked_hits(F.col("hits"))).otherwise(
+        F.expr("cast(array() as array<struct<pos:bigint,title:string,url:string,content:string,engine:string>>)")))
+    joined = joined.withColumn("_map_hours", F.col("map.hours")).withColumn("_map_fields", F.col("map.fields")).drop("place", "hits", "site", "map")
     found = (F.col("policy") == "full") & (F.size("snippets") > 0)
     visits = F.col("policy").isin("full", "minimal")
     searched = (F.col("policy") == "full")
