@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import rules, testbed
@@ -287,6 +288,23 @@ def category_counts(spark, folder):
     return pois.category_counts(_pois(spark, folder))
 
 
+def _ranked(spark, folder, mode: str, collation: str | None) -> DataFrame:
+    """Places with their number in the order; the number is given by the order alone, as a report of it."""
+    near = corridor.corridor_filter(_pois(spark, folder), testbed.points(spark, folder))
+    return near.select("poi_id", "name", F.row_number().over(W.orderBy(*pois.sort_order(mode, collation))).alias("place"))
+
+
+@query
+def poi_sort_distance(spark, folder):
+    return _ranked(spark, folder, "distance", None).drop("name")
+
+
+@query
+def poi_sort_name(spark, folder):
+    """By name, accents and case aside."""
+    return _ranked(spark, folder, "name", "UNICODE_CI_AI")
+
+
 @query
 def poi_sort(spark, folder):
     near = corridor.corridor_filter(_pois(spark, folder), testbed.points(spark, folder))
@@ -807,15 +825,38 @@ def geojson_export(spark, folder):
     return geojson_features(_export_pois(spark, folder, False))
 
 
+@query
+def geojson_enriched(spark, folder):
+    """Features with all 27 enrichment properties where a place is done."""
+    from .sinks.documents import geojson_features
+
+    return geojson_features(_export_pois(spark, folder, True))
+
+
+def _gpx(spark, folder, osmand: bool) -> DataFrame:
+    """Lines of the documents; coordinates to seven places, positions of waypoints to a metre."""
+    from .sinks.documents import gpx_lines
+
+    points = testbed.points(spark, folder).withColumn("lat", F.round("lat", 7)).withColumn("lon", F.round("lon", 7)).withColumn("ele", F.round("ele", 3))
+    near = _export_pois(spark, folder, True).withColumn("lat", F.round("lat", 7)).withColumn("lon", F.round("lon", 7))
+    lines = gpx_lines(near, points, _track_names(spark, folder), osmand)
+    metre = F.floor((F.col("ord") + 500) / 1000)
+    return lines.withColumn("ord", F.when(F.col("section").isin(2, 4), metre).otherwise(F.col("ord")))
+
+
+@query
+def gpx_plain(spark, folder):
+    return _gpx(spark, folder, False)
+
+
 def _track_names(spark, folder) -> DataFrame:
     return testbed.points(spark, folder).filter("seq = 0").select("track_id", F.concat(F.lit("Route & "), "track_id").alias("name"))
 
 
 @query
 def gpx_export(spark, folder):
-    from .sinks.documents import gpx_lines
-
-    return gpx_lines(_export_pois(spark, folder, True), testbed.points(spark, folder), _track_names(spark, folder), osmand=True)
+    """Documents with the extensions for icons, colours and groups."""
+    return _gpx(spark, folder, True)
 
 
 @query

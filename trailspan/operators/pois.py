@@ -92,6 +92,11 @@ def sort_pois(pois: DataFrame, mode: str = "distance", collation: str | None = "
 
     ``collation`` gives accent-aware order; pass ``None`` for byte order.
     """
+    return pois.orderBy(*sort_order(mode, collation))
+
+
+def sort_order(mode: str = "distance", collation: str | None = "UNICODE") -> list[Column]:
+    """The columns that ``sort_pois`` orders by; ties go by ``poi_id``."""
     def text_order(name: str) -> Column:
         return F.collate(F.col(name), collation) if collation else F.col(name)
 
@@ -100,7 +105,7 @@ def sort_pois(pois: DataFrame, mode: str = "distance", collation: str | None = "
         "category": [text_order("category"), F.col("distance_to_trace")],
         "name": [text_order("name")],
     }
-    return pois.orderBy(*orders[mode], F.col("poi_id"))
+    return [*orders[mode], F.col("poi_id")]
 
 
 def policy(category: Column) -> Column:

