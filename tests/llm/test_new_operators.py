@@ -61,14 +61,31 @@ def talk():
     return rows
 
 
-@pytest.mark.parametrize("at_least,bits,block", [(8, 23, 400_000), (3, 8, 40), (1, 23, 2000)])
-def test_collocations(spark, talk, at_least, bits, block):
-    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in talk], "lang string, text string, n long, phrase string, id long").repartition(4)
-    got = phrases.collocations(docs, at_least, top=25, bits=bits, block=block)
+@pytest.mark.parametrize("at_least,options", [(8, {}), (3, {"bits": 8, "block": 40, "announced_by": 1}), (1, {"bits": 23, "block": 2000, "announced_by": 2})])
+def test_collocations(spark, talk, at_least, options):
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in talk], "lang string, text string, n long, phrase string, id long").repartition(6)
+    got = phrases.collocations(docs, at_least, top=25, **options)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert sorted(tuple(r) for r in got.collect()) == plain_phrases(talk, at_least, 25)
 
 
+def test_phrases_of_one_task_are_announced_at_last(spark):
+    """A phrase that only one task has may not be that task's to announce at first."""
+    rows = [("en", "rare pair " * 5)] + [("en", f"x{k} y{k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartitionByRange(8, "text")
+    for bits in (3, 20):
+        got = phrases.collocations(docs, 4, bits=bits, announced_by=1)
+        assert [tuple(r) for r in got.collect()] == plain_phrases(rows, 4, 2000) != []
+
+
+def test_full_buckets_are_never_explained():
+    b = phrases.Buckets(4)
+    for _ in range(3):
+        b.add(np.repeat(np.uint64([0, 1 << 60, 15 << 60]), [300, 1, 40_000]))
+    at, n = b.full()
+    assert at.tolist() == [0, 1, 15] and n.tolist() == [900, 3, phrases.Buckets.MANY]
+
+
 def test_collocations_of_nothing_and_large_numbers(spark):
     none = spark.createDataFrame([], "lang string, text string")
     assert phrases.collocations(none).count() == 0

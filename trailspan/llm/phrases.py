@@ -6,11 +6,13 @@ occurrences in a language, overlapping ones included, n all the words of the lan
 
 * *Words.* One scan counts words and, in the same pass, every pair of neighbours in one of 2^``BUCKET_BITS``
   hash buckets. A pair whose bucket stays below the threshold can't be frequent; the kept buckets are a bit map of
-  fixed size (1 MB).
+  fixed size (4 MB).
 * *Candidates.* A phrase of k words is a candidate only if it occurs, its bucket is full, and both phrases of k - 1 words in it are
   frequent (Apriori), so no frequent phrase is missed. The scan that counts a level counts the buckets of the phrases that
   prolong its candidates by a word; the next scan sends the distinct phrases in full buckets that prolong a frequent one, and
-  joins with the frequent phrases keep the safe ones. Nothing is paired off within a group.
+  joins with the frequent phrases keep the safe ones. A bucket's phrases are announced by some ``ANNOUNCED_BY`` tasks at first, not by
+  every task that has them; where a bucket still holds enough occurrences beyond those of the candidates counted so far, all
+  tasks announce its phrases. So none is missed, and nothing is paired off within a group.
 * *Counting.* Candidates are dealt out to blocks of about ``BLOCK`` phrases. A block becomes a double-array trie (the
   child of state s by symbol c is slot base[s] + c, if check[slot] is s; the first level is the language), which is
   broadcast: its size is bounded by ``BLOCK``, whatever the table. Tasks move all text positions through the trie
@@ -38,13 +40,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, mixed, runs, scratch, slices, string_parts, written
+from .common import Words, mixed, runs, scratch, slices, splits, string_parts, written
 
 LONGEST = 5
 AT_LEAST = 100
 #: Rows of the result for each language: the report's length.
 TOP = 2000
-BUCKET_BITS = 23
+BUCKET_BITS = 25
+#: Tasks that announce a candidate at first, about.
+ANNOUNCED_BY = 4
 #: Candidates of one trie.
 BLOCK = 400_000
 #: Distinct rows that a task holds before it sends them.
@@ -81,9 +85,35 @@ class Pieces(Words):
         return [b" ".join(w).decode() for w in zip(*words, strict=True)]
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Pieces]]:
-    """(languages of the rows, their words) for each slice of text."""
+class Buckets:
+    """Numbers by bucket in 16 bits; a bucket with more counts as one with ``MANY``, so it is never taken for explained."""
+
+    MANY = 1 << 40
+
+    def __init__(self, bits: int):
+        self.shift, self.most, self.n = np.uint64(64 - bits), (1 << 16) - 1, np.zeros(1 << bits, np.uint16)
+
+    def add(self, keys: np.ndarray) -> None:
+        at, n = np.unique((keys >> self.shift).astype(np.int64), return_counts=True)
+        self.n[at] = np.minimum(self.n[at] + n, self.most)
+
+    def full(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.n)
+        return at, np.where(self.n[at] == self.most, self.MANY, self.n[at].astype(np.int64))
+
+
+def _announced(keys: np.ndarray, kept: np.ndarray, bits: int, part: int, share: int) -> np.ndarray:
+    """Which keys lie in kept buckets that it's up to this task to announce."""
+    bucket = keys >> np.uint64(64 - bits)
+    mine = (bucket + np.uint64(part)) % np.uint64(share) == 0
+    return mine & (kept[(bucket >> np.uint64(3)).astype(np.int64)] >> (bucket & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _read(batches: Iterator[pa.RecordBatch], numbers: list[int] | None = None) -> Iterator[tuple[pa.Array, Pieces]]:
+    """(languages of the rows, their words) for each slice of text; the task's number goes into ``numbers``."""
     for batch in batches:
+        if numbers is not None and batch.num_rows:
+            numbers[0] = batch.column("part")[0].as_py()
         langs, texts = batch.column("lang"), batch.column("text")
         for a, b in slices(string_parts(texts)[1]):
             pieces = Pieces(*string_parts(texts.slice(a, b - a)))
@@ -102,18 +132,11 @@ _SURVEY = "lang string, word string, bucket int, n long"
 _SURVEY_ARROW = pa.schema([("lang", pa.string()), ("word", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
 
-def _pair_buckets(words: Pieces, langs: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first words of pairs, their buckets)."""
-    at = np.flatnonzero(words.left > 1)
-    lang = _lang_hashes(langs)[words.row[at]]
-    return at, (mixed((words.hash[at] ^ lang) * _NEXT + words.hash[at + 1]) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def _survey(bits: int):
     """Words with their numbers, and bucket numbers of pairs: equal ones of a task are summed first."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, held, size = np.zeros(1 << bits, np.int32), [], 0
+        buckets, held, size = Buckets(bits), [], 0
 
         def summed() -> pa.Table:
             return pa.concat_tables(held).group_by(["lang", "word"]).aggregate([("n", "sum")])
@@ -123,7 +146,7 @@ def _survey(bits: int):
                 yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("word"), pa.nulls(b.num_rows, pa.int32()), b.column("n_sum")], schema=_SURVEY_ARROW)
 
         for langs, words in _read(batches):
-            np.add.at(buckets, _pair_buckets(words, langs, bits)[1], 1)
+            buckets.add(_keys(langs, words, np.flatnonzero(words.left > 1), 2))
             _, at, n = np.unique(mixed(words.hash ^ _lang_hashes(langs)[words.row]), return_index=True, return_counts=True)
             held.append(pa.table({"lang": langs.take(pa.array(words.row[at])), "word": pa.array(words.phrases(at, 1), pa.string()), "n": pa.array(n)}))
             size += len(at)
@@ -136,19 +159,18 @@ def _survey(bits: int):
                     held, size = [merged.rename_columns({"n_sum": "n"})], len(merged)
         if held:
             yield from sent(summed())
-        full = np.flatnonzero(buckets)
+        full, numbers = buckets.full()
         for a in range(0, len(full), 100_000):
-            part = full[a:a + 100_000]
-            none = pa.nulls(len(part), pa.string())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(part, pa.int32()), pa.array(buckets[part], pa.int64())], schema=_SURVEY_ARROW)
+            none = pa.nulls(len(full[a:a + 100_000]), pa.string())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(full[a:a + 100_000], pa.int32()), pa.array(numbers[a:a + 100_000])], schema=_SURVEY_ARROW)
 
     return task
 
 
 _COUNTS = "id long, bucket int, n long"
 _COUNTS_ARROW = pa.schema([("id", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64())])
-_PHRASE = "lang string, phrase string"
-_PHRASE_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string())])
+_PHRASE = "lang string, phrase string, bucket int"
+_PHRASE_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("bucket", pa.int32())])
 
 
 def _numbers(column: str, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -184,21 +206,25 @@ def _keys(langs: pa.Array, words: Pieces, at: np.ndarray, size: int) -> np.ndarr
     return key
 
 
-def _named(langs: pa.Array, words: Pieces, at: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+def _named(langs: pa.Array, words: Pieces, at: np.ndarray, size: int, keys: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int32)
     for a in range(0, len(at), 20_000):
         part = at[a:a + 20_000]
-        yield pa.RecordBatch.from_arrays([langs.take(pa.array(words.row[part])).cast(pa.string()), pa.array(words.phrases(part, size), pa.string())], schema=_PHRASE_ARROW)
+        yield pa.RecordBatch.from_arrays([langs.take(pa.array(words.row[part])).cast(pa.string()), pa.array(words.phrases(part, size), pa.string()), pa.array(bucket[a:a + 20_000])], schema=_PHRASE_ARROW)
 
 
-def _pairs(kept: np.ndarray, bits: int):
-    """The distinct pairs of neighbours in kept buckets."""
+def _pairs(kept: np.ndarray, bits: int, share: int):
+    """The distinct pairs of neighbours in kept buckets, as far as they are this task's to announce."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Seen()
-        for langs, words in _read(batches):
-            at, bucket = _pair_buckets(words, langs, bits)
-            at = at[(kept[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)]
-            yield from _named(langs, words, at[seen.new(_keys(langs, words, at, 2))], 2)
+        seen, number = _Seen(), [0]
+        for langs, words in _read(batches, number):
+            at = np.flatnonzero(words.left > 1)
+            keys = _keys(langs, words, at, 2)
+            mine = _announced(keys, kept, bits, number[0], share)
+            at, keys = at[mine], keys[mine]
+            new = seen.new(keys)
+            yield from _named(langs, words, at[new], 2, keys[new], bits)
 
     return task
 
@@ -306,7 +332,7 @@ def _counted(block, longer: bool, bits: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = block.value
-        total, buckets = np.zeros(len(trie.check), np.int64), np.zeros(1 << bits if longer else 0, np.int32)
+        total, buckets = np.zeros(len(trie.check), np.int64), Buckets(bits if longer else 0)
         for langs, words in _read(batches):
             at, state = trie.states(langs, words)
             if not len(at):
@@ -317,23 +343,23 @@ def _counted(block, longer: bool, bits: int):
                 np.add.at(total, state, 1)
             if longer:
                 first = at[words.left[at] > trie.size]
-                np.add.at(buckets, (_keys(langs, words, first, trie.size + 1) >> np.uint64(64 - bits)).astype(np.int64), 1)
-        found, full = np.flatnonzero(total), np.flatnonzero(buckets)
+                buckets.add(_keys(langs, words, first, trie.size + 1))
+        found = np.flatnonzero(total)
         yield from _numbers("id", trie.ids[found], total[found])
-        yield from _numbers("bucket", full, buckets[full])
+        yield from _numbers("bucket", *buckets.full())
 
     return task
 
 
-def _following(block, kept: np.ndarray, whole: bool, bits: int):
-    """The distinct phrases in kept buckets that prolong one of the trie's by a word.
+def _following(block, kept: np.ndarray, whole: bool, bits: int, share: int):
+    """The distinct phrases in kept buckets that prolong one of the trie's by a word, as far as they are this task's to announce.
 
     If the trie holds all frequent phrases (``whole``), the phrase that starts a word later has to be one of them too.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, seen = block.value, _Seen()
-        for langs, words in _read(batches):
+        trie, seen, number = block.value, _Seen(), [0]
+        for langs, words in _read(batches, number):
             at, _ = trie.states(langs, words)
             if not len(at):
                 continue
@@ -343,20 +369,24 @@ def _following(block, kept: np.ndarray, whole: bool, bits: int):
                 on[-1] = False
             first = at[on]
             keys = _keys(langs, words, first, trie.size + 1)
-            bucket = keys >> np.uint64(64 - bits)
-            held = (kept[(bucket >> np.uint64(3)).astype(np.int64)] >> (bucket & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            first, keys = first[held], keys[held]
-            yield from _named(langs, words, first[seen.new(keys)], trie.size + 1)
+            mine = _announced(keys, kept, bits, number[0], share)
+            first, keys = first[mine], keys[mine]
+            new = seen.new(keys)
+            yield from _named(langs, words, first[new], trie.size + 1, keys[new], bits)
 
     return task
 
 
-def _kept_buckets(survey: DataFrame, at_least: int, bits: int) -> np.ndarray:
-    """The bit map of buckets with enough pairs, 2^bits bits."""
-    full = survey.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)
+def _full_buckets(numbers: DataFrame, at_least: int) -> DataFrame:
+    """bucket, n of buckets with enough occurrences."""
+    return numbers.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)
+
+
+def _bit_map(full: DataFrame, bits: int) -> np.ndarray:
+    """2^bits bits, set for these buckets: 4 KB for each 32768 of them."""
     maps = full.groupBy(F.expr("bucket div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("bucket % 32768")).alias("bits"))
     out = np.zeros(max(1 << bits, 32768) // 8, np.uint8)
-    for row in maps.toLocalIterator():  # 4 KB for each 32768 buckets
+    for row in maps.toLocalIterator():
         out[row["part"] * 4096:(row["part"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
     return out
 
@@ -364,11 +394,11 @@ def _kept_buckets(survey: DataFrame, at_least: int, bits: int) -> np.ndarray:
 def _safe(phrases: DataFrame, frequent: DataFrame, size: int) -> DataFrame:
     """The distinct phrases of ``size`` words whose first and last size - 1 words are frequent."""
     words = F.split("phrase", " ")
-    cut = phrases.distinct().select("lang", "phrase", F.array_join(F.slice(words, 1, size - 1), " ").alias("__a"), F.array_join(F.slice(words, 2, size - 1), " ").alias("__b"))
+    cut = phrases.distinct().select("lang", "phrase", "bucket", F.array_join(F.slice(words, 1, size - 1), " ").alias("__a"), F.array_join(F.slice(words, 2, size - 1), " ").alias("__b"))
     known = frequent.select("lang", "phrase")
     for side in ("__a", "__b"):
         cut = cut.join(known.select("lang", F.col("phrase").alias(side)), ["lang", side], "left_semi")
-    return cut.select("lang", "phrase")
+    return cut.select("lang", "phrase", "bucket")
 
 
 def _tries(spark: SparkSession, phrases: DataFrame, size: int, block: int) -> Iterator[tuple[Broadcast, bool]]:
@@ -389,33 +419,47 @@ def _all_of(tables: list[DataFrame]) -> DataFrame:
     return both
 
 
-def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text", bits: int = BUCKET_BITS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text", bits: int = BUCKET_BITS, block: int = BLOCK, announced_by: int = ANNOUNCED_BY) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f of every phrase of 1 to ``longest`` words with f >= at_least; lang, n), both written."""
     if at_least < 1 or longest < 2:
         raise ValueError("phrases have two words or more and occur at least once")
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.spark_partition_id().alias("part"))
     survey = written(rows.mapInArrow(_survey(bits), _SURVEY), "phrases-words")
     totals = survey.where("word is not null")
     sizes = written(totals.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-langs")
     level = written(totals.groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("f")).where(F.col("f") >= at_least), "phrases-level")
     found = level.withColumn("size", F.lit(1))
-    following = rows.mapInArrow(_pairs(_kept_buckets(survey, at_least, bits), bits), _PHRASE)
+    full = written(_full_buckets(survey, at_least), "phrases-buckets")
+    dealt = max(1, splits(rows) // announced_by)
     for size in range(2, longest + 1):
-        candidates = written(_safe(following, level, size).withColumn("id", F.monotonically_increasing_id()), "phrases-candidates")
-        scans = [written(rows.mapInArrow(_counted(t, size < longest, bits), _COUNTS), "phrases-counts") for t, _ in _tries(spark, candidates, size, block)]
+        scans, candidates, left = [], [], full
+        for share in sorted({dealt, 1}, reverse=True):  # a few tasks announce; then all, where a bucket isn't explained yet
+            kept = _bit_map(left, bits)
+            if not kept.any():
+                break
+            if size == 2:
+                said = [written(rows.mapInArrow(_pairs(kept, bits, share), _PHRASE), "phrases-said")]
+            else:
+                said = [written(rows.mapInArrow(_following(t, kept, whole, bits, share), _PHRASE), "phrases-said") for t, whole in _tries(spark, level, size - 1, block)]
+            if not said:
+                break
+            new = _safe(_all_of(said), level, size)
+            if candidates:
+                new = new.join(candidates[0].select("lang", "phrase"), ["lang", "phrase"], "left_anti")
+            new = written(new.withColumn("id", F.monotonically_increasing_id() * 2 + len(candidates)), "phrases-candidates")
+            candidates.append(new)
+            scans += [written(rows.mapInArrow(_counted(t, size < longest, bits), _COUNTS), "phrases-counts") for t, _ in _tries(spark, new, size, block)]
+            if share > 1 and scans:
+                known = _all_of(scans).where("id is not null").join(new, "id").groupBy(new["bucket"].alias("bucket")).agg(F.sum("n").alias("f"))
+                left = full.join(known, "bucket", "left").where(F.col("n") - F.coalesce("f", F.lit(0)) >= at_least).select("bucket")
         if not scans:
             break
         both = _all_of(scans)
         counts = both.where("id is not null").groupBy("id").agg(F.sum("n").alias("f")).where(F.col("f") >= at_least)
-        level = written(candidates.join(counts, "id").select("lang", "phrase", "f", "id"), "phrases-level")
+        level = written(_all_of(candidates).join(counts, "id").select("lang", "phrase", "f", "id"), "phrases-level")
         found = found.unionAll(level.select("lang", "phrase", "f", F.lit(size).alias("size")))
-        if size < longest:
-            kept = _kept_buckets(both, at_least, bits)
-            longer = [written(rows.mapInArrow(_following(t, kept, whole, bits), _PHRASE), "phrases-following") for t, whole in _tries(spark, level, size, block)]
-            if not longer:
-                break
-            following = _all_of(longer)
+        full = written(_full_buckets(both, at_least), "phrases-buckets")
     return found, sizes
 
 
