@@ -1,5 +1,6 @@
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -237,6 +238,41 @@ def test_only_regions_around_the_line_are_read(spark, tmp_path):
     assert sorted(r.id for r in read.collect()) == [0, 1, 2, 3, 4]
 
 
+def test_stored_cache_is_looked_up_by_bucket(spark):
+    from trailspan.operators import cache
+
+    rows = [("node" if k % 2 else "way", k, f"n{k}", k % 3 == 0) for k in range(1, 400)]
+    df = spark.createDataFrame(rows, "osm_type string, osm_id long, name string, old boolean").selectExpr(
+        "*", "timestamp'2024-01-01' + make_dt_interval(if(old, 0, 200)) AS enriched_at")
+    asked = spark.createDataFrame([("node", k) for k in range(0, 90)] + [("way", 4), ("way", 4), ("other", 3)], "osm_type string, osm_id long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.sql("DROP TABLE IF EXISTS stored_cache")
+    try:
+        cache.store(df, "stored_cache", 16)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = cache.lookup_stored(asked, "stored_cache", "2024-08-01 00:00:00")
+        plan = plan_of(found)
+        scan = plan.index("FileScan")
+        assert "Bucketed: true" in plan
+        assert all("Exchange" not in line for line in plan[plan.rindex("\n", 0, plan.index("SortMergeJoin")):scan].splitlines())  # nothing between the join and the cache's scan
+        want = cache.lookup(asked, df, "2024-08-01 00:00:00")
+        assert sorted(map(str, found.collect())) == sorted(map(str, want.select(found.columns).collect())) != []
+        few = cache.lookup_keys(spark, "stored_cache", [("node", 5), ("way", 4), ("other", 1)], "2024-08-01 00:00:00")
+        assert sorted(r.name for r in few.collect()) == ["n4", "n5"]
+        own = {r[0] for r in few.select(F.input_file_name()).distinct().collect()}
+        files = {Path(f.removeprefix("file:")) for f in spark.table("stored_cache").inputFiles()}
+        others = [f for f in files if f"file://{f}" not in own and f"file:{f}" not in own]
+        assert len(others) >= 10
+        for f in others:  # what other buckets hold doesn't matter: they aren't opened
+            f.write_bytes(b"not a table")
+            (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+        again = cache.lookup_keys(spark, "stored_cache", [("node", 5), ("way", 4)], "2024-08-01 00:00:00")
+        assert sorted(r.name for r in again.collect()) == ["n4", "n5"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE IF EXISTS stored_cache")
+
+
 def test_runs_are_kept_apart(spark):
     rows = [("a", "Water", 0, 60.0, 5.0), ("b", "Water", 1, 60.0, 5.0), ("b", "Water", 2, 60.0, 5.0)]
     df = spark.createDataFrame(rows, "run_id string, category string, ord long, lat double, lon double").selectExpr("concat('p', ord) AS poi_id", "*", "map('k', 'v') AS tags")

@@ -175,7 +175,9 @@ def poi_dedup(spark, folder):
 
 @query
 def adaptive_radius(spark, folder):
-    return dedup.run_radius(_corridor(spark, folder).withColumn("run_id", F.lit("run"))).drop("run_id")
+    """Places and merging radius of each of three users' runs."""
+    points = testbed.points(spark, folder).withColumn("run_id", F.concat(F.lit("run"), F.col("track_idx") % 3))
+    return dedup.run_radius(corridor.corridor_filter(_pois(spark, folder), points, 1500.0))
 
 
 @query
@@ -622,6 +624,16 @@ def mappage_extract(spark, folder):
     return mappages.map_fields(testbed.map_pages(spark, folder)).drop("title", "body_text")
 
 
+@query
+def mappage_hours(spark, folder):
+    """The hours text of map pages, from the lines where they show it."""
+    from .operators import mappages
+
+    shown = F.array_join(F.slice(F.split("body_text", "\n"), 3, 2), "  ")
+    pages = testbed.map_pages(spark, folder).withColumn("hours_text", shown)
+    return mappages.map_fields(pages).select("source", "url", "hours")
+
+
 @query
 def hours_rows(spark, folder):
     from .operators import mappages

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -31,6 +31,30 @@ def lookup(requests: DataFrame, cache: DataFrame, as_of: str, max_age_days: int
     return cache.join(keys, KEY).withColumn("is_stale", is_stale(as_of, max_age_days))
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("cache_key", F.concat_ws("/", "osm_type", F.col("osm_id").cast("string")))
+
+
+def store(cache: DataFrame, name: str, buckets: int = 256) -> None:
+    """The cache as a table in buckets by key, one file each, so that look-ups by key neither shuffle nor scan it whole."""
+    keyed = _keyed(cache).repartition(buckets, "cache_key")
+    keyed.write.bucketBy(buckets, "cache_key").sortBy("cache_key").saveAsTable(name)
+
+
+def lookup_stored(requests: DataFrame, name: str, as_of: str, max_age_days: int = MAX_AGE_DAYS) -> DataFrame:
+    """``lookup`` in a stored cache: only the requested keys are dealt to its buckets."""
+    keys = _keyed(requests.filter(cacheable())).select("cache_key").distinct()
+    stored = requests.sparkSession.table(name)
+    return stored.join(keys, "cache_key").drop("cache_key").withColumn("is_stale", is_stale(as_of, max_age_days))
+
+
+def lookup_keys(spark: SparkSession, name: str, keys: list[tuple[str, int]], as_of: str, max_age_days: int = MAX_AGE_DAYS) -> DataFrame:
+    """Cached rows of a few keys: reads their buckets alone."""
+    wanted = [f"{kind}/{number}" for kind, number in keys if kind in ("node", "way", "relation") and number > 0]
+    stored = spark.table(name).filter(F.col("cache_key").isin(*wanted))
+    return stored.drop("cache_key").withColumn("is_stale", is_stale(as_of, max_age_days))
+
+
 def lookup_stats(requests: DataFrame, cache: DataFrame, as_of: str) -> DataFrame:
     """Requested keys (with repeats), distinct hits, and the difference."""
     asked = (

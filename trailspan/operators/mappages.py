@@ -113,8 +113,9 @@ def is_captcha(url: Column, body: Column) -> Column:
 
 
 def map_fields(pages: DataFrame) -> DataFrame:
-    """Rating, review count, category, phone, address, price level per page."""
+    """Rating, review count, category, phone, address, price level per page, and ``hours`` if the pages have ``hours_text``."""
     body = F.col("body_text")
+    hours = [clean_hours(F.col("hours_text")).alias("hours")] if "hours_text" in pages.columns else []
     local = F.col("_local")
     return (
         pages.withColumn("_local", local_window(body, F.col("title")))
@@ -122,7 +123,7 @@ def map_fields(pages: DataFrame) -> DataFrame:
             *pages.columns, rating(local).alias("rating"), review_count(local).alias("review_count"),
             category(local).alias("category"), phone(body).alias("phone"),
             F.when(~_is_yandex(), T.blank_to_null(T.collapse(T.first_match(body, ADDRESS)))).alias("address"),
-            price_level(body).alias("price_level"), is_captcha(F.col("url"), body).alias("is_captcha"),
+            price_level(body).alias("price_level"), is_captcha(F.col("url"), body).alias("is_captcha"), *hours,
         )
     )
 

@@ -230,7 +230,10 @@ SELECT d.*, m.n_merged FROM corridor d JOIN (
 FINAL["poi_dedup"] = "SELECT poi_id, category, CAST(n_merged AS BIGINT) AS n_merged FROM deduped"
 FINAL["corridor_pois"] = f"""
 SELECT poi_id, category, name, icon, track_id, {metres('d')} AS distance_m, {metres('along')} AS along_m FROM deduped"""
-FINAL["adaptive_radius"] = "SELECT CAST(max(total) AS BIGINT) AS n_pois, CAST(max(radius) AS DOUBLE) AS radius FROM dedup_in"
+FINAL["adaptive_radius"] = """
+SELECT run_id, count(*) AS n_pois,
+  CAST(greatest(50, CASE WHEN count(*) >= 1200 THEN 120 WHEN count(*) >= 700 THEN 80 WHEN count(*) >= 300 THEN 60 ELSE 0 END) AS DOUBLE) AS radius
+FROM (SELECT DISTINCT 'run' || (track_idx % 3) AS run_id, poi_id FROM track_dist WHERE d <= 1500) GROUP BY 1"""
 CTE["run_near"] = """
 SELECT 'run' || (track_idx % 2) AS run_id, poi_id, min(d) AS d FROM track_dist WHERE d <= 1500 GROUP BY 1, 2"""
 CTE["sweep_in"] = f"""
@@ -693,6 +696,10 @@ FROM (
         {ex('loc', '(?i)[0-9](?:[.,][0-9])' + chr(92) + 's+([^·]{3,60}?)' + _SEC, 1)}) END AS cat,
     {ex(_BODY, '[+]?[0-9][0-9' + chr(92) + 's().-]{6,}')} AS ph
   FROM map_local)"""
+FINAL["mappage_hours"] = r"""
+SELECT source, url, CASE WHEN length(v) >= 4 AND regexp_matches(v, CASE WHEN source = 'yandex' THEN '(?i)(open|closed|открыто|закрыто|круглосуточно|[0-9]{1,2}[:h][0-9]{2})'
+    ELSE '(?i)(open|closed|ouvre|fermé|ferme|[0-9]{1,2}[:h][0-9]{2})' END) THEN v END AS hours
+FROM (SELECT source, url, trim(regexp_replace(array_to_string(string_split(body_text, chr(10))[3:4], '  '), '\s+', ' ', 'g')) AS v FROM map_pages)"""
 # The opening-hours lines of the heads, written out; documents hold none.
 CTE["head_hours"] = """
 SELECT * FROM (VALUES
