@@ -19,7 +19,8 @@ too: 16 bytes each, at most half as many as the benchmark has words. So results
 
 Defined cases: null or empty texts match nothing, nor do items without a word. Equal items match
 alike, each under its id. Of several windows the most similar counts, then the first. Null ids are
-kept in the result. Rows with equal ids are judged each on their own.
+kept in the result. Rows with equal ids are judged each on their own. An empty table of documents gives no row, an empty
+benchmark no match. Texts are used whole; ``with_flag`` keeps other columns, but one of the flag's name goes.
 """
 
 from __future__ import annotations

@@ -32,33 +32,32 @@ def normalised(text: Column) -> Column:
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_chars: int = HEAD_CHARS, digest_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, and with ``digest_col`` the SHA-256 of its normalised text.
 
-    ``docs`` should be a table that can be scanned twice; its text is shuffled only for rows
-    that share length and head with another row.
+    With ``digest_col`` the one scan hashes every text, and no text is shuffled. Without, ``docs`` should be a table that can be
+    scanned twice: only rows that share length and head with another row are read again and hashed whole.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("t"))
     digest = [F.sha2("t", 256).alias("full")] if digest_col else []
     narrow = written(rows.select("doc_id", F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, head_chars)).alias("head"), *digest), "exact-narrow")
 
     lengths = written(narrow.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select("n"), "exact-lengths")
-    same_length = narrow.select("doc_id", "n", "head").join(lengths, "n", "left_semi")
+    same_length = narrow.join(lengths, "n", "left_semi")
     # Keys of groups are written, so that a join deals both of its sides out itself and can split a hot key.
     heads = written(same_length.groupBy("n", "head").agg(F.count("*").alias("c")).where("c > 1").select("n", "head"), "exact-heads")
     same_head = same_length.join(heads, ["n", "head"], "left_semi")
 
-    # Nulls do not meet in a join by equality; flag and value together do.
-    wanted = same_head.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id")).distinct()
-    read = rows.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t")
-    full = written(read.join(wanted, ["no_id", "id"], "left_semi").select(
-        "no_id", "id", F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, head_chars)).alias("head"), F.sha2("t", 256).alias("full"),
-    ), "exact-full")
-    groups = full.groupBy("n", "full").agg(F.min(F.when(~F.col("no_id"), F.col("id"))).alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    groups = written(groups, "exact-groups")
-    # With the digest, rows of one id, length and head but different texts are told apart too.
-    key = ["no_id", "id", "n", "head"] + (["full"] if digest_col else [])
-    decided = full.join(groups, ["n", "full"]).select(*key, "keep_id", "group_size").distinct()
-
-    out = narrow.select("doc_id", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), *key[2:])
-    out = out.join(decided, key, "left")
+    if digest_col:
+        # The scan has hashed every text already, as asked: groups follow from the narrow rows, and no text is read again.
+        out = narrow.join(_groups(same_head), ["n", "full"], "left")
+    else:
+        # Nulls do not meet in a join by equality; flag and value together do.
+        wanted = same_head.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id")).distinct()
+        read = rows.select("doc_id", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t")
+        full = written(read.join(wanted, ["no_id", "id"], "left_semi").select(
+            "doc_id", "no_id", "id", F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, head_chars)).alias("head"), F.sha2("t", 256).alias("full"),
+        ), "exact-full")
+        key = ["no_id", "id", "n", "head"]
+        decided = full.join(_groups(full), ["n", "full"]).select(*key, "keep_id", "group_size").distinct()
+        out = narrow.select("doc_id", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "n", "head").join(decided, key, "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -67,6 +66,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """n, full, keep_id, group_size of texts that several rows share, as a written table."""
+    found = rows.groupBy("n", "full").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    return written(found, "exact-groups")
+
+
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Exact duplicates of the whole documents table, with the digest of each normalised text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

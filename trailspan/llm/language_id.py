@@ -14,7 +14,8 @@ task. The profiles (``PROFILE`` rows for each language) go to the driver, langua
 Defined cases: a null text or one without a letter gives ``und`` and score 0. Training rows with
 null text or null language count for nothing; without any training row every answer is ``und``.
 Equal counts are ordered by the n-gram, equal distances by the language's name. A null document
-id is scored like any other. Texts are used whole.
+id is scored like any other, repeated rows one by one. An empty table gives no row. Texts are used whole; other columns are kept,
+but those named like the two new ones go.
 """
 
 from __future__ import annotations

@@ -33,7 +33,8 @@ joins that adaptive execution splits, and by blocks of ``BLOCK`` sets.
 Defined cases: null and empty texts and texts of white space have no shingle, link with nothing and
 are components of their own. Rows with a null id take part; a component's name is its smallest id
 that isn't null, or null if there is none. Rows with equal ids are rows of their own. Two sets with the same size and
-fingerprint (64 bits) are taken as equal, and shingles are compared by 64-bit hashes.
+fingerprint (64 bits) are taken as equal, and shingles are compared by 64-bit hashes. An empty table gives no row. Texts are used
+whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -396,11 +397,17 @@ def _checked(percent: int):
     return task
 
 
-def check_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Each pair (x, y, star) with its exact answer. The pairs are written first: few of them are sent to the sets."""
+def check_pairs(pairs: DataFrame, sets: DataFrame, percent: int, few: bool = True) -> DataFrame:
+    """Each pair (x, y, star) with its exact answer. The pairs are written first: few of them are sent to the sets.
+
+    With ``few``, only the sets that are named leave their scan. Otherwise both sides are all the sets, and Spark shuffles them once for both.
+    """
     pairs = written(pairs, "join-asked-pairs")
-    # Where the pairs are few, only the sets they name leave their scan.
-    side = lambda name, items: sets.select(F.col("fp").alias(name), F.col("items").alias(items)).join(pairs.select(name), name, "left_semi")
+
+    def side(name: str, items: str) -> DataFrame:
+        renamed = sets.select(F.col("fp").alias(name), F.col("items").alias(items))
+        return renamed.join(pairs.select(name), name, "left_semi") if few else renamed
+
     whole = pairs.join(side("x", "ix"), "x").join(side("y", "iy"), "y")
     return written(whole.select("x", "y", "star", "ix", "iy").mapInArrow(_checked(percent), _CHECKED), "checked")
 
@@ -587,7 +594,7 @@ def _joined(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     # Each set with its most similar candidate, and with its hubs.
     both = near.unionAll(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "d"))
     best = both.groupBy("x").agg(F.min(F.struct("d", "y")).alias("b")).select(F.least("x", "b.y").alias("x"), F.greatest("x", "b.y").alias("y")).distinct()
-    one = check_pairs(best.select("x", "y", F.lit(False).alias("star")).unionAll(stars.select("x", "y", F.lit(True).alias("star"))), sets, percent)
+    one = check_pairs(best.select("x", "y", F.lit(False).alias("star")).unionAll(stars.select("x", "y", F.lit(True).alias("star"))), sets, percent, few=False)
     links = one.where("linked").select("x", "y")
     labels = components(links)
 

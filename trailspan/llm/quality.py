@@ -17,7 +17,8 @@ fixed size, and scoring is a narrow map over whole texts.
 
 Defined cases: null and empty texts get the score of an all-zero vector. Labels that are null or
 neither 0 nor 1 are left out; a document with several labels counts once for each. Without both
-labels among the training rows every score is the mean label (0.5 without any).
+labels among the training rows every score is the mean label (0.5 without any). A null id is held out and scored
+like any other; repeated rows are scored one by one. An empty table gives no row. Texts are used whole; other columns are not read.
 """
 
 from __future__ import annotations
