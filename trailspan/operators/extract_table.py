@@ -68,10 +68,12 @@ def price_levels(snippets: DataFrame, places: DataFrame, legacy: bool = False) -
     prices = F.filter(
         F.transform(T.all_matches(c, X.PRICE, 0, True), lambda m: X._decimal(T.replace(m, r"[€$£¥\s]", ""))), lambda v: (v > 0) & (v < 10000),
     )
-    of_size = lambda n: F.size(F.filter(sizes, lambda v: v == n))
-    rows = snippets.select(
+    # Columns of their own: what several others use is worked out once per snippet.
+    read = snippets.select("poi_id", sizes.alias("_sizes"), said.alias("_said"), prices.alias("prices"))
+    of_size = lambda n: F.size(F.filter("_sizes", lambda v: v == n))
+    rows = read.select(
         "poi_id", *(of_size(n).alias(f"s{n}") for n in _SYMBOL_SIZES),
-        *(T.matches(said, source, True).alias(f"w{level}") for level, source in X.PRICE_WORDS), prices.alias("prices"),
+        *(T.matches(F.col("_said"), source, True).alias(f"w{level}") for level, source in X.PRICE_WORDS), "prices",
     )
     # A row for each price; what a snippet says besides goes with its first row, so each text is read once.
     sums, flags = [f"s{n}" for n in _SYMBOL_SIZES], [f"w{level}" for level, _ in X.PRICE_WORDS]

@@ -47,7 +47,8 @@ def dedup(snippets: DataFrame, k: int | None = MAX_CANDIDATES) -> DataFrame:
     usable = snippets.withColumn("content", T.strip(F.col("content"))).filter(F.col("content") != "")
     page = F.coalesce(urls.normalize(F.col("url")), F.lit(""))
     firsts = usable.select("poi_id", page.alias("_page"), "pos").groupBy("poi_id", "_page").agg(F.min("pos").alias("pos"))
-    firsts = firsts if k is None else first_k(firsts, k, "pos")
+    # All pages of all places: dealt by place and position, so that a place with very many is worked on by all tasks.
+    firsts = firsts.hint("shuffle_hash") if k is None else first_k(firsts, k, "pos")
     return usable.join(firsts.select("poi_id", "pos"), ["poi_id", "pos"], "left_semi")
 
 
