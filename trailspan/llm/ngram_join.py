@@ -261,9 +261,11 @@ _PAIR = "x long, y long, nx int, ny int, star boolean"
 _PAIR_ARROW = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("nx", pa.int32()), ("ny", pa.int32()), ("star", pa.bool_())])
 
 
-def _listed(percent: int):
+def _listed(percent: int, hub_list: int = HUB_LIST):
     """The index lists of a bucket: candidate pairs, each once."""
 
+    long = min(LONG_LIST, hub_list)
+
     def pairs(table: pa.Table) -> pa.Table:
         parts: list[list[np.ndarray]] = [[], [], [], []]
         out = []
@@ -283,8 +285,8 @@ def _listed(percent: int):
             head = runs(token)
             length = np.diff(np.append(head, len(token)))
             xs, ys = [], []
-            for h, m in zip(head[length >= LONG_LIST].tolist(), length[length >= LONG_LIST].tolist(), strict=True):
-                if m >= HUB_LIST:  # its first set is the hub of the others, wherever tasks saw them
+            for h, m in zip(head[length >= long].tolist(), length[length >= long].tolist(), strict=True):
+                if m >= hub_list:  # its first set is the hub of the others, wherever tasks saw them
                     r = fp[h:h + m].min()
                     x = fp[h:h + m][fp[h:h + m] != r]
                     out.append(pa.table([pa.array(x), pa.array(np.full(len(x), r)), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.int32()), pa.array(np.ones(len(x), bool))], schema=_PAIR_ARROW))
@@ -294,7 +296,7 @@ def _listed(percent: int):
                 ys.append(h + j)
             # Short lists side by side: entry i with entry i + k of its list, as long as any size fits.
             end = np.repeat(head + length, length)
-            i = np.flatnonzero(np.repeat((length >= 2) & (length < LONG_LIST), length))
+            i = np.flatnonzero(np.repeat((length >= 2) & (length < long), length))
             k = 1
             while len(i):
                 i = i[(i + k) < end[i]]
@@ -554,16 +556,16 @@ def derive_links(stars: DataFrame, labels: DataFrame, percent: int = PERCENT, bl
     return cells.groupBy("y", "kind", "i", "j").applyInArrow(_derived(percent), _LINK)
 
 
-def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", hot_sets: int = HOT_SETS, hot_list: int = HOT_LIST, block: int = BLOCK, flush_words: int = FLUSH_WORDS, count: bool = True) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", hot_sets: int = HOT_SETS, hot_list: int = HOT_LIST, block: int = BLOCK, flush_words: int = FLUSH_WORDS, count: bool = True, hub_list: int = HUB_LIST) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, node (the fingerprint of its set), n_links.
 
     ``n_links`` is the number of other documents that link with it, copies included; null if ``count`` is off.
     """
     with scratch(docs.sparkSession, ("join-survey", "join-members", "join-names", "join-links", "join-copies")):
-        return _joined(docs, shingle, percent, id_col, text_col, hot_sets, hot_list, block, flush_words, count)
+        return _joined(docs, shingle, percent, id_col, text_col, hot_sets, hot_list, block, flush_words, count, hub_list)
 
 
-def _joined(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, hot_sets: int, hot_list: int, block: int, flush_words: int, count: bool) -> DataFrame:
+def _joined(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, hot_sets: int, hot_list: int, block: int, flush_words: int, count: bool, hub_list: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = written(rows.mapInArrow(_surveyed(shingle, flush_words), _FIRST), "join-survey")
@@ -576,7 +578,7 @@ def _joined(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
 
     buckets = min(8 * splits(rows), 1 << 20)
     index = rows.mapInArrow(_indexed(shingle, percent, buckets, flush_words, shared), _PACKED)
-    found = written(index.groupBy("bucket").applyInArrow(_listed(percent), _PAIR), "join-pairs")
+    found = written(index.groupBy("bucket").applyInArrow(_listed(percent, hub_list), _PAIR), "join-pairs")
     nodes = written(nodes, "join-nodes")
 
     plain = found.where("not star").select("x", "y", "nx", "ny").distinct()
