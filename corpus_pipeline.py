@@ -18,12 +18,20 @@ from pyspark.sql import functions as F
 from trailspan.llm import decontaminate, language_id, mixing, ngram_join, token_store
 from trailspan.llm.common import scratch_path
 
+#: Bytes of rows that go to a Python worker at a time. Workers live on from stage to stage, so their peaks stay: small ones matter.
+BATCH_BYTES = 2 << 20
+
 #: SQL can't express the classifiers and the tokenizer: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; those with no letter at all, or null, are rejected."""
+    _small_batches(spark)
     profiles = language_id.train_profiles(docs)
     found = language_id.identify(docs, profiles, pred_col="__lang", score_col="__score")
     return found.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") > 0)).drop("__lang", "__score")
@@ -34,7 +42,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows with equal ids stay or go together; a row with a null id has no place among the ids and stays.
     """
-    found = ngram_join.similar_documents(docs, shingle=5, percent=80, count=False)
+    _small_batches(spark)
+    found = ngram_join.similar_documents(docs, shingle=5, percent=80, flush_words=400_000, count=False, hub_list=32)
     # A group's name is its smallest id: every other id of the group goes.
     gone = found.where("n_shingles > 0 and doc_id > component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -42,6 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    _small_batches(spark)
     found = decontaminate.with_flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__hit")
     return found.where("not __hit").drop("__hit")
 
@@ -62,6 +72,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids in shards, read back: doc_id, start, n_tokens, ids_crc32."""
+    _small_batches(spark)
     folder = scratch_path(spark, "pipeline-tokens")
     token_store.write_tokens(docs, folder)
     return token_store.read_digests(spark, folder)
