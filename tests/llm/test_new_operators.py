@@ -82,7 +82,7 @@ def test_full_buckets_are_never_explained():
     b = phrases.Buckets(4)
     for _ in range(3):
         b.add(np.repeat(np.uint64([0, 1 << 60, 15 << 60]), [300, 1, 40_000]))
-    at, n = b.full()
+    (at, n), = b.full()
     assert at.tolist() == [0, 1, 15] and n.tolist() == [900, 3, phrases.Buckets.MANY]
 
 

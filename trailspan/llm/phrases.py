@@ -6,7 +6,7 @@ occurrences in a language, overlapping ones included, n all the words of the lan
 
 * *Words.* One scan counts words and, in the same pass, every pair of neighbours in one of 2^``BUCKET_BITS``
   hash buckets. A pair whose bucket stays below the threshold can't be frequent; the kept buckets are a bit map of
-  fixed size (4 MB).
+  fixed size (2 MB).
 * *Candidates.* A phrase of k words is a candidate only if it occurs, its bucket is full, and both phrases of k - 1 words in it are
   frequent (Apriori), so no frequent phrase is missed. The scan that counts a level counts the buckets of the phrases that
   prolong its candidates by a word; the next scan sends the distinct phrases in full buckets that prolong a frequent one, and
@@ -46,7 +46,7 @@ LONGEST = 5
 AT_LEAST = 100
 #: Rows of the result for each language: the report's length.
 TOP = 2000
-BUCKET_BITS = 25
+BUCKET_BITS = 24
 #: Tasks that announce a candidate at first, about.
 ANNOUNCED_BY = 4
 #: Candidates of one trie.
@@ -97,9 +97,12 @@ class Buckets:
         at, n = np.unique((keys >> self.shift).astype(np.int64), return_counts=True)
         self.n[at] = np.minimum(self.n[at] + n, self.most)
 
-    def full(self) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(self.n)
-        return at, np.where(self.n[at] == self.most, self.MANY, self.n[at].astype(np.int64))
+    def full(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(buckets with a number, numbers), a stretch of buckets at a time."""
+        for a in range(0, len(self.n), 1 << 18):
+            at = np.flatnonzero(self.n[a:a + (1 << 18)]) + a
+            if len(at):
+                yield at, np.where(self.n[at] == self.most, self.MANY, self.n[at].astype(np.int64))
 
 
 def _announced(keys: np.ndarray, kept: np.ndarray, bits: int, part: int, share: int) -> np.ndarray:
@@ -159,10 +162,9 @@ def _survey(bits: int):
                     held, size = [merged.rename_columns({"n_sum": "n"})], len(merged)
         if held:
             yield from sent(summed())
-        full, numbers = buckets.full()
-        for a in range(0, len(full), 100_000):
-            none = pa.nulls(len(full[a:a + 100_000]), pa.string())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(full[a:a + 100_000], pa.int32()), pa.array(numbers[a:a + 100_000])], schema=_SURVEY_ARROW)
+        for full, numbers in buckets.full():
+            none = pa.nulls(len(full), pa.string())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(full, pa.int32()), pa.array(numbers)], schema=_SURVEY_ARROW)
 
     return task
 
@@ -346,7 +348,8 @@ def _counted(block, longer: bool, bits: int):
                 buckets.add(_keys(langs, words, first, trie.size + 1))
         found = np.flatnonzero(total)
         yield from _numbers("id", trie.ids[found], total[found])
-        yield from _numbers("bucket", *buckets.full())
+        for full, numbers in buckets.full():
+            yield from _numbers("bucket", full, numbers)
 
     return task
 
