@@ -56,3 +56,17 @@ def test_contract(spark):
     assert set(QUERIES) - set(statements()) <= {"kml_export"}
     assert set(QUERIES) <= set(queries()) and set(statements()) <= set(oracle_sql())
     assert entry(spark).count() > 0
+
+
+def test_cache_upsert_of_many_customers(spark, tmp_path):
+    """Keys of customers far beyond the small tables, and negative order keys."""
+    folder, con = str(tmp_path), duckdb.connect()
+    con.execute(f"""COPY (SELECT CASE WHEN k % 5 = 0 THEN -k ELSE k END AS o_orderkey, 1 + k * 450 AS o_custkey, 'O' AS o_orderstatus, 1e0 AS o_totalprice,
+      TIMESTAMP '2001-01-01' + INTERVAL 1 DAY * (k % 90) AS o_orderdate, 'x' AS o_orderpriority FROM range(400) t(k)) TO '{folder}/orders.parquet'""")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{folder}/orders.parquet'")
+    for t in set(TABLES) - {"orders"}:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
+    df = queries()["cache_upsert"](spark, folder)
+    cur = con.execute(oracle_sql()["cache_upsert"])
+    want = rows_of([c[0] for c in cur.description], cur.fetchall())
+    assert rows_of(df.columns, df.collect()) == want and want[1]
