@@ -160,6 +160,15 @@ def test_synthesis_gate(spark):
     assert got[0].parsed.rating == 4.3 and got[0].parsed.description == "Nice stop."
 
 
+def test_synthesis_gate_at_the_length_limit(spark):
+    """A sentence of 180 characters and its end sign is kept whole and not too long; one without an end is cut."""
+    words = ("calm stop " * 18).strip() + "s"
+    rows = [(words + sign + " More.", words + sign) for sign in ".!?"] + [(words + " and no end", words)]
+    assert len(words) == 180
+    df = spark.createDataFrame([('{"description":"%s"}' % said, "en", want) for said, want in rows], "raw string, language string, want string")
+    assert [(r.parsed.description, r.reason) for r in extract.synthesis_gate(df).collect()] == [(want, None) for _, want in rows]
+
+
 def test_page_preview(spark):
     html = "<html><head><TITLE>A\n b</TITLE><meta content='the desc' name='description'><script>var x='<p>'</script></head><body><style>p{}</style><p>Hello</p> <b>you</b></body></html>"
     r = page_previews(spark.createDataFrame([(1, html)], "id int, html string")).first()
