@@ -202,6 +202,28 @@ def test_runs_of_segments_meet_few_places(spark):
     assert "CartesianProduct" not in runs and "NestedLoop" not in runs
 
 
+def test_runs_are_laid_out_over_few_cells(spark):
+    """A run carries its segments into every cell of its padded box: at 1500 m two or three of them, not eight."""
+    line = [(44 + 0.00045 * k, 1 + 0.00045 * k, None) for k in range(1600)]
+    seg = tracks.measured_segments(table(spark, ("t", line)), tail=True)
+    laid = corridor.segment_runs(seg, 1500.0).selectExpr("count(*) AS n", "count(DISTINCT segments[0].seg_idx) AS runs").first()
+    assert laid.runs == 100 and laid.n <= 3 * laid.runs
+
+
+def test_points_are_read_and_shuffled_once(spark):
+    """Segments, the ends of blocks and the lengths of blocks come from one shuffle of narrow points."""
+    from trailspan import testbed
+
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        points = testbed.points(spark, "/root/testdata/sf0.001")
+        plan = plan_of(tracks.measured_segments(points, tail=True).select("track_idx", "track_id", "block", "seg_idx", "a_lat", "b_lat", "a_lon", "b_lon", "cum_start_m"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
 def test_sweep_keeps_what_single_runs_keep(spark):
     rng = random.Random(12)
     rows = [node(i, 48.858 + rng.uniform(-0.004, 0.004), 2.358 + rng.uniform(-0.006, 0.006), amenity=rng.choice(["drinking_water", "shelter", "restaurant"])) for i in range(150)]
