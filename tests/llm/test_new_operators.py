@@ -361,3 +361,24 @@ def test_encoder_forgets_without_changing_ids():
     for t in texts:
         (a, n), (b, m) = small(pa.array([t]), 1), large(pa.array([t]), 1)
         assert a.tolist() == b.tolist() == [*small.tokenizer.encode(t, add_special_tokens=False).ids, 1] and n.tolist() == m.tolist()
+
+
+def test_phrases_reach_python_in_small_batches(spark):
+    """A task's rows were one batch of 10,000, held by the JVM and by the worker as well."""
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name, None)
+    real = phrases.frequent_phrases
+
+    def watched(docs, *args, **options):
+        text = docs.select(F.col("text")).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in bs), "n long")
+        seen.extend(r.n for r in text.collect())
+        return real(docs, *args, **options)
+
+    docs = spark.range(0, 6000, 1, 1).select(F.lit("en").alias("lang"), F.expr("repeat(concat('a b', id % 7, ' '), 400)").alias("text"))
+    try:
+        phrases.frequent_phrases = watched
+        got = phrases.collocations(docs, 5).count()
+    finally:
+        phrases.frequent_phrases = real
+    assert got and len(seen) > 4 and max(seen) < 2 * phrases.BATCH_BYTES
+    assert spark.conf.get(name, None) == before

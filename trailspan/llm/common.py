@@ -80,6 +80,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Inside, so many bytes of rows at most go to a Python worker at a time: JVM and worker each hold a whole batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def splits(df: DataFrame) -> int:
     """Number of tasks that read df: grows with the table."""
     return max(1, df.rdd.getNumPartitions())

@@ -40,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, mixed, runs, scratch, slices, splits, string_parts, written
+from .common import Words, batches_of, mixed, runs, scratch, slices, splits, string_parts, written
 
 LONGEST = 5
 AT_LEAST = 100
@@ -53,6 +53,8 @@ ANNOUNCED_BY = 4
 BLOCK = 400_000
 #: Distinct rows that a task holds before it sends them.
 HELD = 400_000
+#: Bytes of rows that go to a Python worker at a time; else a task's whole rows are a batch, in the JVM and in the worker.
+BATCH_BYTES = 2 << 20
 NO_LANGUAGE = "und"
 
 _INSIDE = np.ones(256, bool)
@@ -454,7 +456,8 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, longest: int = L
             candidates.append(new)
             scans += [written(rows.mapInArrow(_counted(t, size < longest, bits), _COUNTS), "phrases-counts") for t, _ in _tries(spark, new, size, block)]
             if share > 1 and scans:
-                known = _all_of(scans).where("id is not null").join(new, "id").groupBy(new["bucket"].alias("bucket")).agg(F.sum("n").alias("f"))
+                counted = _all_of(scans).where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))  # a row of each candidate meets its bucket, not one of each task
+                known = counted.join(new, "id").groupBy("bucket").agg(F.sum("n").alias("f"))
                 left = full.join(known, "bucket", "left").where(F.col("n") - F.coalesce("f", F.lit(0)) >= at_least).select("bucket")
         if not scans:
             break
@@ -483,7 +486,7 @@ def _contained(phrases: DataFrame) -> DataFrame:
 
 def collocations(docs: DataFrame, at_least: int = AT_LEAST, longest: int = LONGEST, top: int | None = TOP, **options) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best ``top`` phrases of each language (all if None)."""
-    with scratch(docs.sparkSession, keep=("phrases-level", "phrases-langs")):
+    with batches_of(docs.sparkSession, BATCH_BYTES), scratch(docs.sparkSession, keep=("phrases-level", "phrases-langs")):
         found, sizes = frequent_phrases(docs, at_least, longest, **options)
     phrases = found.where("size > 1")
     part = found.select("lang", "phrase", "f")
