@@ -382,3 +382,21 @@ def test_phrases_reach_python_in_small_batches(spark):
         phrases.frequent_phrases = real
     assert got and len(seen) > 4 and max(seen) < 2 * phrases.BATCH_BYTES
     assert spark.conf.get(name, None) == before
+
+
+def test_sketches_of_long_sets_rule_out_pairs():
+    """512 bins can't show that two sets of 4,000 shingles are apart: they differ in 650 and may still link."""
+    rng = np.random.default_rng(5)
+    sets = [np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(k)) for k, n in enumerate((4000, 4100, 40, 500, 530, 0))]
+    sets += [np.sort(np.append(sets[3], sets[4][:40])), np.sort(np.append(sets[1][:-300], sets[0][:200]))]
+    counts = np.array([len(s) for s in sets])
+    got = ngram_join.sketches(np.concatenate(sets), counts)
+    assert [8 * len(s) for s in got] == [4096, 8192, 512, 512, 1024, 512, 1024, 4096]
+    i, j = np.triu_indices(len(sets))
+    far = ngram_join.apart([got[a] for a in i], [got[b] for b in j])
+    for a, b, d in zip(i.tolist(), j.tolist(), far.tolist(), strict=True):
+        differ = len(np.setxor1d(sets[a], sets[b]))
+        assert d <= differ and (differ - d) % 2 == 0 and (differ or not d)
+        if (a, b) in ((0, 1), (3, 4)):
+            assert d > counts[a] + counts[b] - 2 * ngram_join.needed(counts[a], counts[b])
+    assert ngram_join.apart([], []).tolist() == []

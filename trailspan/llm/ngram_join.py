@@ -13,8 +13,8 @@ Sets and their relations:
   order: any choice gives the same links.
 * *Index skipping*: an index list is sorted by set size and cut into blocks by position. The words
   behind the positions bound an intersection, so pairs and whole blocks that can't link are passed
-  over. A parity sketch of each set (how many shingles fall into each of 512 bins, modulo 2)
-  bounds the symmetric difference from below and drops most of what is left, never a link.
+  over. A parity sketch of each set (how many shingles fall into each of its bins, modulo 2; 512 bins, or
+  as many as shingles) bounds the symmetric difference from below and drops most of what is left, never a link.
 * *Answer skipping*: sets that hold frequent shingles among their first ones are nearly all copies
   of each other, so they aren't paired. Each frequent shingle has a hub, a set with that shingle.
   A set is compared with its hubs once, and its difference to a hub is kept. Two sets x and y of a hub
@@ -55,7 +55,9 @@ PERCENT = 85
 HOT_SETS = 4
 HOT_LIST = 200_000
 BLOCK = 1024
+#: Bins of a sketch: at least so many, and at most, whatever the set's size.
 SKETCH_BITS = 512
+MOST_BITS = 1 << 16
 #: Shingles that a task holds before it sends them; bounds its memory, changes no answer.
 FLUSH_WORDS = 800_000
 #: Logarithm of the bits of the filter that picks the texts to be compared.
@@ -100,11 +102,29 @@ def fingerprints(value: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return mixed(upto[edge[1:]] - upto[edge[:-1]] + mixed(counts.astype(np.uint64))).view(np.int64)
 
 
-def sketches(value: np.ndarray, counts: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Parities of the sets' bins, a row of bytes for each set."""
-    n = len(counts)
-    flat = np.repeat(np.arange(n), counts) * bits + (value % np.uint64(bits)).astype(np.int64)
-    return np.packbits((np.bincount(flat, minlength=n * bits) & 1).astype(bool).reshape(n, bits), axis=1)
+def sketches(value: np.ndarray, counts: np.ndarray, bits: int = SKETCH_BITS, most: int = MOST_BITS) -> list[bytes]:
+    """Parities of each set's bins. ``bits`` of them are doubled until there are as many as shingles: fewer would rule out no pair of long sets."""
+    width = np.full(len(counts), bits)
+    while (grow := (width < counts) & (width < most)).any():
+        width[grow] *= 2
+    edge = np.append(0, np.cumsum(width))
+    flat = np.repeat(edge[:-1], counts) + (value & np.repeat(width - 1, counts).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(flat, minlength=edge[-1]) & 1).astype(bool)).tobytes()
+    return [packed[x:y] for x, y in zip((edge[:-1] // 8).tolist(), (edge[1:] // 8).tolist(), strict=True)]
+
+
+def apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many bins each two sketches differ; the wider one's halves are laid over each other until both have the same bins."""
+    size = np.array([[len(v) for v in x], [len(v) for v in y]], np.int64).reshape(2, -1)
+    out = np.zeros(len(x), np.int64)
+    for m, n in np.unique(size, axis=1).T.tolist():
+        at = np.flatnonzero((size[0] == m) & (size[1] == n))
+        a, b = (np.frombuffer(b"".join([v[k] for k in at.tolist()]), np.uint64).reshape(len(at), -1) for v in (x, y))
+        while a.shape[1] != b.shape[1]:
+            wide, b = (a, b) if a.shape[1] > b.shape[1] else (b, a)
+            a = wide[:, :wide.shape[1] // 2] ^ wide[:, wide.shape[1] // 2:]
+        out[at] = np.bitwise_count(a ^ b).sum(axis=1)
+    return out
 
 
 _FIRST = "doc_id long, fp long, n int, sketch binary, hot boolean, token long, sets long, hub long"
@@ -141,7 +161,7 @@ def _surveyed(shingle: int, flush_words: int):
             for a, b in slices(offsets):
                 value, counts = shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], shingle)
                 fp, sketch = fingerprints(value, counts), sketches(value, counts)
-                yield _batch(_FIRST_ARROW, b - a, doc_id=batch.column("doc_id").slice(a, b - a), fp=pa.array(fp), n=pa.array(counts.astype(np.int32)), sketch=pa.array([s.tobytes() for s in sketch], pa.binary()), hot=pa.array([False] * (b - a)))
+                yield _batch(_FIRST_ARROW, b - a, doc_id=batch.column("doc_id").slice(a, b - a), fp=pa.array(fp), n=pa.array(counts.astype(np.int32)), sketch=pa.array(sketch, pa.binary()), hot=pa.array([False] * (b - a)))
                 held.append((value, fp, counts))
                 size += len(value)
                 if size >= flush_words:
@@ -330,9 +350,8 @@ def _near(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sx", "sy")]
             n = [batch.column(c).to_numpy().astype(np.int64) for c in ("nx", "ny")]
-            d = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1)
+            d = apart(*(batch.column(c).to_pylist() for c in ("sx", "sy")))
             ok = d <= n[0] + n[1] - 2 * needed(n[0], n[1], percent)
             yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(ok)), batch.column("y").filter(pa.array(ok)), pa.array(d[ok].astype(np.int32))], schema=_NEAR_ARROW)
 
