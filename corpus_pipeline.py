@@ -45,8 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     _small_batches(spark)
     found = ngram_join.similar_documents(docs, shingle=5, percent=80, flush_words=400_000, count=False, hub_list=32)
     # A group's name is its smallest id: every other id of the group goes.
-    gone = found.where("n_shingles > 0 and doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return ngram_join.without(docs, found.where("n_shingles > 0 and doc_id > component_id").select("doc_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -400,3 +400,22 @@ def test_sketches_of_long_sets_rule_out_pairs():
         if (a, b) in ((0, 1), (3, 4)):
             assert d > counts[a] + counts[b] - 2 * ngram_join.needed(counts[a], counts[b])
     assert ngram_join.apart([], []).tolist() == []
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """Where the ids that go are too many to be broadcast, all texts were shuffled for the join."""
+    docs = spark.range(0, 4000, 1, 4).select(F.when(F.col("id") % 50 != 7, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    docs = docs.unionAll(docs.where("doc_id < 20")).localCheckpoint()
+    gone = spark.range(0, 4000, 40).select(F.col("id").alias("doc_id"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = ngram_join.without(docs, gone)
+        assert out.columns == docs.columns
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in out.collect())
+        stay, joined = (p for p in out._jdf.queryExecution().optimizedPlan().toString().split("LeftAnti"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = [(r.doc_id is None, r.doc_id or 0, r.text) for r in docs.collect() if r.doc_id is None or r.doc_id % 40]
+    assert got == sorted(want)
+    assert "Union" in stay and "ArrowEvalPython" in stay and "ArrowEvalPython" in joined

@@ -42,6 +42,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -371,16 +372,37 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _hits(k: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which keys a filter may hold: all that it was made of, and a few more."""
+    k, mask, use = k.view(np.uint64), np.uint64((1 << FILTER_BITS) - 1), np.ones(len(k), bool)
+    for p in (k & mask, (k >> np.uint64(FILTER_BITS)) & mask):
+        use &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return use
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id isn't in ``gone`` (doc_id: long); null ids stay.
+
+    Rows that a filter of the ids rules out stay where they are; the others alone, with their texts, are shuffled for the join.
+    """
+    gone = written(gone.select("doc_id").distinct(), "join-gone")
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(gone.select(F.xxhash64("doc_id").alias("k"))))
+
+    @F.pandas_udf("boolean")
+    def asked(keys: pd.Series) -> pd.Series:
+        return pd.Series(_hits(keys.to_numpy(), shared.value))
+
+    asked_for = asked(F.xxhash64(F.col(id_col).cast("long")))
+    maybe = docs.where(asked_for)
+    return docs.where(~asked_for).unionAll(maybe.join(gone, maybe[id_col] == gone["doc_id"], "left_anti"))
+
+
 def _sets(shingle: int, shared):
     """Sets of the rows whose key may be asked for; a few more may come, which changes no answer."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, words = np.uint64((1 << FILTER_BITS) - 1), shared.value
         for batch in batches:
-            k = batch.column("k").to_numpy().view(np.uint64)
-            use = np.ones(len(k), bool)
-            for p in (k & mask, (k >> np.uint64(FILTER_BITS)) & mask):
-                use &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+            use = _hits(batch.column("k").to_numpy(), shared.value)
             data, offsets = string_parts(batch.column("text").filter(pa.array(use)))
             for a, b in slices(offsets):
                 value, counts = shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], shingle)
