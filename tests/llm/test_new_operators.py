@@ -419,3 +419,45 @@ def test_texts_that_stay_are_not_shuffled(spark):
     want = [(r.doc_id is None, r.doc_id or 0, r.text) for r in docs.collect() if r.doc_id is None or r.doc_id % 40]
     assert got == sorted(want)
     assert "Union" in stay and "ArrowEvalPython" in stay and "ArrowEvalPython" in joined
+
+
+def test_phrases_read_each_text_once(spark, talk):
+    """Every level cut all texts into words again, seventeen times in all."""
+    read = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame(talk, "lang string, text string").repartition(6).mapInArrow(watched, "lang string, text string")
+    got = phrases.collocations(docs, 3, top=25, block=40, announced_by=1)
+    assert sorted(tuple(r) for r in got.collect()) == plain_phrases(talk, 3, 25)
+    assert read.value == len(talk)
+
+
+def test_codes_keep_neighbours_and_cut_at_rare_words():
+    texts = ["a b c. d e", "", "f", "a x b c; x. é é", "."]
+    pieces = phrases.Pieces(*string_parts(pa.array(texts)))
+    assert pieces.texts(np.array([0, 6, 11])).to_pylist() == ["a", "a", "é"]
+    bits, rare = 20, Words(*string_parts(pa.array(["x"]))).hashes()[0]
+    known = np.full((1 << bits) // 8, 255, np.uint8)
+    for cut, kept, left in ((False, "a b c d e a x b c é é", [3, 2, 1, 2, 1, 4, 3, 2, 1, 2, 1]), (True, "a b c d e b c é é", [3, 2, 1, 2, 1, 2, 1, 2, 1])):
+        if cut:
+            at = int(rare >> np.uint64(64 - bits))
+            known[at >> 3] &= 255 - (1 << (at & 7))
+        codes = phrases.Codes.of(pieces.hash, pieces.row, pieces.left > 1).often(known, bits)
+        (batch,) = phrases._coded(phrases._OFTEN_ARROW, pa.array(["l0", "l1", "l2", "l3", "l4"]), codes)
+        assert batch.column("lang").to_pylist() == ["l0", "l3"]
+        (langs, again), = phrases._read([batch])
+        assert again.hash.tolist() == (Words(*string_parts(pa.array(kept.split()))).hashes() & ~phrases._MORE).tolist()
+        assert again.left.tolist() == left and again.row.tolist() == sorted(again.row.tolist())
+
+
+def test_symbols_are_places_among_the_words():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 300):
+        known = np.unique(np.append(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2), np.arange(n, dtype=np.uint64)))
+        trie = phrases.DoubleArray(["en"] * len(known), known[:, None], np.arange(len(known)))
+        asked = np.append(known, [np.uint64(5000), np.uint64((1 << 64) - 1)])
+        assert trie._symbols(asked).tolist() == [*range(len(known)), -1, -1]

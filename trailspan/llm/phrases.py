@@ -4,9 +4,10 @@ Texts are lower-cased (A to Z only), cut into pieces at ``[.,;:!?]`` and line en
 ``[^\\x20\\x09]+``. A phrase is 2 to ``LONGEST`` words that follow each other in a piece; f(phrase) counts its
 occurrences in a language, overlapping ones included, n all the words of the language.
 
-* *Words.* One scan counts words and, in the same pass, every pair of neighbours in one of 2^``BUCKET_BITS``
-  hash buckets. A pair whose bucket stays below the threshold can't be frequent; the kept buckets are a bit map of
-  fixed size (2 MB).
+* *Words.* One scan of the texts counts words and, in the same pass, writes each text as the hashes of its words. All later scans
+  read hashes: no text is cut into words twice. The first of them leaves out words that a bit map (2 MB) shows not to be frequent,
+  since no frequent phrase holds one, and counts every pair of neighbours in one of 2^``BUCKET_BITS`` hash buckets. A pair whose
+  bucket stays below the threshold can't be frequent; the kept buckets are a bit map of fixed size (2 MB).
 * *Candidates.* A phrase of k words is a candidate only if it occurs, its bucket is full, and both phrases of k - 1 words in it are
   frequent (Apriori), so no frequent phrase is missed. The scan that counts a level counts the buckets of the phrases that
   prolong its candidates by a word; the next scan sends the distinct phrases in full buckets that prolong a frequent one, and
@@ -23,7 +24,8 @@ occurrences in a language, overlapping ones included, n all the words of the lan
 * A phrase goes if a longer candidate that contains it occurs as often. Containment is an equi-join on the
   sub-phrases of candidates, at most nine for each.
 
-Words are told apart by 64-bit hashes inside a task, by their text between tasks.
+Words are counted by their text; in phrases they are told apart by hashes of 63 bits, and frequent phrases get their
+text from the frequent phrase they prolong and the word it is prolonged by.
 
 Defined cases: null text counts as empty, null language as ``und``. Repeated rows count each time they occur. An
 empty table gives no row. Equal scores are ordered by f, descending, then by the phrase's bytes. Texts are used
@@ -37,10 +39,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, batches_of, mixed, runs, scratch, slices, splits, string_parts, written
+from .common import Words, batches_of, mixed, runs, scratch, slices, splits, spread, string_parts, written
 
 LONGEST = 5
 AT_LEAST = 100
@@ -80,11 +82,61 @@ class Pieces(Words):
         where = np.flatnonzero(last)
         self.left = where[np.searchsorted(where, np.arange(n))] - np.arange(n) + 1 if n else np.empty(0, np.int64)
 
-    def phrases(self, at: np.ndarray, size: int) -> list[str]:
-        """The text of the phrases that start at these words, joined by blanks."""
-        raw, starts, ends = self.data.tobytes(), self.starts, self.ends
-        words = [[raw[a:b] for a, b in zip(starts[at + j].tolist(), ends[at + j].tolist(), strict=True)] for j in range(size)]
-        return [b" ".join(w).decode() for w in zip(*words, strict=True)]
+    def texts(self, at: np.ndarray) -> pa.Array:
+        """The text of these words."""
+        size = self.ends[at] - self.starts[at]
+        offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[spread(self.starts[at], size)])])
+
+
+#: The bit of a code that isn't the word's: whether a word of the same piece follows.
+_MORE = np.uint64(1)
+
+
+class Codes:
+    """What ``Pieces`` says of the words of some rows, from their codes: hash, row and words left."""
+
+    def __init__(self, codes: np.ndarray, row: np.ndarray):
+        self.codes, self.hash, self.row, self.more = codes, codes & ~_MORE, row, (codes & _MORE).astype(bool)
+        last = np.flatnonzero(~self.more)
+        self.left = np.repeat(last, np.diff(np.append(-1, last))) - np.arange(len(codes)) + 1
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, row: np.ndarray, more: np.ndarray) -> Codes:
+        """Words that have a neighbour; ``more``: the next word follows in the same piece."""
+        linked = more.copy()
+        linked[1:] |= more[:-1]
+        at = np.flatnonzero(linked)
+        return cls((hashes[at] & ~_MORE) | more[at].astype(np.uint64), row[at])
+
+    def often(self, bit_map: np.ndarray, bits: int) -> Codes:
+        """Without the words that the bit map doesn't know: pieces are cut there."""
+        known = _in(bit_map, self.hash >> np.uint64(64 - bits))
+        more = self.more & known
+        more[:-1] &= known[1:]
+        return Codes.of(self.hash, self.row, more)
+
+
+def _cells(codes: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Binary cells of so many codes each."""
+    offsets = np.append(0, np.cumsum(counts * 8)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(codes))])
+
+
+def _codes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, offsets) of binary cells."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) // 8
+    return np.frombuffer(data, np.uint64, at[-1])[at[0]:], at - at[0]
+
+
+def _in(bit_map: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return (bit_map[(bucket >> np.uint64(3)).astype(np.int64)] >> (bucket & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 class Buckets:
@@ -111,14 +163,12 @@ def _announced(keys: np.ndarray, kept: np.ndarray, bits: int, part: int, share:
     """Which keys lie in kept buckets that it's up to this task to announce."""
     bucket = keys >> np.uint64(64 - bits)
     mine = (bucket + np.uint64(part)) % np.uint64(share) == 0
-    return mine & (kept[(bucket >> np.uint64(3)).astype(np.int64)] >> (bucket & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return mine & _in(kept, bucket)
 
 
-def _read(batches: Iterator[pa.RecordBatch], numbers: list[int] | None = None) -> Iterator[tuple[pa.Array, Pieces]]:
-    """(languages of the rows, their words) for each slice of text; the task's number goes into ``numbers``."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Pieces]]:
+    """(languages of the rows, their words) for each slice of text."""
     for batch in batches:
-        if numbers is not None and batch.num_rows:
-            numbers[0] = batch.column("part")[0].as_py()
         langs, texts = batch.column("lang"), batch.column("text")
         for a, b in slices(string_parts(texts)[1]):
             pieces = Pieces(*string_parts(texts.slice(a, b - a)))
@@ -126,6 +176,16 @@ def _read(batches: Iterator[pa.RecordBatch], numbers: list[int] | None = None) -
                 yield langs.slice(a, b - a), pieces
 
 
+def _read(batches: Iterator[pa.RecordBatch], numbers: list[int] | None = None) -> Iterator[tuple[pa.Array, Codes]]:
+    """(languages of the rows, their words) for each slice of coded texts; the task's number goes into ``numbers``."""
+    for batch in batches:
+        if numbers is not None and batch.num_rows:
+            numbers[0] = batch.column("part")[0].as_py()
+        langs, (codes, offsets) = batch.column("lang"), _codes(batch.column("codes"))
+        for a, b in slices(offsets * 8):
+            yield langs.slice(a, b - a), Codes(codes[offsets[a]:offsets[b]], np.repeat(np.arange(b - a), np.diff(offsets[a:b + 1])))
+
+
 def _lang_hashes(langs: pa.Array) -> np.ndarray:
     """A hash for each row's language."""
     coded = langs.dictionary_encode()
@@ -133,27 +193,43 @@ def _lang_hashes(langs: pa.Array) -> np.ndarray:
     return known[coded.indices.to_numpy(zero_copy_only=False)]
 
 
-_SURVEY = "lang string, word string, bucket int, n long"
-_SURVEY_ARROW = pa.schema([("lang", pa.string()), ("word", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
+def _batch(schema: pa.Schema, **known) -> pa.RecordBatch:
+    """Rows of a schema; the other columns are null."""
+    n = len(next(iter(known.values())))
+    return pa.RecordBatch.from_arrays([known[f.name] if f.name in known else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _coded(schema: pa.Schema, langs: pa.Array, codes: Codes) -> Iterator[pa.RecordBatch]:
+    """A row of lang and codes for each row that has words."""
+    head = runs(codes.row)
+    if len(head):
+        counts = np.diff(np.append(head, len(codes.row)))
+        yield _batch(schema, lang=langs.take(pa.array(codes.row[head])).cast(pa.string()), codes=_cells(codes.codes, counts))
+
+
+_SURVEY = "lang string, word string, code binary, bucket int, n long, codes binary"
+_SURVEY_ARROW = pa.schema([("lang", pa.string()), ("word", pa.string()), ("code", pa.binary()), ("bucket", pa.int32()), ("n", pa.int64()), ("codes", pa.binary())])
 
 
 def _survey(bits: int):
-    """Words with their numbers, and bucket numbers of pairs: equal ones of a task are summed first."""
+    """Words with their code, bucket and number, equal ones of a task summed first; and each text's codes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, held, size = Buckets(bits), [], 0
+        held, size = [], 0
 
         def summed() -> pa.Table:
             return pa.concat_tables(held).group_by(["lang", "word"]).aggregate([("n", "sum")])
 
         def sent(table: pa.Table) -> Iterator[pa.RecordBatch]:
             for b in table.to_batches(max_chunksize=20_000):
-                yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("word"), pa.nulls(b.num_rows, pa.int32()), b.column("n_sum")], schema=_SURVEY_ARROW)
+                code = Words(*string_parts(b.column("word"))).hashes() & ~_MORE
+                bucket = pa.array((code >> np.uint64(64 - bits)).astype(np.int32))
+                yield _batch(_SURVEY_ARROW, lang=b.column("lang"), word=b.column("word"), code=_cells(code, np.ones(len(code), np.int64)), bucket=bucket, n=b.column("n_sum"))
 
-        for langs, words in _read(batches):
-            buckets.add(_keys(langs, words, np.flatnonzero(words.left > 1), 2))
+        for langs, words in _pieces(batches):
+            yield from _coded(_SURVEY_ARROW, langs, Codes.of(words.hash, words.row, words.left > 1))
             _, at, n = np.unique(mixed(words.hash ^ _lang_hashes(langs)[words.row]), return_index=True, return_counts=True)
-            held.append(pa.table({"lang": langs.take(pa.array(words.row[at])), "word": pa.array(words.phrases(at, 1), pa.string()), "n": pa.array(n)}))
+            held.append(pa.table({"lang": langs.take(pa.array(words.row[at])), "word": words.texts(at), "n": pa.array(n)}))
             size += len(at)
             if size > HELD:
                 merged = summed()
@@ -164,25 +240,40 @@ def _survey(bits: int):
                     held, size = [merged.rename_columns({"n_sum": "n"})], len(merged)
         if held:
             yield from sent(summed())
+
+    return task
+
+
+_OFTEN = "lang string, codes binary, bucket int, n long"
+_OFTEN_ARROW = pa.schema([("lang", pa.string()), ("codes", pa.binary()), ("bucket", pa.int32()), ("n", pa.int64())])
+
+
+def _often(known: np.ndarray, bits: int):
+    """Codes of texts without words that the bit map doesn't know, and bucket numbers of pairs."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Buckets(bits)
+        for langs, words in _read(batches):
+            words = words.often(known, bits)
+            buckets.add(_keys(langs, words, np.flatnonzero(words.left > 1), 2))
+            yield from _coded(_OFTEN_ARROW, langs, words)
         for full, numbers in buckets.full():
-            none = pa.nulls(len(full), pa.string())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(full, pa.int32()), pa.array(numbers)], schema=_SURVEY_ARROW)
+            yield _batch(_OFTEN_ARROW, bucket=pa.array(full, pa.int32()), n=pa.array(numbers))
 
     return task
 
 
 _COUNTS = "id long, bucket int, n long"
 _COUNTS_ARROW = pa.schema([("id", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64())])
-_PHRASE = "lang string, phrase string, bucket int"
-_PHRASE_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("bucket", pa.int32())])
+_PHRASE = "lang string, code binary, bucket int"
+_PHRASE_ARROW = pa.schema([("lang", pa.string()), ("code", pa.binary()), ("bucket", pa.int32())])
 
 
 def _numbers(column: str, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of a key (``id`` or ``bucket``) and its number."""
     for a in range(0, len(keys), 100_000):
         part = slice(a, a + 100_000)
-        known = {column: pa.array(keys[part]).cast(_COUNTS_ARROW.field(column).type), "n": pa.array(n[part], pa.int64())}
-        yield pa.RecordBatch.from_arrays([known[f.name] if f.name in known else pa.nulls(len(n[part]), f.type) for f in _COUNTS_ARROW], schema=_COUNTS_ARROW)
+        yield _batch(_COUNTS_ARROW, **{column: pa.array(keys[part]).cast(_COUNTS_ARROW.field(column).type), "n": pa.array(n[part], pa.int64())})
 
 
 class _Seen:
@@ -202,7 +293,7 @@ class _Seen:
         return at
 
 
-def _keys(langs: pa.Array, words: Pieces, at: np.ndarray, size: int) -> np.ndarray:
+def _keys(langs: pa.Array, words: Codes, at: np.ndarray, size: int) -> np.ndarray:
     """A hash of the language and the phrase at each of these words, the same in all tasks."""
     key = _lang_hashes(langs)[words.row[at]]
     for j in range(size):
@@ -210,11 +301,12 @@ def _keys(langs: pa.Array, words: Pieces, at: np.ndarray, size: int) -> np.ndarr
     return key
 
 
-def _named(langs: pa.Array, words: Pieces, at: np.ndarray, size: int, keys: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+def _named(langs: pa.Array, words: Codes, at: np.ndarray, size: int, keys: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int32)
     for a in range(0, len(at), 20_000):
         part = at[a:a + 20_000]
-        yield pa.RecordBatch.from_arrays([langs.take(pa.array(words.row[part])).cast(pa.string()), pa.array(words.phrases(part, size), pa.string()), pa.array(bucket[a:a + 20_000])], schema=_PHRASE_ARROW)
+        code = _cells(np.stack([words.hash[part + j] for j in range(size)], axis=1), np.full(len(part), size))
+        yield pa.RecordBatch.from_arrays([langs.take(pa.array(words.row[part])).cast(pa.string()), code, pa.array(bucket[a:a + 20_000])], schema=_PHRASE_ARROW)
 
 
 def _pairs(kept: np.ndarray, bits: int, share: int):
@@ -247,6 +339,9 @@ class DoubleArray:
         self.slot_of = {x: k + 1 for k, x in enumerate(names)}
         self.size = hashes.shape[1]
         self.words = np.unique(hashes)
+        bits = len(self.words).bit_length() + 1
+        self._shift = np.uint64(64 - bits)
+        self._first = np.searchsorted(self.words, np.arange(1 << bits, dtype=np.uint64) << self._shift).astype(np.int32)
         symbols = np.searchsorted(self.words, hashes).astype(np.int64)
         parent = np.array([self.slot_of[x] for x in langs], np.int64)
         self._limit = 1 + len(names)
@@ -310,15 +405,25 @@ class DoubleArray:
                 return int(first[good[0]] - family[0])
         return int(self._limit - family[0])
 
-    def states(self, langs: pa.Array, words: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    def _symbols(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of words among the trie's, -1 for others: first that of the least word with the same leading bits."""
+        last = len(self.words) - 1
+        symbol = np.minimum(self._first[(hashes >> self._shift).astype(np.int64)], last).astype(np.int64)
+        behind = np.flatnonzero(self.words[symbol] < hashes)
+        while len(behind):
+            behind = behind[symbol[behind] < last]
+            symbol[behind] += 1
+            behind = behind[self.words[symbol[behind]] < hashes[behind]]
+        return np.where(self.words[symbol] == hashes, symbol, -1)
+
+    def states(self, langs: pa.Array, words: Pieces | Codes) -> tuple[np.ndarray, np.ndarray]:
         """(words at which a phrase of the trie starts, its accepting state): all positions move a level at a time."""
         if not len(self.words):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         coded = langs.dictionary_encode()
         slot = np.array([self.slot_of.get(x, -1) for x in coded.dictionary.to_pylist()], np.int64)
         state = slot[coded.indices.to_numpy(zero_copy_only=False)][words.row]
-        symbol = np.minimum(np.searchsorted(self.words, words.hash), len(self.words) - 1)
-        symbol = np.where(self.words[symbol] == words.hash, symbol, -1)
+        symbol = self._symbols(words.hash)
         at = np.flatnonzero((words.left >= self.size) & (state >= 0) & (symbol >= 0))
         state = state[at]
         for j in range(self.size):
@@ -396,23 +501,33 @@ def _bit_map(full: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _without(side: str, size: int) -> Column:
+    """The code of a phrase of ``size`` words without its last or its first word."""
+    return F.expr(f"substring(code, {1 if side == 'last' else 9}, {8 * (size - 1)})")
+
+
 def _safe(phrases: DataFrame, frequent: DataFrame, size: int) -> DataFrame:
     """The distinct phrases of ``size`` words whose first and last size - 1 words are frequent."""
-    words = F.split("phrase", " ")
-    cut = phrases.distinct().select("lang", "phrase", "bucket", F.array_join(F.slice(words, 1, size - 1), " ").alias("__a"), F.array_join(F.slice(words, 2, size - 1), " ").alias("__b"))
-    known = frequent.select("lang", "phrase")
+    cut = phrases.distinct().withColumns({"__a": _without("last", size), "__b": _without("first", size)})
     for side in ("__a", "__b"):
-        cut = cut.join(known.select("lang", F.col("phrase").alias(side)), ["lang", side], "left_semi")
-    return cut.select("lang", "phrase", "bucket")
+        cut = cut.join(frequent.select("lang", F.col("code").alias(side)), ["lang", side], "left_semi")
+    return cut.select("lang", "code", "bucket")
+
+
+def _with_text(phrases: DataFrame, shorter: DataFrame, words: DataFrame, size: int) -> DataFrame:
+    """lang, phrase (its text), code, f, id: the text of all words but the last, which is frequent too, and that of the last."""
+    cut = phrases.withColumns({"__a": _without("last", size), "__b": F.expr(f"substring(code, {8 * size - 7}, 8)")})
+    cut = cut.join(shorter.select("lang", F.col("code").alias("__a"), F.col("phrase").alias("__text")), ["lang", "__a"])
+    cut = cut.join(words.select("lang", F.col("code").alias("__b"), F.col("phrase").alias("__word")), ["lang", "__b"])
+    return cut.select("lang", F.concat_ws(" ", "__text", "__word").alias("phrase"), "code", "f", "id")
 
 
 def _tries(spark: SparkSession, phrases: DataFrame, size: int, block: int) -> Iterator[tuple[Broadcast, bool]]:
-    """Broadcast tries of blocks of the phrases (id, lang, phrase), and whether there is only one; destroyed when the next is asked for."""
+    """Broadcast tries of blocks of the phrases (id, lang, code), and whether there is only one; destroyed when the next is asked for."""
     blocks = -(-phrases.count() // block)
     for k in range(blocks):
         mine = phrases.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toArrow()
-        words = Words(*string_parts(mine.column("phrase")))
-        shared = spark.sparkContext.broadcast(DoubleArray(mine.column("lang").to_pylist(), words.hashes().reshape(-1, size), mine.column("id").to_numpy()))
+        shared = spark.sparkContext.broadcast(DoubleArray(mine.column("lang").to_pylist(), _codes(mine.column("code"))[0].reshape(-1, size), mine.column("id").to_numpy()))
         yield shared, blocks == 1
         shared.destroy()
 
@@ -429,13 +544,17 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, longest: int = L
     if at_least < 1 or longest < 2:
         raise ValueError("phrases have two words or more and occur at least once")
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.spark_partition_id().alias("part"))
-    survey = written(rows.mapInArrow(_survey(bits), _SURVEY), "phrases-words")
-    totals = survey.where("word is not null")
-    sizes = written(totals.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-langs")
-    level = written(totals.groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("f")).where(F.col("f") >= at_least), "phrases-level")
-    found = level.withColumn("size", F.lit(1))
-    full = written(_full_buckets(survey, at_least), "phrases-buckets")
+    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    with scratch(spark, keep=("phrases-level", "phrases-langs", "phrases-often")):
+        survey = written(texts.mapInArrow(_survey(bits), _SURVEY), "phrases-words")
+        totals = survey.where("word is not null")
+        sizes = written(totals.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-langs")
+        level = words = written(totals.groupBy("lang", F.col("word").alias("phrase"), "code", "bucket").agg(F.sum("n").alias("f")).where(F.col("f") >= at_least), "phrases-level")
+        coded = survey.where("codes is not null").select("lang", "codes")
+        often = written(coded.mapInArrow(_often(_bit_map(words, bits), bits), _OFTEN), "phrases-often")
+    rows = often.where("codes is not null").select("lang", "codes", F.spark_partition_id().alias("part"))
+    found = level.select("lang", "phrase", "f", F.lit(1).alias("size"))
+    full = written(_full_buckets(often, at_least), "phrases-buckets")
     dealt = max(1, splits(rows) // announced_by)
     for size in range(2, longest + 1):
         scans, candidates, left = [], [], full
@@ -451,7 +570,7 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, longest: int = L
                 break
             new = _safe(_all_of(said), level, size)
             if candidates:
-                new = new.join(candidates[0].select("lang", "phrase"), ["lang", "phrase"], "left_anti")
+                new = new.join(candidates[0].select("lang", "code"), ["lang", "code"], "left_anti")
             new = written(new.withColumn("id", F.monotonically_increasing_id() * 2 + len(candidates)), "phrases-candidates")
             candidates.append(new)
             scans += [written(rows.mapInArrow(_counted(t, size < longest, bits), _COUNTS), "phrases-counts") for t, _ in _tries(spark, new, size, block)]
@@ -463,7 +582,7 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, longest: int = L
             break
         both = _all_of(scans)
         counts = both.where("id is not null").groupBy("id").agg(F.sum("n").alias("f")).where(F.col("f") >= at_least)
-        level = written(_all_of(candidates).join(counts, "id").select("lang", "phrase", "f", "id"), "phrases-level")
+        level = written(_with_text(_all_of(candidates).join(counts, "id"), level, words, size), "phrases-level")
         found = found.unionAll(level.select("lang", "phrase", "f", F.lit(size).alias("size")))
         full = written(_full_buckets(both, at_least), "phrases-buckets")
     return found, sizes
