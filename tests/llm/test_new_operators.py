@@ -286,6 +286,54 @@ def test_a_large_group_outside_its_hub_gives_few_links():
     assert len(i) == 2 and all(link[a, b] for a, b in zip(i, j, strict=True))
 
 
+@pytest.mark.parametrize("percent", [60, 79, 80, 85, 95])
+def test_sets_that_link_share_an_index_entry(percent):
+    """Shingles of one set alone are spread so that they cut the shared ones as often as they can."""
+    rng, run, tried = random.Random(percent), ngram_join.run_length(percent), 0
+    assert run == 1 + (percent >= 79)
+    for k in range(4000):
+        size = 1 + k % 200
+        alone = min(size, size * (100 - percent) // 100 + rng.randint(0, 1))
+        step = rng.choice([1, 2, 2, 2, 3])
+        at = [step * i for i in range(alone)] if rng.random() < 0.7 else rng.sample(range(size), alone)
+        share, kind = rng.choice([0, 0.2, 0.5, 0.8, 1]), ["b"] * max(size, *(a + 1 for a in at), 1) if at else ["b"] * size
+        for a in at:
+            kind[a] = "x" if rng.random() < share else "y"
+        x, y = ([i for i, c in enumerate(kind) if c != other] for other in "yx")
+        both = kind.count("b")
+        if x == y or 100 * both < percent * len(kind):
+            continue
+        tried += 1
+        count = ngram_join.entries(np.array([len(x), len(y)]), percent, run)
+        assert count[0] + run - 1 <= len(x) and count[1] + run - 1 <= len(y)
+        one, two = ({tuple(v[i:i + run]): i for i in range(n)} for v, n in zip((x, y), count.tolist(), strict=True))
+        i, j = min((one[e], two[e]) for e in one.keys() & two.keys())
+        assert ngram_join.most_shared(i, j, len(x) - i, len(y) - j, run) >= both
+        for block in (1, 32):
+            p, q = ngram_join.list_pairs(np.array([len(x), len(y)]), np.array([i, j]), percent, block, run)
+            assert {p.tolist()[0], q.tolist()[0]} == {0, 1}
+    assert tried > 300
+
+
+def test_shingles_shared_by_chance_make_few_pairs(spark, monkeypatch):
+    """Texts of few words share single shingles with ever more others as a table grows: each pair was sent on with its sketches."""
+    rng, seen = random.Random(3), {}
+    names = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.choice(names[:rng.choice([3, 8, 40])]) for _ in range(100))) for k in range(300)]
+    rows += [(300 + k, f"{rows[k][1]} end") for k in range(20)]
+    real = ngram_join.written
+
+    def counted(df, name):
+        out = real(df, name)
+        seen[name] = out.select("x", "y").distinct().count() if name == "join-pairs" else 0
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    got = ngram_join.similar_documents(table(spark, rows).repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == plain_links(rows)
+    assert 20 <= seen["join-pairs"] < 100
+
+
 def test_a_long_index_list_meets_by_its_hub():
     """Near copies of which no task saw two: one star for each, no pairs."""
     for n in (40, 63, 64, 1000):

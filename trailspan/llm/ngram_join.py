@@ -7,16 +7,18 @@ result is each document's component over links.
 Sets and their relations:
 
 * Equal sets are one node, named by a 64-bit fingerprint; all that follows is between nodes.
-* A set's shingles are put in one order for all sets, frequent ones last. Two sets that link share
-  one of their first n - ceil(PERCENT/100 n) + 1 shingles, so only those enter the index. Which
-  shingles count as frequent (at most ``HOT_LIST`` of them, the most frequent) only decides the
+* A set's shingles are put in one order for all sets, frequent ones last. What two sets that link don't share cuts the
+  shingles that they do share into few runs, so among their first 2 (1 - PERCENT/100) n + 2 shingles two shared ones stand
+  side by side in both sets. The index holds these neighbours: one shingle is shared by chance ever more
+  often as a table grows, two side by side hardly. Below 79 percent single shingles are indexed, the first n - ceil(PERCENT/100 n) + 1 (see ``entries``).
+  Which shingles count as frequent (at most ``HOT_LIST`` of them, the most frequent) only decides the
   order: any choice gives the same links.
 * *Index skipping*: an index list is sorted by set size and cut into blocks by position. The words
-  behind the positions bound an intersection, so pairs and whole blocks that can't link are passed
+  before and behind the positions bound an intersection, so pairs and whole blocks that can't link are passed
   over. A parity sketch of each set (how many shingles fall into each of its bins, modulo 2; 512 bins, or
   as many as shingles) bounds the symmetric difference from below and drops most of what is left, never a link.
-* *Answer skipping*: sets that hold frequent shingles among their first ones are nearly all copies
-  of each other, so they aren't paired. Each frequent shingle has a hub, a set with that shingle.
+* *Answer skipping*: the sets of a long index list are nearly all copies
+  of each other, so they aren't paired. Each long list has a hub, its first set.
   A set is compared with its hubs once, and its difference to a hub is kept. Two sets x and y of a hub
   r have |x & y| = |r| - |r\\x| - |r\\y| + |r\\x & r\\y| + |x\\r & y\\r|, which is derived from the kept
   answers; only sets that don't hang together with the hub yet are compared that way, in blocks.
@@ -76,6 +78,30 @@ def needed(nx, ny, percent: int = PERCENT):
     return -(-percent * (nx + ny) // (100 + percent))
 
 
+def run_length(percent: int) -> int:
+    """How many neighbouring shingles an index entry has; two where every set that links with another one has enough of them."""
+    return 2 if 2 * percent * percent + 100 * percent >= 20_000 else 1
+
+
+def entries(counts: np.ndarray, percent: int, run: int) -> np.ndarray:
+    """How many index entries sets of these sizes need.
+
+    With D(x) and D(y) the numbers of shingles that only x or only y has, sets that link have D(x) + p D(y) <= (1 - p) n(x). Where
+    the first of the two prefixes ends, say that of x, the shared shingles are cut by the others into D(x) + D(y) + 1 runs
+    at most; if P(x) - D(x) of them exceed that, two are side by side. 2 D(x) + D(y) <= 2 (1 - p) n(x) gives the prefix
+    P(x) = 2 (1 - p) n(x) + 2. Sets with (1 - p) n < p link with equal ones alone.
+    """
+    if run == 1:
+        return np.where(counts > 0, counts - (percent * counts + 99) // 100 + 1, 0)
+    return np.where((100 - percent) * counts >= percent, 2 * (100 - percent) * counts // 100 + 1, 0)
+
+
+def most_shared(pos_x, pos_y, left_x, left_y, run: int):
+    """No fewer than sets share whose first common index entry is at these positions, ``left`` shingles from there on."""
+    # Before the first two neighbours shared ones stand alone: at least as many others, less one, are between them.
+    return np.minimum(left_x, left_y) + (np.minimum(np.minimum(pos_x, pos_y), (pos_x + pos_y + 1) // 3) if run == 2 else 0)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(shingles of all rows, sorted within each row; number of shingles of each row)."""
     words = Words(data, offsets, lower=True)
@@ -128,8 +154,8 @@ def apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return out
 
 
-_FIRST = "doc_id long, fp long, n int, sketch binary, hot boolean, token long, sets long, hub long"
-_FIRST_ARROW = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("hot", pa.bool_()), ("token", pa.int64()), ("sets", pa.int64()), ("hub", pa.int64())])
+_FIRST = "doc_id long, fp long, n int, sketch binary, hot boolean, token long, sets long"
+_FIRST_ARROW = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("hot", pa.bool_()), ("token", pa.int64()), ("sets", pa.int64())])
 
 
 def _batch(schema: pa.Schema, rows: int, **columns) -> pa.RecordBatch:
@@ -137,7 +163,7 @@ def _batch(schema: pa.Schema, rows: int, **columns) -> pa.RecordBatch:
 
 
 def _surveyed(shingle: int, flush_words: int):
-    """For each document its node, size and sketch; for shingles that a task saw in two sets, how many, and one of the sets."""
+    """For each document its node, size and sketch; for shingles that a task saw in two sets, how many."""
 
     def counted(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         value, fp, counts = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -145,15 +171,13 @@ def _surveyed(shingle: int, flush_words: int):
         mine = np.zeros(len(fp), bool)
         mine[one] = True  # equal sets count once
         kept = np.repeat(mine, counts)
-        value, owner = value[kept], np.repeat(fp[mine], counts[mine])
-        order = np.lexsort((owner, value))
-        value, owner = value[order], owner[order]
+        value = np.sort(value[kept])
         head = runs(value)
         sets = np.diff(np.append(head, len(value)))
         head, sets = head[sets > 1], sets[sets > 1]
         for a in range(0, len(head), 50_000):
             h = head[a:a + 50_000]
-            yield _batch(_FIRST_ARROW, len(h), hot=pa.array([True] * len(h)), token=pa.array(value[h].view(np.int64)), sets=pa.array(sets[a:a + 50_000]), hub=pa.array(owner[h]))
+            yield _batch(_FIRST_ARROW, len(h), hot=pa.array([True] * len(h)), token=pa.array(value[h].view(np.int64)), sets=pa.array(sets[a:a + 50_000]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -175,13 +199,13 @@ def _surveyed(shingle: int, flush_words: int):
 
 
 class HotList:
-    """Frequent shingles, their rank (rarest first) and hub."""
+    """Frequent shingles and their rank (rarest first)."""
 
-    def __init__(self, token: np.ndarray, sets: np.ndarray, hub: np.ndarray):
+    def __init__(self, token: np.ndarray, sets: np.ndarray):
         rank = np.empty(len(token), np.int64)
         rank[np.lexsort((token, sets))] = np.arange(1, len(token) + 1)
         order = np.argsort(token.view(np.uint64))
-        self.token, self.rank, self.hub = token.view(np.uint64)[order], rank[order], hub[order]
+        self.token, self.rank = token.view(np.uint64)[order], rank[order]
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.token >> np.uint64(42)).astype(np.int64)] = True
 
@@ -196,22 +220,25 @@ class HotList:
         return out
 
 
-_PACKED = "bucket long, star boolean, a binary, b binary, n binary, pos binary"
-_PACKED_ARROW = pa.schema([("bucket", pa.int64()), ("star", pa.bool_())] + [(c, pa.binary()) for c in ("a", "b", "n", "pos")])
+_PACKED = "bucket long, a binary, b binary, n binary, pos binary"
+_PACKED_ARROW = pa.schema([("bucket", pa.int64())] + [(c, pa.binary()) for c in ("a", "b", "n", "pos")])
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones: the high ones of small numbers are alike and take no room in a shuffle."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _unplanes(raw: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
 def _indexed(shingle: int, percent: int, buckets: int, flush_words: int, shared):
-    """First shingles of every set, packed by the bucket of the shingle; and (set, hub) for frequent ones.
+    """First neighbours (or single shingles) of every set, packed by the bucket of their hash.
 
-    Inside its bucket half of a shingle's hash stands for it: two that are mixed up make a candidate more, never one less.
+    Inside its bucket half of the hash stands for it: two that are mixed up make a candidate more, never one less.
     """
-
-    def packed(where: np.ndarray, star: bool, columns: dict[str, np.ndarray]) -> Iterator[dict]:
-        by = np.argsort(where, kind="stable")
-        cut = np.append(runs(where[by]), len(by))
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            mine = by[lo:hi]
-            yield {"bucket": int(where[mine[0]]), "star": star, **{k: v[mine].tobytes() for k, v in columns.items()}}
+    run = run_length(percent)
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
@@ -223,21 +250,25 @@ def _indexed(shingle: int, percent: int, buckets: int, flush_words: int, shared)
         row = np.repeat(np.arange(len(fp)), counts)
         place = hot.places(value)
         rank = np.where(place >= 0, hot.rank[place] if len(hot.rank) else 0, 0)
-        order = np.lexsort((value, rank, row))
-        value, place = value[order], place[order]
+        value = value[np.lexsort((value, rank, row))]
         first = np.cumsum(counts) - counts
-        use = np.where(counts > 0, counts - (percent * counts + 99) // 100 + 1, 0)
+        use = entries(counts, percent, run)
         at = spread(first, use)
-        row, pos = row[at], at - np.repeat(first, use)
-        value, place, n = value[at], place[at], counts[row].astype(np.int32)
-        plain = place < 0
-        rows = list(packed(value[plain] % np.uint64(buckets), False, {"a": fp[row[plain]], "b": (value[plain] >> np.uint64(32)).astype(np.uint32), "n": n[plain], "pos": pos[plain].astype(np.int32)}))
-        x, r = fp[row[~plain]], hot.hub[place[~plain]] if len(hot.hub) else np.empty(0, np.int64)
-        if len(x):
-            pair = np.unique(np.stack([x, r], axis=1)[x != r], axis=0)
-            rows += packed(mixed(pair[:, 0].view(np.uint64)) % np.uint64(buckets), True, {"a": pair[:, 0], "b": pair[:, 1], "n": np.empty(len(pair), "S0"), "pos": np.empty(len(pair), "S0")})
-        for a in range(0, len(rows), 512):
-            yield pa.RecordBatch.from_pylist(rows[a:a + 512], _PACKED_ARROW)
+        row, pos = row[at], (at - np.repeat(first, use)).astype(np.int32)
+        key = value[at] if run == 1 else mixed(value[at] + mixed(value[at + 1]))
+        bucket, n = key % np.uint64(buckets), counts.astype(np.int32)
+        by = np.argsort(bucket, kind="stable")
+        bucket, half = bucket[by], (key >> np.uint64(32)).astype(np.uint32)
+        cut = np.append(runs(bucket), len(by)).tolist()
+        rows = []
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            e = by[lo:hi]
+            rows.append({"bucket": int(bucket[lo]), "a": _planes(fp[row[e]]), "b": _planes(half[e]), "n": _planes(n[row[e]]), "pos": _planes(pos[e])})
+            if len(rows) == 512:
+                yield pa.RecordBatch.from_pylist(rows, _PACKED_ARROW)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _PACKED_ARROW)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -256,22 +287,24 @@ def _indexed(shingle: int, percent: int, buckets: int, flush_words: int, shared)
     return task
 
 
-def list_pairs(n: np.ndarray, pos: np.ndarray, percent: int = PERCENT, block: int = 32) -> tuple[np.ndarray, np.ndarray]:
+def list_pairs(n: np.ndarray, pos: np.ndarray, percent: int = PERCENT, block: int = 32, run: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of an index list's entries that may link, by blocks of like positions: whole blocks are skipped."""
     order = np.lexsort((n, pos))
-    n, left = n[order].astype(np.int64), (n - pos)[order].astype(np.int64)  # left: shingles from here on
+    n, pos = n[order].astype(np.int64), pos[order].astype(np.int64)
+    left = n - pos  # shingles from here on
     cuts = list(range(0, len(n), block))
     low = [int(n[c:c + block].min()) for c in cuts]
     high = [int(n[c:c + block].max()) for c in cuts]
     most = [int(left[c:c + block].max()) for c in cuts]
+    last = [int(pos[c:c + block].max()) for c in cuts]
     out_i, out_j = [], []
     for p, a in enumerate(cuts):
         for q in range(p, len(cuts)):
-            if min(most[p], most[q]) < needed(low[p], low[q], percent) or 100 * high[p] < percent * low[q] or 100 * high[q] < percent * low[p]:
+            if most_shared(last[p], last[q], most[p], most[q], run) < needed(low[p], low[q], percent) or 100 * high[p] < percent * low[q] or 100 * high[q] < percent * low[p]:
                 continue
             b = cuts[q]
             i, j = np.meshgrid(np.arange(a, min(a + block, len(n))), np.arange(b, min(b + block, len(n))), indexing="ij")
-            ok = (i < j) & (np.minimum(left[i], left[j]) >= needed(n[i], n[j], percent)) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            ok = (i < j) & (most_shared(pos[i], pos[j], left[i], left[j], run) >= needed(n[i], n[j], percent)) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             out_i.append(i[ok])
             out_j.append(j[ok])
     i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_i, out_j))
@@ -285,34 +318,34 @@ _PAIR_ARROW = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("nx", pa.int32()
 def _listed(percent: int, hub_list: int = HUB_LIST):
     """The index lists of a bucket: candidate pairs, each once."""
 
-    long = min(LONG_LIST, hub_list)
+    long, run = min(LONG_LIST, hub_list), run_length(percent)
 
     def pairs(table: pa.Table) -> pa.Table:
         parts: list[list[np.ndarray]] = [[], [], [], []]
         out = []
         for row in table.to_pylist():
-            if row["star"]:
-                x, r = np.frombuffer(row["a"], np.int64), np.frombuffer(row["b"], np.int64)
-                out.append(pa.table([pa.array(x), pa.array(r), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.int32()), pa.array(np.ones(len(x), bool))], schema=_PAIR_ARROW))
-                continue
             for held, c, kind in zip(parts, ("a", "b", "n", "pos"), (np.int64, np.uint32, np.int32, np.int32), strict=True):
-                held.append(np.frombuffer(row[c], kind))
+                held.append(_unplanes(row[c], kind))
         if parts[0]:
             fp, token, n, pos = (np.concatenate(x) for x in parts)
-            order = np.lexsort((fp, n, token))
+            order = np.lexsort((pos, fp, n, token))
             fp, token, n, pos = fp[order], token[order], n[order].astype(np.int64), pos[order].astype(np.int64)
-            one = runs(token, fp)  # a set that several tasks saw
+            one = runs(token, fp, pos)  # a set that several tasks saw
             fp, token, n, pos = fp[one], token[one], n[one], pos[one]
             head = runs(token)
             length = np.diff(np.append(head, len(token)))
+            if (length >= hub_list).any():  # a list's first set is the hub of the others, wherever tasks saw them
+                hub = np.repeat(np.minimum.reduceat(fp, head), length)
+                star = np.repeat(length >= hub_list, length) & (fp != hub)
+                x, r = fp[star], hub[star]
+                order = np.lexsort((r, x))
+                one = order[runs(x[order], r[order])]
+                x, r = x[one], r[one]
+                out.append(pa.table([pa.array(x), pa.array(r), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.int32()), pa.array(np.ones(len(x), bool))], schema=_PAIR_ARROW))
             xs, ys = [], []
-            for h, m in zip(head[length >= long].tolist(), length[length >= long].tolist(), strict=True):
-                if m >= hub_list:  # its first set is the hub of the others, wherever tasks saw them
-                    r = fp[h:h + m].min()
-                    x = fp[h:h + m][fp[h:h + m] != r]
-                    out.append(pa.table([pa.array(x), pa.array(np.full(len(x), r)), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.int32()), pa.array(np.ones(len(x), bool))], schema=_PAIR_ARROW))
-                    continue
-                i, j = list_pairs(n[h:h + m], pos[h:h + m], percent)
+            middle = (length >= long) & (length < hub_list)
+            for h, m in zip(head[middle].tolist(), length[middle].tolist(), strict=True):
+                i, j = list_pairs(n[h:h + m], pos[h:h + m], percent, run=run)
                 xs.append(h + i)
                 ys.append(h + j)
             # Short lists side by side: entry i with entry i + k of its list, as long as any size fits.
@@ -323,11 +356,13 @@ def _listed(percent: int, hub_list: int = HUB_LIST):
                 i = i[(i + k) < end[i]]
                 i = i[100 * n[i] >= percent * n[i + k]] if len(i) else i  # sorted by size: later ones are larger still
                 j = i + k
-                ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= needed(n[i], n[j], percent)
+                ok = most_shared(pos[i], pos[j], n[i] - pos[i], n[j] - pos[j], run) >= needed(n[i], n[j], percent)
                 xs.append(i[ok])
                 ys.append(j[ok])
                 k += 1
             i, j = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (xs, ys))
+            other = fp[i] != fp[j]
+            i, j = i[other], j[other]
             swap = fp[i] > fp[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
             if len(i):
@@ -607,11 +642,11 @@ def _joined(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     members = first.where("not hot").select("doc_id", "fp", "n")
     row_id = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"))
     nodes = first.where("not hot and n > 0").groupBy("fp").agg(F.max("sketch").alias("sketch"), F.min(row_id).alias("row"))
-    often = first.where("hot").groupBy("token").agg(F.sum("sets").alias("sets"), F.min("hub").alias("hub")).where(F.col("sets") >= hot_sets)
+    often = first.where("hot").groupBy("token").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= hot_sets)
     hot = often.orderBy(F.desc("sets"), "token").limit(hot_list).toArrow()
-    shared = spark.sparkContext.broadcast(HotList(*(hot.column(c).to_numpy().astype(np.int64) for c in ("token", "sets", "hub"))))
+    shared = spark.sparkContext.broadcast(HotList(*(hot.column(c).to_numpy().astype(np.int64) for c in ("token", "sets"))))
 
-    buckets = min(8 * splits(rows), 1 << 20)
+    buckets = min(4 * splits(rows), 1 << 20)
     index = rows.mapInArrow(_indexed(shingle, percent, buckets, flush_words, shared), _PACKED)
     found = written(index.groupBy("bucket").applyInArrow(_listed(percent, hub_list), _PAIR), "join-pairs")
     nodes = written(nodes, "join-nodes")
