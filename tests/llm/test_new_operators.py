@@ -178,6 +178,23 @@ def test_alignment(spark, awkward_texts, block_bytes, monkeypatch):
     assert {(r.a, r.b): r.documents for r in counts.collect()} == holders and all(r.pair == r.a * size + r.b for r in counts.collect())
 
 
+def test_alignment_holds_one_block_at_a_time(spark, awkward_texts, monkeypatch):
+    """Lists of all pairs of a task's blocks stood in its heap, and a batch was 10,000 rows, of texts or of blocks."""
+    name, seen, real = "spark.sql.execution.arrow.maxBytesPerBatch", [], token_alignment.written
+
+    def noted(df, what):
+        seen.append(spark.conf.get(name))
+        return real(df, what)
+
+    monkeypatch.setattr(token_alignment, "written", noted)
+    before = spark.conf.get(name, None)
+    out = token_alignment.alignment_digests(table(spark, awkward_texts).repartition(3), block_bytes=300)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan.replace("FlatMapCoGroupsInArrow", "")
+    assert seen == [str(token_alignment.BATCH_BYTES)] and spark.conf.get(name, None) == before
+    assert out.count() == len(awkward_texts)
+
+
 @pytest.fixture(scope="module")
 def awkward_texts():
     rng = random.Random(8)
