@@ -195,6 +195,17 @@ def test_alignment_holds_one_block_at_a_time(spark, awkward_texts, monkeypatch):
     assert out.count() == len(awkward_texts)
 
 
+def test_parts_of_a_block_are_aligned_as_the_whole(awkward_texts, monkeypatch):
+    one, two = (token_alignment.Side(tokenizer_file(p)) for p in (token_alignment.BYTE_LEVEL, token_alignment.PIECES))
+    texts, sizes, real = pa.array([t for _, t in awkward_texts], pa.string()), [], token_alignment.align
+    want = real(texts, one, two)
+    monkeypatch.setattr(token_alignment, "ALIGNED_BYTES", 200)
+    monkeypatch.setattr(token_alignment, "align", lambda t, *sides: sizes.append(len(t)) or real(t, *sides))
+    got = token_alignment.align_parts(texts, one, two)
+    assert len(sizes) > 5 and sum(sizes) == len(texts) and got.keys() == want.keys()
+    assert all(list(got[c]) == list(want[c]) for c in want)
+
+
 @pytest.fixture(scope="module")
 def awkward_texts():
     rng = random.Random(8)
